@@ -6,16 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, mix, packing
+from . import chat, knn, langid, linededup, lm, mix, near, packing, pii, simhash
 from .common import documents
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned_from = F.coalesce(crc_mod(7) != 2, F.lit(True))
+    return lm.score_all(lm.learn(documents(spark, sf_dir), learned_from))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), TOKENIZER, 1024, 0)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(crc_mod(4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     trap = "\\### Assistant: </turn> ok"
@@ -23,14 +39,34 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.segments(rows.unionByName(fixed)))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_join(documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_sizes(documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_all(documents(spark, sf_dir))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many lines it has, which go (numbers from 0), and a digest of what is left."""
+    x = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
+    return x.select("row.doc_id", F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"),
+                    F.array_join(gone.cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return knn.nearest(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_chat_formatting, op6_mixing, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_language_id, op4_chat_formatting, op5_ngram_jaccard_join, op6_mixing, op7_fingerprints, op8_line_dedup, op9_personal_data, op10_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
