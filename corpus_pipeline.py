@@ -1,4 +1,50 @@
-STAGES = []
+"""The corpus pipeline: language ID, line dedup, near duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+SQL cannot express the stages, so ORACLE_SQL is None and tests hold each against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrafold.llm import langid, linededup, mix, near, packing
+from terrafold.llm.common import documents, stash
+from terrafold.llm.queries import TOKENIZER
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model does not reject; it is fitted on a bounded sample of the labelled ones."""
+    return langid.keep_known(docs, langid.fit(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go, and documents that lose all their words; n_chars follows the text."""
+    return linededup.clean_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near.one_of_each_group(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document."""
+    return mix.mix_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; a document that the mix takes twice is packed twice."""
+    return packing.pack_documents(docs, TOKENIZER, 1024, 0)
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("mixing", mixing), ("packing", packing_stage)]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
