@@ -194,7 +194,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``wanted`` (rep, cid, ...) with the shingles of the representative's text; classes are checked by their words."""
     names = [c for c in wanted.columns if c not in ("rep", "cid")]
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    x = x.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", *names, "text")
+    # both sides grow with the input, so neither is broadcast at any size
+    x = x.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", *names, "text")
 
     def run(batches):
         for batch in batches:
