@@ -36,8 +36,9 @@ def _reach(words: Column, least: int) -> Column:
     return F.aggregate(words, start, step, lambda acc: F.when(acc["s"] >= least, acc["n"]))
 
 
-def copies(d: str = "d") -> Window:
-    return Window.partitionBy(d).orderBy("t")
+def copies() -> Window:
+    """Numbers the rows of equal doc_id; ``key`` is a hash of the id, so that null ids have one too."""
+    return Window.partitionBy("key").orderBy("d", "t")
 
 
 def positions(docs: DataFrame, min_words: int) -> DataFrame:
@@ -46,7 +47,7 @@ def positions(docs: DataFrame, min_words: int) -> DataFrame:
         F.transform(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("w"))),
         lambda s: s["w"] > 0,
     )
-    x = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), line.alias("lines")).withColumn("rep", F.row_number().over(copies()))
+    x = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.xxhash64("text").alias("t"), line.alias("lines")).withColumn("rep", F.row_number().over(copies()))
     x = x.where(F.size("lines") > 0).withColumn("w", F.col("lines.w")).withColumn("r", F.reverse("w")).withColumn("n", F.size("w"))
     rows = F.transform(
         "lines",
@@ -132,11 +133,12 @@ def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(row, text, removed): the row as it was, its text without later copies, and the numbers of the lines taken out."""
     bounded_batches(docs.sparkSession)
-    gone = removals(docs, min_words).select(F.col("d").alias("d2"), F.col("rep").alias("rep2"), "removed")
-    gone = stash(gone, "line-removals")
+    gone = stash(removals(docs, min_words), "line-removals")
+    # one row an id, joined on the key that the copies are numbered by: the texts are shuffled once
+    gone = gone.groupBy(F.xxhash64("d").alias("key")).agg(F.collect_list(F.struct("rep", "removed")).alias("gone"))
     x = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-    x = x.withColumn("rep", F.row_number().over(copies()))
-    x = x.join(gone, F.col("d").eqNullSafe(F.col("d2")) & (F.col("rep") == F.col("rep2")), "left")
+    x = x.withColumn("key", F.xxhash64("d")).withColumn("rep", F.row_number().over(copies())).join(gone.hint("merge"), "key", "left")
+    x = x.withColumn("removed", F.filter("gone", lambda g: g["rep"] == F.col("rep"))[0]["removed"])
     return x.select("row", without_lines("text", "removed").alias("text"), "removed")
 
 
