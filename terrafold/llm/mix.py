@@ -51,14 +51,14 @@ def targets(sizes: DataFrame, total: float = 1.5, most: float = 2.0, weights: tu
 
 def queue(slim: DataFrame, buckets: int) -> DataFrame:
     """(_source, _size, _k, ...) with _cum: the source's words up to this row, in order of the shuffle key ``_k``."""
-    x = slim.withColumn("_b", (F.shiftrightunsigned("_k", 40) % buckets).cast("int"))
-    head = x.groupBy("_source", "_b").agg(F.sum("_size").alias("_part"))
+    x = slim.withColumn("_b", (F.shiftrightunsigned("_k", 40) % buckets).cast("int")).withColumn("_sb", F.xxhash64("_source", "_b"))
+    head = x.groupBy("_sb", "_source", "_b").agg(F.sum("_size").alias("_part"))
     w = Window.partitionBy("_source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    head = head.select(F.col("_source").alias("_s2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("_part").over(w), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_source", "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.sum("_size").over(inner))
-    x = x.join(head, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")))
-    return x.withColumn("_cum", F.col("_before") + F.col("_in")).drop("_s2", "_b2", "_before", "_in", "_b")
+    head = head.select("_sb", F.coalesce(F.sum("_part").over(w), F.lit(0)).alias("_before"))
+    # summed and joined on one key, so the rows are shuffled once
+    inner = Window.partitionBy("_sb").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_in", F.sum("_size").over(inner)).join(head.hint("merge"), "_sb")
+    return x.withColumn("_cum", F.col("_before") + F.col("_in")).drop("_sb", "_before", "_in", "_b")
 
 
 def cut(entries: DataFrame, goals: DataFrame, ranges: int) -> DataFrame:

@@ -237,6 +237,7 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     keep = stash(keep, "near-keep")
     names = docs.columns
     x = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"))
-    x = x.join(keep, F.col("d").eqNullSafe(F.col("__keep")), "left_semi")
-    first = Window.partitionBy("d", "t").orderBy(F.lit(0))
+    # joined and numbered on one key, so the texts are shuffled once
+    x = x.withColumn("key", F.xxhash64("d")).join(keep.select(F.xxhash64("__keep").alias("key")).distinct().hint("merge"), "key", "left_semi")
+    first = Window.partitionBy("key", "d", "t").orderBy(F.lit(0))
     return x.withColumn("k", F.row_number().over(first)).where("k = 1 or d is null").select("row.*")
