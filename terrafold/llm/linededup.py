@@ -138,7 +138,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     gone = gone.groupBy(F.xxhash64("d").alias("key")).agg(F.collect_list(F.struct("rep", "removed")).alias("gone"))
     x = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
     x = x.withColumn("key", F.xxhash64("d")).withColumn("rep", F.row_number().over(copies())).join(gone.hint("merge"), "key", "left")
-    x = x.withColumn("removed", F.filter("gone", lambda g: g["rep"] == F.col("rep"))[0]["removed"])
+    x = x.withColumn("removed", F.get(F.filter("gone", lambda g: g["rep"] == F.col("rep")), F.lit(0))["removed"])
     return x.select("row", without_lines("text", "removed").alias("text"), "removed")
 
 
