@@ -1,2 +1,523 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""One query per operator over the driver tables, and the DuckDB SQL for its result where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import axes, climatology, fit, folds, mask, metrics, spatial, vectors
+from ..sources import minicube as mc
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+BASE = """WITH px AS (
+  SELECT l_orderkey AS frame_key, l_linenumber - 1 AS cell, avg(l_extendedprice / 1000) AS nir, avg(l_quantity) AS red,
+         bool_and(l_returnflag IN ('A', 'N') AND l_linestatus IN ('O', 'F')) AS valid FROM lineitem GROUP BY 1, 2),
+pixels AS (SELECT *, CASE WHEN valid AND abs(nir + red) > 1e-12 THEN CAST((nir - red) / (nir + red) AS FLOAT) END AS ndvi FROM px),
+fr0 AS (SELECT o_custkey AS cube, CAST(o_orderdate AS DATE) AS ts, min(o_orderkey) AS frame_key FROM orders GROUP BY 1, 2),
+frames AS (SELECT *, row_number() OVER (PARTITION BY cube ORDER BY ts) - 1 AS acq_idx, date_diff('day', min(ts) OVER (PARTITION BY cube), ts) AS day_idx FROM fr0),
+stats AS (SELECT frame_key, avg(CAST(valid AS INT)) AS clear_frac, count(*) AS n_pixels, avg(ndvi::DOUBLE) AS mean_ndvi, quantile_cont(ndvi::DOUBLE, 0.9) AS p90_ndvi FROM pixels GROUP BY 1),
+kept AS (SELECT * FROM frames JOIN stats USING (frame_key) WHERE clear_frac > 0.5),
+cp AS (SELECT cube, acq_idx, ts, cell, valid, nir, red, ndvi FROM frames JOIN pixels USING (frame_key)),
+daily AS (SELECT user_id AS cube, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, avg(value) AS value FROM events GROUP BY 1, 2),
+vec AS (SELECT vec_id % 20 AS cube, vec_id, embedding::DOUBLE[] AS vec, label, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) - 1 AS acq_idx FROM embeddings),
+fp AS (SELECT c_custkey AS id, c_nationkey AS grp, c_custkey * 37 % 5000 AS r0, c_custkey * 37 % 5000 + 128 AS r1, c_custkey * 91 % 7000 AS c0, c_custkey * 91 % 7000 + 128 AS c1 FROM customer),
+pr AS (SELECT * FROM (SELECT cube, acq_idx AS acq_idx_a, day_idx AS day_idx_a, mean_ndvi AS va, lead(acq_idx) OVER w AS acq_idx_b, lead(day_idx) OVER w AS day_idx_b, lead(mean_ndvi) OVER w AS vb FROM kept WINDOW w AS (PARTITION BY cube ORDER BY acq_idx)) WHERE acq_idx_b IS NOT NULL),
+settings AS (SELECT * FROM (VALUES (100, 30), (180, 30), (365, 45)) t(delta, tol)),
+cand AS (SELECT a.cube, a.acq_idx, a.day_idx, delta, tol, b.acq_idx AS acq_target, b.day_idx - a.day_idx AS delta_days, a.mean_ndvi AS v, b.mean_ndvi AS v_target,
+   row_number() OVER (PARTITION BY a.cube, a.acq_idx, delta, tol ORDER BY abs(b.day_idx - a.day_idx - delta), b.acq_idx) AS rn
+   FROM kept a, settings, kept b WHERE a.cube = b.cube AND b.acq_idx > a.acq_idx AND abs(b.day_idx - a.day_idx - delta) <= tol),
+hz AS (SELECT * FROM cand WHERE rn = 1)
+"""
+
+#: Scores used by the reporting queries: R2 of two predictors of the next value, by cube fold and model.
+SCORES = """, sc0 AS (SELECT cube % 5 AS fold, CASE WHEN gap_mode = 1 THEN 'short' ELSE 'long' END AS mode, va, vb, avg(vb) OVER () AS centre FROM (SELECT *, CASE WHEN day_idx_b - day_idx_a <= 200 THEN 1 ELSE 0 END AS gap_mode FROM pr WHERE va IS NOT NULL AND vb IS NOT NULL)),
+preds AS (SELECT fold, mode, 'persistence' AS model, vb AS y, va AS pred FROM sc0 UNION ALL SELECT fold, mode, 'half', vb, (va + centre) / 2 FROM sc0 UNION ALL SELECT fold, mode, 'mean', vb, centre FROM sc0),
+scores AS (SELECT mode, model, fold, 1 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(y)) AS r2, model = 'mean' AS is_control FROM preds GROUP BY ALL)
+"""
+
+
+def query(sql: str | None = None, base: str = BASE):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = base + sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
+
+
+def r(c: str, name: str | None = None) -> str:
+    return f"round({c}, 6) AS {name or c}"
+
+
+# --- masks and statistics -----------------------------------------------------------------------
+
+
+@query(f"SELECT cube, acq_idx, day_idx, {r('clear_frac')}, n_pixels, {r('mean_ndvi')}, {r('p90_ndvi')} FROM kept")
+def masked_index_frame_stats(spark, d):
+    x = mc.kept_frames(spark, d)
+    return rounded(x.select("cube", "acq_idx", "day_idx", "clear_frac", "n_pixels", "mean_ndvi", "p90_ndvi"), "clear_frac", "mean_ndvi", "p90_ndvi")
+
+
+@query("""SELECT source, valid, count(*) AS n FROM (SELECT CASE WHEN l_returnflag <> 'R' THEN 'flag' WHEN l_linestatus IS NOT NULL THEN 'status' ELSE 'none' END AS source,
+  CASE WHEN l_returnflag <> 'R' THEN l_returnflag = 'A' ELSE l_linestatus = 'F' END AS valid FROM lineitem) GROUP BY 1, 2""", base="")
+def mask_source_fallback(spark, d):
+    li = mc.table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("flag"), F.col("l_linestatus").alias("status"))
+    valid, source = mask.fallback_mask([("flag", ("A",)), ("status", ("F",))])
+    return li.groupBy(source.alias("source"), valid.alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count_if(l_returnflag IN ('A', 'N') AND l_linestatus = 'O') AS n_valid FROM lineitem", base="")
+def clear_sky_conjunction(spark, d):
+    return mc.table(spark, d, "lineitem").agg(F.count("*").alias("n"), F.count_if(mask.clear_sky("l_returnflag", ("A", "N"), "l_linestatus", ("O",))).alias("n_valid"))
+
+
+@query("SELECT frame_key, cell, count(*) AS n_pixels, avg(CAST(valid AS DOUBLE)) AS clear_frac FROM px GROUP BY 1, 2")
+def frame_cell_clear_fraction(spark, d):
+    return mask.clear_fraction(mc.pixels(spark, d), ["frame_key", "cell"])
+
+
+@query("SELECT cube, acq_idx, " + ", ".join([r("avg(ndvi::DOUBLE)", "mean"), r("stddev_pop(ndvi::DOUBLE)", "std"), *(r(f"quantile_cont(ndvi::DOUBLE, 0.{q})", f"p{q}") for q in (10, 25, 50, 75, 90))]) + " FROM cp GROUP BY 1, 2")
+def seven_stats_frame(spark, d):
+    return rounded(mask.seven_statistics(mc.cube_pixels(spark, d), ["cube", "acq_idx"], "ndvi"), "mean", "std", "p10", "p25", "p50", "p75", "p90")
+
+
+@query("SELECT cube, cell, " + ", ".join([r("avg(ndvi::DOUBLE)", "mean"), r("stddev_pop(ndvi::DOUBLE)", "std"), *(r(f"quantile_cont(ndvi::DOUBLE, 0.{q})", f"p{q}") for q in (10, 25, 50, 75, 90))]) + " FROM cp GROUP BY 1, 2")
+def seven_stats_cell(spark, d):
+    return rounded(mask.seven_statistics(mc.cube_pixels(spark, d), ["cube", "cell"], "ndvi"), "mean", "std", "p10", "p25", "p50", "p75", "p90")
+
+
+@query(f"SELECT cube, {r('coalesce(count_if(valid AND nir > 50) / nullif(count_if(valid), 0), 0)', 'share')}, {r('max(CASE WHEN valid THEN nir END)', 'valid_max')}, {r('max(nir)', 'global_max')} FROM cp GROUP BY 1")
+def implausible_value_prevalence(spark, d):
+    return rounded(mask.prevalence(mc.cube_pixels(spark, d), ["cube"], "nir", 50.0), "share", "valid_max", "global_max")
+
+
+@query(f"""SELECT cube, count(*) AS n_frames, max(day_idx) AS span, min(g) AS gap_min, {r('quantile_cont(g, 0.5)', 'gap_median')}, max(g) AS gap_max, {r('avg(g)', 'gap_mean')}
+  FROM (SELECT *, day_idx - lag(day_idx) OVER (PARTITION BY cube ORDER BY acq_idx) AS g FROM frames) GROUP BY 1""")
+def cube_description(spark, d):
+    x = mc.frames(spark, d).withColumn("g", F.col("day_idx") - F.lag("day_idx").over(Window.partitionBy("cube").orderBy("acq_idx")))
+    x = x.groupBy("cube").agg(F.count("*").alias("n_frames"), F.max("day_idx").alias("span"), F.min("g").alias("gap_min"), F.expr("percentile(g, 0.5)").alias("gap_median"), F.max("g").alias("gap_max"), F.avg("g").alias("gap_mean"))
+    return rounded(x, "gap_median", "gap_mean")
+
+
+@query(f"""SELECT cube, dominant, {r('n / total', 'purity')} FROM (SELECT o_custkey AS cube, p_brand AS dominant, count(*) AS n, sum(count(*)) OVER (PARTITION BY o_custkey) AS total,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, p_brand) AS rn FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) WHERE rn = 1""", base="")
+def dominant_class_purity(spark, d):
+    o, li, p = (mc.table(spark, d, t) for t in ("orders", "lineitem", "part"))
+    x = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return rounded(mask.dominant(x.select(F.col("o_custkey").alias("cube"), "p_brand"), ["cube"], "p_brand"), "purity")
+
+
+@query(f"SELECT l_linenumber - 1 AS cell, {r('avg(p_retailprice)', 'elevation')} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1", base="")
+def cell_elevation(spark, d):
+    x = mc.table(spark, d, "lineitem").join(mc.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rounded(x.groupBy((F.col("l_linenumber") - 1).alias("cell")).agg(F.avg("p_retailprice").alias("elevation")), "elevation")
+
+
+@query(f"""SELECT k.cube, k.acq_idx, day_idx, year(ts) AS year, month(ts) AS month, dayofyear(ts) AS doy,
+  CASE WHEN month(ts) IN (12, 1, 2) THEN 'DJF' WHEN month(ts) < 6 THEN 'MAM' WHEN month(ts) < 9 THEN 'JJA' ELSE 'SON' END AS season, {r('clear_frac')}, {r('w.price', 'weather')}
+  FROM kept k LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1) w ON w.date = k.ts""")
+def manifest(spark, d):
+    w = mc.table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("ts")).agg(F.avg("l_extendedprice").alias("weather"))
+    m = F.month("ts")
+    season = F.when(m.isin(12, 1, 2), "DJF").when(m < 6, "MAM").when(m < 9, "JJA").otherwise("SON")
+    x = mc.kept_frames(spark, d).join(w, "ts", "left")
+    x = x.select("cube", "acq_idx", "day_idx", F.year("ts").alias("year"), m.alias("month"), F.dayofyear("ts").alias("doy"), season.alias("season"), "clear_frac", "weather")
+    return rounded(x, "clear_frac", "weather")
+
+
+@query(f"SELECT cube, acq_idx, {r('clear_frac')} FROM kept WHERE clear_frac > 0.8")
+def clear_refilter(spark, d):
+    return rounded(mask.select_clear(mc.kept_frames(spark, d), 0.8).select("cube", "acq_idx", "clear_frac"), "clear_frac")
+
+
+# --- axes, pairs, windows -----------------------------------------------------------------------
+
+
+@query("SELECT cube, acq_idx, day_idx - first_value(day_idx) OVER (PARTITION BY cube ORDER BY acq_idx ROWS 7 PRECEDING) AS window_span_days FROM frames")
+def window_span_days(spark, d):
+    return axes.lookback_days(mc.frames(spark, d), 8).select("cube", "acq_idx", "window_span_days")
+
+
+@query("SELECT cube, acq_idx_a, acq_idx_b, day_idx_b - day_idx_a AS gap_days, acq_idx_b - acq_idx_a AS gap_acq FROM pr")
+def consecutive_pairs(spark, d):
+    return axes.consecutive_pairs(mc.kept_frames(spark, d)).select("cube", "acq_idx_a", "acq_idx_b", "gap_days", "gap_acq")
+
+
+@query(f"SELECT count(*) AS n, {r('quantile_cont(day_idx_b - day_idx_a, 0.5)', 'median_days')}, {r('quantile_cont(acq_idx_b - acq_idx_a, 0.5)', 'median_acq')}, count_if(day_idx_b - day_idx_a = acq_idx_b - acq_idx_a) AS n_equal FROM pr")
+def gap_axis_check(spark, d):
+    x = axes.consecutive_pairs(mc.kept_frames(spark, d))
+    x = x.agg(F.count("*").alias("n"), F.expr("percentile(gap_days, 0.5)").alias("median_days"), F.expr("percentile(gap_acq, 0.5)").alias("median_acq"), F.count_if(F.col("gap_days") == F.col("gap_acq")).alias("n_equal"))
+    return rounded(x, "median_days", "median_acq")
+
+
+COMMON = """SELECT pr.cube, pr.acq_idx_a, pr.acq_idx_b, day_idx_b - day_idx_a AS gap_days, count(b.ndvi) AS n_common, avg(b.ndvi::DOUBLE - a.ndvi::DOUBLE) AS delta_mean, avg(a.ndvi::DOUBLE) AS level_a, avg(b.ndvi::DOUBLE) AS level_b,
+  quantile_cont(CASE WHEN b.ndvi IS NOT NULL THEN b.ndvi::DOUBLE END, 0.9) - quantile_cont(CASE WHEN b.ndvi IS NOT NULL THEN a.ndvi::DOUBLE END, 0.9) AS delta_p90
+  FROM pr LEFT JOIN (SELECT a.cube, a.acq_idx AS x, b.acq_idx AS y, a.ndvi AS an, b.ndvi AS bn, a.cell FROM cp a JOIN cp b ON a.cube = b.cube AND a.cell = b.cell AND a.acq_idx < b.acq_idx WHERE a.ndvi IS NOT NULL AND b.ndvi IS NOT NULL) j
+  ON j.cube = pr.cube AND j.x = pr.acq_idx_a AND j.y = pr.acq_idx_b, LATERAL (SELECT j.an AS ndvi) a, LATERAL (SELECT j.bn AS ndvi) b GROUP BY ALL"""
+
+
+@query(f"SELECT cube, acq_idx_a, acq_idx_b, gap_days, n_common, {r('level_a')}, {r('level_b')}, {r('delta_mean')}, {r('delta_p90')} FROM ({COMMON})")
+def common_masked_delta(spark, d):
+    x = axes.common_delta(axes.consecutive_pairs(mc.kept_frames(spark, d)), mc.cube_pixels(spark, d), ["cell"])
+    return rounded(x.select("cube", "acq_idx_a", "acq_idx_b", "gap_days", "n_common", "level_a", "level_b", "delta_mean", "delta_p90"), "level_a", "level_b", "delta_mean", "delta_p90")
+
+
+@query(f"SELECT gap_days, count(*) AS n, min(n_common) AS least, {r('quantile_cont(n_common, 0.5)', 'median')}, max(n_common) AS most, count_if(n_common = 0) AS n_none FROM ({COMMON}) GROUP BY 1")
+def pixel_survival_by_gap(spark, d):
+    x = axes.common_delta(axes.consecutive_pairs(mc.kept_frames(spark, d)), mc.cube_pixels(spark, d), ["cell"])
+    x = x.groupBy("gap_days").agg(F.count("*").alias("n"), F.min("n_common").alias("least"), F.expr("percentile(n_common, 0.5)").alias("median"), F.max("n_common").alias("most"), F.count_if(F.col("n_common") == 0).alias("n_none"))
+    return rounded(x, "median")
+
+
+WINDOW = ", ".join([r("avg(b.value)", "mean"), r("min(b.value)", "least"), r("max(b.value)", "most"), r("stddev_pop(b.value)", "std"), r("sum(b.value) / count(b.value)", "rate"), r("count_if(b.value > 100) / count(b.value)", "wetfrac"), r("sum(greatest(b.value - 50, 0)) / count(b.value)", "gdd_rate"), "count(b.value) AS days_available"])
+FLOATS = ("mean", "least", "most", "std", "rate", "wetfrac", "gdd_rate")
+
+
+@query(f"SELECT a.cube, a.day, {WINDOW} FROM daily a JOIN daily b ON a.cube = b.cube AND b.day BETWEEN greatest(greatest(a.day - 3, 0) - 6, 0) AND greatest(a.day - 3, 0) GROUP BY 1, 2")
+def weather_backward_windows(spark, d):
+    s = mc.daily(spark, d)
+    return rounded(axes.backward_windows(s, s, 7, 3, 100.0, 50.0), *FLOATS)
+
+
+@query(f"SELECT a.cube, a.day, {WINDOW} FROM daily a JOIN daily b ON a.cube = b.cube AND b.day BETWEEN a.day AND a.day + 5 GROUP BY 1, 2 HAVING count(b.value) = 6")
+def weather_horizon_windows(spark, d):
+    s = mc.daily(spark, d)
+    return rounded(axes.horizon_windows(s, s, 5, 100.0, 50.0), *FLOATS)
+
+
+def settings(spark):
+    return spark.createDataFrame([(100, 30), (180, 30), (365, 45)], "delta int, tol int")
+
+
+@query("SELECT cube, acq_idx, delta, acq_target, delta_days FROM hz")
+def asof_forward_tolerance(spark, d):
+    return axes.horizon_rows(mc.kept_frames(spark, d), settings(spark)).select("cube", "acq_idx", "delta", "acq_target", "delta_days")
+
+
+@query("""SELECT delta, tol, count(*) AS n FROM (SELECT DISTINCT a.cube, a.acq_idx, delta, tol FROM kept a, (SELECT d.x AS delta, t.x AS tol FROM (VALUES (100), (180), (365)) d(x), (VALUES (5), (15), (30), (60)) t(x)) s, kept b
+  WHERE a.cube = b.cube AND b.acq_idx > a.acq_idx AND abs(b.day_idx - a.day_idx - delta) <= tol) GROUP BY 1, 2""")
+def tolerance_sensitivity(spark, d):
+    grid = spark.createDataFrame([(a, b) for a in (100, 180, 365) for b in (5, 15, 30, 60)], "delta int, tol int")
+    return axes.horizon_rows(mc.kept_frames(spark, d), grid).groupBy("delta", "tol").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT delta, sum(n) AS n_rows, count(*) AS n_cubes, (SELECT count(DISTINCT cube) FROM kept) - count(*) AS n_cubes_none, {r('quantile_cont(n, 0.5)', 'rows_per_cube')}, {r('sum(n) / (SELECT count(*) FROM kept)', 'share')}
+  FROM (SELECT delta, cube, count(*) AS n FROM hz GROUP BY 1, 2) GROUP BY 1""")
+def horizon_retention(spark, d):
+    f = mc.kept_frames(spark, d)
+    return rounded(axes.retention(axes.horizon_rows(f, settings(spark)), f), "rows_per_cube", "share")
+
+
+@query("""SELECT vec_id, len(ctx) AS size, round(list_sum(list_transform(ctx, lambda x, i: x * i)), 4) AS checksum FROM (SELECT vec_id, flatten(list(vec) OVER (PARTITION BY cube ORDER BY acq_idx ROWS 2 PRECEDING)) AS ctx, acq_idx FROM vec) WHERE acq_idx >= 2""")
+def context_three_frames(spark, d):
+    x = axes.contexts(mc.vectors(spark, d), "vec", 3)
+    weight = F.aggregate(F.transform("context", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return x.select("vec_id", F.size("context").cast("long").alias("size"), F.round(weight, 4).alias("checksum"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(vec, prev), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6) AS norm FROM (SELECT *, lag(vec) OVER (PARTITION BY cube ORDER BY acq_idx) AS prev FROM vec) WHERE prev IS NOT NULL""")
+def embedding_delta_norm(spark, d):
+    return rounded(axes.delta_norms(mc.vectors(spark, d), "vec").select("vec_id", "norm"), "norm")
+
+
+@query("""SELECT vec_id, round(sum(m), 4) AS total FROM (SELECT a.vec_id, i, max(b.vec[i]) AS m FROM vec a JOIN vec b ON a.cube = b.cube AND b.acq_idx BETWEEN a.acq_idx - 7 AND a.acq_idx, generate_series(1, 64) g(i) GROUP BY 1, 2) GROUP BY 1""")
+def lookback_max_pool(spark, d):
+    x = axes.lookback_max(mc.vectors(spark, d), "vec", 8)
+    return x.select("vec_id", F.round(F.aggregate("pooled", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+# --- folds --------------------------------------------------------------------------------------
+
+
+def fold_rows(spark, d):
+    tiles = mc.table(spark, d, "customer").select(F.col("c_custkey").alias("cube"), F.col("c_nationkey").alias("tile"))
+    return mc.kept_frames(spark, d).select("cube", "acq_idx", "ts", F.year("ts").alias("year")).join(tiles, "cube")
+
+
+@query("SELECT cube, dense_rank() OVER (ORDER BY cube) - 1 AS fold FROM (SELECT DISTINCT cube FROM kept)")
+def loco_folds(spark, d):
+    return folds.leave_one_out(fold_rows(spark, d)).select("cube", "fold")
+
+
+@query("""SELECT cube, acq_idx, 0 AS fold, side FROM (SELECT *, CASE WHEN count_if(ts > DATE '1998-07-01') OVER w > count_if(ts < DATE '1998-07-01') OVER w THEN 'test' ELSE 'train' END AS side FROM kept WINDOW w AS (PARTITION BY cube))
+  WHERE (side = 'test' AND ts > DATE '1998-07-01') OR (side = 'train' AND ts < DATE '1998-07-01')""")
+def temporal_folds(spark, d):
+    return folds.temporal_folds(fold_rows(spark, d), "1998-07-01")
+
+
+@query()
+def cube_folds(spark, d):
+    return folds.group_folds(fold_rows(spark, d), "cube", 5)
+
+
+@query()
+def tile_folds(spark, d):
+    return folds.group_folds(fold_rows(spark, d), "tile", 5, clamp=True)
+
+
+@query()
+def crossed_folds(spark, d):
+    return folds.crossed_folds(fold_rows(spark, d), 5)
+
+
+@query()
+def year_folds(spark, d):
+    """On each cube's most frequent year (the earliest of a tie), since a cube must not span years here."""
+    x = fold_rows(spark, d)
+    n = x.groupBy("cube", "year").count()
+    best = n.groupBy("cube").agg(F.min(F.struct((-F.col("count")).alias("m"), "year")).alias("x")).select("cube", F.col("x.year").alias("year"))
+    return folds.year_folds(x.join(best, ["cube", "year"]), 5)
+
+
+@query()
+def spatial_block_folds(spark, d):
+    blocks = folds.spatial_blocks(mc.footprints(spark, d), 1000).withColumnRenamed("id", "cube")
+    return folds.group_folds(fold_rows(spark, d).join(blocks, "cube"), "block", 5, clamp=True)
+
+
+@query("SELECT 0 AS fold, 0::BIGINT AS n WHERE false", base="")
+def fold_leakage_check(spark, d):
+    return folds.leakage(folds.group_folds(fold_rows(spark, d), "cube", 5)).select("fold", "n")
+
+
+@query("SELECT x.cube, x.acq_idx, x.value, p.value AS permuted FROM (SELECT cube % 5 AS k, cube, acq_idx, day_idx AS value, row_number() OVER (PARTITION BY cube % 5 ORDER BY cube * 10000 + acq_idx) AS rn FROM kept) x JOIN (SELECT cube % 5 AS k, day_idx AS value, row_number() OVER (PARTITION BY cube % 5 ORDER BY md5(concat(CAST(cube * 10000 + acq_idx AS VARCHAR), '7')), cube * 10000 + acq_idx) AS rn FROM kept) p ON x.k = p.k AND x.rn = p.rn")
+def permutation_null(spark, d):
+    x = mc.kept_frames(spark, d).select("cube", "acq_idx", F.col("day_idx").alias("value"), (F.col("cube") % 5).alias("k"), (F.col("cube") * 10000 + F.col("acq_idx")).alias("id"))
+    return fit.permuted(x, ["k"], "id", "value", "7").select("cube", "acq_idx", "value", "permuted")
+
+
+# --- fits, baselines, climatology ---------------------------------------------------------------
+
+
+def by_cube(x: DataFrame, k: int = 5) -> DataFrame:
+    return x.select("cube").distinct().withColumn("fold", (F.col("cube") % k).cast("int"))
+
+
+@query()
+def harmonic_curve_by_fold(spark, d):
+    x = mc.kept_frames(spark, d).select("cube", F.dayofyear("ts").alias("doy"), F.col("mean_ndvi").alias("y"))
+    return rounded(fit.fit_by_fold(x, by_cube(x), fit.harmonic_design("doy", 4), "y", "doy", 9, ["cube"]).select("fold", "n_train", F.explode("coef").alias("coef")), "coef")
+
+
+def polynomial(spark, d):
+    x = axes.consecutive_pairs(mc.kept_frames(spark, d), "mean_ndvi").withColumn("y", F.abs(F.col("mean_ndvi_b") - F.col("mean_ndvi_a"))).withColumn("g", F.col("gap_days") / 365.0)
+    return fit.fit_by_fold(x, by_cube(x), fit.polynomial_design("g", 2), "y", "gap_days", 3, ["cube"])
+
+
+@query()
+def gap_polynomial_control(spark, d):
+    return rounded(polynomial(spark, d).select("fold", "n_train", F.posexplode("coef").alias("power", "coef")), "coef", digits=5)
+
+
+@query()
+def ridge_path(spark, d):
+    x = mc.vectors(spark, d).withColumn("fold", F.col("cube") % 5)
+    return rounded(fit.ridge_path(x, "vec", "label", "fold", [10.0**a for a in range(-1, 6)]).select("fold", "alpha", "n_train", "r2"), "r2")
+
+
+@query(f"SELECT delta, count(*) AS n, {r('1 - sum((v_target - v) * (v_target - v)) / (sum(v_target * v_target) - sum(v_target) * sum(v_target) / count(*))', 'r2')}, {r('sqrt(avg((v_target - v) * (v_target - v)))', 'rmse')}, {r('avg(abs(v_target - v))', 'mae')} FROM hz WHERE v IS NOT NULL AND v_target IS NOT NULL GROUP BY 1")
+def persistence_skill(spark, d):
+    x = persistence(spark, d)
+    return rounded(x.groupBy("delta").agg(F.count("*").alias("n"), metrics.r2("v_target", "v").alias("r2"), metrics.rmse("v_target", "v").alias("rmse"), F.avg(F.abs(F.col("v_target") - F.col("v"))).alias("mae")), "r2", "rmse", "mae")
+
+
+def persistence(spark, d):
+    f = mc.kept_frames(spark, d)
+    v = f.select("cube", "acq_idx", F.col("mean_ndvi").alias("v"))
+    x = axes.horizon_rows(f, settings(spark)).join(v, ["cube", "acq_idx"])
+    return x.join(v.select("cube", F.col("acq_idx").alias("acq_target"), F.col("v").alias("v_target")), ["cube", "acq_target"]).where("v is not null and v_target is not null")
+
+
+@query(f"""SELECT delta, {r('sum(CASE WHEN rn2 <= greatest(round_even(n * 0.01, 0), 1) THEN e2 END) / sum(e2)', 'share_1')}, {r('sum(CASE WHEN rn2 <= greatest(round_even(n * 0.05, 0), 1) THEN e2 END) / sum(e2)', 'share_5')},
+  {r('quantile_cont(sqrt(e2), 0.5)', 'med_ae')}, {r('sqrt(avg(e2))', 'rmse')}, count(*) AS n
+  FROM (SELECT delta, (v_target - v) * (v_target - v) AS e2, row_number() OVER (PARTITION BY delta ORDER BY (v_target - v) * (v_target - v) DESC) AS rn2, count(*) OVER (PARTITION BY delta) AS n FROM hz WHERE v IS NOT NULL AND v_target IS NOT NULL) GROUP BY 1""")
+def error_concentration(spark, d):
+    return rounded(metrics.error_concentration(persistence(spark, d), ["delta"], "v_target", "v"), "share_1", "share_5", "med_ae", "rmse")
+
+
+CLIM = """, obs AS (SELECT cube, cell, ts, year(ts) AS y, ndvi::DOUBLE AS value FROM cp), ex AS (SELECT DISTINCT cube, cell, y AS excluded FROM obs),
+o2 AS (SELECT o.*, e.excluded, epoch(ts) / 86400 AS t FROM obs o JOIN ex e ON o.cube = e.cube AND o.cell = e.cell AND o.y <> e.excluded),
+o3 AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, first_value(value IGNORE NULLS) OVER a AS v1, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1
+  FROM o2 WINDOW b AS (PARTITION BY cube, cell, excluded ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY cube, cell, excluded ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+byday AS (SELECT cube, cell, excluded, dayofyear(ts) AS doy, avg(CASE WHEN value IS NOT NULL THEN value ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END) AS v FROM o3 GROUP BY 1, 2, 3, 4),
+clim AS (SELECT b.cube, b.cell, b.excluded, s.doy, avg(b.v) AS clim FROM byday b, generate_series(1, 366) s(doy) WHERE b.v IS NOT NULL AND ((b.doy - s.doy BETWEEN -15 AND 14) OR (b.doy - s.doy + 366 BETWEEN -15 AND 14) OR (b.doy - s.doy - 366 BETWEEN -15 AND 14)) GROUP BY 1, 2, 3, 4)
+"""
+
+
+def climate(spark, d):
+    obs = mc.cube_pixels(spark, d).select("cube", "cell", "ts", F.col("ndvi").cast("double").alias("value"))
+    return obs, climatology.leave_year_out(obs, ["cube", "cell"])
+
+
+@query(CLIM + f"SELECT cube, excluded, count(*) AS n, {r('avg(clim)', 'clim')} FROM clim GROUP BY 1, 2")
+def leave_year_out_climatology(spark, d):
+    return rounded(climate(spark, d)[1].groupBy("cube", "excluded").agg(F.count("*").alias("n"), F.avg("clim").alias("clim")), "clim")
+
+
+@query(CLIM + f"SELECT o.cube, o.cell, o.ts, {r('value - clim', 'anomaly')} FROM obs o JOIN clim c ON o.cube = c.cube AND o.cell = c.cell AND o.y = c.excluded AND dayofyear(o.ts) = c.doy WHERE value IS NOT NULL")
+def climatology_anomaly(spark, d):
+    obs, clim = climate(spark, d)
+    return rounded(climatology.anomalies(obs, clim, ["cube", "cell"]).where("value is not null").select("cube", "cell", "ts", "anomaly"), "anomaly")
+
+
+# --- scores and reports -------------------------------------------------------------------------
+
+
+def scores(spark, d):
+    x = axes.consecutive_pairs(mc.kept_frames(spark, d), "mean_ndvi").select("cube", "gap_days", F.col("mean_ndvi_a").alias("va"), F.col("mean_ndvi_b").alias("vb")).where("va is not null and vb is not null")
+    centre = x.agg(F.avg("vb")).first()[0]
+    preds = F.array(*(F.struct(F.lit(m).alias("model"), p.alias("pred")) for m, p in (("persistence", F.col("va")), ("half", (F.col("va") + centre) / 2), ("mean", F.lit(centre)))))
+    x = x.select((F.col("cube") % 5).alias("fold"), F.when(F.col("gap_days") <= 200, "short").otherwise("long").alias("mode"), F.col("vb").alias("y"), F.explode(preds).alias("p")).select("fold", "mode", "y", "p.*")
+    return x, x.groupBy("mode", "model", "fold").agg(metrics.r2("y", "pred").alias("r2")).withColumn("is_control", F.col("model") == "mean")
+
+
+@query(SCORES + f"""SELECT mode, model, count(*) AS k, {r('avg(r2)', 'mean')}, {r('stddev_samp(r2)', 'std')}, {r('min(r2)', 'least')}, {r('max(r2)', 'most')}, {r('avg(r2) - 2.776445105 * stddev_samp(r2) / sqrt(count(*))', 'ci_lo')}, {r('avg(r2) + 2.776445105 * stddev_samp(r2) / sqrt(count(*))', 'ci_hi')} FROM scores GROUP BY 1, 2""")
+def fold_t_interval(spark, d):
+    x = metrics.t_interval(scores(spark, d)[1], ["mode", "model"], "r2")
+    return rounded(x.select("mode", "model", "k", "mean", "std", "least", "most", "ci_lo", "ci_hi"), "mean", "std", "least", "most", "ci_lo", "ci_hi")
+
+
+@query(SCORES + f""", s AS (SELECT mode, model, fold, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy, sum((y - pred) * (y - pred)) AS sse FROM preds GROUP BY 1, 2, 3),
+  l AS (SELECT *, 1 - (sum(sse) OVER w - sse) / ((sum(syy) OVER w - syy) - power(sum(sy) OVER w - sy, 2) / (sum(n) OVER w - n)) AS lo, 1 - sum(sse) OVER w / (sum(syy) OVER w - power(sum(sy) OVER w, 2) / sum(n) OVER w) AS pooled FROM s WINDOW w AS (PARTITION BY mode, model))
+  SELECT mode, model, count(*) AS k, {r('min(pooled)', 'pooled')}, {r('min(pooled) - 2.776445105 * sqrt((count(*) - 1) * var_pop(lo))', 'ci_lo')}, {r('min(pooled) + 2.776445105 * sqrt((count(*) - 1) * var_pop(lo))', 'ci_hi')} FROM l GROUP BY 1, 2""")
+def fold_jackknife(spark, d):
+    e = F.col("y") - F.col("pred")
+    s = scores(spark, d)[0].groupBy("mode", "model", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(e * e).alias("sse"))
+    return rounded(metrics.jackknife(s, ["mode", "model"]).select("mode", "model", "k", "pooled", "ci_lo", "ci_hi"), "pooled", "ci_lo", "ci_hi")
+
+
+@query(SCORES + f"SELECT s.mode, s.model, s.fold, {r('s.r2', 'r2')}, {r('s.r2 - c.r2', 'margin')} FROM scores s JOIN scores c ON s.mode = c.mode AND s.fold = c.fold AND c.is_control WHERE NOT s.is_control")
+def margins_over_control(spark, d):
+    return rounded(metrics.margins(scores(spark, d)[1], ["mode", "fold"], "r2").select("mode", "model", "fold", "r2", "margin"), "r2", "margin")
+
+
+@query(SCORES + f"""SELECT mode, model, {r('avg(diff)', 'mean')}, avg(diff) - h > 0 OR avg(diff) + h < 0 AS separable, CASE WHEN avg(diff) >= 0 THEN 'passed' ELSE 'lossy' END AS verdict FROM
+  (SELECT s.mode, s.model, s.r2 - b.r2 AS diff, 2.776445105 * stddev_samp(s.r2 - b.r2) OVER (PARTITION BY s.mode, s.model) / sqrt(count(*) OVER (PARTITION BY s.mode, s.model)) AS h FROM scores s JOIN scores b ON s.mode = b.mode AND s.fold = b.fold AND b.model = 'persistence' WHERE s.model <> 'persistence') GROUP BY mode, model, h""")
+def paired_verdict(spark, d):
+    return rounded(metrics.paired_verdict(scores(spark, d)[1], ["mode"], "r2", "persistence").select("mode", "model", "mean", "separable", "verdict"), "mean")
+
+
+@query("SELECT m.mode, f.fold FROM (SELECT DISTINCT CASE WHEN day_idx_b - day_idx_a <= 200 THEN 'short' ELSE 'long' END AS mode FROM pr) m, (SELECT DISTINCT cube % 25 AS fold FROM pr) f WHERE NOT EXISTS (SELECT 1 FROM pr WHERE cube % 25 = f.fold AND cube > 20 AND (CASE WHEN day_idx_b - day_idx_a <= 200 THEN 'short' ELSE 'long' END) = m.mode AND day_idx_b - day_idx_a > 150)")
+def completeness_gaps(spark, d):
+    x = axes.consecutive_pairs(mc.kept_frames(spark, d)).withColumn("mode", F.when(F.col("gap_days") <= 200, "short").otherwise("long")).withColumn("fold", F.col("cube") % 25)
+    return metrics.missing_cells(x.where("gap_days > 150 and cube > 20"), {"mode": x.select("mode").distinct(), "fold": x.select("fold").distinct()})
+
+
+@query(SCORES + "SELECT mode, string_agg(model, '>' ORDER BY r2 DESC, model) AS ranking, min(string_agg(model, '>' ORDER BY r2 DESC, model)) OVER () = max(string_agg(model, '>' ORDER BY r2 DESC, model)) OVER () AS stable FROM (SELECT mode, model, avg(r2) AS r2 FROM scores GROUP BY 1, 2) GROUP BY 1")
+def rank_stability(spark, d):
+    x = scores(spark, d)[1].groupBy("mode", "model").agg(F.avg("r2").alias("r2"))
+    return metrics.rank_stability(x, "mode", "model", "r2")
+
+
+@query(SCORES + f"SELECT mode, model, count(*) AS k, {r('2.801585 * stddev_samp(r2) / sqrt(count(*))', 'mde')}, CAST(ceil(power(2.801585 * stddev_samp(r2) / 0.02, 2)) AS BIGINT) AS folds_needed FROM scores WHERE model <> 'mean' GROUP BY 1, 2")
+def mde(spark, d):
+    x = metrics.detectable_effect(scores(spark, d)[1].where("model <> 'mean'"), ["mode", "model"], "r2", 0.02)
+    return rounded(x.select("mode", "model", "k", "mde", "folds_needed"), "mde")
+
+
+@query(SCORES + f"SELECT model, {r('''avg(CASE WHEN mode = 'long' THEN r2 END)''', 'long')}, {r('''avg(CASE WHEN mode = 'short' THEN r2 END)''', 'short')} FROM scores GROUP BY 1")
+def pivoted_scores(spark, d):
+    return rounded(scores(spark, d)[1].groupBy("model").pivot("mode", ["long", "short"]).agg(F.avg("r2")), "long", "short")
+
+
+@query("""SELECT k, CASE WHEN va > 0 AND vb > 0 AND n >= 3 THEN round(cov / sqrt(va * vb), 6) END AS rho, n FROM (SELECT k, count(*) AS n, sum(a * b) - sum(a) * sum(b) / count(*) AS cov, sum(a * a) - sum(a) * sum(a) / count(*) AS va, sum(b * b) - sum(b) * sum(b) / count(*) AS vb FROM
+  (SELECT k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2 AS a, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2 AS b FROM (SELECT cube % 20 AS k, day_idx_b - day_idx_a AS x, acq_idx_a AS y FROM pr)) GROUP BY 1)""")
+def spearman_by_group(spark, d):
+    x = axes.consecutive_pairs(mc.kept_frames(spark, d)).withColumn("k", F.col("cube") % 20)
+    return rounded(metrics.spearman(x, ["k"], "gap_days", "acq_idx_a").select("k", "rho", "n"), "rho")
+
+
+@query(f"""SELECT cube, {r('avg(tp / n)', 'balanced_accuracy')}, {r('avg(2 * tp / (n + coalesce(p, 0)))', 'macro_f1')}, {r('1 / count(*)', 'chance')}, {r('max(n) / sum(n)', 'majority')} FROM
+  (SELECT v.cube, v.label, count(*) AS n, count_if(v.label = g.guess) AS tp, max((SELECT count(*) FROM vec q WHERE q.cube = v.cube AND v.label = g.guess)) AS p FROM vec v JOIN (SELECT cube, label AS guess FROM (SELECT cube, label, row_number() OVER (PARTITION BY cube ORDER BY count(*) DESC, label) AS rn FROM vec GROUP BY 1, 2) WHERE rn = 1) g USING (cube) GROUP BY v.cube, v.label, g.guess) GROUP BY 1""")
+def balanced_accuracy(spark, d):
+    v = mc.vectors(spark, d)
+    guess = mask.dominant(v, ["cube"], "label").select("cube", F.col("dominant").alias("guess"))
+    return rounded(metrics.class_scores(v.join(guess, "cube"), ["cube"], "label", "guess"), "balanced_accuracy", "macro_f1", "chance", "majority")
+
+
+@query(f"""SELECT o.k, o.id, round(avg(abs(m.x - o.y)) - (SELECT avg(abs(a.x - b.x)) / 2 FROM (SELECT cube % 20 AS k, value AS x FROM daily WHERE day % 2 = 0) a JOIN (SELECT cube % 20 AS k, value AS x FROM daily WHERE day % 2 = 0) b ON a.k = b.k WHERE a.k = o.k), 5) AS crps
+  FROM (SELECT cube % 20 AS k, cube * 1000 + day AS id, value AS y FROM daily WHERE day % 2 = 1) o JOIN (SELECT cube % 20 AS k, value AS x FROM daily WHERE day % 2 = 0) m ON o.k = m.k GROUP BY o.k, o.id, o.y""")
+def ensemble_crps(spark, d):
+    s = mc.daily(spark, d).withColumn("k", F.col("cube") % 20)
+    obs = s.where("day % 2 = 1").select("k", (F.col("cube") * 1000 + F.col("day")).alias("id"), F.col("value").alias("y"))
+    return rounded(metrics.ensemble_crps(obs, s.where("day % 2 = 0").select("k", F.col("value").alias("x")), ["k"]).select("k", "id", "crps"), "crps", digits=5)
+
+
+@query(f"""SELECT cube, acq_idx, CASE WHEN a < e1 THEN 0 WHEN a < e2 THEN 1 WHEN a < e3 THEN 2 WHEN a < e4 THEN 3 ELSE 4 END AS severity FROM (SELECT cube, acq_idx, mean_ndvi AS a FROM kept WHERE mean_ndvi IS NOT NULL),
+  (SELECT quantile_cont(mean_ndvi, 0.1) AS e1, quantile_cont(mean_ndvi, 0.3) AS e2, quantile_cont(mean_ndvi, 0.7) AS e3, quantile_cont(mean_ndvi, 0.9) AS e4 FROM kept)""")
+def severity_bins(spark, d):
+    x = mc.kept_frames(spark, d).where("mean_ndvi is not null")
+    e = x.agg(F.expr("percentile(mean_ndvi, array(0.1, 0.3, 0.7, 0.9))").alias("e")).first()["e"]
+    return x.select("cube", "acq_idx", binned("mean_ndvi", e).alias("severity"))
+
+
+def binned(c: str, edges: list[float]):
+    """Number of edges at or below the value; edges must increase strictly."""
+    if any(a >= b for a, b in zip(edges, edges[1:])):
+        raise ValueError(f"degenerate edges {edges}")
+    out = F.lit(0)
+    for v in edges:
+        out = out + (F.col(c) >= v).cast("int")
+    return out
+
+
+@query("""SELECT cube, acq_idx, CASE WHEN s < e1 THEN 'short' WHEN s < e2 THEN 'medium' ELSE 'long' END AS lookback FROM (SELECT cube, acq_idx, day_idx - first_value(day_idx) OVER (PARTITION BY cube ORDER BY acq_idx ROWS 7 PRECEDING) AS s FROM frames),
+  (SELECT quantile_cont(s, 1.0 / 3) AS e1, quantile_cont(s, 2.0 / 3) AS e2 FROM (SELECT day_idx - first_value(day_idx) OVER (PARTITION BY cube ORDER BY acq_idx ROWS 7 PRECEDING) AS s FROM frames))""")
+def lookback_terciles(spark, d):
+    x = axes.lookback_days(mc.frames(spark, d), 8)
+    e = x.agg(F.expr(f"percentile(window_span_days, array({1 / 3!r}D, {2 / 3!r}D))").alias("e")).first()["e"]
+    return x.select("cube", "acq_idx", F.element_at(F.array(*map(F.lit, ("short", "medium", "long"))), binned("window_span_days", e) + 1).alias("lookback"))
+
+
+# --- contracts and footprints -------------------------------------------------------------------
+
+
+@query("""SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, CASE WHEN a.vec_id IS NULL THEN 'only_right' WHEN b.vec_id IS NULL THEN 'only_left' ELSE 'label_differs' END AS problem
+  FROM (SELECT * FROM embeddings WHERE vec_id % 50 <> 1) a FULL OUTER JOIN (SELECT vec_id, label + CASE WHEN vec_id % 40 = 2 THEN 1 ELSE 0 END AS label FROM embeddings WHERE vec_id % 60 <> 3) b ON a.vec_id = b.vec_id WHERE a.vec_id IS NULL OR b.vec_id IS NULL OR a.label <> b.label""", base="")
+def embedding_contract_join(spark, d):
+    e = mc.table(spark, d, "embeddings")
+    right = e.where("vec_id % 60 <> 3").withColumn("label", F.col("label") + F.when(F.col("vec_id") % 40 == 2, 1).otherwise(0))
+    return vectors.contract_violations(e.where("vec_id % 50 <> 1"), right, ["vec_id"], {"label": 1e-9})
+
+
+@query("SELECT count(*) AS shared, round(max(CASE WHEN vec_id % 7 = 0 THEN 0.001 ELSE 0 END), 9) AS max_abs_diff FROM embeddings", base="")
+def cache_agreement(spark, d):
+    v = mc.vectors(spark, d)
+    other = v.withColumn("vec", F.when(F.col("vec_id") % 7 == 0, F.transform("vec", lambda x: x + 0.001)).otherwise(F.col("vec")))
+    return vectors.agreement(v, other, ["vec_id"], "vec").withColumn("max_abs_diff", F.round("max_abs_diff", 9))
+
+
+@query("""SELECT status, count(*) AS n FROM (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'unreadable' WHEN vec_id % 13 = 0 THEN 'foreign' WHEN vec_id % 17 = 0 THEN 'unstamped' WHEN vec_id % 19 = 0 THEN 'incomplete'
+  WHEN vec_id > 0 AND row_number() OVER (PARTITION BY vec_id // 2, vec_id % 11 = 0, vec_id % 13 = 0, vec_id % 17 = 0, vec_id % 19 = 0 ORDER BY vec_id) > 1 THEN 'duplicate' ELSE 'current' END AS status FROM embeddings) GROUP BY 1""", base="")
+def cache_audit(spark, d):
+    i = F.col("vec_id")
+    e = mc.table(spark, d, "embeddings").select(
+        F.format_string("%012d", i).alias("name"), F.floor(i / 2).alias("cube"), F.lit("enc").alias("encoder"), F.when(i % 17 != 0, 3).alias("schema_version"), (i % 19 != 0).alias("has_fields"), (i % 13 != 0).alias("known"), (i % 11 != 0).alias("readable"))
+    return vectors.audit(e, 3).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT cube, acq_idx FROM kept WHERE cube % 3 <> 0")
+def resumable_pairs(spark, d):
+    f = mc.kept_frames(spark, d).select("cube", "acq_idx")
+    return vectors.not_cached(f, f.where("cube % 3 = 0"), ["cube", "acq_idx"])
+
+
+@query("SELECT a.id AS a, b.id AS b FROM fp a, fp b WHERE a.id < b.id AND a.r0 - 64 < b.r1 AND b.r0 - 64 < a.r1 AND a.c0 - 64 < b.c1 AND b.c0 - 64 < a.c1")
+def footprint_overlaps(spark, d):
+    return spatial.overlaps(mc.footprints(spark, d))
+
+
+@query()
+def nonoverlap_topn(spark, d):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    return spatial.greedy_selection(mc.footprints(spark, d), 100)
