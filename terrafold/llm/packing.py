@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stash
 
-#: Segments whose ids a worker keeps; the store is emptied when full.
-KEPT = 200_000
+#: Segments whose ids a worker keeps, in two generations of half as many: those not asked for again go with the older one.
+KEPT = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -36,6 +36,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for a worker process, so that tasks after the first find their words known."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of whole texts with a byte-level BPE, reusing the ids of segments seen before.
 
@@ -51,6 +57,7 @@ class Encoder:
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n]{2}|^[ \n]|[ \n]$|\Z(?<=\n)")
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,9 +67,9 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if self.odd.search(t) or any(a in t for a in self.added)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if len(self.seen) > KEPT:
-            self.seen.clear()
-        seen = self.seen
+        if len(self.seen) > KEPT // 2:
+            self.seen, self.older = {}, self.seen
+        seen, older = self.seen, self.older
         for i, t in enumerate(texts):
             if out[i] is None:
                 # each segment starts with its own space or line feed, but for the first
@@ -70,8 +77,12 @@ class Encoder:
                 if parts is None:
                     out[i] = self._encode([t])[0]
                     continue
-                new = [p for p in dict.fromkeys(parts) if p not in seen]
+                new = [p for p in parts if p not in seen]
                 if new:
+                    new = dict.fromkeys(new)
+                    known = {p: older[p] for p in new if p in older}
+                    seen.update(known)
+                    new = [p for p in new if p not in known]
                     seen.update(zip(new, self._encode(new), strict=True))
                 out[i] = b"".join([seen[p] for p in parts])
         return out  # type: ignore[return-value]
@@ -86,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
