@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix, rounds, stash, text_bytes, token_hashes, unstash
 
-GROWTH = 1.12
+GROWTH = 1.2
 BITS, PROBES = 12, 6
 #: Also the context of a text's first token: both are seen once a text.
 END = np.uint64(0x51ED270B7A4B3C9D)
 BIGRAM, COUNT, AFTER = 0, 1, 2
-FLUSH = 3_000_000
+FLUSH = 1_000_000
+STRIDE = 6
 
 
 def _levels() -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys in order, their summed counts, and the place of one source row of each."""
     if not len(keys):
         return keys, counts, np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     return k[first], np.add.reduceat(counts[order], first), order[first]
@@ -111,31 +112,47 @@ class Filter:
     start: np.ndarray
     bits: np.ndarray
 
-    def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
+    def holds(self, kind: int, keys: np.ndarray, level: int) -> np.ndarray:
+        """Which keys pass all probes at this level."""
         bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
+        size, start = self.bits[kind, bucket].astype(np.uint64), self.start[kind, bucket].astype(np.uint64)
+        alive = np.flatnonzero(size)
+        keys, size, start = keys[alive], size[alive], start[alive]
+        a, step = hashes(keys, kind, level)
+        for _ in range(PROBES):
+            pos = position(a, size)
+            byte = self.data[(pos >> np.uint64(3)) + start]
+            hit = np.flatnonzero((byte >> (pos & np.uint64(7)).astype(np.uint8)) & 1)
+            if len(hit) < len(alive):
+                alive, size, start, a, step = alive[hit], size[hit], start[hit], a[hit], step[hit]
+            if not len(alive):
+                break
+            a = a + step
+        return alive
+
+    def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Levels read by probing 1, 2, 3, then every STRIDE-th, then one by one inside the last stride."""
         out = np.zeros(len(keys), np.uint8)
-        alive = np.flatnonzero(self.bits[kind, bucket] > 0)
-        for q in range(1, 256):
+        alive, q = np.arange(len(keys)), 0
+        for nxt in [1, 2, 3, *range(3 + STRIDE, len(FIRST) + 1, STRIDE)]:
+            passed = alive[self.holds(kind, keys[alive], nxt)] if len(alive) else alive
+            stopped = np.setdiff1d(alive, passed, assume_unique=True) if nxt - q > 1 else alive[:0]
+            for mid in range(q + 1, nxt):
+                stopped = stopped[self.holds(kind, keys[stopped], mid)] if len(stopped) else stopped
+                out[stopped] = mid
+            out[passed] = nxt
+            alive, q = passed, nxt
             if not len(alive):
                 break
-            b = bucket[alive]
-            size, start = self.bits[kind, b].astype(np.uint64), self.start[kind, b].astype(np.uint64)
-            a, step = hashes(keys[alive], kind, q)
-            for _ in range(PROBES):
-                pos = position(a, size)
-                byte = self.data[((pos >> np.uint64(3)) + start).astype(np.int64)]
-                hit = (byte >> (pos & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                if not hit.all():
-                    alive, size, start, a, step = alive[hit], size[hit], start[hit], a[hit], step[hit]
-                a = a + step
-            out[alive] = q
         return out
 
 
 def hashes(keys: np.ndarray, kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first hash of (key, level), and the step from each probe's hash to the next."""
-    a = mix(keys ^ mix(np.array([kind * 1000 + level], np.uint64)))
-    return a, mix(a) | np.uint64(1)
+    """The first hash of (key, level), and the step from each probe's hash to the next; keys are well mixed already."""
+    odd = mix(np.array([kind * 1000 + level], np.uint64)) | np.uint64(1)
+    a = keys * odd
+    a = (a ^ (a >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return a, (a * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def position(a: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -306,7 +323,7 @@ def learn(docs: DataFrame, is_training) -> Model:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = prepare(docs, is_training)
-    bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / 4096 + 1))))
+    bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / 2048 + 1))))
     parts = rows.select("chunk", "training", "text").mapInArrow(_count(bits), PART)
     parts = stash(parts, "lm-parts")
     pairs = stash(parts.where(F.col("kind") == BIGRAM).select("bucket", "keys", "extra", "counts").groupBy("bucket").applyInPandas(_sum_bigrams(bits), OUT), "lm-bigrams")
