@@ -6,6 +6,9 @@ All array work happens inside Arrow batches of bounded size.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; documents are long, so far fewer than Spark's 10,000.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Bytes of text that one round of array work takes (a longer document is a round of its own).
 ROUND_BYTES = 1 << 20
 
@@ -52,6 +55,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: idle workers live on beside busy ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def trimmed(run):
+    """``run`` (an Arrow batch function) whose worker gives freed memory back when its task ends."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

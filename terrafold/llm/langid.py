@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, rounds, text_bytes
+from .common import bounded_batches, rounds, text_bytes, trimmed
 
 
 @dataclass(frozen=True)
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model | None, bits: int = 16) -> DataFrame:
     from pyspark.sql import types as T
 
     kind = T.StructType([T.StructField("row", held.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return held.mapInArrow(run, kind)
+    return held.mapInArrow(trimmed(run), kind)
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:

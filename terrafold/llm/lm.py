@@ -32,10 +32,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, rounds, stash, text_bytes, token_hashes, unstash
+from .common import bounded_batches, give_back, mix, rounds, stash, text_bytes, token_hashes, trimmed, unstash
 
 GROWTH = 1.2
-BITS, PROBES = 12, 6
+BITS, PROBES = 10, 6
 #: Also the context of a text's first token: both are seen once a text.
 END = np.uint64(0x51ED270B7A4B3C9D)
 BIGRAM, COUNT, AFTER = 0, 1, 2
@@ -252,6 +252,7 @@ def _sum_bigrams(bits: int):
         c, n, _ = summed(ctx, np.ones(len(ctx), np.uint64))
         cut = np.searchsorted(c >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
         rows += [_row(AFTER, i, keys=planes(c[cut[i] : cut[i + 1]]), counts=planes(n[cut[i] : cut[i + 1]])) for i in range(1 << bits) if cut[i] < cut[i + 1]]
+        give_back()
         return _frame(rows)
 
     return run
@@ -272,6 +273,7 @@ def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
         rows.append(_row(10 + COUNT, bucket, keys=build_block(COUNT, k[seen], c[seen]), tokens=int(c.sum()), words=int(seen.sum())))
         for chunk, own in zip(words["chunk"], keys):
             rows.append(_row(COUNT, bucket, chunk, planes(own), planes(c[np.searchsorted(k, own)])))
+    give_back()
     return _frame(rows)
 
 
@@ -296,16 +298,16 @@ class Model:
             groups[-1].append((kind, bucket))
             total += size
         for g in groups:
+            held = set(g)
             want = F.struct("kind", "bucket").isin([F.struct(F.lit(k).alias("kind"), F.lit(b).alias("bucket")) for k, b in g]) if len(groups) > 1 else F.lit(True)
-            blocks = self.table.where((F.col("kind") >= 10) & want).select("kind", "bucket", "keys").toArrow()
-            data, at = [], 0
-            start, bits = np.zeros((3, 1 << self.bits), np.int64), np.zeros((3, 1 << self.bits), np.int64)
-            for kind, bucket, block in zip(blocks["kind"].to_pylist(), blocks["bucket"].to_pylist(), blocks["keys"]):
-                b = np.frombuffer(block.as_buffer(), np.uint8)
-                start[kind - 10, bucket], bits[kind - 10, bucket] = at, 8 * len(b)
-                data.append(b)
-                at += len(b)
-            yield Filter(64 - self.bits, np.concatenate(data) if data else np.zeros(1, np.uint8), start, bits)
+            data = np.zeros(max(1, sum(size for kind, bucket, size in self.sizes if (kind, bucket) in held)), np.uint8)
+            start, bits, at = np.zeros((3, 1 << self.bits), np.int64), np.zeros((3, 1 << self.bits), np.int64), 0
+            for row in self.table.where((F.col("kind") >= 10) & want).select("kind", "bucket", "keys").toLocalIterator():
+                n = len(row["keys"])
+                data[at : at + n] = np.frombuffer(row["keys"], np.uint8)
+                start[row["kind"] - 10, row["bucket"]], bits[row["kind"] - 10, row["bucket"]] = at, 8 * n
+                at += n
+            yield Filter(64 - self.bits, data, start, bits)
 
 
 def prepare(docs: DataFrame, is_training) -> DataFrame:
@@ -324,7 +326,7 @@ def learn(docs: DataFrame, is_training) -> Model:
     bounded_batches(spark)
     rows = prepare(docs, is_training)
     bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / 2048 + 1))))
-    parts = rows.select("chunk", "training", "text").mapInArrow(_count(bits), PART)
+    parts = rows.select("chunk", "training", "text").mapInArrow(trimmed(_count(bits)), PART)
     parts = stash(parts, "lm-parts")
     pairs = stash(parts.where(F.col("kind") == BIGRAM).select("bucket", "keys", "extra", "counts").groupBy("bucket").applyInPandas(_sum_bigrams(bits), OUT), "lm-bigrams")
     cols = ["kind", "bucket", "chunk", "keys", "counts"]
@@ -376,7 +378,7 @@ def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
         return run
 
     if at_once:
-        return docs.mapInArrow(once(spark.sparkContext.broadcast(next(model.filters(round_bytes)))), schema)
+        return docs.mapInArrow(trimmed(once(spark.sparkContext.broadcast(next(model.filters(round_bytes))))), schema)
 
     carry = "chunk long, doc_id long, training boolean, text string, levels binary"
     docs = docs.withColumn("levels", F.lit(None).cast("binary"))
@@ -397,7 +399,7 @@ def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
         return run
 
     for f in model.filters(round_bytes):
-        docs = stash(docs.mapInArrow(more(spark.sparkContext.broadcast(f)), carry), "lm-levels")
+        docs = stash(docs.mapInArrow(trimmed(more(spark.sparkContext.broadcast(f))), carry), "lm-levels")
 
     def finish(batches):
         for batch in batches:
@@ -407,7 +409,7 @@ def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
                 score.append(float(_log_probability(x, np.array([x.shape[1]]), tokens, words)[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score, pa.float64())], names=["chunk", "doc_id", "training", "text", "score"])
 
-    return docs.mapInArrow(finish, schema)
+    return docs.mapInArrow(trimmed(finish), schema)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, rounds, stash, text_bytes, token_hashes, windows_of
+from .common import bounded_batches, mix, rounds, stash, text_bytes, token_hashes, trimmed, windows_of
 from .components import components
 
 
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     bands_of.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t) for t in texts], pa.int64()), pa.array(bands_of, pa.list_(pa.int64()))], names=["doc_id", "cid", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, cid long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, cid long, bands array<long>")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def verified(sets: DataFrame, similarity: tuple[int, int], tile: int) -> DataFra
         yield _links(out)
 
     x = x.repartition("task").sortWithinPartitions("task", "comp", "low", "high", "cid")
-    return x.mapInArrow(run, LINKS)
+    return x.mapInArrow(trimmed(run), LINKS)
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
@@ -205,7 +205,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], names=["cid", *names, "shingles"]).filter(same)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields[:-1])
-    return x.mapInArrow(run, f"{kinds}, shingles binary")
+    return x.mapInArrow(trimmed(run), f"{kinds}, shingles binary")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.9995, tile: int = 1024) -> DataFrame:

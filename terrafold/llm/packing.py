@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stash
+from .common import bounded_batches, stash, trimmed
 
 #: Segments whose ids a worker keeps, in two generations of half as many: those not asked for again go with the older one.
-KEPT = 1_000_000
+KEPT = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), PIECES)
     return out if with_ids else out.drop("ids")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -196,7 +196,7 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=[x.split()[0] for x in SPANS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SPANS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), SPANS)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, rounds, stash, text_bytes, token_hashes
+from .common import bounded_batches, mix, rounds, stash, text_bytes, token_hashes, trimmed
 
 BYTES = 16
 _SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) > 0, 1.0, -1.0)
@@ -112,7 +112,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return with_next(docs).mapInArrow(run, ROWS)
+    return with_next(docs).mapInArrow(trimmed(run), ROWS)
 
 
 def neighbours(prints: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
