@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch; documents are long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 256
 #: Bytes of text that one round of array work takes (a longer document is a round of its own).
-ROUND_BYTES = 1 << 20
+ROUND_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,11 +92,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def rounds(at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about ROUND_BYTES."""
+def rounds(at: np.ndarray, size: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts hold about ``size`` bytes."""
     lo, n = 0, len(at) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + ROUND_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
         yield lo, min(hi, n)
         lo = hi
 

@@ -39,7 +39,7 @@ BITS, PROBES = 10, 6
 #: Also the context of a text's first token: both are seen once a text.
 END = np.uint64(0x51ED270B7A4B3C9D)
 BIGRAM, COUNT, AFTER = 0, 1, 2
-FLUSH = 1_000_000
+FLUSH = 400_000
 STRIDE = 6
 
 
@@ -370,7 +370,7 @@ def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
             for batch in batches:
                 data, at = text_bytes(batch.column(3))
                 out = []
-                for lo, hi in rounds(at):
+                for lo, hi in rounds(at, 1 << 19):
                     stream, n = token_stream(data, at[lo : hi + 1])
                     out.append(_log_probability(_lookup(shared.value, stream, n), n, tokens, words))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=["chunk", "doc_id", "training", "text", "score"])
@@ -388,7 +388,7 @@ def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
             for batch in batches:
                 data, at = text_bytes(batch.column(3))
                 out = []
-                for lo, hi in rounds(at):
+                for lo, hi in rounds(at, 1 << 19):
                     stream, n = token_stream(data, at[lo : hi + 1])
                     found, cut = np.stack(_lookup(shared.value, stream, n)), np.cumsum(n) - n
                     for i in range(hi - lo):
