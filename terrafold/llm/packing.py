@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -55,16 +56,48 @@ class Encoder:
 
         self.model = _tokenizer(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.odd = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n]{2}|^[ \n]|[ \n]$|\Z(?<=\n)")
+        # white space of any kind but the space and the line feed
+        self.other = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        self.merger = self._merger()
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def odd(self, t: str) -> bool:
+        """Whether a text must be encoded whole."""
+        if not t or t[0] in " \n" or t[-1] in " \n" or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or "\0" in t:
+            return True
+        return self.other.search(t) is not None or any(a in t for a in self.added)
+
+    def _merger(self):
+        """The same vocabulary in a merger that is quicker on new words; only if its ids are its merge order."""
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        spec = json.loads(self.model.to_str())["model"]
+        vocab = {t: i for t, i in spec["vocab"].items() if t not in self.added}
+        made = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in spec["merges"]]
+        if spec["type"] != "BPE" or None in made or made != sorted(made):
+            return None
+        # byte-level vocabularies write printable bytes as they are and number the others from 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(x for x in range(256) if x not in plain)}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+        return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _segments(self, parts: list[str]) -> list[bytes]:
+        if self.merger is None:
+            return self._encode(parts)
+        encode = self.merger.encode_ordinary
+        return [array("I", encode(p)).tobytes() for p in parts]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.odd.search(t) or any(a in t for a in self.added)]
+        whole = [i for i, t in enumerate(texts) if self.odd(t)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         if len(self.seen) > KEPT // 2:
@@ -73,17 +106,14 @@ class Encoder:
         for i, t in enumerate(texts):
             if out[i] is None:
                 # each segment starts with its own space or line feed, but for the first
-                parts = t.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n").split("\0") if "\0" not in t else None
-                if parts is None:
-                    out[i] = self._encode([t])[0]
-                    continue
+                parts = t.replace("\n", " \n").replace(" ", "\0 ").replace(" \n", "\n").split("\0")
                 new = [p for p in parts if p not in seen]
                 if new:
                     new = dict.fromkeys(new)
                     known = {p: older[p] for p in new if p in older}
                     seen.update(known)
                     new = [p for p in new if p not in known]
-                    seen.update(zip(new, self._encode(new), strict=True))
+                    seen.update(zip(new, self._segments(new), strict=True))
                 out[i] = b"".join([seen[p] for p in parts])
         return out  # type: ignore[return-value]
 
