@@ -6,14 +6,14 @@ where ``t(u)`` counts the different tokens seen after ``u``. The counts c(w), c(
 training documents, are quantised to levels that grow by ``GROWTH``; an n-gram of level ``q`` is in the
 filter as (n-gram, 1) ... (n-gram, q), and is read back by probing level after level.
 
-Counting: every input split emits sorted blocks of (hash, count) per hash bucket; buckets are summed
+Counting: every chunk of neighbouring rows emits sorted blocks of (hash, count) per hash bucket; buckets are summed
 and turned into filter blocks by the tasks that hold them. The number of buckets follows the number
-of documents, so a task's share stays the same; very common n-grams arrive once a split. The
+of documents, so a task's share stays the same; very common n-grams arrive once a chunk. The
 driver only gathers finished filter blocks. Filter blocks are broadcast in rounds of at most
 ``round_bytes``; with more than one round, documents carry the levels found so far to the next one,
 so memory is bounded and no n-gram is dropped however large the corpus.
 
-The exact baseline needs each token's exact count: each input split asks the buckets for the counts of
+The exact baseline needs each token's exact count: each chunk asks the buckets for the counts of
 its own vocabulary and gets one dictionary back, to which its documents are joined.
 
 Edge cases: a null text is empty and holds the end token alone; a null doc_id is a training row (its hash has no remainder);
@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ BITS, PROBES = 10, 6
 END = np.uint64(0x51ED270B7A4B3C9D)
 BIGRAM, COUNT, AFTER = 0, 1, 2
 FLUSH = 400_000
+#: Neighbouring rows of a file that share one dictionary of exact counts, and documents a hash bucket: both bound what a task holds at once.
+CHUNK_ROWS, BUCKET_DOCS = 4096, 1024
 STRIDE = 6
 
 
@@ -176,7 +179,7 @@ PART = "kind int, bucket int, chunk long, keys binary, extra binary, counts bina
 
 
 def _count(bits: int):
-    """Per split: its vocabulary with training counts, and bigrams of its training documents."""
+    """Per chunk: its vocabulary with training counts, and bigrams of its training documents."""
 
     def emit(kind, chunk, keys, counts, extra=None):
         cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
@@ -259,7 +262,7 @@ def _sum_bigrams(bits: int):
 
 
 def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket of tokens: filter blocks of their counts and followers; each split's own counts back to it."""
+    """A bucket of tokens: filter blocks of their counts and followers; each chunk's own counts back to it."""
     bucket, rows = int(pdf["bucket"].iloc[0]), []
     after = pdf[pdf["kind"] == AFTER]
     if len(after):
@@ -279,7 +282,7 @@ def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Model:
-    """Counts of a corpus: ``table`` holds filter blocks (kind >= 10) and split dictionaries (kind COUNT)."""
+    """Counts of a corpus: ``table`` holds filter blocks (kind >= 10) and chunk dictionaries (kind COUNT)."""
 
     table: DataFrame
     docs: DataFrame
@@ -311,9 +314,9 @@ class Model:
 
 
 def prepare(docs: DataFrame, is_training) -> DataFrame:
-    """chunk (the input split), doc_id, training, text. Tables that are not files are written first."""
+    """chunk (``CHUNK_ROWS`` neighbouring rows of a file), doc_id, training, text. Tables that are not Parquet files are written first."""
     try:
-        split = docs.select(F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("chunk"), "doc_id", is_training.alias("training"), F.col("text").cast("string").alias("text"))
+        split = docs.select(F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / CHUNK_ROWS)).alias("chunk"), "doc_id", is_training.alias("training"), F.col("text").cast("string").alias("text"))
         split.schema  # noqa: B018  resolves the file columns
     except AnalysisException:
         return prepare(stash(docs.select("doc_id", "text"), "lm-docs"), is_training)
@@ -325,7 +328,7 @@ def learn(docs: DataFrame, is_training) -> Model:
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = prepare(docs, is_training)
-    bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / 2048 + 1))))
+    bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / BUCKET_DOCS + 1))))
     parts = rows.select("chunk", "training", "text").mapInArrow(trimmed(_count(bits)), PART)
     parts = stash(parts, "lm-parts")
     pairs = stash(parts.where(F.col("kind") == BIGRAM).select("bucket", "keys", "extra", "counts").groupBy("bucket").applyInPandas(_sum_bigrams(bits), OUT), "lm-bigrams")
@@ -419,26 +422,27 @@ def score_all(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
     """Model and exact add-one unigram scores of every document of the model's corpus."""
     tokens, words = model.tokens, model.words
 
-    def run(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        if not len(docs):
-            return pd.DataFrame({c: [] for c in names})
-        keys, counts = np.concatenate([unplanes(b) for b in own["keys"]]), np.concatenate([unplanes(b) for b in own["counts"]])
+    def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        pairs = zip(own["keys"].to_pylist(), own["counts"].to_pylist()) if docs.num_rows else ()
+        parts = [(unplanes(k), unplanes(c)) for k, c in pairs]
+        keys, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-        data, at = text_bytes(pa.array(docs["text"], pa.string(), from_pandas=True))
-        known, base, total = [], [], []
-        for lo, hi in rounds(at):
-            stream, n = token_stream(data, at[lo : hi + 1])
-            c = counts[np.searchsorted(keys, stream)]
-            cut = np.cumsum(n) - n
-            total.append(n)
-            known.append(np.add.reduceat((c > 0).astype(np.int64), cut))
-            base.append(np.add.reduceat(np.log10((c + 1.0) / (tokens + words + 1.0)), cut))
-        return pd.DataFrame(dict(zip(names, (docs["doc_id"], ~docs["training"].astype(bool), np.concatenate(total), np.concatenate(known), tokens, np.concatenate(base), docs["score"]))))
+        known, base, total = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for piece in docs["text"].chunks:
+            data, at = text_bytes(piece)
+            for lo, hi in rounds(at):
+                stream, n = token_stream(data, at[lo : hi + 1])
+                c = counts[np.searchsorted(keys, stream)]
+                cut = np.cumsum(n) - n
+                total.append(n)
+                known.append(np.add.reduceat((c > 0).astype(np.int64), cut))
+                base.append(np.add.reduceat(np.log10((c + 1.0) / (tokens + words + 1.0)), cut))
+        long = lambda x: pa.array(np.concatenate(x), pa.int64())
+        out = (docs["doc_id"], pc.invert(docs["training"]), long(total), long(known), pa.array(np.full(docs.num_rows, tokens), pa.int64()), pa.array(np.concatenate(base)), docs["score"])
+        give_back()
+        return pa.table(dict(zip(names, out)))
 
+    names = [c.split()[0] for c in RESULT.split(", ")]
     asked = model.table.where(F.col("kind") == COUNT).select("chunk", "keys", "counts")
-    # ids travel as strings: pandas would turn longs beside a null into floats
-    docs = scored(model, round_bytes).withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = docs.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(run, RESULT.replace("doc_id long", "doc_id string"))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return scored(model, round_bytes).groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, RESULT)
