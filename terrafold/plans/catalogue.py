@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import axes, climatology, fit, folds, mask, metrics, spatial, vectors
+from ..operators import axes, climatology, fit, folds, mask, metrics, readouts, spatial, vectors
 from ..sources import minicube as mc
+from ..sources import results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -478,6 +479,62 @@ def lookback_terciles(spark, d):
     return x.select("cube", "acq_idx", F.element_at(F.array(*map(F.lit, ("short", "medium", "long"))), binned("window_span_days", e) + 1).alias("lookback"))
 
 
+# --- classifiers, trees, components, result tables ----------------------------------------------
+
+
+@query()
+def gaussian_crps(spark, d):
+    x = scores(spark, d)[0].where("model = 'half'")
+    return rounded(readouts.gaussian_crps(x, "y", "pred", "fold").groupBy("mode", "fold").agg(F.count("*").alias("n"), F.avg("crps").alias("crps"), F.max("sigma").alias("sigma")), "crps", "sigma")
+
+
+def by_thirds(spark, d):
+    return mc.vectors(spark, d).withColumn("fold", (F.col("cube") % 3).cast("int"))
+
+
+def classifier_table(parts):
+    x = None
+    for weights, guesses in parts:
+        p = metrics.class_scores(guesses.withColumn("label", F.col("label").cast("string")).withColumn("guess", F.col("guess").cast("string")), ["fold"], "label", "guess").withColumn("weights", F.lit(weights))
+        x = p if x is None else x.unionByName(p)
+    return rounded(x, "balanced_accuracy", "macro_f1", "chance", "majority")
+
+
+@query()
+def ridge_classifier(spark, d):
+    v = by_thirds(spark, d)
+    return classifier_table((w, readouts.classified(v, readouts.ridge_classifier(v, "vec", "label", "fold", 1.0, w == "balanced"), "vec", "fold")) for w in ("none", "balanced"))
+
+
+@query()
+def logistic_classifier(spark, d):
+    v = by_thirds(spark, d)
+    return classifier_table((w, readouts.logistic_by_fold(v, "vec", "label", [0, 1, 2], "fold", 1.0, w == "balanced")) for w in ("none", "balanced"))
+
+
+@query()
+def boosted_trees(spark, d):
+    """Next value from the present one, its position and the gap; 20 rounds (the operator's default is 200)."""
+    x = axes.consecutive_pairs(mc.kept_frames(spark, d), "mean_ndvi").where("mean_ndvi_a is not null and mean_ndvi_b is not null").withColumn("fold", (F.col("cube") % 3).cast("int"))
+    x = readouts.boosted_by_fold(x, ["mean_ndvi_a", "acq_idx_a", "gap_days"], "mean_ndvi_b", [0, 1, 2], "fold", rounds=20)
+    return rounded(x.groupBy("fold").agg(F.count("*").alias("n"), metrics.r2("mean_ndvi_b", "pred").alias("r2"), metrics.rmse("mean_ndvi_b", "pred").alias("rmse")), "r2", "rmse")
+
+
+@query()
+def pca_map(spark, d):
+    """Absolute scores, since a component's sign is free."""
+    x = readouts.pca_scores(mc.vectors(spark, d).select("vec_id", "vec"), "vec")
+    x = x.select("vec_id", F.abs(F.col("scores")[0]).alias("first"), F.abs(F.col("scores")[1]).alias("second"), F.col("explained")[0].alias("explained_first"), "radius")
+    return rounded(x, "first", "second", "explained_first", "radius")
+
+
+@query(SCORES + f"SELECT n.mode, n.model, count(*) AS cells, count(o.r2) AS matched, {r('avg(n.r2)', 'new')} FROM scores n LEFT JOIN (SELECT * FROM scores WHERE model <> 'half') o ON n.mode = o.mode AND n.model = o.model AND n.fold = o.fold GROUP BY 1, 2")
+def result_comparison(spark, d):
+    new = scores(spark, d)[1]
+    x = results.compare(new, new.where("model <> 'half'"), ["mode", "model", "fold"], "r2")
+    return rounded(x.groupBy("mode", "model").agg(F.count("*").alias("cells"), F.count("change").alias("matched"), F.avg("new").alias("new")), "new")
+
+
 # --- contracts and footprints -------------------------------------------------------------------
 
 
