@@ -57,7 +57,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Return freed memory of this worker to the system: idle workers live on beside busy ones."""
-    gc.collect()
+    gc.collect(1)  # the young; a full collection walks all that the libraries hold
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -4,7 +4,9 @@ A bigram model with Witten-Bell smoothing,
 ``P(w|u) = (c(u,w) + t(u) * P(w)) / (c(u) + t(u))``, ``P(w) = (c(w) + 1) / (N + V + 1)``,
 where ``t(u)`` counts the different tokens seen after ``u``. The counts c(w), c(u,w) and t(u), over all
 training documents, are quantised to levels that grow by ``GROWTH``; an n-gram of level ``q`` is in the
-filter as (n-gram, 1) ... (n-gram, q), and is read back by probing level after level.
+filter as (n-gram, 1) ... (n-gram, q), and is read back by probing level after level. All probes of an
+entry fall into one 64-bit word, so a probe is one look into memory; more bits an entry make up for it
+(under 1% false positives).
 
 Counting: every chunk of neighbouring rows emits sorted blocks of (hash, count) per hash bucket; buckets are summed
 and turned into filter blocks by the tasks that hold them. The number of buckets follows the number
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, give_back, mix, rounds, stash, text_bytes, token_hashes, trimmed, unstash
 
 GROWTH = 1.2
-BITS, PROBES = 10, 6
+BITS, PROBES = 13, 6
 #: Also the context of a text's first token: both are seen once a text.
 END = np.uint64(0x51ED270B7A4B3C9D)
 BIGRAM, COUNT, AFTER = 0, 1, 2
@@ -108,71 +110,58 @@ def context_keys(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Filter blocks side by side; ``bits[kind, bucket]`` is 0 for a block of another round."""
+    """Filter blocks side by side, in 64-bit words; ``size[kind, bucket]`` is 0 for a block of another round."""
 
     shift: int
     data: np.ndarray
     start: np.ndarray
-    bits: np.ndarray
+    size: np.ndarray
 
     def holds(self, kind: int, keys: np.ndarray, level: int) -> np.ndarray:
-        """Which keys pass all probes at this level."""
+        """Which keys pass all probes at this level (places)."""
         bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
-        size, start = self.bits[kind, bucket].astype(np.uint64), self.start[kind, bucket].astype(np.uint64)
-        alive = np.flatnonzero(size)
-        keys, size, start = keys[alive], size[alive], start[alive]
-        a, step = hashes(keys, kind, level)
-        for _ in range(PROBES):
-            pos = position(a, size)
-            byte = self.data[(pos >> np.uint64(3)) + start]
-            hit = np.flatnonzero((byte >> (pos & np.uint64(7)).astype(np.uint8)) & 1)
-            if len(hit) < len(alive):
-                alive, size, start, a, step = alive[hit], size[hit], start[hit], a[hit], step[hit]
-            if not len(alive):
-                break
-            a = a + step
-        return alive
+        size = self.size[kind][bucket]
+        word, mask = probes(keys, size, kind, level)
+        found = self.data[word + self.start[kind][bucket]]
+        return np.flatnonzero(((found & mask) == mask) & (size > 0))
 
     def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
         """Levels read by probing 1, 2, 3, then every STRIDE-th, then one by one inside the last stride."""
         out = np.zeros(len(keys), np.uint8)
         alive, q = np.arange(len(keys)), 0
         for nxt in [1, 2, 3, *range(3 + STRIDE, len(FIRST) + 1, STRIDE)]:
-            passed = alive[self.holds(kind, keys[alive], nxt)] if len(alive) else alive
-            stopped = np.setdiff1d(alive, passed, assume_unique=True) if nxt - q > 1 else alive[:0]
-            for mid in range(q + 1, nxt):
-                stopped = stopped[self.holds(kind, keys[stopped], mid)] if len(stopped) else stopped
-                out[stopped] = mid
-            out[passed] = nxt
-            alive, q = passed, nxt
+            hit = self.holds(kind, keys[alive], nxt)
+            if nxt - q > 1:
+                stopped = np.delete(alive, hit)
+                for mid in range(q + 1, nxt):
+                    stopped = stopped[self.holds(kind, keys[stopped], mid)] if len(stopped) else stopped
+                    out[stopped] = mid
+            alive, q = alive[hit], nxt
+            out[alive] = nxt
             if not len(alive):
                 break
         return out
 
 
-def hashes(keys: np.ndarray, kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first hash of (key, level), and the step from each probe's hash to the next; keys are well mixed already."""
+def probes(keys: np.ndarray, words: np.ndarray, kind: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each (key, level): its word among ``words`` and the PROBES bits it has there; keys are well mixed already."""
     odd = mix(np.array([kind * 1000 + level], np.uint64)) | np.uint64(1)
     a = keys * odd
     a = (a ^ (a >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return a, (a * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def position(a: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return ((a >> np.uint64(32)) * size) >> np.uint64(32)
+    bits = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    mask = np.uint64(1) << (bits >> np.uint64(58))
+    for i in range(1, PROBES):
+        mask |= np.uint64(1) << ((bits >> np.uint64(58 - 6 * i)) & np.uint64(63))
+    return ((a >> np.uint64(32)) * words) >> np.uint64(32), mask
 
 
 def build_block(kind: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
     q = level_of(counts)
-    size = int(max(64, -(-int(q.sum()) * BITS // 8) * 8))
-    flags = np.zeros(size, bool)
+    data = np.zeros(max(1, -(-int(q.sum()) * BITS // 64)), np.uint64)
     for level in range(1, int(q.max(initial=0)) + 1):
-        k = keys[q >= level]
-        a, step = hashes(k, kind, level)
-        for _ in range(PROBES):
-            flags[position(a, np.uint64(size)).astype(np.int64)] = True
-            a = a + step
-    return np.packbits(flags, bitorder="little").tobytes()
+        word, mask = probes(keys[q >= level], np.uint64(len(data)), kind, level)
+        np.bitwise_or.at(data, word.astype(np.int64), mask)
+    return data.astype("<u8").tobytes()
 
 
 PART = "kind int, bucket int, chunk long, keys binary, extra binary, counts binary"
@@ -303,14 +292,14 @@ class Model:
         for g in groups:
             held = set(g)
             want = F.struct("kind", "bucket").isin([F.struct(F.lit(k).alias("kind"), F.lit(b).alias("bucket")) for k, b in g]) if len(groups) > 1 else F.lit(True)
-            data = np.zeros(max(1, sum(size for kind, bucket, size in self.sizes if (kind, bucket) in held)), np.uint8)
-            start, bits, at = np.zeros((3, 1 << self.bits), np.int64), np.zeros((3, 1 << self.bits), np.int64), 0
+            data = np.zeros(max(1, sum(size for kind, bucket, size in self.sizes if (kind, bucket) in held) // 8), np.uint64)
+            start, words, at = np.zeros((3, 1 << self.bits), np.uint64), np.zeros((3, 1 << self.bits), np.uint64), 0
             for row in self.table.where((F.col("kind") >= 10) & want).select("kind", "bucket", "keys").toLocalIterator():
-                n = len(row["keys"])
-                data[at : at + n] = np.frombuffer(row["keys"], np.uint8)
-                start[row["kind"] - 10, row["bucket"]], bits[row["kind"] - 10, row["bucket"]] = at, 8 * n
-                at += n
-            yield Filter(64 - self.bits, data, start, bits)
+                block = np.frombuffer(row["keys"], "<u8")
+                data[at : at + len(block)] = block
+                start[row["kind"] - 10, row["bucket"]], words[row["kind"] - 10, row["bucket"]] = at, len(block)
+                at += len(block)
+            yield Filter(64 - self.bits, data, start, words)
 
 
 def prepare(docs: DataFrame, is_training) -> DataFrame:
@@ -349,7 +338,9 @@ def _lookup(f: Filter, stream: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     count, after = f.level(COUNT, u), f.level(AFTER, context_keys(u))
     at = np.concatenate(([0], inverse[:-1])) if len(inverse) else inverse
     at[np.cumsum(n) - n] = np.searchsorted(u, END)
-    return count[inverse], count[at], after[at], f.level(BIGRAM, bigram_keys(prev, stream))
+    # distinct keys in order: probes of neighbouring keys fall into the same filter block
+    pairs, pair = np.unique(bigram_keys(prev, stream), return_inverse=True)
+    return count[inverse], count[at], after[at], f.level(BIGRAM, pairs)[pair]
 
 
 def _log_probability(levels, n: np.ndarray, tokens: int, words: int) -> np.ndarray:
