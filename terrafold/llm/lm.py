@@ -64,12 +64,24 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """Byte planes of 64-bit numbers: sorted high bytes and empty low bytes compress away."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Byte planes of 64-bit numbers, compressed unless few: sorted high bytes and empty low bytes take little room."""
+    raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return b"\1" + len(a).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True) if len(a) >= 64 else b"\0" + raw
 
 
 def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    raw = pa.decompress(b[5:], 8 * int.from_bytes(b[1:5], "little"), "zstd", asbytes=True) if b[0] else b[1:]
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def runs(ctx: np.ndarray) -> np.ndarray:
+    """Sorted contexts as (context, how often): the low bits of a context key are free for the number."""
+    u, n = np.unique(ctx, return_counts=True)
+    return u | n.astype(np.uint64)
+
+
+def unruns(a: np.ndarray) -> np.ndarray:
+    return np.repeat(context_keys(a), (a ^ context_keys(a)).astype(np.int64))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,10 +185,13 @@ def _count(bits: int):
     def emit(kind, chunk, keys, counts, extra=None):
         cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
         rows = [i for i in range(1 << bits) if cut[i] < cut[i + 1]]
-        part = lambda a: [planes(a[cut[i] : cut[i + 1]]) for i in rows]
+        part = lambda a, to=planes: [to(a[cut[i] : cut[i + 1]]) for i in rows]
+        if extra is not None:  # inside a bucket by context, which then takes less room
+            order = np.lexsort((extra, keys >> np.uint64(64 - bits)))
+            keys, counts, extra = keys[order], counts[order], extra[order]
         return pa.RecordBatch.from_arrays(
             [pa.array([kind] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
-             pa.array(part(keys), pa.binary()), pa.array(part(extra) if extra is not None else [None] * len(rows), pa.binary()), pa.array(part(counts), pa.binary())],
+             pa.array(part(keys), pa.binary()), pa.array(part(extra, lambda a: planes(runs(a))) if extra is not None else [None] * len(rows), pa.binary()), pa.array(part(counts), pa.binary())],
             names=["kind", "bucket", "chunk", "keys", "extra", "counts"])
 
     def run(batches):
@@ -239,7 +254,7 @@ def _sum_bigrams(bits: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts, at = summed(np.concatenate([unplanes(b) for b in pdf["keys"]]), np.concatenate([unplanes(b) for b in pdf["counts"]]))
-        ctx = np.concatenate([unplanes(b) for b in pdf["extra"]])[at]
+        ctx = np.concatenate([unruns(unplanes(b)) for b in pdf["extra"]])[at]
         rows = [_row(10 + BIGRAM, int(pdf["bucket"].iloc[0]), keys=build_block(BIGRAM, keys, counts))]
         c, n, _ = summed(ctx, np.ones(len(ctx), np.uint64))
         cut = np.searchsorted(c >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
@@ -413,7 +428,23 @@ def score_all(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
     """Model and exact add-one unigram scores of every document of the model's corpus."""
     tokens, words = model.tokens, model.words
 
+    def pack(batches):
+        # neighbouring rows of a chunk travel as one compressed block
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cut = [*(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else ()), len(ids)]
+            blocks = []
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                sink = pa.BufferOutputStream()
+                part = batch.slice(lo, hi - lo)
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                blocks.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]], pa.int64()), pa.array(blocks, pa.binary())], names=["chunk", "rows"])
+
     def run(docs: pa.Table, own: pa.Table) -> pa.Table:
+        blocks = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in docs["rows"]]
+        docs = pa.concat_tables(blocks) if blocks else pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("training", pa.bool_()), ("text", pa.string()), ("score", pa.float64()))})
         pairs = zip(own["keys"].to_pylist(), own["counts"].to_pylist()) if docs.num_rows else ()
         parts = [(unplanes(k), unplanes(c)) for k, c in pairs]
         keys, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
@@ -436,4 +467,5 @@ def score_all(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
 
     names = [c.split()[0] for c in RESULT.split(", ")]
     asked = model.table.where(F.col("kind") == COUNT).select("chunk", "keys", "counts")
-    return scored(model, round_bytes).groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, RESULT)
+    packed = scored(model, round_bytes).mapInArrow(trimmed(pack), "chunk long, rows binary")
+    return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, RESULT)
