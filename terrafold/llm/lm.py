@@ -367,11 +367,14 @@ def _log_probability(levels, n: np.ndarray, tokens: int, words: int) -> np.ndarr
     return np.add.reduceat(np.log10(p), np.cumsum(n) - n) if len(n) else np.zeros(0)
 
 
-def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
-    """chunk, doc_id, training, text, score: the model's log10 probability of each text."""
+def scored(model: Model, round_bytes: int = 192 << 20, then=None, schema: str = "chunk long, doc_id long, training boolean, text string, score double") -> DataFrame:
+    """chunk, doc_id, training, text, score: the model's log10 probability of each text.
+
+    ``then`` takes these Arrow batches on in the same worker, to ``schema``.
+    """
+    after = lambda run: trimmed(lambda batches: then(run(batches)) if then else run(batches))
     at_once = sum(s[2] for s in model.sizes) <= round_bytes
     spark, tokens, words = model.docs.sparkSession, model.tokens, model.words
-    schema = "chunk long, doc_id long, training boolean, text string, score double"
     docs = model.docs.select("chunk", F.col("doc_id").cast("long").alias("doc_id"), "training", "text")
 
     def once(shared):
@@ -387,7 +390,7 @@ def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
         return run
 
     if at_once:
-        return docs.mapInArrow(trimmed(once(spark.sparkContext.broadcast(next(model.filters(round_bytes))))), schema)
+        return docs.mapInArrow(after(once(spark.sparkContext.broadcast(next(model.filters(round_bytes))))), schema)
 
     carry = "chunk long, doc_id long, training boolean, text string, levels binary"
     docs = docs.withColumn("levels", F.lit(None).cast("binary"))
@@ -418,7 +421,7 @@ def scored(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
                 score.append(float(_log_probability(x, np.array([x.shape[1]]), tokens, words)[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score, pa.float64())], names=["chunk", "doc_id", "training", "text", "score"])
 
-    return docs.mapInArrow(trimmed(finish), schema)
+    return docs.mapInArrow(after(finish), schema)
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -467,5 +470,5 @@ def score_all(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
 
     names = [c.split()[0] for c in RESULT.split(", ")]
     asked = model.table.where(F.col("kind") == COUNT).select("chunk", "keys", "counts")
-    packed = scored(model, round_bytes).mapInArrow(trimmed(pack), "chunk long, rows binary")
+    packed = scored(model, round_bytes, pack, "chunk long, rows binary")
     return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, RESULT)
