@@ -35,7 +35,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, mix, rounds, stash, text_bytes, token_hashes, trimmed, unstash
+from .common import bounded_batches, give_back, mix, rounds, stash, text_bytes, token_hashes, trimmed
 
 GROWTH = 1.2
 BITS, PROBES = 13, 6
@@ -179,8 +179,8 @@ def build_block(kind: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
 PART = "kind int, bucket int, chunk long, keys binary, extra binary, counts binary"
 
 
-def _count(bits: int):
-    """Per chunk: its vocabulary with training counts, and bigrams of its training documents."""
+def _count(bits: int, kind: int):
+    """COUNT: each chunk's vocabulary with training counts. BIGRAM: bigrams of training documents."""
 
     def emit(kind, chunk, keys, counts, extra=None):
         cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
@@ -218,10 +218,12 @@ def _count(bits: int):
                     same = lo + int(np.argmax(np.append(ids[lo:hi] != chunk, True)))
                     stream, n = token_stream(data, at[lo : same + 1])
                     learned = np.repeat(train[lo:same], n)
-                    words.append(summed(stream, learned.astype(np.uint64))[:2])
-                    prev, s = contexts(stream, n)[learned], stream[learned]
-                    k, c, first = summed(bigram_keys(prev, s), np.ones(len(s), np.uint64))
-                    pairs.append((k, context_keys(prev[first]), c))
+                    if kind == COUNT:
+                        words.append(summed(stream, learned.astype(np.uint64))[:2])
+                    else:
+                        prev, s = contexts(stream, n)[learned], stream[learned]
+                        k, c, first = summed(bigram_keys(prev, s), np.ones(len(s), np.uint64))
+                        pairs.append((k, context_keys(prev[first]), c))
                     lo = same
                 if sum(len(w[0]) for w in words) > FLUSH:
                     words = [vocabulary()]
@@ -333,13 +335,12 @@ def learn(docs: DataFrame, is_training) -> Model:
     bounded_batches(spark)
     rows = prepare(docs, is_training)
     bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / BUCKET_DOCS + 1))))
-    parts = rows.select("chunk", "training", "text").mapInArrow(trimmed(_count(bits)), PART)
-    parts = stash(parts, "lm-parts")
-    pairs = stash(parts.where(F.col("kind") == BIGRAM).select("bucket", "keys", "extra", "counts").groupBy("bucket").applyInPandas(_sum_bigrams(bits), OUT), "lm-bigrams")
+    # texts are read once for each kind: cheaper than keeping the parts of both in a table
+    parts = lambda kind: rows.select("chunk", "training", "text").mapInArrow(trimmed(_count(bits, kind)), PART)
+    pairs = stash(parts(BIGRAM).select("bucket", "keys", "extra", "counts").groupBy("bucket").applyInPandas(_sum_bigrams(bits), OUT), "lm-bigrams")
     cols = ["kind", "bucket", "chunk", "keys", "counts"]
-    words = parts.where(F.col("kind") == COUNT).select(cols).unionByName(pairs.where(F.col("kind") == AFTER).select(cols))
+    words = parts(COUNT).select(cols).unionByName(pairs.where(F.col("kind") == AFTER).select(cols))
     words = stash(words.groupBy("bucket").applyInPandas(_sum_words, OUT), "lm-words")
-    unstash(parts)
     table = words.unionByName(pairs.where("kind >= 10"))
     n = words.agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).first()
     sizes = sorted(tuple(r) for r in table.where("kind >= 10").select("kind", "bucket", F.length("keys").alias("n")).collect())
