@@ -230,6 +230,33 @@ def test_neighbours_in_tiles(spark):
     assert got == {p: sum((v ^ value[x]).bit_count() <= 3 for x in prints) - 1 for p, v in value.items()}
 
 
+@pytest.mark.parametrize(("like", "tile"), [(16, 1 << 16), (16, 40), (9, 200)])
+def test_neighbours_of_like_texts(spark, like, tile):
+    rng = np.random.default_rng(3)
+    bases = rng.integers(0, 256, (3, 16), dtype=np.uint8)
+    rows = []
+    for d in range(500):
+        f = bases[d % 3 and rng.integers(0, 3)].copy() if d % 5 else rng.integers(0, 256, 16, dtype=np.uint8)
+        for bit in rng.integers(0, 128, rng.integers(0, 12)):
+            f[bit // 8] ^= 1 << (bit % 8)
+        rows += [(None if d % 7 == 0 else 1000 - d, f.tobytes().hex())] * (1 + (d % 50 == 0))
+    got = {r.fingerprint: r[1:] for r in simhash.neighbours(spark.createDataFrame(rows, "doc_id long, fingerprint string"), 3, tile, like).collect()}
+    value = [(d, int(f, 16)) for d, f in rows]
+    for f, found in got.items():
+        far = [(d, (int(f, 16) ^ v).bit_count()) for d, v in value]
+        assert found == (sum(b <= 3 for _, b in far) - 1, sum(b <= like for _, b in far) - 1, min((d for d, b in far if b <= like and d is not None), default=None))
+    assert len(got) == len({f for _, f in rows})
+
+
+def test_fingerprints_find_edited_copies(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    other = [f"v{i}" for i in rng.integers(0, 5000, 300)]
+    texts = [(9, base), (4, [*base[:100], "x", *base[101:]]), (7, [*base[:50], "y", "z", *base[52:200], "q", *base[201:]]), (1, other)]
+    rows = {r.doc_id: r for r in simhash.fingerprint_all(spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id long, text string")).collect()}
+    assert {d: (r.n_like, r.like_id) for d, r in rows.items()} == {9: (2, 4), 4: (2, 4), 7: (2, 4), 1: (0, 1)}
+
+
 # --- line dedup -------------------------------------------------------------------------------
 
 
