@@ -69,7 +69,7 @@ def shingle_sets(texts: pa.Array, n: int):
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, cid, bands): the class of each row, and the band hashes of its shingles (null without any)."""
+    """(doc_id, t, cid, bands): a hash of each row's text, its class, and the band hashes of its shingles (null without any)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -85,9 +85,10 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     bands_of.append(h.view(np.int64))
                 else:
                     bands_of.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(t) for t in texts], pa.int64()), pa.array(bands_of, pa.list_(pa.int64()))], names=["doc_id", "cid", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([digest(t) for t in texts], pa.int64()), pa.array(bands_of, pa.list_(pa.int64()))], names=["doc_id", "t", "cid", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, cid long, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t")).mapInArrow(trimmed(run), "doc_id long, t long, cid long, bands array<long>")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -208,12 +209,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return x.mapInArrow(trimmed(run), f"{kinds}, shingles binary")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.9995, tile: int = 1024) -> DataFrame:
-    """One row per document row: doc_id, class_id, n_copies, n_links, group_id.
-
-    class_id: the least doc_id with the same words. n_links: other rows with similarity >= 4/5, copies counted in.
-    group_id: the least class_id of all that links connect it with.
-    """
+def grouped(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), recall: float = 0.9995, tile: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, cid), and classes (cid, class_id, n_copies, links, root): ``root`` names the group, with or without ids."""
     bands, rows = banding(similarity[0] / similarity[1], recall)
     rows_of = stash(sketches(docs, n, bands, rows), "near-sketches")
     classes = rows_of.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
@@ -224,20 +221,35 @@ def jaccard_join(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4,
     counts = links.groupBy("cid").agg(F.sum("n").alias("links"))
     groups = components(links.select("u", "v")).select(F.col("node").alias("cid"), "root")
     slim = classes.select("cid", F.col("rep").alias("class_id"), F.col("copies").alias("n_copies")).join(groups, "cid", "left").join(counts, "cid", "left")
-    slim = slim.withColumn("root", F.coalesce("root", "cid"))
+    return rows_of.select("doc_id", "t", "cid"), slim.withColumn("root", F.coalesce("root", "cid"))
+
+
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
+    """One row per document row: doc_id, class_id, n_copies, n_links, group_id.
+
+    class_id: the least doc_id with the same words. n_links: other rows with similarity >= 4/5, copies counted in.
+    group_id: the least class_id of all that links connect it with. Options are those of ``grouped``.
+    """
+    rows_of, slim = grouped(docs, **options)
     least = slim.groupBy("root").agg(F.min("class_id").alias("group_id"))
     slim = slim.join(least, "root").select("cid", "class_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group_id")
-    return rows_of.select("doc_id", "cid").join(stash(slim, "near-classes"), "cid").drop("cid")
+    return rows_of.drop("t").join(stash(slim, "near-classes"), "cid").drop("cid")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the document of least id of each group; groups without any id keep all their rows."""
-    found = jaccard_join(docs, **options)
-    keep = found.where("doc_id = group_id or group_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    keep = stash(keep, "near-keep")
+    """``docs`` with one row of each group: that of least id (rows without an id come last), and of least text hash among equal ids."""
+    rows_of, classes = grouped(docs, **options)
+    # the root says which group a row is of, whether it has an id or shares it with rows of other groups
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("x")
+    keep = rows_of.join(stash(classes.select("cid", "root"), "near-classes"), "cid").groupBy("root").agg(first)
+
+    def key(d, t):
+        return F.xxhash64(F.col(d).isNull(), d, t).alias("key")
+
+    keep = stash(keep.select(key("x.doc_id", "x.t")), "near-keep")
     names = docs.columns
-    x = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"))
+    x = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"))
     # joined and numbered on one key, so the texts are shuffled once
-    x = x.withColumn("key", F.xxhash64("d")).join(keep.select(F.xxhash64("__keep").alias("key")).distinct().hint("merge"), "key", "left_semi")
-    first = Window.partitionBy("key", "d", "t").orderBy(F.lit(0))
-    return x.withColumn("k", F.row_number().over(first)).where("k = 1 or d is null").select("row.*")
+    x = x.withColumn("key", key("d", "t")).join(keep.hint("merge"), "key", "left_semi")
+    copies = Window.partitionBy("key", "d", "t").orderBy(F.lit(0))
+    return x.withColumn("k", F.row_number().over(copies)).where("k = 1").select("row.*")

@@ -169,6 +169,20 @@ def test_near_edges(spark, odd_docs):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995
 
 
+def test_near_keeps_one_row_of_a_group(spark):
+    long = [f"w{i}" for i in range(60)]
+    near_long = " ".join([*long[:59], "other"])
+    rows = [
+        (None, "no id at all", "a"), (None, "no id at all", "b"), (None, "No  id at all", "c"),
+        (3, "with and without", "d"), (None, "with and without", "e"), (None, "With and without", "f"),
+        (5, "one id, this text", "g"), (5, "one id, that text", "h"), (4, "one id, that text", "i"),
+        (None, " ".join(long), "j"), (None, near_long, "k"), (None, None, "l"), (9, "", "m"),
+    ]
+    kept = {r.name for r in near.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    groups = ("abc", "d", "g", "i", "jk", "m")
+    assert [len(kept & set(g)) for g in groups] == [1] * len(groups) and len(kept) == len(groups)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (6, 6), (20, 10), (30, 20), (30, 40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
