@@ -103,7 +103,8 @@ LABEL = r"[A-Za-z0-9-]+"
 BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9_%+-]*(?:(?:\.|[ ]+dot[ ]+)[A-Za-z0-9_%+-]+){{0,3}}(?:[ ]+at[ ]+|[ ]?@[ ]?){LABEL}(?:[ ]+dot[ ]+{LABEL})+", re.I)
 NUMBERS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:[ ]+dot[ ]+|[ ]\.[ ])[0-9]{1,3}){3}(?![0-9])", re.I)
 BARE_SIGN = re.compile(r"[ ]+(at)[ ]+|[ ]+(dot)[ ]+|[ ]?(@)[ ]?|[ ](\.)[ ]", re.I)
-TRIGGER = re.compile(rf"\b(?:{WORD})[ -]+(?:{WORD})\b|\bdot\b|{OPEN}[ ]*(?:at|@|dot|punkt|punto|point|\.)[ ]*{CLOSE}|[ ]\.[ ][0-9]", re.I)
+#: What any of the transducers needs: the first part is the start that every SPELLED match has.
+TRIGGER = re.compile(rf"(?<![^\W_])(?:{WORD})[ -]+(?:(?:{WORD})\b|[0-9])|\bdot\b|{OPEN}[ ]*(?:at|@|dot|punkt|punto|point|\.)[ ]*{CLOSE}|[ ]\.[ ][0-9]", re.I)
 
 
 class Rewrite:
@@ -130,7 +131,7 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in SPELLED.finditer(text):
         for w in SPELLED_WORD.finditer(m[0]):
-            new = "+" if w[1] and w[1].lower() == "plus" else DIGITS[w[1].lower()] if w[1] else w[2] if w[2] else ""
+            new = "+" if w[1] and w[1].casefold() == "plus" else DIGITS[w[1].casefold()] if w[1] else w[2] if w[2] else ""
             if new != w[0]:
                 edits.append((m.start() + w.start(), m.start() + w.end(), new))
     return edits

@@ -371,6 +371,30 @@ def test_disguises(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in spans] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("pay four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1", "card", "four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"),
+        ("call plus four 9 one 5 one 2 three 4 five 6", "phone", "plus four 9 one 5 one 2 three 4 five 6"),
+        ("call _plus ſix 9 one 5 one 2 three 4 five 6", "phone", "plus ſix 9 one 5 one 2 three 4 five 6"),
+    ],
+)
+def test_spelled_digits_among_digits(text, kind, found):
+    spans = pii.detect(text)[1]
+    assert [(k, text[a:b]) for k, a, b in spans] == [(kind, found)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["plus", "four", "One", "oh", "ſix", "1", "49", "4111", " ", " ", " ", "-", "_", ".", " . ", " dot ", " at ", "@", "(at)", "[.]", "x", "b.c", "é"]), max_size=40).map("".join))
+def test_gate_hides_nothing(text):
+    gated, gate = pii.detect(text), pii.TRIGGER
+    try:
+        pii.TRIGGER = re.compile("")
+        assert pii.detect(text) == gated
+    finally:
+        pii.TRIGGER = gate
+
+
 def test_clean_text_is_left_alone():
     for t in ("look at example.com for one two reasons", "we met at home. dot your i's", "one two three four", "Ich bin at home dot", "x" * 200_000 + "@" * 1000, "1" * 200_000, "été où ça — naïve"):
         assert pii.detect(t)[1] == []
