@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import readouts
+from terrafold.operators import metrics, readouts
 from terrafold.sources import results
 
 
@@ -43,3 +43,16 @@ def test_result_table_survives_csv(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert [tuple(r) for r in results.invariant_violations(back, ["k"], "ctl").collect()] == [("b", "no control")]
     assert results.compare(back, None, ["k", "model"], "r2").where(F.col("change").isNotNull()).count() == 0
+
+
+def test_t_quantiles_of_many_folds(spark):
+    want = {1: None, 2: 12.706205, 5: 2.776445, 11: 2.228139, 12: 2.200985, 30: 2.045230, 1000: 1.962341}
+    df = spark.createDataFrame([(k, float(i % 2)) for k in want for i in range(k)], "k int, v double")
+    for r in metrics.t_interval(df.withColumnRenamed("k", "folds"), ["folds"], "v").collect():
+        t = r.std and (r.ci_hi - r["mean"]) * r.k**0.5 / r.std
+        assert t == (want[r.folds] and pytest.approx(want[r.folds], abs=1e-5))
+    sums = spark.range(30).selectExpr("1 as m", "id as fold", "10L as n", "id * 1.0D as sy", "(50 + id * id)*1.0D as syy", "(5 + id % 7) * 1.0D as sse")
+    row = metrics.jackknife(sums, ["m"]).first()
+    x = sums.toPandas()
+    left = [1 - (x.sse.sum() - x.sse[i]) / (x.syy.sum() - x.syy[i] - (x.sy.sum() - x.sy[i]) ** 2 / 290) for i in range(30)]
+    assert (row.ci_hi - row.pooled) / (29 * np.var(left)) ** 0.5 == pytest.approx(2.045230, abs=1e-5)
