@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; documents are long, so far fewer than Spark's 10,000.
@@ -25,9 +26,11 @@ ROUND_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one is made only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; one is made only where it is unset on a single machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -51,6 +54,37 @@ def unstash(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def placed(docs: DataFrame, *cols: Column) -> DataFrame:
+    """``cols`` of ``docs`` with each row's own name: ``rf`` (its file, hashed) and ``ri`` (its place in it).
+
+    No two rows share a name, whether or not they have an id, and it is the same at each reading. Tables that are
+    not read from Parquet files are written first.
+    """
+    place = (F.xxhash64("_metadata.file_path").alias("rf"), F.col("_metadata.row_index").alias("ri"))
+    try:
+        return docs.select(*cols, *place)
+    except AnalysisException:
+        return stash(docs.select(*cols), "rows").select("*", *place)
+
+
+#: A key is hot if it holds more than this share of all rows, so there are at most 1 / HOT hot keys.
+HOT = 1 / 1024
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], hot: Column, by: list[str], how: str = "inner", spread: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key), rows of a ``hot`` key dealt over ``spread`` tasks by a hash of ``by``.
+
+    ``hot`` is a condition on ``table`` that at most 1 / HOT rows meet: their keys are broadcast, and those rows of
+    ``table`` repeated for each task. Keys are not null.
+    """
+    spread = spread or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = table.where(hot).select(*on, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int")).otherwise(0)
+    left = rows.join(F.broadcast(keys), on, "left").withColumn("_salt", salt).drop("_hot")
+    right = table.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -182,6 +216,3 @@ def windows_of(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, n
         out[base[i]] = mix(np.array([v], np.uint64))[0]
     return out, out_counts
 
-
-def as_long(col: str):
-    return F.col(col).cast("long")

@@ -1,11 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Each source's documents are shuffled by a hash and queued twice over; an entry's virtual finish time
-is the source's cumulative words divided by its target. Entries are sorted by finish time over all
-sources (range buckets of the finish time with offsets) and the queue is cut at the total budget.
+Each source's documents are shuffled by a hash and queued twice over, since a source may give up to twice its words. An
+entry's virtual finish time is its source's cumulative words divided by its source's target. All entries are sorted by finish
+time over all sources, and the queue is cut where the words taken would pass the total budget.
 
-Prefix sums run in two levels (hash buckets inside a source, range buckets of the finish time), so
-neither a hot source nor the whole queue is ordered in one task.
+The sort runs in ranges of finish time: all sources still send at any time up to 1, so ranges of equal width hold
+about equal numbers of words. Sums of whole ranges say where each range begins and which is the last that the budget
+reaches; each range is then sorted by itself. Cumulative words run likewise in ranges of the shuffle key inside a source. The
+numbers of ranges follow from row counts, so neither a hot source nor the queue is ordered in one task. Sources
+are joined by broadcast up to ``FEW_SOURCES`` of them, and with salted keys beyond.
 
 Edge cases: a null text has size 0 and is taken 0 words; a null source is a source of its own, last
 in order; repeated rows are queued as rows of their own; empty tables give empty results. Extra
@@ -20,38 +23,51 @@ from pyspark.sql import functions as F
 from .common import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a range, and sources up to which their table is broadcast.
+RANGE_ROWS, FEW_SOURCES, SALTS = 65_536, 100_000, 64
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``_n``: the source's place from 0 by code point, null last; counted range by range."""
+    ranges = max(1, -(-sizes.count() // RANGE_ROWS))
+    order = [F.col("source").isNull(), F.col("source")]
+    x = stash(sizes.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    tops = x.groupBy("_p").agg(F.count("*").alias("_part")).select("_p", F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_top"))
+    inner = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return x.withColumn("_in", inner).join(tops, "_p").withColumn("_n", F.col("_top") + F.col("_in") - 1).drop("_p", "_in", "_top")
+
+
 def targets(sizes: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): water-filling under the caps.
+    """(source, source_size, target) from (source, source_size): shares by weight, the excess over the caps reshared until none is above.
 
-    A source is at its cap when ``level * weight`` exceeds ``most * size``. In order of
-    ``size / weight`` the capped sources come first, so prefix sums over the source list find the
-    level. One row per source; the list is small beside the documents.
+    Each round is one aggregate over the source list: the words that the capped sources leave, over the weights of the others.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    fill = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").isNull(), "source")
-    every = Window.partitionBy(F.lit(1))
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    x = sizes.withColumn("_w", w).withColumn("_cap", F.col("source_size") * most)
-    x = x.withColumn("_budget", F.sum("source_size").over(every) * total)
-    before = F.sum("_cap").over(fill.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.sum("_w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    # the level if this source and all after it in fill order are below their caps
-    x = x.withColumn("_level", (F.col("_budget") - F.coalesce(before, F.lit(0.0))) / after)
-    open_level = F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))
-    x = x.withColumn("_level", F.max(open_level).over(every))
-    target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_w")))
-    return x.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
-
-
-def queue(slim: DataFrame, buckets: int) -> DataFrame:
-    """(_source, _size, _k, ...) with _cum: the source's words up to this row, in order of the shuffle key ``_k``."""
-    x = slim.withColumn("_b", (F.shiftrightunsigned("_k", 40) % buckets).cast("int")).withColumn("_sb", F.xxhash64("_source", "_b"))
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod("_n", F.lit(len(weights))) + 1).cast("int"))
+    x = stash(numbered(sizes).withColumn("_w", w).withColumn("_cap", F.col("source_size") * most), "mix-sizes")
+    first = x.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    budget, level = (first["size"] or 0) * total, None
+    if first["w"]:
+        level = budget / first["w"]
+        while level is not None:
+            full = F.col("_w") * level > F.col("_cap")
+            left = x.agg(F.sum(F.when(full, F.col("_cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(full, 0.0).otherwise(F.col("_w"))).alias("w")).first()
+            new = (budget - left["cap"]) / left["w"] if left["w"] else None
+            if new is not None and new <= level:
+                break
+            level = new
+    target = F.col("_cap") if level is None else F.least("_cap", F.col("_w") * level)
+    return x.select("source", "source_size", target.alias("target"))
+
+
+def queue(slim: DataFrame, rows: int) -> DataFrame:
+    """``slim`` (_source, _size, _k, ...) with _cum: the source's words up to this row, in order of the shuffle key ``_k``."""
+    buckets = max(1, -(-rows // RANGE_ROWS))
+    x = slim.withColumn("_b", F.floor(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long") * F.lit(float(buckets)) / float(1 << 32)).cast("int")).withColumn("_sb", F.xxhash64("_source", "_b"))
     head = x.groupBy("_sb", "_source", "_b").agg(F.sum("_size").alias("_part"))
     w = Window.partitionBy("_source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     head = head.select("_sb", F.coalesce(F.sum("_part").over(w), F.lit(0)).alias("_before"))
@@ -61,32 +77,49 @@ def queue(slim: DataFrame, buckets: int) -> DataFrame:
     return x.withColumn("_cum", F.col("_before") + F.col("_in")).drop("_sb", "_before", "_in", "_b")
 
 
-def cut(entries: DataFrame, goals: DataFrame, ranges: int) -> DataFrame:
-    """(source, source_size, target, reach): how many words of its (twice queued) row each source may emit.
+def with_source(rows: DataFrame, goals: DataFrame, few: int = FEW_SOURCES) -> DataFrame:
+    """``rows`` (_source, _k) with the columns of their source's row of ``goals`` (a written table)."""
+    goals = goals.withColumnRenamed("source", "_goal")
+    same = F.col("_source").eqNullSafe(F.col("_goal"))
+    if goals.count() <= few:
+        return rows.join(F.broadcast(goals), same).drop("_goal")
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_k"), F.lit(SALTS)))
+    goals = goals.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(goals, same & (F.col("_salt") == F.col("_salt2"))).drop("_goal", "_salt", "_salt2")
 
-    ``entries`` has (_source, _size, _cum, _k). Sorted by finish time over all sources, the queue is
-    cut where the words so far pass the sum of the targets.
-    """
-    goal = goals.select(F.col("source").alias("_s2"), "source_size", "target")
-    e = entries.where("_size > 0").join(goal, F.col("_source").eqNullSafe(F.col("_s2")))
+
+def entries(queued: DataFrame, goals: DataFrame) -> DataFrame:
+    """The queue: (_source, _size, _k, _at, _finish), two entries for each row with words."""
+    e = with_source(queued.where("_size > 0").select("_source", "_size", "_cum", "_k"), goals)
     e = e.withColumn("_pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_at", F.col("_cum") + F.col("_pass") * F.col("source_size"))
-    e = e.withColumn("_finish", F.col("_at") / F.col("target")).where("_finish <= 1.0 + 1e-9")
-    e = e.withColumn("_r", F.floor(F.least(F.col("_finish"), F.lit(1.0)) * ranges).cast("int"))
+    return e.select("_source", "_size", "_k", "_at", (F.col("_at") / F.col("target")).alias("_finish"))
+
+
+def cut(queued: DataFrame, goals: DataFrame, rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(source, source_size, target, reach): up to which of its (twice queued) words each source is taken.
+
+    The queue is sorted by finish time over all sources; entries are taken while the words so far stay within the sum of the targets.
+    """
+    ranges = max(1, -(-2 * rows // range_rows))
+    e = entries(queued, goals).withColumn("_r", F.floor(F.col("_finish") * ranges))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     tops = e.groupBy("_r").agg(F.sum("_size").alias("_part"))
-    w = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(F.col("_r").alias("_r2"), F.coalesce(F.sum("_part").over(w), F.lit(0)).alias("_before"))
-    run = Window.partitionBy("_r").orderBy("_finish", F.col("_source").isNull(), "_source", "_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("_so_far", F.sum("_size").over(run)).join(tops, F.col("_r") == F.col("_r2"))
+    tops = stash(tops.select("_r", F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_before")), "mix-ranges")
     budget = goals.agg(F.sum("target")).first()[0] or 0.0
-    e = e.where(F.col("_so_far") + F.col("_before") <= budget + 1e-6)
-    reach = e.groupBy("_source").agg(F.max("_at").alias("reach"))
-    return goals.join(reach, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "source_size", "target", F.coalesce("reach", F.lit(0)).alias("reach"))
+    budget = budget * (1 + 1e-12) + 1e-6  # a sum of doubles, compared with whole words
+    last = tops.where(F.col("_before") <= budget).agg(F.max("_r")).first()[0]
+    run = Window.partitionBy("_r").orderBy("_finish", F.col("_source").isNull(), "_source", "_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.where(F.col("_r") <= F.lit(last)).withColumn("_so_far", F.sum("_size").over(run)).join(tops, "_r")
+    taken = e.where(F.col("_before") + F.col("_so_far") <= budget).groupBy(F.col("_source").alias("_taken")).agg(F.max("_at").alias("reach"))
+    x = goals.join(taken, F.col("source").eqNullSafe(F.col("_taken")), "left")
+    return x.select("source", "source_size", "target", F.coalesce("reach", F.lit(0)).alias("reach"))
 
 
-def plan(slim: DataFrame, total: float, most: float, weights: tuple[int, ...], ranges: int) -> DataFrame:
+def plan(slim: DataFrame, rows: int, total: float, most: float, weights: tuple[int, ...], range_rows: int) -> DataFrame:
     """``cut`` for a queued table with _source, _size, _cum, _k."""
     sizes = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
-    return cut(slim, stash(targets(sizes, total, most, weights), "mix-targets"), ranges)
+    goals = stash(targets(stash(sizes, "mix-sizes"), total, most, weights), "mix-targets")
+    return stash(cut(slim, goals, rows, range_rows), "mix-reach")
 
 
 def passes() -> Column:
@@ -94,24 +127,27 @@ def passes() -> Column:
     return (F.col("_cum") <= F.col("reach")).cast("int") + (F.col("_cum") + F.col("source_size") <= F.col("reach")).cast("int")
 
 
-def mix_sizes(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, buckets: int = 1024, ranges: int = 1024) -> DataFrame:
+def slim_columns(seed: int) -> list[Column]:
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text").cast("string")))
+    return [F.col("source").cast("string").alias("_source"), word_count(F.col("text").cast("string")).alias("_size"), key.alias("_k")]
+
+
+def mix_sizes(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document row: doc_id, size, source, source_size, target, taken (words)."""
-    row = docs.select("doc_id", F.col("source").cast("string").alias("_source"), word_count(F.col("text")).alias("_size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_k"))
-    slim = stash(queue(stash(row, "mix-slim"), buckets), "mix-queue")
-    goals = plan(slim, total, most, weights, ranges).withColumnRenamed("source", "_s")
-    out = slim.join(goals, F.col("_source").eqNullSafe(F.col("_s")))
+    row = stash(docs.select("doc_id", *slim_columns(seed)), "mix-slim")
+    rows = row.count()
+    slim = stash(queue(row, rows), "mix-queue")
+    out = with_source(slim, plan(slim, rows, total, most, weights, range_rows))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source").alias("source"), "source_size", "target", (F.col("_size") * passes()).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, buckets: int = 1024, ranges: int = 1024) -> DataFrame:
+def mix_documents(docs: DataFrame, total: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: int = 7, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The mixed corpus itself: every column of ``docs``, a row for each time that a document is taken."""
-    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), F.col("source").cast("string").alias("_source"),
-                      word_count(F.col("text")).alias("_size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_k"))
-    queued = queue(row, buckets)
-    slim = stash(queued.drop("_row"), "mix-queue")
-    goals = plan(slim, total, most, weights, ranges).withColumnRenamed("source", "_s")
-    out = queued.join(goals, F.col("_source").eqNullSafe(F.col("_s")))
+    rows = docs.count()
+    queued = queue(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *slim_columns(seed)), rows)
+    slim = stash(queue(docs.select(*slim_columns(seed)), rows), "mix-queue")
     # documents without words cost nothing and stay once
     times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(passes())
+    out = with_source(queued, plan(slim, rows, total, most, weights, range_rows))
     out = out.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select("_row.*")
