@@ -6,7 +6,8 @@ at/dot/plus disguises to their signs. Detectors run on the rewritten text, and t
 span from the rewritten text is added only where no base span of its kind overlaps it.
 
 Edge cases: a null text is empty and has no spans; repeated rows give repeated results; an empty
-table gives no rows; extra columns are ignored. Texts of any length are scanned whole and in linear time.
+table gives no rows; extra columns are ignored. Texts of any length are scanned whole, and no pattern can start at
+each of a run of spaces or digits, so time grows with the length of the text.
 """
 
 from __future__ import annotations
@@ -97,7 +98,8 @@ WORD = "|".join(DIGITS)
 SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ -]+)?(?!oh\b)(?:{WORD})(?:[ -]+(?:(?:{WORD})\b|[0-9]+(?![^\W_])))+(?![^\W_])", re.I)
 SPELLED_WORD = re.compile(rf"\b(plus|{WORD})\b|([0-9]+)|[ -]+", re.I)
 OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
-BRACKETED = re.compile(rf"[ ]*{OPEN}[ ]*(?:(at|@)|(dot|punkt|punto|point|\.))[ ]*{CLOSE}[ ]*", re.I)
+#: Spaces around the brackets are taken in afterwards: a pattern that starts with spaces would be tried at each of them.
+BRACKETED = re.compile(rf"{OPEN}[ ]*(?:(at|@)|(dot|punkt|punto|point|\.))[ ]*{CLOSE}", re.I)
 LABEL = r"[A-Za-z0-9-]+"
 #: "name at host dot tld", bare words: only as a whole; "name@host dot tld" with one at-sign; numbers "1 dot 2 dot 3 dot 4".
 BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9_%+-]*(?:(?:\.|[ ]+dot[ ]+)[A-Za-z0-9_%+-]+){{0,3}}(?:[ ]+at[ ]+|[ ]?@[ ]?){LABEL}(?:[ ]+dot[ ]+{LABEL})+", re.I)
@@ -138,7 +140,15 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def signs(text: str) -> list[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
+    edits, floor = [], 0
+    for m in BRACKETED.finditer(text):
+        lo, hi = m.span()
+        while lo > floor and text[lo - 1] == " ":
+            lo -= 1
+        while hi < len(text) and text[hi] == " ":
+            hi += 1
+        edits.append((lo, hi, "@" if m[1] else "."))
+        floor = hi
     return [e for e in edits if e[0] > 0 and e[1] < len(text)]
 
 
@@ -181,11 +191,11 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_hidden long"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: counts by kind, a digest of the base spans, all spans."""
+    """One row per document: counts by kind, a digest of the base spans, all spans, how many they are and how many of them were disguised."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -193,9 +203,9 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base, spans = detect(text or "")
-                rows.append((doc, *(sum(s[0] == k for s in spans) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=[x.split()[0] for x in SPANS.split(", ")])
+                rows.append((doc, *(sum(s[0] == k for s in spans) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans), len(spans) - len(base)))
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 9, kinds)], names=[x.split()[0] for x in SPANS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(run), SPANS)
 
