@@ -102,7 +102,11 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digest(parts: DataFrame, template: Template = Template()) -> DataFrame:
-    """What reading the formatted text back finds, one row per conversation (``parts`` from ``segments``)."""
+    """What reading the formatted text back finds, one row per conversation.
+
+    ``parts`` must be as ``segments`` returns it: partitioned by conv_id, in order of conv_id, turn_no and seg_no inside a
+    partition. A table that was written or shuffled in between has to be put in that order again.
+    """
     roles = {h: r for r, h in template.headers.items()}
 
     def run(batches):

@@ -217,10 +217,15 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     return runs
 
 
-def pack(parts: DataFrame, capacity: int = 1024, buckets: int = 256) -> DataFrame:
-    """``parts`` (from ``pieces``) with sequence_id and offset."""
+#: Pieces that one task ranks.
+RANK_ROWS = 65_536
+
+
+def pack(parts: DataFrame, capacity: int = 1024, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """``parts`` (a written table from ``pieces``) with sequence_id and offset."""
     spark = parts.sparkSession
     names = parts.columns
+    buckets = max(1, -(-parts.count() // rank_rows))
     parts = parts.withColumn("_k", F.xxhash64("doc_id", "start", "ids_crc32")).withColumn("_b", F.pmod("_k", F.lit(buckets)).cast("int"))
     # ranks among pieces of equal length, in two levels: a very common length is no single task
     heads = parts.groupBy("length", "_b").agg(F.count("*").alias("_n"))
