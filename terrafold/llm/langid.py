@@ -2,10 +2,14 @@
 
 A text's subwords are its byte 2-, 3- and 4-grams inside words (letters only, A-Z folded). Each is
 hashed to a bucket with an embedding; the mean embedding goes through a linear softmax. Training is
-minibatch stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``per_label`` rows a label, up to three spans of ``span`` characters a row). Whole texts are scored;
+minibatch stochastic gradient descent in numpy on a bounded sample of labelled rows: ``per_label`` rows
+a label, whole texts. Tasks turn the sampled texts into counts of buckets, so the driver gets at most
+``2 ** bits`` numbers a sampled row, whatever its length. Whole texts are scored;
 since mean and softmax layer are linear, workers get one table of bucket-by-label scores
-(``2 ** bits * labels`` floats, a bound that does not grow with the data).
+(``2 ** bits * labels`` floats, a bound that does not grow with the data). Only texts go to Python workers.
+
+The sample is the rows of least hash of each label. Since hashes spread evenly, the rows below a label's share of the hash range are
+nearly always enough, and only those are ranked; a label for which they are too few is ranked whole.
 
 Rejection is calibrated on sampled rows kept out of training: a temperature is fitted, and the
 threshold is the ``keep`` quantile of their scores, so nearly all clean texts pass.
@@ -17,6 +21,7 @@ likewise; without any labelled row every document is ``und``; repeated rows and
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,33 +74,39 @@ def has_letter(texts: Column) -> Column:
     return F.coalesce(texts.rlike(r"\p{L}"), F.lit(False))
 
 
-def _bags(texts: list[str], bits: int):
-    """Distinct buckets of each text in a row, their number a text, and each bucket's share of its text."""
-    data, at = text_bytes(pa.array(texts, pa.string()))
-    b, owner = subwords(data, at, bits)
-    key, count = np.unique(owner.astype(np.int64) << bits | b, return_counts=True)
-    owner, b = key >> bits, (key & (1 << bits) - 1).astype(np.int32)
-    total = np.bincount(owner, count, len(texts))
-    return b, np.bincount(owner, minlength=len(texts)), (count / total[owner]).astype(np.float32)
+def bags(column: pa.Array, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text, and how often each occurs."""
+    data, at = text_bytes(column)
+    out = []
+    for lo, hi in rounds(at):
+        b, owner = subwords(data, at[lo : hi + 1], bits)
+        key, count = np.unique(owner.astype(np.int64) << bits | b, return_counts=True)
+        cut = np.searchsorted(key >> bits, np.arange(hi - lo + 1))
+        b = (key & (1 << bits) - 1).astype(np.int32)
+        out += [(b[i:j], count[i:j].astype(np.int32)) for i, j in zip(cut[:-1], cut[1:])]
+    return out
 
 
-def train(texts: list[str], labels: list[str], bits: int = 16, dim: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 0.5, keep: float = 0.001, seed: int = 3) -> Model | None:
-    """Fit on four fifths of the sample, calibrate on the rest."""
+def train(found: list[tuple[np.ndarray, np.ndarray]], labels: list[str], bits: int = 16, dim: int = 16, epochs: int = 4, steps: int = 400, batch: int = 32, rate: float = 0.5, keep: float = 0.001, seed: int = 3) -> Model | None:
+    """Fit on four fifths of the sample (``bags`` of its texts), calibrate on the rest."""
     names = tuple(sorted(set(labels)))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     y = np.array([names.index(v) for v in labels])
-    order = rng.permutation(len(texts))
+    order = rng.permutation(len(found))
     held = order[: len(order) // 5] if len(order) >= 20 else order
     fit = order[len(order) // 5 :] if len(order) >= 20 else order
     emb, out, bias = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32), np.zeros((dim, len(names)), np.float32), np.zeros(len(names), np.float32)
-    bags, sizes, weight = _bags(texts, bits)
+    buckets, counts = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in ([b for b, _ in found], [c for _, c in found]))
+    sizes = np.array([len(b) for b, _ in found])
+    # each bucket's share of its text
+    weight = (counts / np.repeat([max(1, c.sum()) for _, c in found], sizes)).astype(np.float32)
     begin = np.cumsum(sizes) - sizes
 
     def logits(rows):
         at = np.repeat(begin[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows]) + np.arange(sizes[rows].sum())
-        idx, w, who = bags[at], weight[at], np.repeat(np.arange(len(rows)), sizes[rows])
+        idx, w, who = buckets[at], weight[at], np.repeat(np.arange(len(rows)), sizes[rows])
         mean = np.zeros((len(rows), dim), np.float32)
         full = np.flatnonzero(sizes[rows])
         if len(full):
@@ -136,26 +147,51 @@ def train(texts: list[str], labels: list[str], bits: int = 16, dim: int = 16, ep
     return Model(names, (emb @ out / heat).astype(np.float32), (bias / heat).astype(np.float32), threshold)
 
 
-def sample(docs: DataFrame, per_label: int, span: int) -> list:
-    """At most ``per_label`` rows of each label, by a hash of the text, as short spans of their texts."""
-    text = F.col("text")
-    n = F.length(text)
-    third = F.floor(n / 3).cast("int")
-    spans = F.concat_ws(" ", F.substring(text, 1, span), F.substring(text, third + 1, span), F.substring(text, 2 * third + 1, span))
-    rows = docs.where(F.col("lang").isNotNull() & has_letter(text)).select(F.col("lang").cast("string").alias("lang"), spans.alias("text"), F.xxhash64("text").alias("k"))
+def labelled(docs: DataFrame) -> DataFrame:
+    """(lang, text, k): rows to learn from, with a hash of text and id."""
+    text = F.col("text").cast("string")
+    return docs.where(F.col("lang").isNotNull() & has_letter(text)).select(F.col("lang").cast("string").alias("lang"), text.alias("text"), F.xxhash64(text, "doc_id").alias("k"))
+
+
+def least(rows: DataFrame, limits: dict[str, int], per_label: int) -> DataFrame:
+    """(lang, text): of each label in ``limits`` the rows of least hash up to its limit, at most ``per_label``."""
+    if not limits:
+        return rows.select("lang", "text").limit(0)
+    below = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("lang")]
     w = Window.partitionBy("lang").orderBy("k", "text")
-    return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label).select("lang", "text").collect()
+    return rows.where(F.col("k") <= below).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_label).select("lang", "text")
+
+
+def fit(docs: DataFrame, per_label: int = 600, bits: int = 16) -> Model | None:
+    bounded_batches(docs.sparkSession)
+    rows = labelled(docs)
+    # one row a label, as the model has one column a label
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    top = 2**63 - 1
+
+    def run(batches):
+        for batch in batches:
+            found = bags(batch.column(1), bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], names=["lang", "buckets", "counts"])
 
+    def sampled(limits):
+        x = least(rows, limits, per_label).mapInArrow(trimmed(run), "lang string, buckets array<int>, counts array<int>").toArrow()
+        return list(zip(*(x.column(c).to_pylist() for c in ("lang", "buckets", "counts"))))
 
-def fit(docs: DataFrame, per_label: int = 600, span: int = 200, bits: int = 16) -> Model | None:
-    rows = sorted(sample(docs, per_label, span))
-    return train([r.text for r in rows], [r.lang for r in rows], bits)
+    # the share of the hash range that holds twice as many rows of the label as wanted
+    found = sampled({lang: min(top, -(2**63) + 2**64 * 2 * per_label // m) for lang, m in n.items()})
+    got = Counter(lang for lang, *_ in found)
+    few = {lang for lang, m in n.items() if got[lang] < min(per_label, m)}
+    if few:
+        found = [x for x in found if x[0] not in few] + sampled(dict.fromkeys(few, top))
+    found.sort()
+    return train([(np.array(b, np.int32), np.array(c, np.int32)) for _, b, c in found], [lang for lang, _, _ in found], bits)
 
 
 def predict_batch(model: Model | None, column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Label index (-1: no subword), calibrated score and rejection of each text."""
     n = len(column)
-    best, score = np.full(n, -1), np.zeros(n)
+    best, score = np.full(n, -1, np.int32), np.zeros(n)
     if model is None or not n:
         return best, score, np.ones(n, bool)
     data, at = text_bytes(column)
@@ -166,31 +202,28 @@ def predict_batch(model: Model | None, column: pa.Array, bits: int) -> tuple[np.
         z = z / np.maximum(count, 1)[:, None] + model.bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        best[lo:hi] = p.argmax(1)
+        best[lo:hi] = np.where(count > 0, p.argmax(1), -1)
         score[lo:hi] = p.max(1)
     return best, score, score < model.threshold
 
 
 def predict(docs: DataFrame, model: Model | None, bits: int = 16) -> DataFrame:
-    """``docs`` (any columns) with lang_pred, score and rejected appended."""
+    """(row, lang_pred, score, rejected): ``docs`` (any columns) as ``row``; only texts go to Python workers and only predictions come back."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    letter, names = "__letter", docs.columns
-    held = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("row"), F.col("text").cast("string").alias("text"), has_letter(F.col("text")).alias(letter))
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            best, score, reject = predict_batch(m, batch.column(1), bits)
-            known = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (best >= 0)
-            lang = [m.labels[i] if ok else "und" for i, ok in zip(best, known)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(reject | ~known)], names=["row", "lang_pred", "score", "rejected"])
-
-    from pyspark.sql import types as T
 
-    kind = T.StructType([T.StructField("row", held.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return held.mapInArrow(trimmed(run), kind)
+    @F.arrow_udf("struct<best:int,score:double,rejected:boolean>")
+    def guess(texts: pa.Array) -> pa.Array:
+        best, score, reject = predict_batch(shared.value, texts, bits)
+        return pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(score), pa.array(reject)], ["best", "score", "rejected"])
+
+    text = F.col("text").cast("string")
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    x = docs.select(row, has_letter(text).alias("letter"), guess(text).alias("p"))
+    known = F.col("letter") & (F.col("p.best") >= 0)
+    labels = F.array(*map(F.lit, model.labels)) if model else F.array(F.lit("und"))
+    lang = F.when(known, F.get(labels, F.col("p.best"))).otherwise("und")
+    return x.select("row", lang.alias("lang_pred"), F.when(known, F.col("p.score")).otherwise(0.0).alias("score"), (F.col("p.rejected") | ~known).alias("rejected"))
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
