@@ -7,8 +7,11 @@ each later block, finds them all. A row gets two counts, of almost equal fingerp
 (16 bits), and the least id among the latter as their representative. Equal fingerprints are one entry with a weight,
 and large buckets are compared in tiles, so no task holds an unbounded bucket.
 
+Texts are sorted by descending id in ranges, so each meets its successor in its own task; the last of a range and the first
+of the next are written with the rows and brought together afterwards.
+
 Edge cases: a null or blank text has the all-zero fingerprint; documents of equal id follow each other in
-order of their texts; rows without an id come last; a single document is followed by itself; an empty table
+order of a hash of their texts; rows without an id come last; a single document is followed by itself; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, rounds, stash, text_bytes, token_hashes, trimmed
+from .common import HOT, bounded_batches, hot_join, mix, rounds, stash, text_bytes, token_hashes, trimmed
 
 BYTES = 16
 _SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) > 0, 1.0, -1.0)
@@ -62,58 +65,69 @@ def edit(text: str, following: str) -> str:
 ROWS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def with_next(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """(bucket, tail, doc_id, text) so that each text's successor, by descending id, follows it in its partition.
+EDGES = ROWS + ", part int, edge string, text string"
+RANGE_ROWS = 8192
 
-    Buckets are ranges of ids cut at quantiles; each ends with a copy of the next bucket's first row (tail = 1).
-    """
-    n = docs.count()
-    parts = max(1, min(4096, n // rows))
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bucket = F.lit(len(cuts)) - (F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0))
-    x = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket).cast("int").alias("bucket"))
-    place = F.struct(F.bitwise_not("doc_id").alias("d"), F.col("text").alias("t"))
-    heads = x.groupBy("bucket").agg(F.min_by("text", place).alias("text"))
-    heads = stash(heads, "simhash-heads")  # one row a bucket
-    order = Window.orderBy("bucket")
-    before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy(F.lit(1))))
-    tails = heads.select(before.alias("bucket"), F.lit(1).alias("tail"), F.lit(None).cast("long").alias("doc_id"), "text")
-    x = x.select("bucket", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails)
-    return x.repartition("bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").desc_nulls_last(), "text")
-
-
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+
+def row_batch(ids: list, texts: list[str], following: list[str], fps: np.ndarray, next_fps: np.ndarray) -> dict[str, pa.Array]:
+    """The columns of ``ROWS`` for texts, what follows them, and the fingerprints of both."""
+    edited = [edit(t, f) for t, f in zip(texts, following)]
+    efps = fingerprints(edited)
+    return {
+        "doc_id": pa.array(ids, pa.int64()),
+        "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+        "fingerprint": pa.array([f.tobytes().hex() for f in fps], pa.string()),
+        "edited_fingerprint": pa.array([f.tobytes().hex() for f in efps], pa.string()),
+        "near_edited": pa.array(likeness(fps, efps), pa.float64()),
+        "near_next": pa.array(likeness(fps, next_fps), pa.float64()),
+    }
+
+
+def fingerprint_edits(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses."""
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // range_rows))
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("t")]
+    x = x.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def edge(part, kind, doc, text):
+        blank = {n: pa.nulls(1, k) for n, k in zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))}
+        return pa.RecordBatch.from_pydict(blank | {"doc_id": pa.array([doc], pa.int64()), "part": pa.array([part], pa.int32()), "edge": [kind], "text": [text]})
 
     def run(batches):
-        held = None  # the last row, which still waits for its successor: (doc_id, text, fingerprint)
+        held = part = None  # the last row, which still waits for its successor: (doc_id, text, fingerprint)
         for batch in batches:
-            tail, ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            if not batch.num_rows:
+                continue
+            ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             fps = fingerprints(texts)
             if held:
-                tail, ids, texts, fps = [0, *tail], [held[0], *ids], [held[1], *texts], np.concatenate([held[2][None], fps])
-            held = None if tail[-1] else (ids[-1], texts[-1], fps[-1])
-            own = [i for i in range(len(ids) - 1) if not tail[i]]
-            if not own:
-                continue
-            edited = [edit(texts[i], texts[i + 1]) for i in own]
-            efps = fingerprints(edited)
-            mine = fps[own]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array([ids[i] for i in own], pa.int64()),
-                    "n_chars": pa.array([len(texts[i]) for i in own], pa.int64()),
-                    "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
-                    "fingerprint": [f.tobytes().hex() for f in mine],
-                    "edited_fingerprint": [f.tobytes().hex() for f in efps],
-                    "near_edited": likeness(mine, efps),
-                    "near_next": likeness(mine, fps[[i + 1 for i in own]]),
-                }
-            )
-
-    return with_next(docs).mapInArrow(trimmed(run), ROWS)
+                ids, texts, fps = [held[0], *ids], [held[1], *texts], np.concatenate([held[2][None], fps])
+            else:
+                part = batch.column(0)[0].as_py()
+                yield edge(part, "head", ids[0], texts[0])
+            held, n = (ids[-1], texts[-1], fps[-1]), len(ids) - 1
+            if n:
+                yield pa.RecordBatch.from_pydict(row_batch(ids[:n], texts[:n], texts[1:], fps[:n], fps[1:]) | {"part": pa.array([part] * n, pa.int32()), "edge": pa.nulls(n, pa.string()), "text": pa.nulls(n, pa.string())})
+        if held:
+            yield edge(part, "tail", held[0], held[1])
+
+    def meet(batches):
+        for batch in batches:
+            ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
+            yield pa.RecordBatch.from_pydict(row_batch(ids, texts, following, fingerprints(texts), fingerprints(following)))
+
+    found = stash(x.mapInArrow(trimmed(run), EDGES), "simhash-rows")
+    # one head and one tail a range; after the last range comes the first
+    heads, tails = (found.where(F.col("edge") == e).select("part", "doc_id", "text") for e in ("head", "tail"))
+    nexts = heads.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"), F.min("part").over(Window.partitionBy(F.lit(1))).alias("first"))
+    nexts = nexts.select("part", F.coalesce("next", "first").alias("next")).join(heads.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
+    last = tails.join(nexts, "part").select("doc_id", "text", "following").mapInArrow(trimmed(meet), ROWS)
+    return found.where("edge is null").select(*names).unionByName(last)
 
 
 #: Bits within which two fingerprints are of like texts: edits that leave a 5-word Jaccard of 0.8 move about 7 to 12 of
@@ -180,7 +194,7 @@ def close_pairs(words: np.ndarray, masks: np.ndarray, table: int, radius: int):
 
 
 def neighbours(prints: DataFrame, radius: int = 3, tile: int = 1 << 16, like: int | None = None) -> DataFrame:
-    """(fingerprint, n_near, n_like, like_id), one row per distinct fingerprint of ``prints`` (fingerprint: hex; doc_id if there is one).
+    """(fingerprint, n_near, n_like, like_id, n_rows), one row per distinct fingerprint of ``prints`` (fingerprint: hex; doc_id if there is one).
 
     n_near, n_like: how many rows lie within ``radius`` and within ``like`` bits (``radius`` by default), itself left out.
     like_id: the least doc_id of all rows within ``like`` bits, its own included; null if none has an id.
@@ -227,15 +241,19 @@ def neighbours(prints: DataFrame, radius: int = 3, tile: int = 1 << 16, like: in
         out = pd.concat(out)
         return out.groupby(["w0", "w1"], as_index=False).agg({"near": "sum", "alike": "sum", "least": "min"})
 
-    found = x.groupBy("task").applyInPandas(compare, "w0 long, w1 long, near long, alike long, least long")
+    # a fixed number of tasks: groups are few rows but much work
+    tasks = min(groups, 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = x.repartition(tasks, "task").groupBy("task").applyInPandas(compare, "w0 long, w1 long, near long, alike long, least long")
     found = found.groupBy("w0", "w1").agg(F.sum("near").alias("near"), F.sum("alike").alias("alike"), F.min("least").alias("least"))
     count = lambda c: (F.col("n") - 1 + F.coalesce(c, F.lit(0)))
     fingerprint = F.lower(F.concat(*(F.lpad(F.hex(f"w{i}"), 16, "0") for i in range(2)))).alias("fingerprint")
     like_id = F.least("id", F.nullif("least", F.lit(none))).alias("like_id")
-    return entries.join(found, ["w0", "w1"], "left").select(fingerprint, count("near").alias("n_near"), count("alike").alias("n_like"), like_id)
+    return entries.join(found, ["w0", "w1"], "left").select(fingerprint, count("near").alias("n_near"), count("alike").alias("n_like"), like_id, F.col("n").alias("n_rows"))
 
 
-def fingerprint_all(docs: DataFrame, radius: int = 3, like: int = LIKE) -> DataFrame:
-    rows = stash(fingerprint_edits(docs), "simhash-rows")
-    found = neighbours(rows.select("doc_id", "fingerprint"), radius, like=like)
-    return rows.join(found, "fingerprint").select(*(c.split()[0] for c in ROWS.split(", ")), "n_near", "n_like", "like_id")
+def fingerprint_all(docs: DataFrame, radius: int = 3, like: int = LIKE, range_rows: int = RANGE_ROWS) -> DataFrame:
+    rows = fingerprint_edits(docs, range_rows)  # written but for one row a range
+    found = stash(neighbours(rows.select("doc_id", "fingerprint"), radius, like=like), "simhash-near")
+    # a very common text has one fingerprint
+    found = hot_join(rows, found, ["fingerprint"], F.col("n_rows") > rows.count() * HOT, ["doc_id", "edited_sha256"])
+    return found.select(*(c.split()[0] for c in ROWS.split(", ")), "n_near", "n_like", "like_id")
