@@ -6,13 +6,15 @@ the rank of the position as many lines further on. Positions whose rank is uniqu
 equal rank at depth ``d`` is the longest-common-prefix interval of depth ``d``. A run counts if it has ``min_words`` words or more;
 every such run is the union of its smallest blocks that reach ``min_words`` going forward and going backward, so doubling
 stops at the depth that these blocks need, and their union gives the maximal repeated runs exactly. Of each repeated block the
-first copy, by (doc_id, line), stays; lines in later copies are deleted. Each line's first copy always stays.
+first copy stays, by (doc_id, hash of the text, place of the row, line); lines in later copies are deleted. Each line's first copy always stays.
 
-All steps are DataFrame operations; ranks inside a group are prefix sums in two levels over distinct pairs, so a very common line
-is no single task.
+All steps are DataFrame operations over lines; a document is named by the place of its row (``common.placed``), so rows without an
+id or of equal ids are documents of their own and meet in no common task. Ranks inside a group are prefix sums in two levels over
+distinct pairs, in as many buckets as their count asks for. Joins on a line or block split the rows of those that hold more than
+``HOT`` of all rows.
 
-Edge cases: a null text has no lines and stays null; blank lines stay; lines are compared exactly; rows of equal doc_id
-are documents of their own, in order of a hash of their texts; rows without an id come last; an empty table gives no rows; extra columns
+Edge cases: a null text has no lines and stays null; blank lines stay; lines are compared exactly; of equal rows the copies
+after the first lose their repeated lines; rows without an id come last; an empty table gives no rows; extra columns
 of any name pass through.
 """
 
@@ -23,10 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stash
+from .common import HOT, bounded_batches, hot_join, placed, stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-DOC = ["d", "rep"]
+DOC = ["rf", "ri"]
+#: Distinct pairs that one task ranks.
+RANK_ROWS = 65_536
 
 
 def _reach(words: Column, least: int) -> Column:
@@ -36,18 +40,14 @@ def _reach(words: Column, least: int) -> Column:
     return F.aggregate(words, start, step, lambda acc: F.when(acc["s"] >= least, acc["n"]))
 
 
-def copies() -> Window:
-    """Numbers the rows of equal doc_id; ``key`` is a hash of the id, so that null ids have one too."""
-    return Window.partitionBy("key").orderBy("d", "t")
-
-
 def positions(docs: DataFrame, min_words: int) -> DataFrame:
-    """(d, rep, i, line, h, g, ahead, back): a row per line that is not blank; ``line`` counts all lines from 0."""
+    """(rf, ri, d, t, i, line, h, g, ahead, back) of (rf, ri, doc_id, text): a row per line that is not blank; ``line`` counts all lines from 0."""
+    text = F.col("text").cast("string")
     line = F.filter(
-        F.transform(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("w"))),
+        F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("g"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("w"))),
         lambda s: s["w"] > 0,
     )
-    x = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"), F.xxhash64("text").alias("t"), line.alias("lines")).withColumn("rep", F.row_number().over(copies()))
+    x = docs.select(*DOC, F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("t"), line.alias("lines"))
     x = x.where(F.size("lines") > 0).withColumn("w", F.col("lines.w")).withColumn("r", F.reverse("w")).withColumn("n", F.size("w"))
     rows = F.transform(
         "lines",
@@ -57,18 +57,22 @@ def positions(docs: DataFrame, min_words: int) -> DataFrame:
             _reach(F.slice("r", F.col("n") - i, F.lit(min_words)), min_words).alias("back"),
         ),
     )
-    return x.select("d", "rep", F.explode(rows).alias("x")).select("d", "rep", "x.*")
+    return x.select(*DOC, "d", "t", F.explode(rows).alias("x")).select(*DOC, "d", "t", "x.*")
+
 
+def ranked(pairs: DataFrame, first: str, second: list[str], bits: Column) -> DataFrame:
+    """Distinct (first, second) that occur twice or more, with their rank (``first`` plus how many rows of it sort before) and number ``n``.
 
-def ranked(pairs: DataFrame, first: str, second: list[str], bucket: Column) -> DataFrame:
-    """Distinct (first, second) that occur twice or more, with their rank: ``first`` plus how many rows of it sort before."""
-    groups = stash(pairs.groupBy(first, *second).agg(F.count("*").alias("n")).where("n > 1").withColumn("b", bucket), "line-groups")
-    tops = groups.groupBy(first, "b").agg(F.sum("n").alias("n"))
+    ``bits`` is what ``second`` is sorted by first, as a number from 0 to 1; it deals each ``first`` into buckets.
+    """
+    groups = stash(pairs.groupBy(first, *second).agg(F.count("*").alias("n")).where("n > 1"), "line-groups")
+    groups = groups.withColumn("b", F.floor(bits * F.lit(float(-(-groups.count() // RANK_ROWS)))))
+    tops = groups.groupBy(first, "b").agg(F.sum("n").alias("m"))
     before = Window.partitionBy(first).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(F.col(first).alias("f2"), F.col("b").alias("b2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("top"))
+    tops = tops.select(first, "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("top"))
     inner = Window.partitionBy(first, "b").orderBy(*second).rowsBetween(Window.unboundedPreceding, -1)
-    out = groups.withColumn("in", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(tops, (F.col(first) == F.col("f2")) & (F.col("b") == F.col("b2")))
-    return out.select(first, *second, (F.col(first) + F.col("top") + F.col("in")).alias("rank"))
+    out = groups.withColumn("in", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(tops, [first, "b"])
+    return stash(out.select(first, *second, (F.col(first) + F.col("top") + F.col("in")).alias("rank"), "n"), "line-names")
 
 
 def at(offset: int, col: str) -> Column:
@@ -78,19 +82,22 @@ def at(offset: int, col: str) -> Column:
 
 def doubled(pos: DataFrame, depth: int) -> DataFrame:
     """``pos`` with rank_0 .. rank_depth: the rank by the first 2 ** k lines, null where that is unique."""
-    first = pos.withColumn("zero", F.lit(0).cast("long"))
-    names = ranked(first, "zero", ["h", "g"], F.shiftrightunsigned("h", 54).cast("long"))
-    x = pos.join(names.select("h", "g", F.col("rank").alias("rank_0")), ["h", "g"]).drop("h", "g")
+    total = max(1, pos.count())
+    hot = F.col("n") > total * HOT
+    names = ranked(pos.withColumn("zero", F.lit(0).cast("long")), "zero", ["h", "g"], F.col("h") / F.lit(2.0**64) + 0.5)
+    x = hot_join(pos, names.select("h", "g", F.col("rank").alias("rank_0"), "n"), ["h", "g"], hot, [*DOC, "i"]).drop("h", "g", "n")
     for k in range(depth):
-        x = stash(x.withColumn("next", at(1 << k, f"rank_{k}")), "line-ranks")
-        pairs = x.where(F.col(f"rank_{k}").isNotNull() & F.col("next").isNotNull()).select(F.col(f"rank_{k}").alias("a"), F.col("next").alias("b_"))
-        names = ranked(pairs, "a", ["b_"], F.shiftright("b_", 12))
-        x = x.join(names.withColumnRenamed("rank", f"rank_{k + 1}"), (F.col(f"rank_{k}") == F.col("a")) & (F.col("next") == F.col("b_")), "left").drop("a", "b_", "next")
+        x = stash(x.withColumn("b_", at(1 << k, f"rank_{k}")).withColumn("a", F.when(F.col("b_").isNotNull(), F.col(f"rank_{k}"))), "line-ranks")
+        names = ranked(x.where("a is not null").select("a", "b_"), "a", ["b_"], F.col("b_") / F.lit(float(total)))
+        new = names.select("a", "b_", F.col("rank").alias(f"rank_{k + 1}"), "n")
+        # positions without a pair have nothing to be joined with
+        both = hot_join(x.where("a is not null"), new, ["a", "b_"], hot, [*DOC, "i"], "left").drop("n")
+        x = both.unionByName(x.where("a is null").withColumn(f"rank_{k + 1}", F.lit(None).cast("long"))).drop("a", "b_")
     return stash(x, "line-ranks")
 
 
 def later_copies(pos: DataFrame, min_words: int) -> DataFrame:
-    """(d, rep, removed): numbers of the lines that are later copies, as a sorted array."""
+    """(rf, ri, removed): numbers of the lines that are later copies, as a sorted array."""
     depth = min_words.bit_length() - 1
     x = doubled(pos, depth)
     ranks, blocks = {}, []
@@ -104,14 +111,13 @@ def later_copies(pos: DataFrame, min_words: int) -> DataFrame:
             start = F.col("i") + head
             whole = (F.col(way) == size) & F.col(p[0]).isNotNull() & F.col(q[0]).isNotNull()
             blocks.append(F.when(whole, F.struct(start.alias("start"), F.lit(size).alias("size"), F.col(p[0]).alias("p"), F.col(q[0]).alias("q"))))
-    found = x.withColumns(ranks).select(*DOC, F.explode(F.filter(F.array(*blocks), lambda s: s.isNotNull())).alias("x")).select(*DOC, "x.*")
-    place = F.struct(F.col("d").isNull().alias("no"), F.col("d").alias("d"), F.col("rep").alias("rep"), F.col("start").alias("start"))
+    found = x.withColumns(ranks).select(*DOC, "d", "t", F.explode(F.filter(F.array(*blocks), lambda s: s.isNotNull())).alias("x")).select(*DOC, "d", "t", "x.*")
+    place = F.struct(F.col("d").isNull().alias("no"), "d", "t", *DOC, "start")
     found = stash(found, "line-blocks")
-    first = found.groupBy("size", "p", "q").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["size", "p", "q"]).where(place > F.col("first"))
+    first = found.groupBy("size", "p", "q").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = hot_join(found, stash(first, "line-firsts"), ["size", "p", "q"], F.col("n") > max(1, found.count()) * HOT, [*DOC, "start"]).where(place > F.col("first"))
     hit = later.select(*DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("i")).distinct()
-    lines = x.select(F.col("d").alias("d2"), F.col("rep").alias("rep2"), F.col("i").alias("i2"), "line")
-    hit = hit.join(lines, F.col("d").eqNullSafe(F.col("d2")) & (F.col("rep") == F.col("rep2")) & (F.col("i") == F.col("i2")))
+    hit = hit.join(x.select(*DOC, "i", "line"), [*DOC, "i"])
     return hit.groupBy(*DOC).agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -133,12 +139,10 @@ def without_lines(text: pd.Series, removed: pd.Series) -> pd.Series:
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(row, text, removed): the row as it was, its text without later copies, and the numbers of the lines taken out."""
     bounded_batches(docs.sparkSession)
-    gone = stash(removals(docs, min_words), "line-removals")
-    # one row an id, joined on the key that the copies are numbered by: the texts are shuffled once
-    gone = gone.groupBy(F.xxhash64("d").alias("key")).agg(F.collect_list(F.struct("rep", "removed")).alias("gone"))
-    x = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-    x = x.withColumn("key", F.xxhash64("d")).withColumn("rep", F.row_number().over(copies())).join(gone.hint("merge"), "key", "left")
-    x = x.withColumn("removed", F.get(F.filter("gone", lambda g: g["rep"] == F.col("rep")), F.lit(0))["removed"])
+    x = placed(docs, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    gone = stash(removals(x.select("doc_id", "text", *DOC), min_words), "line-removals")
+    # both sides grow with the input, so neither is broadcast at any size; the texts are shuffled once
+    x = x.select(*DOC, "row", "text").join(gone.hint("merge"), DOC, "left")
     return x.select("row", without_lines("text", "removed").alias("text"), "removed")
 
 
