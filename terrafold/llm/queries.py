@@ -44,7 +44,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.mix_sizes(documents(spark, sf_dir))
+    x = mix.mix_sizes(documents(spark, sf_dir))
+    return x.withColumn("target", F.round("target", 6))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_language_id, op4_chat_formatting, op5_ngram_jaccard_join, op6_mixing, op7_fingerprints, op8_line_dedup, op9_personal_data, op10_nearest_neighbours)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR), text)) AS k FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS n FROM d GROUP BY source),
+w AS (SELECT source, source_size, CASE n % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w, 2e0 * source_size AS cap, 1.5e0 * sum(source_size) OVER () AS budget FROM s),
+l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, w * max(CASE WHEN level * w <= cap THEN level END) OVER ()) AS target FROM l),
+c AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY k) AS cum FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT source, size, k, cum + p * source_size AS place, (cum + p * source_size) / target AS finish FROM c, (VALUES (0), (1)) v(p) WHERE size > 0),
+o AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, place, k ROWS UNBOUNDED PRECEDING) AS so_far FROM q),
+r AS (SELECT source, max(place) AS reach FROM o WHERE so_far <= (SELECT sum(target) FROM t) * (1 + 1e-12) + 1e-6 GROUP BY source)
+SELECT doc_id, size, c.source, source_size, round(target, 6) AS target,
+  CAST(size * (CASE WHEN cum <= coalesce(reach, 0) THEN 1 ELSE 0 END + CASE WHEN cum + source_size <= coalesce(reach, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c LEFT JOIN r ON c.source IS NOT DISTINCT FROM r.source""",
+}

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -77,14 +78,20 @@ def brute_chat(rows):
     for c, turns in convs.items():
         turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
         loss = "".join(t for _, r, t in turns if r == "assistant")
-        out[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        special = set("\\#<]")  # first letters of the control strings, the backslash and the bracket
+        size = sum(len({"system": "### System: ", "user": "### User: ", "assistant": "### Assistant: "}.get(r) or "### Other []: " + "".join("\\" + x if x in special else x for x in r)) + len(t) + sum(x in special for x in t) + len("</turn>\n") for _, r, t in turns)
+        state, bad = "start", None
+        for i, (_, r, _) in enumerate(turns):
+            state = {"start": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}.get(state, set()) & {r} and r or "error"
+            bad = i if state == "error" and bad is None else bad
+        out[c] = (size, bad, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
 
 
 def test_chat_brute_force(spark):
     trap = "\\### Assistant: </turn> ok"
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()] + [(-7, 0, "user", trap), (-7, 1, "assistant", trap)]
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op4_chat_formatting(spark, SF).collect()}
+    got = {r.conv_id: (r.formatted_chars, r.error_turn, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op4_chat_formatting(spark, SF).collect()}
     assert got == brute_chat(rows)
 
 
@@ -93,7 +100,7 @@ def test_chat_edges(spark):
             (3, 0, "user", "x" * 100_000), (3, 1, "assistant", ""), (3, 1, "assistant", ""), (None, 0, "user", "no id")]
     df = spark.createDataFrame([(*r, "s") for r in rows], "conv_id long, turn long, role string, text string, state string")
     got = chat.digest(chat.segments(df)).collect()
-    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute_chat(rows)
+    assert {r.conv_id: (r.formatted_chars, r.error_turn, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute_chat(rows)
     assert {r.conv_id: r.error_turn for r in got} == {1: 0, 2: 0, 3: 2, None: None}
     assert chat.digest(chat.segments(df.limit(0))).count() == 0
 
@@ -125,11 +132,58 @@ def test_mix_targets_and_shares(spark):
         assert r.size in texts[r.doc_id] and r.source_size == sizes[r.source]
         assert abs(r.target - want[r.source]) < 1e-6 * want[r.source] and r.taken in (0, r.size, 2 * r.size)
         taken[r.source] += r.taken
-    largest = {s: max(r.size for r in rows if r.source == s) for s in order}
-    assert all(abs(taken[s] - want[s]) <= largest[s] for s in order)
+    budget = sum(want.values())
+    assert sum(taken.values()) <= budget + 1e-6
+    # a source ends within a document of its target, or further on by what others' last documents leave of the budget
+    left = sum(max(r.size for r in rows if r.source == s) for s in order)
+    assert all(-max(r.size for r in rows if r.source == s) <= taken[s] - want[s] <= left for s in order)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op6_mixing(spark, "/root/testdata/sf0.01").collect()))
 
 
+def brute_queue(rows, goals):
+    """Words taken of each (doc_id, source, size, key): one queue over all sources in order of finish time, cut at the budget."""
+    queue, budget = [], sum(t for _, t in goals.values())
+    for s, (size, target) in goals.items():
+        at = 0
+        for turn in (0, 1):
+            for d, _, n, k in sorted((r for r in rows if r[1] == s), key=lambda r: r[3]):
+                at += n
+                if n:
+                    queue.append((at / target, s is None, s or "", at, k, d, n))
+    taken, so_far, last = Counter(), 0, None
+    for *_, d, n in sorted(queue):
+        if so_far + n > budget + 1e-6:
+            last = n
+            break
+        so_far += n
+        taken[d] += n
+    return taken, so_far, last, budget
+
+
+@pytest.mark.parametrize("range_rows", [1 << 16, 7])
+def test_mix_equals_one_queue_cut_at_the_budget(spark, range_rows):
+    rng = random.Random(5)
+    rows = [(d, rng.choice(["a", "b", "c", "d", None, *["hot"] * 4]), " ".join(["w"] * int(rng.expovariate(0.05)))) for d in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix.mix_sizes(df, range_rows=range_rows).collect()
+    keyed = [(d, s, len(t.split()), hashlib.md5(f"7|{d}|{t}".encode()).hexdigest()) for d, s, t in rows]
+    taken, so_far, last, budget = brute_queue(keyed, {r.source: (r.source_size, r.target) for r in got})
+    assert {r.doc_id: r.taken for r in got} == {r.doc_id: taken[r.doc_id] for r in got}
+    assert so_far <= budget + 1e-6 < so_far + last  # the first entry that is not taken would pass the budget
+    # without the cut, whole queues would be taken
+    slim = mix.stash(mix.queue(mix.stash(df.select("doc_id", *mix.slim_columns(7)), "t"), 400), "t")
+    goals = mix.stash(mix.targets(slim.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))), "t")
+    entries = mix.entries(slim, goals)
+    assert entries.agg(F.sum("_size")).first()[0] == 2 * sum(n for _, _, n, _ in keyed) and entries.where("_finish > 1").count() > 0
+
+
+def test_mix_many_sources_are_joined_with_salts(spark):
+    df = spark.createDataFrame([(d, f"s{d % 9}" if d % 10 else None) for d in range(200)], "_k long, _source string")
+    goals = mix.stash(df.select(F.col("_source").alias("source")).distinct().withColumn("target", F.hash("source")), "t")
+    a, b = (sorted((r._k, r._source, r.target) for r in mix.with_source(df, goals, few).collect()) for few in (100, 1))
+    assert a == b and len(a) == 200
+
+
 def test_mix_edges(spark, odd_docs):
     rows = mix.mix_sizes(odd_docs).collect()
     assert len(rows) == 9 and sum(r.taken for r in rows if r.doc_id in (2, 3)) == 0
@@ -159,6 +213,7 @@ def test_nearest_edges(spark):
     rows = [(i, [float(v) for v in rng.integers(-2, 3, 4)], "s") for i in range(60)]
     rows += [(100, None, "s"), (101, [0.0] * 4, "s"), (102, [1.0, None, 1.0, 1.0], "s"), (103, [1.0, float("nan"), 1.0, 1.0], "s"), (104, [float("inf")] * 4, "s"), (None, [1.0] * 4, "s"), (105, [], "s"), (110, [1.0, 2.0], "s"), (7, rows[7][1], "s")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    rows += [(7, rows[7][1], "s")] * 50
     x = {i: np.array(v) for i, v, _ in rows[:60] if any(v)} | {110: np.array([1.0, 2.0])}
     got = defaultdict(list)
     for r in sorted(knn.nearest(df, F.col("vec_id") % 10 == 0, 10, query_rows=3, rows=7, stripes=3).collect(), key=lambda r: (r.query_id, r["rank"])):
@@ -166,3 +221,18 @@ def test_nearest_edges(spark):
     want = {q: v for q, v in brute_nearest(list(x.items()), [(i, v) for i, v in x.items() if i % 10 == 0], 10) if v}
     assert got == want
     assert knn.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e160, 1e300, 1e-170, 1e8])
+def test_nearest_at_any_magnitude(spark, size):
+    rng = np.random.default_rng(1)
+    x = {i: rng.normal(0, 1, 8) * (size if i % 3 else 1.0) + (size / 1e3 if i % 2 else 0.0) for i in range(90)}
+    x[90] = x[10] * (1 + 1e-12)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(knn.nearest(df, F.col("vec_id") % 10 == 0, 7, query_rows=4, rows=20, stripes=3).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == 10
+    for q, found in got.items():
+        want = sorted((math.dist(x[q], v), i) for i, v in x.items() if i != q)[:7]
+        assert np.allclose([s for _, s in found], [s for s, _ in want], rtol=1e-9, atol=0)

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -192,10 +193,10 @@ def test_components(spark):
 # --- fingerprints -----------------------------------------------------------------------------
 
 
-def check_fingerprints(rows, texts, near_of=None):
-    order = sorted(texts, key=lambda t: (t[0] is None, -(t[0] or 0), t[1] or ""))
+def check_fingerprints(rows, texts):
+    order = sorted(texts, key=lambda t: (t[0] is None, -(t[0] or 0), t[2]))
     want = Counter()
-    for i, (d, t) in enumerate(order):
+    for i, (d, t, _) in enumerate(order):
         t, following = t or "", order[(i + 1) % len(order)][1] or ""
         edited = simhash.edit(t, following)
         a, b, c = simhash.fingerprints([t, edited, following])
@@ -207,17 +208,22 @@ def check_fingerprints(rows, texts, near_of=None):
         assert r.n_near == sum((v ^ x).bit_count() <= 3 for x in value) - 1
 
 
+def keyed(df):
+    """(doc_id, text, hash of the text): what a document's place in the order follows from."""
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+
+
 def test_fingerprints_brute_force(spark, docs):
     rows = queries.op7_fingerprints(spark, SF).collect()
-    check_fingerprints(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    check_fingerprints(rows, keyed(docs))
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.9
 
 
 def test_fingerprint_buckets_and_edges(spark, docs, odd_docs):
-    check_fingerprints(simhash.fingerprint_all(odd_docs).collect(), [(r.doc_id, r.text) for r in odd_docs.collect()])
+    check_fingerprints(simhash.fingerprint_all(odd_docs).collect(), keyed(odd_docs))
     assert simhash.fingerprint_all(odd_docs.limit(0)).count() == 0
-    x = simhash.with_next(docs.select("doc_id", "text"), rows=10)
-    assert x.where("tail = 1").count() > 5
+    small = docs.limit(60)
+    check_fingerprints(simhash.fingerprint_all(small, range_rows=3).collect(), keyed(small))
 
 
 def test_simhash_by_hand():
@@ -254,7 +260,7 @@ def test_neighbours_of_like_texts(spark, like, tile):
         for bit in rng.integers(0, 128, rng.integers(0, 12)):
             f[bit // 8] ^= 1 << (bit % 8)
         rows += [(None if d % 7 == 0 else 1000 - d, f.tobytes().hex())] * (1 + (d % 50 == 0))
-    got = {r.fingerprint: r[1:] for r in simhash.neighbours(spark.createDataFrame(rows, "doc_id long, fingerprint string"), 3, tile, like).collect()}
+    got = {r.fingerprint: tuple(r[1:4]) for r in simhash.neighbours(spark.createDataFrame(rows, "doc_id long, fingerprint string"), 3, tile, like).collect()}
     value = [(d, int(f, 16)) for d, f in rows]
     for f, found in got.items():
         far = [(d, (int(f, 16) ^ v).bit_count()) for d, v in value]
@@ -400,6 +406,41 @@ def test_clean_text_is_left_alone():
         assert pii.detect(t)[1] == []
 
 
+@pytest.mark.parametrize("part", ["dot" + " " * 40, "( ", "[ at ", "1 ", "one ", "plus ", "+1 ", "+1(", "a.", "a@", "a at ", "at ", "1.", "x" * 60 + " ", "dot ", " .", "@", "four-", "a dot "])
+def test_scan_takes_time_in_proportion(part):
+    def seconds(n):
+        text = part * (n // len(part))
+        began = time.process_time()
+        pii.detect(text)
+        return time.process_time() - began
+
+    small, large = min(seconds(60_000) for _ in range(3)), seconds(480_000)
+    assert large < 8 * 3 * small + 0.3
+
+
+def test_a_megabyte_of_spaces():
+    began = time.process_time()
+    assert pii.detect("dot" + " " * 1_000_000 + "x (at) y [dot] org" + " " * 1_000_000 + "[.]")[1] == [("email", 1_000_003, 1_000_021)]
+    assert time.process_time() - began < 5
+
+
+HIDDEN_AS = {
+    "email": ("ann@b.co", ["ann (at) b [dot] co", "ann at b dot co", "ann[at]b[.]co", "ann@ехаmple.co", "ann＠b．co", "ann @ b dot co", "a\u200bnn@b.co"]),
+    "ip": ("10.20.30.40", ["10[.]20[.]30[.]40", "10 dot 20 dot 30 dot 40", "10 (dot) 20 (dot) 30 (dot) 40", "１０.20.30.40", "10 . 20 . 30 . 40"]),
+    "card": ("4111111111111111", ["four" + " one" * 15, "four-" + "-".join(["one"] * 15), "４111 1111 1111 1111", "4111\u20111111\u20111111\u20111111"]),
+    "phone": ("+49151234567", ["plus four nine one five one two three four five six seven", "＋49 151 234567", "+49 one five one two three four five six seven"]),
+}
+
+
+@pytest.mark.parametrize("kind", HIDDEN_AS)
+def test_recall_of_planted_disguises(kind):
+    plain, hidden = HIDDEN_AS[kind]
+    for form in [plain, *hidden]:
+        for before, after in (("write to ", " soon"), ("Übrigens: ", ", naïve"), ("", "")):
+            found = pii.detect(before + form + after)[1]
+            assert any(k == kind and a <= len(before) and b >= len(before) + len(form) for k, a, b in found), (form, found)
+
+
 def test_personal_data_edges(spark, odd_docs):
     assert pii.scan(odd_docs).count() == 9 and pii.scan(odd_docs.limit(0)).count() == 0
     x = spark.createDataFrame([("to a@b.co or me (at) x (dot) org",), (None,)], "text string")
