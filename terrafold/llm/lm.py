@@ -1,22 +1,26 @@
 """Language-model scoring with a log-frequency Bloom filter over quantised n-gram counts.
 
-A bigram model with Witten-Bell smoothing,
-``P(w|u) = (c(u,w) + t(u) * P(w)) / (c(u) + t(u))``, ``P(w) = (c(w) + 1) / (N + V + 1)``,
-where ``t(u)`` counts the different tokens seen after ``u``. The counts c(w), c(u,w) and t(u), over all
-training documents, are quantised to levels that grow by ``GROWTH``; an n-gram of level ``q`` is in the
+An n-gram model of ``ORDER`` (2: bigrams) with hierarchical smoothing: ``P(w) = (c(w) + 1) / (N + V + 1)`` and, from order to order,
+``P(w|u) = (c(u,w) + k * P(w|shorter u)) / (c(u) + k)``, where ``k = 1 + c(u) ** 0.6`` stands for the different tokens seen after ``u``.
+The counts of all orders, over all training documents, are quantised to levels that grow by ``GROWTH``; an n-gram of level ``q`` is in the
 filter as (n-gram, 1) ... (n-gram, q), and is read back by probing level after level. All probes of an
 entry fall into one 64-bit word, so a probe is one look into memory; more bits an entry make up for it
-(under 1% false positives).
+(under 1% false positives). A count read back is clamped by those of its context and of its shorter n-gram, so
+that no probability passes 1 and a false positive after an unseen context counts for nothing.
 
-Counting: every chunk of neighbouring rows emits sorted blocks of (hash, count) per hash bucket; buckets are summed
+Counting: tasks emit sorted blocks of (hash, count) per hash bucket; buckets are summed
 and turned into filter blocks by the tasks that hold them. The number of buckets follows the number
-of documents, so a task's share stays the same; very common n-grams arrive once a chunk. The
-driver only gathers finished filter blocks. Filter blocks are broadcast in rounds of at most
-``round_bytes``; with more than one round, documents carry the levels found so far to the next one,
-so memory is bounded and no n-gram is dropped however large the corpus.
+of documents, so a task's share stays the same; a block that a task emits is an ever smaller part of its
+bucket, down to a key a row, which is an ordinary shuffle of pre-aggregated counts. Where buckets are many, blocks are first merged in groups, so that a
+bucket with a very common n-gram never gets a row from every task.
+
+The filter is broadcast. Beyond ``round_bytes`` it goes in rounds, each a range of buckets: the distinct n-grams of every chunk of documents are
+written once, by round; a round reads its own n-grams only and writes their levels, and the levels join the documents at the end. So texts are
+not written again, each n-gram is probed once, memory is bounded and no n-gram is dropped however large the corpus.
 
 The exact baseline needs each token's exact count: each chunk asks the buckets for the counts of
-its own vocabulary and gets one dictionary back, to which its documents are joined.
+its own vocabulary and gets one dictionary back, to which its documents are joined. A chunk is ``CHUNK_ROWS`` neighbouring rows of a
+file, or fewer long ones: rows of like length share chunks of at most ``CHUNK_BYTES`` of text (a longer text is a chunk of its own).
 
 Edge cases: a null text is empty and holds the end token alone; a null doc_id is a training row (its hash has no remainder);
 repeated rows count and are scored each; an empty table gives no rows; with no training document
@@ -25,26 +29,27 @@ all counts are 0 and every token has probability 1 / (N + V + 1) = 1; extra colu
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, mix, rounds, stash, text_bytes, token_hashes, trimmed
+from .common import bounded_batches, give_back, mix, placed, rounds, stash, text_bytes, token_hashes, trimmed
 
 GROWTH = 1.2
 BITS, PROBES = 13, 6
+ORDER = 2
 #: Also the context of a text's first token: both are seen once a text.
 END = np.uint64(0x51ED270B7A4B3C9D)
-BIGRAM, COUNT, AFTER = 0, 1, 2
-FLUSH = 400_000
-#: Neighbouring rows of a file that share one dictionary of exact counts, and documents a hash bucket: both bound what a task holds at once.
-CHUNK_ROWS, BUCKET_DOCS = 4096, 1024
+GRAM, COUNT = 0, 1
+FLUSH = 1_000_000
+#: Documents a hash bucket, and buckets up to which blocks go straight to their bucket.
+BUCKET_DOCS, DIRECT_BITS = 1024, 12
+CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 24
 STRIDE = 6
 
 
@@ -64,7 +69,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 def planes(a: np.ndarray) -> bytes:
-    """Byte planes of 64-bit numbers, compressed unless few: sorted high bytes and empty low bytes take little room."""
+    """Byte planes of 64-bit numbers, compressed unless few: high bytes that are alike take little room."""
     raw = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
     return b"\1" + len(a).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True) if len(a) >= 64 else b"\0" + raw
 
@@ -74,24 +79,23 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def runs(ctx: np.ndarray) -> np.ndarray:
-    """Sorted contexts as (context, how often): the low bits of a context key are free for the number."""
-    u, n = np.unique(ctx, return_counts=True)
-    return u | n.astype(np.uint64)
+def steps(sorted_keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them, whose high bytes are empty."""
+    return planes(np.diff(sorted_keys, prepend=np.uint64(0)))
 
 
-def unruns(a: np.ndarray) -> np.ndarray:
-    return np.repeat(context_keys(a), (a ^ context_keys(a)).astype(np.int64))
+def unsteps(b: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(b), dtype=np.uint64)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, their summed counts, and the place of one source row of each."""
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their summed counts."""
     if not len(keys):
-        return keys, counts, np.zeros(0, np.int64)
+        return keys, counts
     order = np.argsort(keys)
     k = keys[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[first], np.add.reduceat(counts[order], first), order[first]
+    return k[first], np.add.reduceat(counts[order], first)
 
 
 def token_stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,33 +109,33 @@ def token_stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, n + 1
 
 
-def contexts(stream: np.ndarray, n: np.ndarray) -> np.ndarray:
-    prev = np.concatenate(([END], stream[:-1])) if len(stream) else stream
-    prev[np.cumsum(n) - n] = END
-    return prev
-
-
-def bigram_keys(prev: np.ndarray, stream: np.ndarray) -> np.ndarray:
-    """48-bit fingerprints in the upper bits."""
-    return mix(prev * np.uint64(0x9E3779B97F4A7C15) + stream) & np.uint64(0xFFFFFFFFFFFF0000)
-
+def grams(stream: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For orders 2 to ``order``: keys (48-bit fingerprints in the upper bits) of the n-grams that end at each token, and which tokens have one.
 
-def context_keys(h: np.ndarray) -> np.ndarray:
-    return h & np.uint64(0xFFFFFFFFFF000000)
+    A text's first token has the end token before it; an n-gram reaches no further back.
+    """
+    out, last, place = [], stream, np.arange(len(stream)) - np.repeat(np.cumsum(n) - n, n)
+    for m in range(2, order + 1):
+        before = np.concatenate(([END], last[:-1])) if len(last) else last
+        before = np.where(place == 0, END, before)
+        last = mix(before * np.uint64(0x9E3779B97F4A7C15) + stream + np.uint64(m - 2))
+        out.append((last & np.uint64(0xFFFFFFFFFFFF0000), place >= m - 2))
+    return out
 
 
 @dataclass
 class Filter:
-    """Filter blocks side by side, in 64-bit words; ``size[kind, bucket]`` is 0 for a block of another round."""
+    """Filter blocks of the buckets from ``first`` on, side by side in 64-bit words; ``size[kind, bucket]`` is 0 where there is none."""
 
     shift: int
+    first: int
     data: np.ndarray
     start: np.ndarray
     size: np.ndarray
 
     def holds(self, kind: int, keys: np.ndarray, level: int) -> np.ndarray:
         """Which keys pass all probes at this level (places)."""
-        bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
+        bucket = (keys >> np.uint64(self.shift)).astype(np.int64) - self.first
         size = self.size[kind][bucket]
         word, mask = probes(keys, size, kind, level)
         found = self.data[word + self.start[kind][bucket]]
@@ -176,66 +180,90 @@ def build_block(kind: int, keys: np.ndarray, counts: np.ndarray) -> bytes:
     return data.astype("<u8").tobytes()
 
 
-PART = "kind int, bucket int, chunk long, keys binary, extra binary, counts binary"
+PART = "kind int, bucket int, chunk long, keys binary, counts binary"
+NAMES = [c.split()[0] for c in PART.split(", ")]
+
+
+def parts_of(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row for each bucket that sorted keys fall into."""
+    cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+    rows = np.flatnonzero(cut[:-1] < cut[1:])
+    part = lambda a, to: pa.array([to(a[cut[i] : cut[i + 1]]) for i in rows], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([chunk] * len(rows), pa.int64()), part(keys, steps), part(counts, planes)], names=NAMES)
+
+
+class Chunks:
+    """What rows of open chunks have gathered: rows of one room (length class) come chunk after chunk."""
+
+    def __init__(self, finish):
+        self.open: dict[int, tuple[int, list]] = {}
+        self.finish = finish
+
+    def add(self, room: int, chunk: int, item):
+        """The finished chunk that this row's one replaces, if any."""
+        done = self.finish(*self.open.pop(room)) if room in self.open and self.open[room][0] != chunk else None
+        self.open.setdefault(room, (chunk, []))[1].append(item)
+        return done
+
+    def rest(self):
+        for chunk, items in self.open.values():
+            yield self.finish(chunk, items)
+
+
+def by_chunk(chunks: np.ndarray, rooms: np.ndarray):
+    """(room, chunk, rows of it) in order of first appearance."""
+    for chunk in dict.fromkeys(chunks.tolist()):
+        rows = chunks == chunk
+        yield int(rooms[np.argmax(rows)]), chunk, rows
 
 
-def _count(bits: int, kind: int):
-    """COUNT: each chunk's vocabulary with training counts. BIGRAM: bigrams of training documents."""
+def _count_words(bits: int):
+    """Each chunk's vocabulary with training counts."""
 
-    def emit(kind, chunk, keys, counts, extra=None):
-        cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-        rows = [i for i in range(1 << bits) if cut[i] < cut[i + 1]]
-        part = lambda a, to=planes: [to(a[cut[i] : cut[i + 1]]) for i in rows]
-        if extra is not None:  # inside a bucket by context, which then takes less room
-            order = np.lexsort((extra, keys >> np.uint64(64 - bits)))
-            keys, counts, extra = keys[order], counts[order], extra[order]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(rows), pa.int32()), pa.array(rows, pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
-             pa.array(part(keys), pa.binary()), pa.array(part(extra, lambda a: planes(runs(a))) if extra is not None else [None] * len(rows), pa.binary()), pa.array(part(counts), pa.binary())],
-            names=["kind", "bucket", "chunk", "keys", "extra", "counts"])
+    def finish(chunk, words):
+        return parts_of(COUNT, chunk, *summed(*(np.concatenate(x) for x in zip(*words))), bits)
 
     def run(batches):
-        words, pairs, chunk = [], [], None
+        held = Chunks(finish)
+        for batch in batches:
+            chunks, rooms, train = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            data, at = text_bytes(batch.column(3))
+            for lo, hi in rounds(at):
+                stream, n = token_stream(data, at[lo : hi + 1])
+                learned = np.repeat(train[lo:hi].astype(np.uint64), n)
+                for room, chunk, rows in by_chunk(chunks[lo:hi], rooms[lo:hi]):
+                    own = np.repeat(rows, n)
+                    done = held.add(room, chunk, summed(stream[own], learned[own]))
+                    if done is not None:
+                        yield done
+                    words = held.open[room][1]
+                    if sum(len(w[0]) for w in words) > FLUSH:
+                        words[:] = [summed(*(np.concatenate(x) for x in zip(*words)))]
+        yield from held.rest()
 
-        def vocabulary():
-            k, c, _ = summed(*(np.concatenate(x) for x in zip(*words)))
-            return k, c
+    return run
 
-        def bigrams():
-            k, c, at = summed(np.concatenate([p[0] for p in pairs]), np.concatenate([p[2] for p in pairs]))
-            return k, np.concatenate([p[1] for p in pairs])[at], c
 
+def _count_grams(bits: int, order: int):
+    """N-grams of training documents; ``chunk`` is a number that spreads the blocks of a bucket."""
+
+    def run(batches):
+        held, size, spread = [], 0, 0
         for batch in batches:
-            ids, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            data, at = text_bytes(batch.column(2))
+            train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            data, at = text_bytes(batch.column(3))
             for lo, hi in rounds(at):
-                while lo < hi:
-                    if ids[lo] != chunk:
-                        if words:
-                            yield emit(COUNT, chunk, *vocabulary())
-                            words = []
-                        chunk = ids[lo]
-                    same = lo + int(np.argmax(np.append(ids[lo:hi] != chunk, True)))
-                    stream, n = token_stream(data, at[lo : same + 1])
-                    learned = np.repeat(train[lo:same], n)
-                    if kind == COUNT:
-                        words.append(summed(stream, learned.astype(np.uint64))[:2])
-                    else:
-                        prev, s = contexts(stream, n)[learned], stream[learned]
-                        k, c, first = summed(bigram_keys(prev, s), np.ones(len(s), np.uint64))
-                        pairs.append((k, context_keys(prev[first]), c))
-                    lo = same
-                if sum(len(w[0]) for w in words) > FLUSH:
-                    words = [vocabulary()]
-                if sum(len(p[0]) for p in pairs) > FLUSH:
-                    k, ctx, c = bigrams()
-                    yield emit(BIGRAM, 0, k, c, ctx)
-                    pairs = []
-        if words:
-            yield emit(COUNT, chunk, *vocabulary())
-        if pairs:
-            k, ctx, c = bigrams()
-            yield emit(BIGRAM, 0, k, c, ctx)
+                stream, n = token_stream(data, at[lo : hi + 1])
+                learned = np.repeat(train[lo:hi], n)
+                spread = spread or int(stream[0]) >> 1
+                keys = np.concatenate([k[has & learned] for k, has in grams(stream, n, order)])
+                held.append(summed(keys, np.ones(len(keys), np.uint64)))
+                size += len(held[-1][0])
+                if size > FLUSH:
+                    yield parts_of(GRAM, spread, *summed(*(np.concatenate(x) for x in zip(*held))), bits)
+                    held, size, spread = [], 0, spread + 1
+        if held:
+            yield parts_of(GRAM, spread, *summed(*(np.concatenate(x) for x in zip(*held))), bits)
 
     return run
 
@@ -251,37 +279,32 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
-def _sum_bigrams(bits: int):
-    """A bucket of bigrams: its filter block, and how many different bigrams each context starts."""
+def _total(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return summed(np.concatenate([unsteps(b) for b in pdf["keys"]]), np.concatenate([unplanes(b) for b in pdf["counts"]]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts, at = summed(np.concatenate([unplanes(b) for b in pdf["keys"]]), np.concatenate([unplanes(b) for b in pdf["counts"]]))
-        ctx = np.concatenate([unruns(unplanes(b)) for b in pdf["extra"]])[at]
-        rows = [_row(10 + BIGRAM, int(pdf["bucket"].iloc[0]), keys=build_block(BIGRAM, keys, counts))]
-        c, n, _ = summed(ctx, np.ones(len(ctx), np.uint64))
-        cut = np.searchsorted(c >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-        rows += [_row(AFTER, i, keys=planes(c[cut[i] : cut[i + 1]]), counts=planes(n[cut[i] : cut[i + 1]])) for i in range(1 << bits) if cut[i] < cut[i + 1]]
-        give_back()
-        return _frame(rows)
 
-    return run
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Several blocks of one bucket as one."""
+    keys, counts = _total(pdf)
+    row = (int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0]), int(pdf["chunk"].min()), steps(keys), planes(counts))
+    give_back()
+    return pd.DataFrame([row], columns=NAMES)
 
 
-def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket of tokens: filter blocks of their counts and followers; each chunk's own counts back to it."""
-    bucket, rows = int(pdf["bucket"].iloc[0]), []
-    after = pdf[pdf["kind"] == AFTER]
-    if len(after):
-        k, c, _ = summed(np.concatenate([unplanes(b) for b in after["keys"]]), np.concatenate([unplanes(b) for b in after["counts"]]))
-        rows.append(_row(10 + AFTER, bucket, keys=build_block(AFTER, k, c)))
-    words = pdf[pdf["kind"] == COUNT]
-    if len(words):
-        keys = [unplanes(b) for b in words["keys"]]
-        k, c, _ = summed(np.concatenate(keys), np.concatenate([unplanes(b) for b in words["counts"]]))
-        seen = c > 0
-        rows.append(_row(10 + COUNT, bucket, keys=build_block(COUNT, k[seen], c[seen]), tokens=int(c.sum()), words=int(seen.sum())))
-        for chunk, own in zip(words["chunk"], keys):
-            rows.append(_row(COUNT, bucket, chunk, planes(own), planes(c[np.searchsorted(k, own)])))
+def _gram_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket of n-grams: its filter block."""
+    out = _frame([_row(10 + GRAM, int(pdf["bucket"].iloc[0]), keys=build_block(GRAM, *_total(pdf)))])
+    give_back()
+    return out
+
+
+def _word_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket of tokens: its filter block, and each chunk's own counts back to it."""
+    bucket, (k, c) = int(pdf["bucket"].iloc[0]), _total(pdf)
+    seen = c > 0
+    rows = [_row(10 + COUNT, bucket, keys=build_block(COUNT, k[seen], c[seen]), tokens=int(c.sum()), words=int(seen.sum()))]
+    for chunk, keys in zip(pdf["chunk"], pdf["keys"]):
+        rows.append(_row(COUNT, bucket, chunk, keys, planes(c[np.searchsorted(k, unsteps(keys))])))
     give_back()
     return _frame(rows)
 
@@ -293,136 +316,136 @@ class Model:
     table: DataFrame
     docs: DataFrame
     bits: int
+    order: int
     tokens: int
     words: int
-    sizes: list = field(default_factory=list)
-
-    def filters(self, round_bytes: int):
-        """Filters of at most ``round_bytes`` (or one block), one at a time."""
-        groups, total = [[]], 0
-        for kind, bucket, size in self.sizes:
-            if total + size > round_bytes and groups[-1]:
-                groups.append([])
-                total = 0
-            groups[-1].append((kind, bucket))
-            total += size
-        for g in groups:
-            held = set(g)
-            want = F.struct("kind", "bucket").isin([F.struct(F.lit(k).alias("kind"), F.lit(b).alias("bucket")) for k, b in g]) if len(groups) > 1 else F.lit(True)
-            data = np.zeros(max(1, sum(size for kind, bucket, size in self.sizes if (kind, bucket) in held) // 8), np.uint64)
-            start, words, at = np.zeros((3, 1 << self.bits), np.uint64), np.zeros((3, 1 << self.bits), np.uint64), 0
-            for row in self.table.where((F.col("kind") >= 10) & want).select("kind", "bucket", "keys").toLocalIterator():
-                block = np.frombuffer(row["keys"], "<u8")
-                data[at : at + len(block)] = block
-                start[row["kind"] - 10, row["bucket"]], words[row["kind"] - 10, row["bucket"]] = at, len(block)
-                at += len(block)
-            yield Filter(64 - self.bits, data, start, words)
+    size: int
+
+    def ranges(self, round_bytes: int) -> list[tuple[int, int]]:
+        """Ranges of buckets whose filter blocks hold about ``round_bytes`` (or one bucket): hashes spread evenly."""
+        n = min(1 << self.bits, max(1, -(-self.size // round_bytes)))
+        cut = [(i << self.bits) // n for i in range(n + 1)]
+        return list(zip(cut[:-1], cut[1:]))
+
+    def filter(self, lo: int, hi: int) -> Filter:
+        """The filter over buckets lo to hi - 1."""
+        blocks = self.table.where((F.col("kind") >= 10) & F.col("bucket").between(lo, hi - 1))
+        data = np.zeros(max(1, (blocks.agg(F.sum(F.length("keys"))).first()[0] or 0) // 8), np.uint64)
+        start, size, at = np.zeros((2, hi - lo), np.uint64), np.zeros((2, hi - lo), np.uint64), 0
+        for row in blocks.select("kind", "bucket", "keys").toLocalIterator():
+            block, where = np.frombuffer(row["keys"], "<u8"), (row["kind"] - 10, row["bucket"] - lo)
+            data[at : at + len(block)] = block
+            start[where], size[where] = at, len(block)
+            at += len(block)
+        return Filter(64 - self.bits, lo, data, start, size)
 
 
 def prepare(docs: DataFrame, is_training) -> DataFrame:
-    """chunk (``CHUNK_ROWS`` neighbouring rows of a file), doc_id, training, text. Tables that are not Parquet files are written first."""
-    try:
-        split = docs.select(F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / CHUNK_ROWS)).alias("chunk"), "doc_id", is_training.alias("training"), F.col("text").cast("string").alias("text"))
-        split.schema  # noqa: B018  resolves the file columns
-    except AnalysisException:
-        return prepare(stash(docs.select("doc_id", "text"), "lm-docs"), is_training)
-    return split
+    """chunk, room, training, text, doc_id: ``CHUNK_ROWS`` neighbouring rows of a file make a chunk, or fewer where texts are long."""
+    text = F.col("text").cast("string")
+    x = placed(docs, F.col("doc_id").cast("long").alias("doc_id"), is_training.alias("training"), text.alias("text"))
+    short = (CHUNK_BYTES // CHUNK_ROWS).bit_length() - 1
+    room = F.greatest(F.ceil(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1.0)), F.lit(short)).cast("int")
+    rows = F.greatest(F.lit(1), F.call_function("shiftright", F.lit(CHUNK_BYTES), F.least("room", F.lit(CHUNK_BYTES.bit_length() - 1))))
+    return x.withColumn("room", room).select(F.xxhash64("rf", "room", F.floor(F.col("ri") / rows)).alias("chunk"), "room", "training", "text", "doc_id")
 
 
-def learn(docs: DataFrame, is_training) -> Model:
+def learn(docs: DataFrame, is_training, order: int = ORDER, bucket_docs: int = BUCKET_DOCS, direct_bits: int = DIRECT_BITS) -> Model:
     """Count ``docs`` (doc_id, text); ``is_training`` says which rows to learn from."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = prepare(docs, is_training)
-    bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / BUCKET_DOCS + 1))))
-    # texts are read once for each kind: cheaper than keeping the parts of both in a table
-    parts = lambda kind: rows.select("chunk", "training", "text").mapInArrow(trimmed(_count(bits, kind)), PART)
-    pairs = stash(parts(BIGRAM).select("bucket", "keys", "extra", "counts").groupBy("bucket").applyInPandas(_sum_bigrams(bits), OUT), "lm-bigrams")
-    cols = ["kind", "bucket", "chunk", "keys", "counts"]
-    words = parts(COUNT).select(cols).unionByName(pairs.where(F.col("kind") == AFTER).select(cols))
-    words = stash(words.groupBy("bucket").applyInPandas(_sum_words, OUT), "lm-words")
-    table = words.unionByName(pairs.where("kind >= 10"))
+    bits = max(4, int(np.ceil(np.log2(max(1, docs.count()) / bucket_docs + 1))))
+    # texts are read once for words and once for longer n-grams: cheaper than keeping the parts of both in a table
+    parts = lambda run: rows.select("chunk", "room", "training", "text").mapInArrow(trimmed(run), PART)
+    blocks = parts(_count_grams(bits, order))
+    if bits > direct_bits:
+        blocks = blocks.groupBy("bucket", F.pmod("chunk", F.lit(1 << (bits - direct_bits)))).applyInPandas(_merge, PART)
+    blocks = stash(blocks.groupBy("bucket").applyInPandas(_gram_block, OUT), "lm-grams")
+    words = stash(parts(_count_words(bits)).groupBy("bucket").applyInPandas(_word_block, OUT), "lm-words")
     n = words.agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).first()
-    sizes = sorted(tuple(r) for r in table.where("kind >= 10").select("kind", "bucket", F.length("keys").alias("n")).collect())
-    return Model(table, rows, bits, int(n.t or 0), int(n.w or 0), sizes)
-
-
-def _lookup(f: Filter, stream: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Levels of c(w), c(u), t(u) and c(u,w) for each token."""
-    prev = contexts(stream, n)
+    table = words.unionByName(blocks)
+    size = table.where("kind >= 10").agg(F.sum(F.length("keys"))).first()[0] or 0
+    return Model(table, rows, bits, order, int(n.t or 0), int(n.w or 0), size)
+
+
+def log_probability(values: list[np.ndarray], n: np.ndarray, tokens: int, words: int) -> np.ndarray:
+    """log10 probability of each token; ``values[m - 1]`` are the counts of the n-grams of order m that end at each token."""
+    first = np.cumsum(n) - n
+    lower = np.minimum(values[0], tokens)
+    p = (lower + 1) / (tokens + words + 1)
+    for m, count in enumerate(values[1:], 2):
+        context = np.concatenate(([0.0], lower[:-1])) if len(lower) else lower
+        context[first] = lower[first + n - 1] if m == 2 else 0.0  # the end token stands before the first
+        count = np.minimum(count, np.minimum(context, lower))
+        k = 1 + context**0.6
+        p = (count + k * p) / (context + k)
+        lower = count
+    return np.log10(p)
+
+
+def values_of(stream: np.ndarray, n: np.ndarray, order: int, level) -> list[np.ndarray]:
+    """Counts of the n-grams of each order at each token, from ``level(kind, sorted distinct keys)``."""
     u, inverse = np.unique(stream, return_inverse=True)
-    count, after = f.level(COUNT, u), f.level(AFTER, context_keys(u))
-    at = np.concatenate(([0], inverse[:-1])) if len(inverse) else inverse
-    at[np.cumsum(n) - n] = np.searchsorted(u, END)
-    # distinct keys in order: probes of neighbouring keys fall into the same filter block
-    pairs, pair = np.unique(bigram_keys(prev, stream), return_inverse=True)
-    return count[inverse], count[at], after[at], f.level(BIGRAM, pairs)[pair]
-
-
-def _log_probability(levels, n: np.ndarray, tokens: int, words: int) -> np.ndarray:
-    cw, cu, tu, cuw = (VALUE[x] for x in levels)
-    p1 = (cw + 1) / (tokens + words + 1)
-    both = cu + tu
-    p = np.where(both > 0, (np.minimum(cuw, np.maximum(cu, 1)) + tu * p1) / np.maximum(both, 1e-9), p1)
-    p = np.where(p > 0, p, p1)
-    return np.add.reduceat(np.log10(p), np.cumsum(n) - n) if len(n) else np.zeros(0)
-
+    out = [VALUE[level(COUNT, u)][inverse]]
+    for keys, has in grams(stream, n, order):
+        u, inverse = np.unique(keys, return_inverse=True)  # in order: probes of neighbouring keys fall into the same filter block
+        out.append(np.where(has, VALUE[level(GRAM, u)][inverse], 0.0))
+    return out
 
-def scored(model: Model, round_bytes: int = 192 << 20, then=None, schema: str = "chunk long, doc_id long, training boolean, text string, score double") -> DataFrame:
-    """chunk, doc_id, training, text, score: the model's log10 probability of each text.
 
-    ``then`` takes these Arrow batches on in the same worker, to ``schema``.
-    """
-    after = lambda run: trimmed(lambda batches: then(run(batches)) if then else run(batches))
-    at_once = sum(s[2] for s in model.sizes) <= round_bytes
-    spark, tokens, words = model.docs.sparkSession, model.tokens, model.words
-    docs = model.docs.select("chunk", F.col("doc_id").cast("long").alias("doc_id"), "training", "text")
-
-    def once(shared):
-        def run(batches):
-            for batch in batches:
-                data, at = text_bytes(batch.column(3))
-                out = []
-                for lo, hi in rounds(at, 1 << 19):
-                    stream, n = token_stream(data, at[lo : hi + 1])
-                    out.append(_log_probability(_lookup(shared.value, stream, n), n, tokens, words))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=["chunk", "doc_id", "training", "text", "score"])
+def per_text(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, np.cumsum(n) - n) if len(n) else np.zeros(0, x.dtype)
 
-        return run
 
-    if at_once:
-        return docs.mapInArrow(after(once(spark.sparkContext.broadcast(next(model.filters(round_bytes))))), schema)
+def levels_by_chunk(model: Model, ranges: list[tuple[int, int]], spark) -> DataFrame:
+    """(kind, chunk, keys, counts): the levels of every chunk's n-grams, round by round."""
+    bits, order = model.bits, model.order
+    starts = np.array([lo for lo, _ in ranges])
 
-    carry = "chunk long, doc_id long, training boolean, text string, levels binary"
-    docs = docs.withColumn("levels", F.lit(None).cast("binary"))
+    def asks(batches):
+        def finish(chunk, items):
+            rows = []
+            for kind in (COUNT, GRAM):
+                keys = np.unique(np.concatenate([x[kind] for x in items]))
+                turn = np.searchsorted(starts, (keys >> np.uint64(64 - bits)).astype(np.int64), "right") - 1
+                rows += [(int(i), kind, chunk, steps(keys[turn == i])) for i in np.unique(turn)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["round", "kind", "chunk", "keys"])
 
-    def more(shared):
+        held = Chunks(finish)
+        for batch in batches:
+            chunks, rooms = (batch.column(i).to_numpy() for i in (0, 1))
+            data, at = text_bytes(batch.column(3))
+            for lo, hi in rounds(at):
+                stream, n = token_stream(data, at[lo : hi + 1])
+                keys = grams(stream, n, order)
+                for room, chunk, rows in by_chunk(chunks[lo:hi], rooms[lo:hi]):
+                    own = np.repeat(rows, n)
+                    item = {COUNT: np.unique(stream[own]), GRAM: np.unique(np.concatenate([k[has & own] for k, has in keys]))}
+                    done = held.add(room, chunk, item)
+                    if done is not None:
+                        yield done
+        yield from held.rest()
+
+    asked = model.docs.select("chunk", "room", "training", "text").mapInArrow(trimmed(asks), "round int, kind int, chunk long, keys binary")
+    asked = stash(asked, "lm-asked", "round")
+
+    def answers(shared):
         def run(batches):
             for batch in batches:
-                data, at = text_bytes(batch.column(3))
-                out = []
-                for lo, hi in rounds(at, 1 << 19):
-                    stream, n = token_stream(data, at[lo : hi + 1])
-                    found, cut = np.stack(_lookup(shared.value, stream, n)), np.cumsum(n) - n
-                    for i in range(hi - lo):
-                        new, old = found[:, cut[i] : cut[i] + n[i]].tobytes(), batch.column(4)[lo + i].as_py()
-                        out.append(np.maximum(np.frombuffer(new, np.uint8), np.frombuffer(old, np.uint8)).tobytes() if old is not None else new)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())], names=["chunk", "doc_id", "training", "text", "levels"])
+                kinds, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                found = [pa.compress(shared.value.level(k, unsteps(b)).tobytes(), "zstd", asbytes=True) for k, b in zip(kinds, keys)]
+                yield pa.RecordBatch.from_arrays([pa.array([20 + k for k in kinds], pa.int32()), batch.column(1), batch.column(2), pa.array(found, pa.binary())], names=["kind", "chunk", "keys", "counts"])
 
         return run
 
-    for f in model.filters(round_bytes):
-        docs = stash(docs.mapInArrow(trimmed(more(spark.sparkContext.broadcast(f))), carry), "lm-levels")
-
-    def finish(batches):
-        for batch in batches:
-            score = []
-            for b in batch.column(4).to_pylist():
-                x = np.frombuffer(b, np.uint8).reshape(4, -1)
-                score.append(float(_log_probability(x, np.array([x.shape[1]]), tokens, words)[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score, pa.float64())], names=["chunk", "doc_id", "training", "text", "score"])
-
-    return docs.mapInArrow(after(finish), schema)
+    out = None
+    for i, (lo, hi) in enumerate(ranges):
+        shared = spark.sparkContext.broadcast(model.filter(lo, hi))
+        part = stash(asked.where(F.col("round") == i).select("kind", "chunk", "keys").mapInArrow(trimmed(answers(shared)), "kind int, chunk long, keys binary, counts binary"), "lm-levels")
+        shared.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -430,46 +453,67 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_all(model: Model, round_bytes: int = 192 << 20) -> DataFrame:
     """Model and exact add-one unigram scores of every document of the model's corpus."""
-    tokens, words = model.tokens, model.words
+    tokens, words, order = model.tokens, model.words, model.order
+    spark = model.docs.sparkSession
+    ranges = model.ranges(round_bytes)
+    shared = spark.sparkContext.broadcast(model.filter(*ranges[0])) if len(ranges) == 1 else None
 
     def pack(batches):
-        # neighbouring rows of a chunk travel as one compressed block
+        """Rows of a chunk travel as one compressed block, scored if the whole filter is here."""
         for batch in batches:
+            if shared:
+                data, at = text_bytes(batch.column(3))
+                score = [np.zeros(0)]
+                for lo, hi in rounds(at, 1 << 19):
+                    stream, n = token_stream(data, at[lo : hi + 1])
+                    score.append(per_text(log_probability(values_of(stream, n, order, shared.value.level), n, tokens, words), n))
+                score = pa.array(np.concatenate(score))
+            else:
+                score = pa.nulls(batch.num_rows, pa.float64())
             ids = batch.column(0).to_numpy()
-            cut = [*(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else ()), len(ids)]
-            blocks = []
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                sink = pa.BufferOutputStream()
-                part = batch.slice(lo, hi - lo)
+            batch = pa.RecordBatch.from_arrays([batch.column(4), batch.column(2), batch.column(3), score], names=["doc_id", "training", "text", "score"])
+            chunks, blocks = list(dict.fromkeys(ids.tolist())), []
+            for chunk in chunks:
+                part, sink = batch.filter(pa.array(ids == chunk)), pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
                 blocks.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]], pa.int64()), pa.array(blocks, pa.binary())], names=["chunk", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blocks, pa.binary())], names=["chunk", "rows"])
 
     def run(docs: pa.Table, own: pa.Table) -> pa.Table:
-        blocks = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in docs["rows"]]
-        docs = pa.concat_tables(blocks) if blocks else pa.table({n: pa.array([], k) for n, k in (("doc_id", pa.int64()), ("training", pa.bool_()), ("text", pa.string()), ("score", pa.float64()))})
-        pairs = zip(own["keys"].to_pylist(), own["counts"].to_pylist()) if docs.num_rows else ()
-        parts = [(unplanes(k), unplanes(c)) for k, c in pairs]
-        keys, counts = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in (0, 1))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        known, base, total = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-        for piece in docs["text"].chunks:
-            data, at = text_bytes(piece)
-            for lo, hi in rounds(at):
-                stream, n = token_stream(data, at[lo : hi + 1])
-                c = counts[np.searchsorted(keys, stream)]
-                cut = np.cumsum(n) - n
-                total.append(n)
-                known.append(np.add.reduceat((c > 0).astype(np.int64), cut))
-                base.append(np.add.reduceat(np.log10((c + 1.0) / (tokens + words + 1.0)), cut))
-        long = lambda x: pa.array(np.concatenate(x), pa.int64())
-        out = (docs["doc_id"], pc.invert(docs["training"]), long(total), long(known), pa.array(np.full(docs.num_rows, tokens), pa.int64()), pa.array(np.concatenate(base)), docs["score"])
+        found = {}
+        for kind, read in ((COUNT, unplanes), (20 + COUNT, None), (20 + GRAM, None)):
+            rows = own.filter(pc.equal(own["kind"], kind)) if docs.num_rows else own.slice(0, 0)
+            keys = [unsteps(b) for b in rows["keys"].to_pylist()]
+            if read:
+                values = [unplanes(b) for b in rows["counts"].to_pylist()]
+            else:
+                values = [np.frombuffer(pa.decompress(b, len(k), "zstd", asbytes=True), np.uint8) for k, b in zip(keys, rows["counts"].to_pylist())]
+            keys, values = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, values))
+            order_ = np.argsort(keys)
+            found[kind] = keys[order_], values[order_]
+        level = lambda kind, keys: found[20 + kind][1][np.searchsorted(found[20 + kind][0], keys)]
+        out = []
+        for block in docs["rows"]:  # one block's texts at a time
+            for part in pa.ipc.open_stream(block.as_buffer()):
+                data, at = text_bytes(part["text"])
+                total, known, base, score = [], [], [], []
+                for lo, hi in rounds(at):
+                    stream, n = token_stream(data, at[lo : hi + 1])
+                    c = found[COUNT][1][np.searchsorted(found[COUNT][0], stream)]
+                    total.append(n)
+                    known.append(per_text((c > 0).astype(np.int64), n))
+                    base.append(per_text(np.log10((c + 1.0) / (tokens + words + 1.0)), n))
+                    if not shared:
+                        score.append(per_text(log_probability(values_of(stream, n, order, level), n, tokens, words), n))
+                held_out, score = pc.invert(part["training"]), pa.array(np.concatenate(score)) if score else part["score"]
+                out.append([part["doc_id"], held_out, *(pa.array(np.concatenate(x), pa.int64()) for x in (total, known)), pa.array(np.full(part.num_rows, tokens), pa.int64()), pa.array(np.concatenate(base)), score])
         give_back()
-        return pa.table(dict(zip(names, out)))
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.chunked_array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    names = [c.split()[0] for c in RESULT.split(", ")]
-    asked = model.table.where(F.col("kind") == COUNT).select("chunk", "keys", "counts")
-    packed = scored(model, round_bytes, pack, "chunk long, rows binary")
+    asked = model.table.where(F.col("kind") == COUNT).select("kind", "chunk", "keys", "counts")
+    if not shared:
+        asked = asked.unionByName(levels_by_chunk(model, ranges, spark))
+    packed = model.docs.mapInArrow(trimmed(pack), "chunk long, rows binary")
     return packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, RESULT)

@@ -48,14 +48,76 @@ def test_lm_base_and_held_out(spark, docs):
     assert all(r.score <= 0 for r in rows)
 
 
+def exact_model(texts, is_train, order):
+    """score(text) by the same smoothing from exact counts."""
+    c = Counter()
+    for d, t in texts:
+        if is_train(d):
+            w = [*words(t), b"\nend"]
+            for i in range(len(w)):
+                padded = (b"\nend", *w[: i + 1])
+                for m in range(1, order + 1):
+                    if m == 1 or i >= m - 2:
+                        c[padded[-m:]] += 1
+    total, distinct = sum(n for k, n in c.items() if len(k) == 1), sum(len(k) == 1 for k in c)
+
+    def tokens_of(text):
+        w, out = [*words(text), b"\nend"], []
+        for i in range(len(w)):
+            padded = (b"\nend", *w[: i + 1])
+            p = (c[padded[-1:]] + 1) / (total + distinct + 1)
+            for m in range(2, order + 1):
+                if i >= m - 2:
+                    context = c[padded[-m:-1]]
+                    k = 1 + context**0.6
+                    p = (c[padded[-m:]] + k * p) / (context + k)
+            out.append(math.log10(p))
+        return out
+
+    return tokens_of
+
+
+#: What quantised counts (within 10 %) and false positives (under 1 %) may change of a token's log10 probability on average, and of a text's beside.
+NEAR_TOKEN, NEAR_TEXT = 0.05, 1.5
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_score_is_near_the_exact_model(spark, docs, order):
+    train = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    exact = exact_model(list(texts.items()), train, order)
+    model = lm.learn(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2, order)
+    rows = lm.score_all(model).collect()
+    for r in rows:
+        want = sum(exact(texts[r.doc_id]))
+        assert abs(r.score - want) <= NEAR_TOKEN * r.n_tokens + NEAR_TEXT, (r, want)
+    assert len(rows) == len(texts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 90), min_size=1, max_size=6), min_size=1, max_size=4), st.integers(0, 200), st.integers(0, 50))
+def test_no_probability_passes_one(levels, tokens, distinct):
+    n = np.array([len(x) for x in levels])
+    one = np.concatenate([np.array(x) for x in levels])
+    for values in ([one, one[::-1]], [one[::-1] % 3, one, one[::-1]]):
+        assert (lm.log_probability([lm.VALUE[v] for v in values], n, tokens, distinct) <= 0).all()
+
+
 def test_lm_rounds_agree_and_edges(spark, odd_docs):
     learned = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(True))
-    model = lm.learn(odd_docs, learned)
-    one, many = (sorted((str(r.doc_id), r.n_tokens, round(r.score, 9)) for r in lm.score_all(model, size).collect()) for size in (1 << 28, 200))
-    assert one == many
+    for model in (lm.learn(odd_docs, learned), lm.learn(odd_docs, learned, 3, bucket_docs=0.01, direct_bits=5)):
+        one, many = (sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 9)) for r in lm.score_all(model, size).collect()) for size in (1 << 28, model.size // 3))
+        assert one == many and len(model.ranges(model.size // 3)) in (3, 4)
     check_lm(lm.score_all(model).collect(), [(r.doc_id, r.text) for r in odd_docs.collect()], lambda d: d is None or zlib.crc32(str(d).encode()) % 7 != 2)
     assert lm.score_all(lm.learn(odd_docs.limit(0), learned)).count() == 0
-    assert {r.n_known for r in lm.score_all(lm.learn(odd_docs, F.lit(False))).collect()} == {0}
+    assert {(r.n_known, r.score) for r in lm.score_all(lm.learn(odd_docs, F.lit(False))).collect()} == {(0, 0.0)}
+
+
+def test_lm_chunks_are_bounded(spark):
+    rows = [(i, "a b" if i % 3 else "long " * 400_000) for i in range(60)]
+    x = lm.prepare(lm.stash(spark.createDataFrame(rows, "doc_id long, text string"), "t"), F.lit(True))
+    sizes = x.groupBy("chunk").agg(F.sum(F.length("text")).alias("n")).collect()
+    assert max(r.n for r in sizes) <= lm.CHUNK_BYTES and len(sizes) < 20
 
 
 def test_filter_levels():
@@ -64,7 +126,7 @@ def test_filter_levels():
     counts = (rng.pareto(1.0, len(keys)) + 1).astype(np.uint64)
     low = keys & np.uint64(0x7FFFFFFFFFFFFFFF)  # one bucket would need shift 64
     block = np.frombuffer(lm.build_block(lm.COUNT, low, counts), np.uint64)
-    f = lm.Filter(63, block, np.zeros((3, 1), np.uint64), np.array([[0], [len(block)], [0]], np.uint64))
+    f = lm.Filter(63, 0, block, np.zeros((2, 1), np.uint64), np.array([[0], [len(block)]], np.uint64))
     got, want = f.level(lm.COUNT, low), lm.level_of(counts)
     assert (got >= want).all() and (got == want).mean() > 0.98
     unseen = rng.integers(1, 2**62, 20_000, dtype=np.uint64)
