@@ -31,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranges_for(df: DataFrame, rows: int, range_rows: int) -> int:
+    """A range for each shuffle partition at least, and for each ``range_rows`` rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // range_rows))
+
+
 def numbered(sizes: DataFrame) -> DataFrame:
     """``sizes`` with ``_n``: the source's place from 0 by code point, null last; counted range by range."""
     ranges = max(1, -(-sizes.count() // RANGE_ROWS))
@@ -66,7 +71,7 @@ def targets(sizes: DataFrame, total: float = 1.5, most: float = 2.0, weights: tu
 
 def queue(slim: DataFrame, rows: int) -> DataFrame:
     """``slim`` (_source, _size, _k, ...) with _cum: the source's words up to this row, in order of the shuffle key ``_k``."""
-    buckets = max(1, -(-rows // RANGE_ROWS))
+    buckets = ranges_for(slim, rows, RANGE_ROWS)
     x = slim.withColumn("_b", F.floor(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long") * F.lit(float(buckets)) / float(1 << 32)).cast("int")).withColumn("_sb", F.xxhash64("_source", "_b"))
     head = x.groupBy("_sb", "_source", "_b").agg(F.sum("_size").alias("_part"))
     w = Window.partitionBy("_source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +105,7 @@ def cut(queued: DataFrame, goals: DataFrame, rows: int, range_rows: int = RANGE_
 
     The queue is sorted by finish time over all sources; entries are taken while the words so far stay within the sum of the targets.
     """
-    ranges = max(1, -(-2 * rows // range_rows))
+    ranges = ranges_for(queued, 2 * rows, range_rows)
     e = entries(queued, goals).withColumn("_r", F.floor(F.col("_finish") * ranges))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     tops = e.groupBy("_r").agg(F.sum("_size").alias("_part"))
