@@ -49,7 +49,7 @@ GRAM, COUNT = 0, 1
 FLUSH = 1_000_000
 #: Documents a hash bucket, and buckets up to which blocks go straight to their bucket.
 BUCKET_DOCS, DIRECT_BITS = 1024, 12
-CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 24
+CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 26
 STRIDE = 6
 
 
@@ -345,7 +345,8 @@ def prepare(docs: DataFrame, is_training) -> DataFrame:
     text = F.col("text").cast("string")
     x = placed(docs, F.col("doc_id").cast("long").alias("doc_id"), is_training.alias("training"), text.alias("text"))
     short = (CHUNK_BYTES // CHUNK_ROWS).bit_length() - 1
-    room = F.greatest(F.ceil(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1.0)), F.lit(short)).cast("int")
+    # powers of 4: few long rows lie scattered, and each chunk has a dictionary of its own
+    room = F.greatest(2 * F.ceil(F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1.0) / 2), F.lit(short)).cast("int")
     rows = F.greatest(F.lit(1), F.call_function("shiftright", F.lit(CHUNK_BYTES), F.least("room", F.lit(CHUNK_BYTES.bit_length() - 1))))
     return x.withColumn("room", room).select(F.xxhash64("rf", "room", F.floor(F.col("ri") / rows)).alias("chunk"), "room", "training", "text", "doc_id")
 
