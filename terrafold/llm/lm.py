@@ -1,6 +1,6 @@
 """Language-model scoring with a log-frequency Bloom filter over quantised n-gram counts.
 
-An n-gram model of ``ORDER`` (2: bigrams) with hierarchical smoothing: ``P(w) = (c(w) + 1) / (N + V + 1)`` and, from order to order,
+An n-gram model of ``ORDER`` (3: trigrams) with hierarchical smoothing: ``P(w) = (c(w) + 1) / (N + V + 1)`` and, from order to order,
 ``P(w|u) = (c(u,w) + k * P(w|shorter u)) / (c(u) + k)``, where ``k = 1 + c(u) ** 0.6`` stands for the different tokens seen after ``u``.
 The counts of all orders, over all training documents, are quantised to levels that grow by ``GROWTH``; an n-gram of level ``q`` is in the
 filter as (n-gram, 1) ... (n-gram, q), and is read back by probing level after level. All probes of an
@@ -42,7 +42,7 @@ from .common import bounded_batches, give_back, mix, placed, rounds, stash, text
 
 GROWTH = 1.2
 BITS, PROBES = 13, 6
-ORDER = 2
+ORDER = 3
 #: Also the context of a text's first token: both are seen once a text.
 END = np.uint64(0x51ED270B7A4B3C9D)
 GRAM, COUNT = 0, 1
