@@ -250,7 +250,9 @@ def grouped(docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (4, 5), r
     classes = stash(classes.select(F.monotonically_increasing_id().alias("cid"), "words", "class_id", "at.*", "copies", "bands"), "near-classes")
     comps = components(candidates(classes)).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
     wanted = stash(classes.join(comps, "cid").select("cid", *PLACE, "copies", "bands"), "near-candidates")
-    sets = sets_of(docs, wanted, n).join(groups_to_verify(classes, comps, tile).hint("merge"), "cid")
+    # one row a class with all its groups (a bucket a band at most): each set is joined once and repeated afterwards
+    groups = groups_to_verify(classes, comps, tile).groupBy("cid").agg(F.collect_list(F.struct("grp", "band", "cuts")).alias("groups"))
+    sets = sets_of(docs, wanted, n).join(groups.hint("merge"), "cid").select("cid", "copies", "bands", "shingles", F.explode("groups").alias("g")).select("cid", "copies", "bands", "shingles", "g.*")
     links = stash(verified(sets, similarity), "near-links")
     counts = links.groupBy("cid").agg(F.sum("n").alias("links"))
     groups = components(links.select("u", "v")).select(F.col("node").alias("cid"), "root")
