@@ -118,7 +118,7 @@ def groups_to_verify(classes: DataFrame, comps: DataFrame, tile: int) -> DataFra
     small = sizes.where(F.col("n") <= tile).select("comp")
     whole = comps.join(small, "comp").select("cid", F.xxhash64("comp").alias("grp"), F.lit(-1).alias("band"), F.lit(1).alias("cuts"))
     large = comps.join(sizes.where(F.col("n") > tile).select("comp"), "comp").select("cid")
-    x = buckets(classes).join(large, "cid")
+    x = buckets(classes.join(large, "cid"))
     cuts = x.groupBy("band", "hash").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"), F.count("*").alias("n")).where("n > 1").drop("n")
     return whole.unionByName(x.join(cuts, ["band", "hash"]).select("cid", F.col("hash").alias("grp"), "band", "cuts"))
 
