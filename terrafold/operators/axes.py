@@ -112,3 +112,21 @@ def delta_norms(df: DataFrame, value: str) -> DataFrame:
     x = df.withColumn("_prev", F.lag(value).over(w)).where("_prev is not null")
     diff = F.zip_with(value, "_prev", lambda a, b: a - b)
     return x.withColumn("norm", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda s, v: s + v * v))).drop("_prev")
+
+
+def off_axis(frames: DataFrame, axis: DataFrame, keys: list[str]) -> DataFrame:
+    """Frames whose day the axis does not have."""
+    return frames.join(axis.select(*keys).distinct(), keys, "left_anti")
+
+
+def exact_days(frames: DataFrame, axis: DataFrame, keys: list[str]) -> DataFrame:
+    """``frames`` joined with the row of their own day, never with a near one; a frame without its day is an error."""
+    if off_axis(frames, axis, keys).head(1):
+        raise ValueError("a frame's day is not on the daily axis")
+    return frames.join(axis, keys)
+
+
+def verified_join(joined: DataFrame, source: DataFrame, keys: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:
+    """(n, n_over, worst): rows compared with the source once more, those that differ by more than the tolerance, the largest difference."""
+    x = joined.join(source.select(*keys, F.col(value).alias("_again")), keys).withColumn("_off", F.abs(F.col(value) - F.col("_again")))
+    return x.agg(F.count("*").alias("n"), F.count_if(F.col("_off") > tolerance).alias("n_over"), F.max("_off").alias("worst"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import row_numbers, written
+
 
 class LeakageError(ValueError):
     """A fold table would put one cube on both sides."""
@@ -14,22 +18,44 @@ class SingleYearError(ValueError):
     """A split by year needs two years or more."""
 
 
-def balanced_groups(rows: DataFrame, group: str, k: int) -> DataFrame:
-    """(group, fold): groups by size, largest first, each to the lightest fold so far (lowest index of a tie).
+class SingleTileError(ValueError):
+    """A split by tile needs two tiles or more."""
 
-    The scan is sequential over groups only: the sorted list of counts is one aggregated array, and rows stay where they are.
+
+def phases(histogram: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, last, turn): of the groups of that size, those of ranks first to last - 1 go to the folds of ``turn`` in rotation.
+
+    ``histogram`` has (size, groups of that size), largest first. Each group goes to the lightest fold, the lowest of a tie. For groups of
+    one size that is a merge of k arithmetic series of loads: a fold takes part from the round in which the others have caught up with it.
     """
-    counts = rows.groupBy(group).count()
-    items = counts.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("m"), F.col(group).alias("g")))).alias("items"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<int>").alias("fold"))
+    load, out = [0] * k, []
+    for size, groups in histogram:
+        start = [v // size for v in load]
+        order = sorted(range(k), key=lambda j: (load[j] % size, j))
+        rank, levels = 0, [*sorted(set(start)), None]
+        for level, following in zip(levels, levels[1:]):
+            turn = [j for j in order if start[j] <= level]
+            n = groups - rank if following is None else min(groups - rank, len(turn) * (following - level))
+            if n:
+                out.append((size, rank, rank + n, turn))
+                for i, j in enumerate(turn):
+                    load[j] += size * (n // len(turn) + (i < n % len(turn)))
+            rank += n
+    return out
 
-    def place(acc, item):
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int")
-        load = F.transform(acc["load"], lambda v, i: v + F.when(i + 1 == at, -item["m"]).otherwise(F.lit(0).cast("long")))
-        return F.struct(load.alias("load"), F.concat(acc["fold"], F.array(at - 1)).alias("fold"))
 
-    done = items.withColumn("fold", F.aggregate("items", start, place, lambda a: a["fold"]))
-    return done.select(F.explode(F.arrays_zip(F.col("items.g").alias("g"), "fold")).alias("x")).select(F.col("x.g").alias(group), F.col("x.fold").alias("fold"))
+def balanced_groups(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): groups by size, largest first, then by label, each to the lightest fold so far (lowest index of a tie).
+
+    Only the histogram of group sizes reaches the driver (n rows have less than the root of 2 n different sizes); groups find their fold by their rank
+    among groups of the same size.
+    """
+    counts = written(rows.groupBy(group).agg(F.count("*").alias("_size")), "fold-groups")
+    histogram = [(r["_size"], r["n"]) for r in counts.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()]
+    found = rows.sparkSession.createDataFrame(phases(histogram, k), "_size2 long, _first long, _last long, _turn array<int>")
+    x = row_numbers(counts, ["_size"], [F.col(group)], "_rank").withColumn("_rank", F.col("_rank") - 1)
+    x = x.join(F.broadcast(found), (F.col("_size") == F.col("_size2")) & F.col("_rank").between(F.col("_first"), F.col("_last") - 1))
+    return x.select(group, F.get("_turn", ((F.col("_rank") - F.col("_first")) % F.size("_turn")).cast("int")).alias("fold"))
 
 
 def _sides(rows: DataFrame, groups: DataFrame, group: str, k: int) -> DataFrame:
@@ -41,6 +67,8 @@ def _sides(rows: DataFrame, groups: DataFrame, group: str, k: int) -> DataFrame:
 def group_folds(rows: DataFrame, group: str = "cube", k: int = 5, clamp: bool = False) -> DataFrame:
     """Folds by cube, tile or block. Only with ``clamp`` may there be fewer groups than folds."""
     n = rows.select(group).distinct().count()
+    if group == "tile" and n < 2:
+        raise SingleTileError("one tile only")
     if n < (2 if clamp else k):
         raise ValueError(f"{n} groups of {group} for {k} folds")
     k = min(k, n)
@@ -48,8 +76,8 @@ def group_folds(rows: DataFrame, group: str = "cube", k: int = 5, clamp: bool =
 
 
 def leave_one_out(rows: DataFrame, group: str = "cube") -> DataFrame:
-    """(group, fold): every group is a fold of its own."""
-    return rows.select(group).distinct().withColumn("fold", F.dense_rank().over(Window.orderBy(group)) - 1)
+    """(group, fold): every group is a fold of its own, in order of their labels."""
+    return row_numbers(rows.select(group).distinct(), [], [F.col(group)], "fold").withColumn("fold", (F.col("fold") - 1).cast("int"))
 
 
 def year_folds(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -67,12 +95,15 @@ def crossed_folds(rows: DataFrame, k: int = 5) -> DataFrame:
     if n < 2:
         raise SingleYearError("crossed folds need two years and two cubes")
     c, y = balanced_groups(rows, "cube", n), balanced_groups(rows, "year", n)
-    x = rows.join(c.withColumnRenamed("fold", "cf"), "cube").join(F.broadcast(y.withColumnRenamed("fold", "yf")), "year")
-    x = x.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    x = rows.join(c.withColumnRenamed("fold", "cf"), "cube").join(y.withColumnRenamed("fold", "yf"), "year")
+    x = written(x.select("cube", "acq_idx", "cf", "yf"), "fold-cells")
+    cells = {(r["cf"], r["yf"]): r["n"] for r in x.groupBy("cf", "yf").agg(F.count("*").alias("n")).collect()}  # at most k * k
+    alive = [i for i in range(n) if cells.get((i, i)) and any(c != i and y != i for c, y in cells)]
+    if not alive:
+        raise SingleYearError("no fold has rows on both sides")
+    x = x.withColumn("fold", F.explode(F.array(*map(F.lit, alive))))
     side = F.when((F.col("cf") == F.col("fold")) & (F.col("yf") == F.col("fold")), "test").when((F.col("cf") != F.col("fold")) & (F.col("yf") != F.col("fold")), "train")
-    x = x.select("cube", "acq_idx", "fold", side.alias("side")).where("side is not null")
-    both = Window.partitionBy("fold")
-    return x.withColumn("_t", F.max(F.col("side") == "test").over(both)).withColumn("_r", F.max(F.col("side") == "train").over(both)).where("_t and _r").drop("_t", "_r")
+    return x.select("cube", "acq_idx", "fold", side.alias("side")).where("side is not null")
 
 
 def temporal_folds(rows: DataFrame, cutoff: str) -> DataFrame:
@@ -94,3 +125,58 @@ def leakage(folds: DataFrame) -> DataFrame:
     """(fold, n): cubes that a fold has on both sides; empty when the table is safe."""
     x = folds.groupBy("fold", "cube").agg(F.countDistinct("side").alias("sides")).where("sides > 1")
     return x.groupBy("fold").agg(F.count("*").alias("n"))
+
+
+#: Split modes by name: rows (cube, acq_idx, and year, tile, block or ts as the mode needs) and options to a fold table.
+MODES: dict[str, Callable[..., DataFrame]] = {
+    "cube": lambda rows, k=5: group_folds(rows, "cube", k),
+    "loco": lambda rows, k=None: _sides(rows, leave_one_out(rows), "cube", rows.select("cube").distinct().count()),
+    "crossed": lambda rows, k=5: crossed_folds(rows, k),
+    "year": lambda rows, k=5: year_folds(rows, k),
+    "tile": lambda rows, k=5: group_folds(rows, "tile", k, clamp=True),
+    "block": lambda rows, k=5: group_folds(rows, "block", k, clamp=True),
+    "temporal": lambda rows, cutoff: temporal_folds(rows, cutoff),
+}
+
+
+def fold_table(rows: DataFrame, mode: str, **options) -> DataFrame:
+    """The fold table of a mode by its name."""
+    if mode not in MODES:
+        raise ValueError(f"unknown fold mode {mode}; known: {', '.join(MODES)}")
+    return MODES[mode](rows, **options)
+
+
+def inner_folds(outer: DataFrame, k: int = 3) -> DataFrame:
+    """(outer, cube, inner): each outer fold's training cubes in k balanced groups, by the same greedy rule, all outer folds at once."""
+    counts = written(outer.where("side = 'train'").groupBy(F.col("fold").alias("outer"), "cube").agg(F.count("*").alias("_size")), "fold-inner")
+    found = []
+    sizes: dict[int, list] = {}
+    for r in counts.groupBy("outer", "_size").agg(F.count("*").alias("n")).orderBy("outer", F.desc("_size")).collect():
+        sizes.setdefault(r["outer"], []).append((r["_size"], r["n"]))
+    for fold, histogram in sizes.items():
+        found += [(fold, *p) for p in phases(histogram, k)]
+    found = outer.sparkSession.createDataFrame(found, "_outer int, _size2 long, _first long, _last long, _turn array<int>")
+    x = row_numbers(counts, ["outer", "_size"], [F.col("cube")], "_rank").withColumn("_rank", F.col("_rank") - 1)
+    x = x.join(F.broadcast(found), (F.col("outer") == F.col("_outer")) & (F.col("_size") == F.col("_size2")) & F.col("_rank").between(F.col("_first"), F.col("_last") - 1))
+    return x.select("outer", "cube", F.get("_turn", ((F.col("_rank") - F.col("_first")) % F.size("_turn")).cast("int")).alias("inner"))
+
+
+def members(units: DataFrame, frames: list[str], folds: DataFrame) -> DataFrame:
+    """``units`` (cube and the frames that each touches, in columns ``frames``) with fold and side: a unit is on a side only with all its frames.
+
+    A unit with some frames of a fold on a side and others not is left out of that fold if its frames are on no side, and is an error
+    (``whole`` false) if they are on both.
+    """
+    n = len(frames)
+    x = units.withColumn("_u", F.struct(*units.columns)).withColumn("acq_idx", F.explode(F.array(*frames)))
+    x = x.join(folds, ["cube", "acq_idx"]).groupBy("_u", "fold").agg(F.count_if(F.col("side") == "test").alias("_t"), F.count_if(F.col("side") == "train").alias("_r"))
+    side = F.when(F.col("_t") == n, "test").when(F.col("_r") == n, "train")
+    return x.select("_u.*", "fold", side.alias("side"), ((F.col("_t") == 0) | (F.col("_r") == 0)).alias("whole")).where("side is not null or not whole")
+
+
+def gate(folds: DataFrame) -> DataFrame:
+    """(fold, problem, n): what a safe fold table does not have: cubes or rows on both sides, and sides without rows."""
+    cubes = folds.groupBy("fold", "cube").agg(F.countDistinct("side").alias("s")).where("s > 1").groupBy("fold").agg(F.count("*").alias("n")).select("fold", F.lit("cube_on_both_sides").alias("problem"), "n")
+    rows = folds.groupBy("fold", "cube", "acq_idx").agg(F.count("*").alias("s")).where("s > 1").groupBy("fold").agg(F.count("*").alias("n")).select("fold", F.lit("row_repeated").alias("problem"), "n")
+    empty = folds.groupBy("fold").agg(F.count_if(F.col("side") == "test").alias("t"), F.count_if(F.col("side") == "train").alias("r")).where("t = 0 or r = 0")
+    return cubes.unionByName(rows).unionByName(empty.select("fold", F.lit("side_empty").alias("problem"), F.lit(0).cast("long").alias("n")))

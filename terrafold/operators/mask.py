@@ -73,6 +73,14 @@ def seven_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return x.select(*keys, "mean", "std", *(F.get("_p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))))
 
 
+def wide_statistics(df: DataFrame, keys: list[str], bands: dict[str, str]) -> DataFrame:
+    """The seven statistics of each band (name: column) as columns ``<name>_mean``, ``<name>_std``, ``<name>_p10`` ..., from one aggregation."""
+    aggs = [a for n, c in bands.items() for a in (F.avg(c).alias(f"{n}_mean"), F.stddev_pop(c).alias(f"{n}_std"), F.expr(f"percentile({c}, array(0.1, 0.25, 0.5, 0.75, 0.9))").alias(f"_{n}"))]
+    x = df.groupBy(*keys).agg(*aggs)
+    wide = [F.col(f"{n}_{s}") if s in ("mean", "std") else F.get(f"_{n}", F.lit(i - 2)).alias(f"{n}_{s}") for n in bands for i, s in enumerate(("mean", "std", "p10", "p25", "p50", "p75", "p90"))]
+    return x.select(*keys, *wide)
+
+
 def prevalence(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
     """Share of valid values above a plausible limit, with both maxima."""
     ok = F.col("valid")

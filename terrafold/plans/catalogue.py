@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import axes, climatology, fit, folds, mask, metrics, readouts, spatial, vectors
+from ..operators.ranks import percentiles
 from ..sources import minicube as mc
 from ..sources import results
 
@@ -255,34 +256,8 @@ def temporal_folds(spark, d):
     return folds.temporal_folds(fold_rows(spark, d), "1998-07-01")
 
 
-@query()
-def cube_folds(spark, d):
-    return folds.group_folds(fold_rows(spark, d), "cube", 5)
-
-
-@query()
-def tile_folds(spark, d):
-    return folds.group_folds(fold_rows(spark, d), "tile", 5, clamp=True)
-
-
-@query()
-def crossed_folds(spark, d):
-    return folds.crossed_folds(fold_rows(spark, d), 5)
-
-
-@query()
-def year_folds(spark, d):
-    """On each cube's most frequent year (the earliest of a tie), since a cube must not span years here."""
-    x = fold_rows(spark, d)
-    n = x.groupBy("cube", "year").count()
-    best = n.groupBy("cube").agg(F.min(F.struct((-F.col("count")).alias("m"), "year")).alias("x")).select("cube", F.col("x.year").alias("year"))
-    return folds.year_folds(x.join(best, ["cube", "year"]), 5)
-
-
-@query()
-def spatial_block_folds(spark, d):
-    blocks = folds.spatial_blocks(mc.footprints(spark, d), 1000).withColumnRenamed("id", "cube")
-    return folds.group_folds(fold_rows(spark, d).join(blocks, "cube"), "block", 5, clamp=True)
+def footprint_blocks(spark, d):
+    return folds.spatial_blocks(mc.footprints(spark, d), 1000).withColumnRenamed("id", "cube")
 
 
 @query("SELECT 0 AS fold, 0::BIGINT AS n WHERE false", base="")
@@ -303,22 +278,11 @@ def by_cube(x: DataFrame, k: int = 5) -> DataFrame:
     return x.select("cube").distinct().withColumn("fold", (F.col("cube") % k).cast("int"))
 
 
-@query()
-def harmonic_curve_by_fold(spark, d):
-    x = mc.kept_frames(spark, d).select("cube", F.dayofyear("ts").alias("doy"), F.col("mean_ndvi").alias("y"))
-    return rounded(fit.fit_by_fold(x, by_cube(x), fit.harmonic_design("doy", 4), "y", "doy", 9, ["cube"]).select("fold", "n_train", F.explode("coef").alias("coef")), "coef")
-
-
 def polynomial(spark, d):
     x = axes.consecutive_pairs(mc.kept_frames(spark, d), "mean_ndvi").withColumn("y", F.abs(F.col("mean_ndvi_b") - F.col("mean_ndvi_a"))).withColumn("g", F.col("gap_days") / 365.0)
     return fit.fit_by_fold(x, by_cube(x), fit.polynomial_design("g", 2), "y", "gap_days", 3, ["cube"])
 
 
-@query()
-def gap_polynomial_control(spark, d):
-    return rounded(polynomial(spark, d).select("fold", "n_train", F.posexplode("coef").alias("power", "coef")), "coef", digits=5)
-
-
 @query()
 def ridge_path(spark, d):
     x = mc.vectors(spark, d).withColumn("fold", F.col("cube") % 5)
@@ -457,7 +421,7 @@ def ensemble_crps(spark, d):
   (SELECT quantile_cont(mean_ndvi, 0.1) AS e1, quantile_cont(mean_ndvi, 0.3) AS e2, quantile_cont(mean_ndvi, 0.7) AS e3, quantile_cont(mean_ndvi, 0.9) AS e4 FROM kept)""")
 def severity_bins(spark, d):
     x = mc.kept_frames(spark, d).where("mean_ndvi is not null")
-    e = x.agg(F.expr("percentile(mean_ndvi, array(0.1, 0.3, 0.7, 0.9))").alias("e")).first()["e"]
+    e = percentiles(x, "mean_ndvi", [0.1, 0.3, 0.7, 0.9])
     return x.select("cube", "acq_idx", binned("mean_ndvi", e).alias("severity"))
 
 
@@ -475,7 +439,7 @@ def binned(c: str, edges: list[float]):
   (SELECT quantile_cont(s, 1.0 / 3) AS e1, quantile_cont(s, 2.0 / 3) AS e2 FROM (SELECT day_idx - first_value(day_idx) OVER (PARTITION BY cube ORDER BY acq_idx ROWS 7 PRECEDING) AS s FROM frames))""")
 def lookback_terciles(spark, d):
     x = axes.lookback_days(mc.frames(spark, d), 8)
-    e = x.agg(F.expr(f"percentile(window_span_days, array({1 / 3!r}D, {2 / 3!r}D))").alias("e")).first()["e"]
+    e = percentiles(x, "window_span_days", [1 / 3, 2 / 3])
     return x.select("cube", "acq_idx", F.element_at(F.array(*map(F.lit, ("short", "medium", "long"))), binned("window_span_days", e) + 1).alias("lookback"))
 
 
@@ -575,6 +539,4 @@ def footprint_overlaps(spark, d):
 
 @query()
 def nonoverlap_topn(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
     return spatial.greedy_selection(mc.footprints(spark, d), 100)

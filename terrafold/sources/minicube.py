@@ -6,7 +6,7 @@ cell), a band pair price and quantity. Explicit columns, no positional access.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import mask
@@ -26,6 +26,15 @@ def first_present(df: DataFrame, names: tuple[str, ...]) -> str:
     raise ValueError(f"none of {names} among {df.columns}")
 
 
+def parsed_id(name: Column) -> Column:
+    """(tile, start, end, start_year, r0, r1, c0, c1) of a cube id ``tile_start_end_r0_r1_c0_c1``; any other form is an error."""
+    p = F.split(name, "_")
+    whole = F.when(F.size(p) == 7, p).otherwise(F.raise_error(F.concat(F.lit("not a cube id: "), name)).cast("array<string>"))
+    at = lambda i: F.get(whole, F.lit(i))
+    start, end = at(1).cast("date"), at(2).cast("date")
+    return F.struct(at(0).alias("tile"), start.alias("start"), end.alias("end"), F.year(start).alias("start_year"), *(at(3 + i).cast("long").alias(c) for i, c in enumerate(("r0", "r1", "c0", "c1"))))
+
+
 def with_axes(frames: DataFrame, cube: str = "cube", ts: str = "ts", key: str = "frame_key") -> DataFrame:
     """Keep the first row of each (cube, time), then number acquisitions and days from the cube's start."""
     first = Window.partitionBy(cube, ts).orderBy(key)
