@@ -59,28 +59,32 @@ def predict(rows: DataFrame, folds: DataFrame, models: DataFrame, design: list[C
     return rows.join(folds, keys).join(models, "fold").withColumn("pred", F.when(F.col("coef").isNotNull(), dot))
 
 
-def ridge_path(rows: DataFrame, vec: str, y: str, fold: str, alphas: list[float]) -> DataFrame:
+def ridge_path(rows: DataFrame, vec: str, y: str, fold: str, alphas: list[float], by: str | None = None) -> DataFrame:
     """(fold, alpha, n_train, coef, intercept, r2): standardised ridge on each fold's complement, all alphas from one Gram.
 
-    Partitions emit one Gram matrix per fold, shifted by a constant guess of the mean; only matrices are shuffled.
+    With ``by`` (an integer column, first in the result) each of its values is a problem of its own, with folds of its own. Partitions emit one Gram
+    matrix per problem and fold; only matrices are shuffled.
     """
-    src = rows.select(F.col(fold).cast("int").alias("fold"), F.col(vec).alias("v"), F.col(y).cast("double").alias("y")).where("v is not null and y is not null")
+    group = F.col(by).cast("int") if by else F.lit(0)
+    src = rows.select(group.alias("by"), F.col(fold).cast("int").alias("fold"), F.col(vec).alias("v"), F.col(y).cast("double").alias("y")).where("v is not null and y is not null")
 
     def grams(batches):
-        acc: dict[int, np.ndarray] = {}
+        acc: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
-            for f, g in pdf.groupby("fold"):
+            for f, g in pdf.groupby(["by", "fold"]):
                 z = np.column_stack([np.ones(len(g)), np.stack(g["v"].to_list()), g["y"].to_numpy()])
                 acc[f] = acc.get(f, 0) + z.T @ z
-        yield pd.DataFrame({"fold": list(acc), "gram": [a.ravel() for a in acc.values()]}, columns=["fold", "gram"])
+        yield pd.DataFrame({"by": [k[0] for k in acc], "fold": [k[1] for k in acc], "gram": [a.ravel() for a in acc.values()]}, columns=["by", "fold", "gram"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = math.isqrt(len(pdf["gram"].iloc[0]))
+        size, problem = math.isqrt(len(pdf["gram"].iloc[0])), int(pdf["by"].iloc[0])
         per = {f: np.sum(g["gram"].to_list(), axis=0).reshape(size, size) for f, g in pdf.groupby("fold")}
         total, out = sum(per.values()), []
         for f, mine in per.items():
             t = total - mine
             n, d = t[0, 0], size - 2
+            if n < 1:
+                continue
             mean, my = t[0, 1 : 1 + d] / n, t[0, -1] / n
             cov, cxy = t[1 : 1 + d, 1 : 1 + d] - n * np.outer(mean, mean), t[1 : 1 + d, -1] - n * mean * my
             sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
@@ -93,15 +97,26 @@ def ridge_path(rows: DataFrame, vec: str, y: str, fold: str, alphas: list[float]
                 k, sx, sy, sxx, sxy, syy = mine[0, 0], mine[0, 1 : 1 + d], mine[0, -1], mine[1 : 1 + d, 1 : 1 + d], mine[1 : 1 + d, -1], mine[-1, -1]
                 sse = syy + coef @ sxx @ coef + k * icpt**2 - 2 * coef @ sxy - 2 * icpt * sy + 2 * icpt * (sx @ coef)
                 sst = syy - sy**2 / k
-                out.append((f, alpha, int(n), coef.tolist(), float(icpt), float(1 - sse / sst) if sst > 0 and k >= 8 else None))
-        return pd.DataFrame(out, columns=["fold", "alpha", "n_train", "coef", "intercept", "r2"])
+                out.append((problem, f, alpha, int(n), coef.tolist(), float(icpt), float(1 - sse / sst) if sst > 0 and k >= 8 else None))
+        return pd.DataFrame(out, columns=["by", "fold", "alpha", "n_train", "coef", "intercept", "r2"])
 
-    parts = src.mapInPandas(grams, "fold int, gram array<double>")
-    return parts.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, "fold int, alpha double, n_train long, coef array<double>, intercept double, r2 double")
+    parts = src.mapInPandas(grams, "by int, fold int, gram array<double>")
+    out = parts.groupBy("by").applyInPandas(solve, "by int, fold int, alpha double, n_train long, coef array<double>, intercept double, r2 double")
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
+
+
+def nested_alpha(rows: DataFrame, inner: DataFrame, vec: str, y: str, alphas: list[float]) -> DataFrame:
+    """(outer, alpha, inner_r2): for each outer fold the alpha of best mean score over its inner folds; a tie goes to the stronger.
+
+    ``inner`` (outer, cube, inner) deals only the training cubes of each outer fold, so no test row takes part in the choice.
+    """
+    x = rows.join(inner, "cube").select("outer", "inner", vec, y)
+    x = ridge_path(x, vec, y, "inner", alphas, by="outer").groupBy("outer", "alpha").agg(F.avg("r2").alias("inner_r2"))
+    return x.where("inner_r2 is not null").groupBy("outer").agg(F.max(F.struct("inner_r2", "alpha")).alias("x")).select("outer", "x.alpha", "x.inner_r2")
 
 
 def best_alpha(path: DataFrame) -> DataFrame:
-    """The alpha of best mean score over folds; a tie goes to the stronger."""
+    """The alpha of best mean score over the folds of ``path``, to report; ``nested_alpha`` is what chooses one without looking at test rows."""
     x = path.groupBy("alpha").agg(F.avg("r2").alias("r2_mean"))
     return x.agg(F.max(F.struct("r2_mean", "alpha")).alias("x")).select("x.alpha", "x.r2_mean")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import axes, fit, folds, mask, metrics, quality, reports
+from ..operators import axes, climatology, fit, folds, mask, metrics, quality, reports
 from ..operators.ranks import percentiles
 from ..sources import minicube as mc
-from .catalogue import SCORES, binned, fold_rows, footprint_blocks, persistence, query, r, rounded, scores, settings
+from .catalogue import CLIM, SCORES, binned, climate, fold_rows, footprint_blocks, persistence, query, r, rounded, scores, settings
 
 # --- SQL parts ----------------------------------------------------------------------------------
 
@@ -237,6 +237,53 @@ def skill_vs_persistence(spark, d):
     return rounded(x, "skill", "skill_med")
 
 
+#: Ridge strengths that nested tuning chooses from.
+ALPHAS = [10.0**a for a in range(-1, 6)]
+
+
+def ridge2_sql(name: str, rows: str, alphas: list[float]) -> str:
+    """CTEs that end in ``name`` (part, fold, alpha, n_train, r2): standardised ridge of y on w1 and w2 without each fold, inside each part of ``rows``."""
+    det = "((a11 + alpha) * (a22 + alpha) - a12 * a12)"
+    return f""", {name}_s AS (SELECT f.part, f.fold AS test, count(*) AS n, avg(w1) AS m1, avg(w2) AS m2, stddev_pop(w1) AS s1, stddev_pop(w2) AS s2, avg(y) AS my FROM (SELECT DISTINCT part, fold FROM {rows}) f JOIN {rows} t ON t.part = f.part AND t.fold <> f.fold GROUP BY 1, 2),
+{name}_z AS (SELECT s.part, test, fold, (w1 - m1) / s1 AS z1, (w2 - m2) / s2 AS z2, y, my, n FROM {name}_s s JOIN {rows} t ON t.part = s.part),
+{name}_g AS (SELECT part, test, any_value(n) AS n_train, sum(z1 * z1) AS a11, sum(z1 * z2) AS a12, sum(z2 * z2) AS a22, sum(z1 * (y - my)) AS b1, sum(z2 * (y - my)) AS b2 FROM {name}_z WHERE fold <> test GROUP BY 1, 2),
+{name}_c AS (SELECT *, ((a22 + alpha) * b1 - a12 * b2) / {det} AS c1, ((a11 + alpha) * b2 - a12 * b1) / {det} AS c2 FROM {name}_g, (SELECT unnest({alphas})::DOUBLE AS alpha)),
+{name} AS (SELECT part, test AS fold, alpha, any_value(n_train) AS n_train, 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2, 1 - sum((y - p) * (y - p)) / sum(y * y) AS skill
+  FROM (SELECT z.part, z.test, alpha, n_train, y, my + c1 * z1 + c2 * z2 AS p FROM {name}_z z JOIN {name}_c c ON c.part = z.part AND c.test = z.test WHERE z.fold = z.test) GROUP BY 1, 2, 3)
+"""
+
+
+WEATHER = """, wx AS (SELECT CAST(l_shipdate AS DATE) AS ts, avg(l_extendedprice) / 1000 AS w1, avg(l_discount) AS w2 FROM lineitem GROUP BY 1)
+"""
+
+
+def weather(spark, d):
+    return mc.table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("ts")).agg((F.avg("l_extendedprice") / 1000).alias("w1"), F.avg("l_discount").alias("w2")).select("ts", F.array("w1", "w2").alias("w"))
+
+
+@add(recursive(FOLD_ROWS + INNER + WEATHER + """, nr AS (SELECT cube, mean_ndvi AS y, w1, w2 FROM kept JOIN wx USING (ts) WHERE mean_ndvi IS NOT NULL),
+ni AS (SELECT s."outer" AS part, s.fold, y, w1, w2 FROM nr JOIN s ON s.cube = nr.cube AND s.rn > 0), no AS (SELECT 0 AS part, cube % 5 AS fold, y, w1, w2 FROM nr)""" + ridge2_sql("ri", "ni", ALPHAS) + ridge2_sql("ro", "no", ALPHAS) + """, best AS (SELECT part, alpha, avg(r2) AS m, row_number() OVER (PARTITION BY part ORDER BY avg(r2) DESC, alpha DESC) AS rn FROM ri GROUP BY 1, 2)
+SELECT CAST(b.part AS INTEGER) AS fold, b.alpha, n_train, round(m, 6) AS inner_r2, round(ro.r2, 6) AS r2 FROM best b JOIN ro ON ro.fold = b.part AND ro.alpha = b.alpha WHERE b.rn = 1"""))
+def nested_ridge(spark, d):
+    """Each outer fold's score with the alpha that its inner folds choose."""
+    x = mc.kept_frames(spark, d).where("mean_ndvi is not null").select("cube", "ts", F.col("mean_ndvi").alias("y"), (F.col("cube") % 5).alias("fold")).join(weather(spark, d), "ts")
+    chosen = fit.nested_alpha(x, folds.inner_folds(simple_folds(fold_rows(spark, d))), "w", "y", ALPHAS).withColumnRenamed("outer", "fold")
+    path = fit.ridge_path(x, "w", "y", "fold", ALPHAS).join(chosen, ["fold", "alpha"])
+    return rounded(path.select("fold", "alpha", "n_train", "inner_r2", "r2"), "inner_r2", "r2")
+
+
+@add(recursive(CLIM + WEATHER + """, an AS (SELECT o.cube, o.ts, avg(value - clim) AS y FROM obs o JOIN clim c ON o.cube = c.cube AND o.cell = c.cell AND o.y = c.excluded AND dayofyear(o.ts) = c.doy WHERE value IS NOT NULL GROUP BY 1, 2),
+nb AS (SELECT 0 AS part, year(ts) % 5 AS fold, y, w1, w2 FROM an JOIN wx USING (ts))""" + ridge2_sql("rb", "nb", [2.0]) + "SELECT CAST(fold AS INTEGER) AS fold, n_train, round(r2, 6) AS r2, round(skill, 6) AS r2_vs_climatology, 'leave_year_out' AS climatology_def FROM rb"))
+def weather_ceiling_climatology(spark, d):
+    """Stage B: anomalies against the climatology of all other years (the mean of a cube's cells on a day), standardised ridge with alpha = D, folds of whole years."""
+    obs, clim = climate(spark, d)
+    x = climatology.anomalies(obs, clim, ["cube", "cell"]).where("anomaly is not null").groupBy("cube", "ts").agg(F.avg("anomaly").alias("a"))
+    x = x.join(weather(spark, d), "ts").withColumn("fold", F.year("ts") % 5)
+    x, e = ceiling_predictions(x, 2.0), F.col("a") - F.col("p")
+    x = x.groupBy("fold").agg(F.first("n_train").alias("n_train"), metrics.r2("a", "p").alias("r2"), reports.skill(F.sum(e * e), F.sum(F.col("a") * F.col("a"))).alias("r2_vs_climatology"), F.lit("leave_year_out").alias("climatology_def"))
+    return rounded(x, "r2", "r2_vs_climatology")
+
+
 # --- intervals over many folds ------------------------------------------------------------------
 
 MANY = """, many AS (SELECT cube % 40 AS fold, 1 - sum((vb - va) * (vb - va)) / (sum(vb * vb) - sum(vb) * sum(vb) / count(*)) AS r2 FROM pr WHERE va IS NOT NULL AND vb IS NOT NULL AND cube % 40 < 40 GROUP BY 1 HAVING count(*) >= 8)
@@ -516,3 +563,31 @@ def shared_pixels(spark, d):
     from ..operators import spatial
 
     return spatial.shared_pixels(mc.footprints(spark, d))
+
+
+# --- bookkeeping and verdicts over scores ---------------------------------------------------------
+
+
+@query(SCORES + ", b AS (SELECT mode, model, fold, count(*) AS n_test FROM preds GROUP BY ALL), b2 AS (SELECT *, sum(n_test) OVER (PARTITION BY mode, model) - n_test AS n_train FROM b) SELECT mode, model, count(*) AS n_folds, count_if(n_test = 0) AS n_empty, count_if(r2 IS NULL) AS n_null, round(2.0 / min(n_train), 6) AS d_over_n FROM b2 JOIN scores USING (mode, model, fold) GROUP BY ALL")
+def fold_bookkeeping(spark, d):
+    x, s = scores(spark, d)
+    n = x.groupBy("mode", "model", "fold").agg(F.count("*").alias("n_test"))
+    n = n.withColumn("n_train", F.sum("n_test").over(Window.partitionBy("mode", "model")) - F.col("n_test"))  # a row a fold
+    return rounded(reports.bookkeeping(n.join(s, ["mode", "model", "fold"], "left"), ["mode", "model"], "r2", 2), "d_over_n")
+
+
+@query(SCORES + """, m AS (SELECT model, avg(r2) - (SELECT avg(r2) FROM scores WHERE is_control) AS margin FROM scores WHERE NOT is_control GROUP BY 1)
+  SELECT model, CASE WHEN model = 'half' AND margin < 0 THEN 'contradicts_margin' WHEN model = 'persistence' THEN 'no_verdict' END AS problem FROM m WHERE model = 'persistence' OR margin < 0""")
+def verdict_violations(spark, d):
+    """Verdicts of margins over the control (here: one is missing, and one says passed whatever its margin)."""
+    s = scores(spark, d)[1]
+    control = s.where("is_control").agg(F.avg("r2").alias("c"))
+    m = s.where("not is_control").groupBy("model").agg(F.avg("r2").alias("r2")).join(F.broadcast(control)).select("model", (F.col("r2") - F.col("c")).alias("margin"))  # one row
+    return quality.verdict_violations(m.where("model = 'half'").withColumn("verdict", F.lit("passed")), m.select("model"))
+
+
+@query(DOY + ", sp AS (SELECT quantile_cont(s, 0.5) AS m FROM (SELECT max(day_idx) - min(day_idx) AS s FROM kept GROUP BY cube)), hn AS (SELECT delta, count(*) AS n_rows, delta >= 0.5 * any_value(m) AS long FROM hd, sp GROUP BY 1) SELECT CAST(delta AS INTEGER) AS delta, n_rows FROM (SELECT *, lag(n_rows) OVER (ORDER BY delta) AS before FROM hn) WHERE long AND n_rows >= before")
+def retention_must_shrink(spark, d):
+    """Long horizons that keep no fewer rows than the next shorter one."""
+    span = mc.kept_frames(spark, d).groupBy("cube").agg((F.max("day_idx") - F.min("day_idx")).alias("s")).agg(F.expr("percentile(s, 0.5)").alias("median_span"))
+    return reports.not_shrinking(reports.retention_details(target_doy(spark, d), span))

@@ -170,3 +170,41 @@ def test_greedy_selection_equals_the_scan(spark):
             kept.append(i)
     assert [r.id for r in spatial.greedy_selection(df, 10).orderBy("place").collect()] == kept[:10]
     assert {(r.a, r.b) for r in spatial.overlaps(df).collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if hit(boxes[i], boxes[j])}
+
+
+def test_nested_alpha_never_sees_test_rows(spark):
+    import numpy as np
+
+    from terrafold.operators import fit
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 3))
+    y = x @ [1.0, -0.5, 0.0] + rng.normal(size=240) * 2
+    cube = np.arange(240) % 12
+    alphas = [0.1, 10.0, 1000.0]
+    inner = [(o, c, (c // 2) % 3) for o in range(2) for c in range(12) if c % 2 != o]
+    inner_df = spark.createDataFrame(inner, "outer int, cube int, inner int")
+
+    def chosen(targets):
+        rows = spark.createDataFrame([(int(c), v.tolist(), float(t)) for c, v, t in zip(cube, x, targets)], "cube int, w array<double>, y double")
+        return {r["outer"]: (r["alpha"], round(r["inner_r2"], 9)) for r in fit.nested_alpha(rows, inner_df, "w", "y", alphas).collect()}
+
+    def plain(outer):
+        best = None
+        for alpha in alphas:
+            scores = []
+            for i in range(3):
+                test = np.isin(cube, [c for o, c, f in inner if o == outer and f == i])
+                train = np.isin(cube, [c for o, c, f in inner if o == outer and f != i])
+                m, s = x[train].mean(0), x[train].std(0)
+                z, my = (x[train] - m) / s, y[train].mean()
+                coef = np.linalg.solve(z.T @ z + alpha * np.eye(3), z.T @ (y[train] - my))
+                e = y[test] - my - ((x[test] - m) / s) @ coef
+                scores.append(1 - e @ e / ((y[test] - y[test].mean()) ** 2).sum())
+            best = max(best or (-9e9, 0), (np.mean(scores), alpha))
+        return best[1], round(best[0], 9)
+
+    got = chosen(y)
+    assert got == {o: plain(o) for o in range(2)}
+    poisoned = np.where(cube % 2 == 0, 1e6, y)  # the test rows of outer fold 0
+    assert chosen(poisoned)[0] == got[0]
