@@ -446,7 +446,15 @@ def lookback_terciles(spark, d):
 # --- classifiers, trees, components, result tables ----------------------------------------------
 
 
-@query()
+#: 2 P(Z < |z|) - 1 of a standard normal Z, as 2 phi(z) times the sum of |z|^(2n+1) / (2n+1)!!.
+GAUSS = """, gr AS (SELECT fold, mode, y - pred AS e FROM preds WHERE model = 'half'),
+sg AS (SELECT f.fold, stddev_samp(e) AS sigma FROM (SELECT DISTINCT fold FROM gr) f JOIN gr t ON t.fold <> f.fold GROUP BY 1),
+gz AS (SELECT fold, mode, sigma, greatest(abs(e / sigma), 1e-300) AS z FROM gr JOIN sg USING (fold)),
+gs AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS phi, list_sum(list_transform(range(200), lambda n: exp((2 * n + 1) * ln(z) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)))) AS s FROM gz)
+"""
+
+
+@query(SCORES + GAUSS + f"SELECT mode, fold, count(*) AS n, {r('avg(sigma * (2 * z * phi * s + 2 * phi - 1 / sqrt(pi())))', 'crps')}, {r('max(sigma)', 'sigma')} FROM gs GROUP BY 1, 2")
 def gaussian_crps(spark, d):
     x = scores(spark, d)[0].where("model = 'half'")
     return rounded(readouts.gaussian_crps(x, "y", "pred", "fold").groupBy("mode", "fold").agg(F.count("*").alias("n"), F.avg("crps").alias("crps"), F.max("sigma").alias("sigma")), "crps", "sigma")
@@ -537,6 +545,10 @@ def footprint_overlaps(spark, d):
     return spatial.overlaps(mc.footprints(spark, d))
 
 
-@query()
+@query(""", il AS (SELECT id, r0, r1, c0, c1, row_number() OVER (ORDER BY n, grp, id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) AS n FROM fp)),
+  sel AS (SELECT 0::BIGINT AS p, CAST([] AS STRUCT(id BIGINT, place BIGINT, r0 BIGINT, r1 BIGINT, c0 BIGINT, c1 BIGINT)[]) AS held
+    UNION ALL SELECT il.place, CASE WHEN len(list_filter(held, lambda h: h.r0 - 64 < il.r1 AND il.r0 - 64 < h.r1 AND h.c0 - 64 < il.c1 AND il.c0 - 64 < h.c1)) > 0 THEN held
+    ELSE list_append(held, {'id': il.id::BIGINT, 'place': il.place::BIGINT, 'r0': il.r0::BIGINT, 'r1': il.r1::BIGINT, 'c0': il.c0::BIGINT, 'c1': il.c1::BIGINT}) END FROM sel JOIN il ON il.place = sel.p + 1 WHERE len(held) < 100)
+  SELECT h.id AS id, h.place AS place FROM (SELECT unnest(held) AS h FROM (SELECT held FROM sel ORDER BY p DESC LIMIT 1))""", base=BASE.replace("WITH px", "WITH RECURSIVE px", 1))
 def nonoverlap_topn(spark, d):
     return spatial.greedy_selection(mc.footprints(spark, d), 100)
