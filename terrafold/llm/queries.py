@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, knn, langid, linededup, lm, mix, near, packing, pii, simhash
-from .common import documents
+from . import chat, knn, langid, linededup, lm, mix, near, packing, pii, repair, simhash, variants, warc
+from .common import documents, shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -69,7 +71,24 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(vectors, F.col("vec_id") % 100 == 0, 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_language_id, op4_chat_formatting, op5_ngram_jaccard_join, op6_mixing, op7_fingerprints, op8_line_dedup, op9_personal_data, op10_nearest_neighbours)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.digest(repair.repair(repair.damage(rows)))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, left in the shared folder, and what reading them back gives; each payload is digested again."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
+    x = warc.read(spark, path, payload="false", verify="true").where(F.col("record_type").isin("response", "revisit"))
+    return x.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.word_counts(documents(spark, sf_dir))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_language_id, op4_chat_formatting, op5_ngram_jaccard_join, op6_mixing, op7_fingerprints, op8_line_dedup, op9_personal_data, op10_nearest_neighbours, op11_conversation_repair, op12_warc, op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws('|', '7', CAST(doc_id AS VARCHAR), text)) AS k FROM documents),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS n FROM d GROUP BY source),
