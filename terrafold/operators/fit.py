@@ -6,9 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import written
+
 PERIOD = 365.25
 
 
@@ -21,87 +25,173 @@ def polynomial_design(x: str, degree: int) -> list[Column]:
     return [F.pow(F.col(x).cast("double"), F.lit(float(d))) for d in range(degree + 1)]
 
 
+def summed(df: DataFrame, keys: list[str], *arrays: str) -> DataFrame:
+    """(keys, arrays): sums of arrays of one length, element by element, with partial sums before the shuffle."""
+    x = df.select(*keys, *(array_to_vector(c).alias(c) for c in arrays)).groupBy(*keys).agg(*(Summarizer.sum(F.col(c)).alias(c) for c in arrays))
+    return x.select(*keys, *(vector_to_array(c).alias(c) for c in arrays))
+
+
+def grams(src: DataFrame, keys: list[str], schema: str, matrix) -> DataFrame:
+    """(keys, gram): z'z of the rows of each key, where ``matrix(pdf)`` gives z; partitions emit one matrix a key, and only matrices are shuffled."""
+
+    def run(batches):
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for k, g in pdf.groupby(keys):
+                z = matrix(g)
+                acc[k] = acc.get(k, 0) + z.T @ z
+        yield pd.DataFrame([(*k, a.ravel()) for k, a in acc.items()], columns=[*keys, "gram"])
+
+    return summed(src.mapInPandas(run, f"{schema}, gram array<double>"), keys, "gram")
+
+
+def beside_total(own: DataFrame, keys: list[str], *arrays: str) -> DataFrame:
+    """``own`` (one row a fold) with ``total_<array>`` over all folds of its keys: a training side is the total minus its own part."""
+    own = written(own, "fold-sums")
+    total = summed(own, keys, *arrays).select(*keys, *(F.col(c).alias(f"total_{c}") for c in arrays))
+    return own.join(total, keys) if keys else own.join(F.broadcast(total))  # one row
+
+
+def seen_outside(rows: DataFrame, x: str) -> DataFrame:
+    """(fold, seen): how many values of ``x`` the rows outside each fold have."""
+    per = rows.where(F.col(x).isNotNull()).groupBy(x).agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
+    alone = per.where("low = high").groupBy(F.col("low").alias("fold")).agg(F.count("*").alias("alone"))
+    every = rows.select("fold").distinct().join(alone, "fold", "left").join(F.broadcast(per.agg(F.count("*").alias("n"))))  # one row
+    return every.select("fold", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("seen"))
+
+
 def fit_by_fold(rows: DataFrame, folds: DataFrame, design: list[Column], y: str, x: str, least_distinct: int, keys: list[str], ridge: float = 0.0) -> DataFrame:
     """(fold, n_train, coef) of least squares on each fold's complement; a fold with too few distinct x has no coefficients.
 
     ``rows`` carry a key of ``folds`` (keys, fold), which names each row's test fold. Sums of products are
-    aggregated per fold once; a fold's training sums are the totals minus its own.
+    aggregated per fold once; a fold's training sums are the totals minus its own, and each fold is solved by itself.
     """
     p = len(design)
     d = rows.join(folds, keys).select("fold", F.col(y).cast("double").alias("_y"), F.col(x).alias("_x"), F.array(*design).alias("_d")).where("_y is not null")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     item = lambda i: F.get("_d", F.lit(i))
-    sums = [F.sum(item(i) * item(j)) for i, j in pairs] + [F.sum(item(i) * F.col("_y")) for i in range(p)]
-    own = d.groupBy("fold").agg(F.array(*sums).alias("s"), F.count("*").alias("n"), F.collect_set("_x").alias("xs"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.stack([np.asarray(v, float) for v in pdf["s"]])
-        total, n, out = s.sum(0), pdf["n"].sum(), []
-        where: dict = {}
-        for f, xs in zip(pdf["fold"], pdf["xs"]):
-            for v in xs:
-                where.setdefault(v, set()).add(f)
-        for f, mine, m in zip(pdf["fold"], s, pdf["n"]):
-            t, seen = total - mine, sum(fs != {f} for fs in where.values())
-            a = np.zeros((p, p))
-            for v, (i, j) in zip(t, pairs):
-                a[i, j] = a[j, i] = v
-            coef = np.linalg.lstsq(a + ridge * np.eye(p), t[len(pairs) :], rcond=None)[0].tolist() if seen >= least_distinct else None
-            out.append((f, n - m, coef))
-        return pd.DataFrame(out, columns=["fold", "n_train", "coef"])
-
-    return own.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, "fold int, n_train long, coef array<double>")
+    sums = [F.sum(item(i) * item(j)) for i, j in pairs] + [F.sum(item(i) * F.col("_y")) for i in range(p)] + [F.count("*").cast("double")]
+    own = beside_total(d.groupBy("fold").agg(F.array(*sums).alias("s")), [], "s").join(seen_outside(d, "_x"), "fold")
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for f, mine, total, seen in zip(pdf["fold"], pdf["s"], pdf["total_s"], pdf["seen"]):
+                t = np.asarray(total) - np.asarray(mine)
+                a = np.zeros((p, p))
+                for v, (i, j) in zip(t, pairs):
+                    a[i, j] = a[j, i] = v
+                coef = np.linalg.lstsq(a + ridge * np.eye(p), t[len(pairs) : -1], rcond=None)[0].tolist() if seen >= least_distinct else None
+                out.append((f, round(t[-1]), coef))
+            yield pd.DataFrame(out, columns=["fold", "n_train", "coef"])
+
+    return own.select("fold", "s", "total_s", "seen").mapInPandas(solve, "fold int, n_train long, coef array<double>")
+
+
+def fit_all(rows: DataFrame, design: list[Column], y: str) -> DataFrame:
+    """(coef): least squares over all rows, for reports; never for a score of held-out rows."""
+    p = len(design)
+    src = rows.select(F.array(*design, F.col(y).cast("double")).alias("v")).where(F.col(y).isNotNull())
+    x = grams(src.withColumn("k", F.lit(0)), ["k"], "k int", lambda g: np.stack(g["v"].to_list()))
+
+    def solve(batches):
+        for pdf in batches:
+            g = [np.reshape(v, (p + 1, -1)) for v in pdf["gram"]]
+            yield pd.DataFrame({"coef": [np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0].tolist() for m in g]})
+
+    return x.mapInPandas(solve, "coef array<double>")
+
+
+def residual_ridge(rows: DataFrame, design: list[Column], w: str, y: str, x: str, alpha: float, least_distinct: int) -> DataFrame:
+    """(fold, n_train, curve, coef, intercept, sigma): for each test fold a curve and then a standardised ridge of its residuals, both from the same training rows.
+
+    One matrix of [design, w, y] per fold holds all: the totals minus a fold's own give its curve, and the curve turns the same sums into those of the residuals,
+    so no row has residuals of its own and nothing of the test fold reaches its training side. ``sigma`` is the sample deviation of the training residuals.
+    ``rows``: fold, the columns of ``design``, ``w`` (array), ``y``. A fold with fewer distinct ``x`` than ``least_distinct`` outside it has no model.
+    """
+    p = len(design)
+    src = rows.select(F.col("fold").cast("int").alias("fold"), F.col(x).alias("x"), F.concat(F.array(*design), w, F.array(F.col(y).cast("double"))).alias("v")).where("v is not null").where(F.forall("v", lambda e: e.isNotNull()))
+    own = grams(src.select("fold", "v"), ["fold"], "fold int", lambda g: np.stack(g["v"].to_list()))
+    both = beside_total(own, [], "gram").join(seen_outside(src, "x"), "fold")
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for f, mine, total, seen in zip(pdf["fold"], pdf["gram"], pdf["total_gram"], pdf["seen"]):
+                t = np.asarray(total) - np.asarray(mine)
+                size = math.isqrt(len(t))
+                t = t.reshape(size, size)
+                n = t[0, 0]
+                if n < 2 or seen < least_distinct:
+                    continue
+                dd, dw, dy = t[:p, :p], t[:p, p:-1], t[:p, -1]
+                curve = np.linalg.lstsq(dd, dy, rcond=None)[0]
+                sw, sa = dw[0], dy[0] - dd[0] @ curve
+                wa = t[p:-1, -1] - dw.T @ curve
+                aa = t[-1, -1] - 2 * curve @ dy + curve @ dd @ curve
+                mean, ma = sw / n, sa / n
+                cov, cwa = t[p:-1, p:-1] - n * np.outer(mean, mean), wa - n * mean * ma
+                sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
+                sd[sd == 0] = 1
+                coef = np.linalg.solve(cov / np.outer(sd, sd) + alpha * np.eye(len(sd)), cwa / sd) / sd
+                sse = aa - n * ma * ma - 2 * coef @ cwa + coef @ cov @ coef
+                out.append((f, round(n), curve.tolist(), coef.tolist(), float(ma - mean @ coef), math.sqrt(max(sse, 0.0) / (n - 1))))
+            yield pd.DataFrame(out, columns=["fold", "n_train", "curve", "coef", "intercept", "sigma"])
+
+    return both.select("fold", "gram", "total_gram", "seen").mapInPandas(solve, "fold int, n_train long, curve array<double>, coef array<double>, intercept double, sigma double")
+
+
+def dot(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+
+def residual_predictions(rows: DataFrame, models: DataFrame, design: list[Column], w: str, y: str) -> DataFrame:
+    """``rows`` (fold: the test fold of each) with ``a``, what the fold's curve leaves of ``y``, its prediction ``p`` and the model's ``sigma``."""
+    x = rows.join(models, "fold")
+    return x.withColumn("a", F.col(y) - dot(F.array(*design), "curve")).withColumn("p", dot(w, "coef") + F.col("intercept")).drop("curve", "coef", "intercept")
 
 
 def predict(rows: DataFrame, folds: DataFrame, models: DataFrame, design: list[Column], keys: list[str]) -> DataFrame:
     """``rows`` of each test fold with the prediction of the model fitted without it."""
-    dot = F.aggregate(F.zip_with(F.array(*design), "coef", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.join(folds, keys).join(models, "fold").withColumn("pred", F.when(F.col("coef").isNotNull(), dot))
+    return rows.join(folds, keys).join(models, "fold").withColumn("pred", F.when(F.col("coef").isNotNull(), dot(F.array(*design), "coef")))
 
 
 def ridge_path(rows: DataFrame, vec: str, y: str, fold: str, alphas: list[float], by: str | None = None) -> DataFrame:
     """(fold, alpha, n_train, coef, intercept, r2): standardised ridge on each fold's complement, all alphas from one Gram.
 
-    With ``by`` (an integer column, first in the result) each of its values is a problem of its own, with folds of its own. Partitions emit one Gram
-    matrix per problem and fold; only matrices are shuffled.
+    With ``by`` (an integer column, first in the result) each of its values is a problem of its own, with folds of its own. Each fold is solved by itself.
     """
     group = F.col(by).cast("int") if by else F.lit(0)
     src = rows.select(group.alias("by"), F.col(fold).cast("int").alias("fold"), F.col(vec).alias("v"), F.col(y).cast("double").alias("y")).where("v is not null and y is not null")
 
-    def grams(batches):
-        acc: dict[tuple[int, int], np.ndarray] = {}
+    own = grams(src, ["by", "fold"], "by int, fold int", lambda g: np.column_stack([np.ones(len(g)), np.stack(g["v"].to_list()), g["y"].to_numpy()]))
+
+    def solve(batches):
         for pdf in batches:
-            for f, g in pdf.groupby(["by", "fold"]):
-                z = np.column_stack([np.ones(len(g)), np.stack(g["v"].to_list()), g["y"].to_numpy()])
-                acc[f] = acc.get(f, 0) + z.T @ z
-        yield pd.DataFrame({"by": [k[0] for k in acc], "fold": [k[1] for k in acc], "gram": [a.ravel() for a in acc.values()]}, columns=["by", "fold", "gram"])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, problem = math.isqrt(len(pdf["gram"].iloc[0])), int(pdf["by"].iloc[0])
-        per = {f: np.sum(g["gram"].to_list(), axis=0).reshape(size, size) for f, g in pdf.groupby("fold")}
-        total, out = sum(per.values()), []
-        for f, mine in per.items():
-            t = total - mine
-            n, d = t[0, 0], size - 2
-            if n < 1:
-                continue
-            mean, my = t[0, 1 : 1 + d] / n, t[0, -1] / n
-            cov, cxy = t[1 : 1 + d, 1 : 1 + d] - n * np.outer(mean, mean), t[1 : 1 + d, -1] - n * mean * my
-            sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
-            sd[sd == 0] = 1
-            a, b = cov / np.outer(sd, sd), cxy / sd
-            w, q = np.linalg.eigh(a)
-            for alpha in alphas:
-                coef = (q @ ((q.T @ b) / (np.maximum(w, 0) + alpha))) / sd
-                icpt = my - mean @ coef
-                k, sx, sy, sxx, sxy, syy = mine[0, 0], mine[0, 1 : 1 + d], mine[0, -1], mine[1 : 1 + d, 1 : 1 + d], mine[1 : 1 + d, -1], mine[-1, -1]
-                sse = syy + coef @ sxx @ coef + k * icpt**2 - 2 * coef @ sxy - 2 * icpt * sy + 2 * icpt * (sx @ coef)
-                sst = syy - sy**2 / k
-                out.append((problem, f, alpha, int(n), coef.tolist(), float(icpt), float(1 - sse / sst) if sst > 0 and k >= 8 else None))
-        return pd.DataFrame(out, columns=["by", "fold", "alpha", "n_train", "coef", "intercept", "r2"])
-
-    parts = src.mapInPandas(grams, "by int, fold int, gram array<double>")
-    out = parts.groupBy("by").applyInPandas(solve, "by int, fold int, alpha double, n_train long, coef array<double>, intercept double, r2 double")
+            out = []
+            for problem, f, mine, total in zip(pdf["by"], pdf["fold"], pdf["gram"], pdf["total_gram"]):
+                size = math.isqrt(len(mine))
+                mine = np.reshape(mine, (size, size))
+                t = np.reshape(total, (size, size)) - mine
+                n, d = t[0, 0], size - 2
+                if n < 1:
+                    continue
+                mean, my = t[0, 1 : 1 + d] / n, t[0, -1] / n
+                cov, cxy = t[1 : 1 + d, 1 : 1 + d] - n * np.outer(mean, mean), t[1 : 1 + d, -1] - n * mean * my
+                sd = np.sqrt(np.maximum(np.diag(cov) / n, 0))
+                sd[sd == 0] = 1
+                a, b = cov / np.outer(sd, sd), cxy / sd
+                w, q = np.linalg.eigh(a)
+                for alpha in alphas:
+                    coef = (q @ ((q.T @ b) / (np.maximum(w, 0) + alpha))) / sd
+                    icpt = my - mean @ coef
+                    k, sx, sy, sxx, sxy, syy = mine[0, 0], mine[0, 1 : 1 + d], mine[0, -1], mine[1 : 1 + d, 1 : 1 + d], mine[1 : 1 + d, -1], mine[-1, -1]
+                    sse = syy + coef @ sxx @ coef + k * icpt**2 - 2 * coef @ sxy - 2 * icpt * sy + 2 * icpt * (sx @ coef)
+                    sst = syy - sy**2 / k
+                    out.append((problem, f, alpha, round(n), coef.tolist(), float(icpt), float(1 - sse / sst) if sst > 0 and k >= 8 else None))
+            yield pd.DataFrame(out, columns=["by", "fold", "alpha", "n_train", "coef", "intercept", "r2"])
+
+    out = beside_total(own, ["by"], "gram").select("by", "fold", "gram", "total_gram").mapInPandas(solve, "by int, fold int, alpha double, n_train long, coef array<double>, intercept double, r2 double")
     return out.withColumnRenamed("by", by) if by else out.drop("by")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,51 @@ def spatial_blocks(boxes: DataFrame, size: int) -> DataFrame:
     return boxes.select("id", F.concat_ws("_", F.floor((F.col("r0") + F.col("r1")) / (2 * size)), F.floor((F.col("c0") + F.col("c1")) / (2 * size))).alias("block"))
 
 
+def linkage(points: np.ndarray, n_blocks: int) -> np.ndarray:
+    """Complete linkage: the two clusters whose farthest members are nearest are joined until ``n_blocks`` are left; a tie goes to the pair of earliest
+    first members. Clusters are numbered by their first members."""
+    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
+    d[np.tril_indices(len(d))] = np.inf
+    label = np.arange(len(d))
+    for _ in range(len(d) - n_blocks):
+        a, b = divmod(int(d.argmin()), len(d))  # the first of equal minima: least a, then least b
+        for i in range(len(d)):
+            if i not in (a, b) and not np.isinf(d[min(a, i), max(a, i)]):
+                d[min(a, i), max(a, i)] = max(d[min(a, i), max(a, i)], d[min(b, i), max(b, i)])
+        d[b, :] = d[:, b] = np.inf
+        label[label == b] = a
+    return np.searchsorted(np.unique(label), label)
+
+
+def spatial_clusters(boxes: DataFrame, n_blocks: int, limit: int = 512) -> DataFrame:
+    """(id, block) of ``boxes`` (id, tile, r0, r1, c0, c1). Several tiles: the block is the tile. One tile: complete linkage of the box centres into ``n_blocks``.
+
+    Up to ``limit`` different centres are linked exactly. Beyond, centres share square cells, the finest (sides double) of which no more than ``limit`` are
+    occupied; the cell's least id stands for it. So what one task links is bounded, and the result depends on the boxes alone.
+    """
+    tiles = [r["tile"] for r in boxes.select("tile").distinct().limit(2).collect()]
+    if len(tiles) > 1:
+        return boxes.select("id", F.col("tile").cast("string").alias("block"))
+    # twice the centre, so that it is whole
+    x = boxes.groupBy("id").agg(F.first("tile").alias("tile"), F.min(F.col("r0") + F.col("r1")).alias("y"), F.min(F.col("c0") + F.col("c1")).alias("x"))
+    cells, level = written(x.groupBy(F.col("y").alias("cy"), F.col("x").alias("cx")).agg(F.min(F.struct("id", "y", "x", "tile")).alias("first")), "fold-cells"), 0
+    while cells.count() > limit:
+        level += 1
+        cells = written(cells.groupBy(F.floor(F.col("cy") / 2).alias("cy"), F.floor(F.col("cx") / 2).alias("cx")).agg(F.min("first").alias("first")), "fold-cells")
+    if cells.count() < n_blocks:
+        raise ValueError(f"{n_blocks} blocks of {cells.count()} places")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        pdf["block"] = linkage(pdf[["y", "x"]].to_numpy(float) / 2, n_blocks)
+        return pdf[["cy", "cx", "block"]]
+
+    blocks = cells.select(F.lit(0).alias("k"), "cy", "cx", "first.id", "first.y", "first.x").groupBy("k").applyInPandas(link, "cy long, cx long, block int")
+    side = F.lit(2**level)
+    x = x.withColumns({"cy": F.floor(F.col("y") / side), "cx": F.floor(F.col("x") / side)}).join(F.broadcast(blocks), ["cy", "cx"])  # ``limit`` rows at most
+    return x.select("id", F.concat(F.col("tile").cast("string"), F.lit("/block"), F.col("block")).alias("block"))
+
+
 def leakage(folds: DataFrame) -> DataFrame:
     """(fold, n): cubes that a fold has on both sides; empty when the table is safe."""
     x = folds.groupBy("fold", "cube").agg(F.countDistinct("side").alias("sides")).where("sides > 1")

@@ -10,15 +10,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gaussian_crps(df: DataFrame, y: str, pred: str, fold: str) -> DataFrame:
-    """Closed-form CRPS of a Gaussian around ``pred``; sigma is the sample deviation of the other folds' residuals.
-
-    Sigma comes from sums per fold, totals minus own. Null where the other folds hold under two rows or no spread.
-    """
+def crps_of(e: Column, sigma: Column) -> Column:
+    """Closed-form CRPS of a Gaussian whose mean misses by ``e``; null without a positive sigma."""
 
     @F.pandas_udf("double")
     def crps(e: pd.Series, sigma: pd.Series) -> pd.Series:
@@ -26,12 +23,21 @@ def gaussian_crps(df: DataFrame, y: str, pred: str, fold: str) -> DataFrame:
         cdf = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
         return sigma * (z * (2 * cdf - 1) + 2 * np.exp(-z * z / 2) / math.sqrt(2 * math.pi) - 1 / math.sqrt(math.pi))
 
+    return crps(e, sigma)
+
+
+def gaussian_crps(df: DataFrame, y: str, pred: str, fold: str) -> DataFrame:
+    """Closed-form CRPS of a Gaussian around ``pred``; sigma is the sample deviation of the other folds' residuals.
+
+    Sigma comes from sums per fold, totals minus own. Null where the other folds hold under two rows or no spread.
+    """
+
     e = F.col(y).cast("double") - F.col(pred)
     own = df.groupBy(fold).agg(F.count(e).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q"))
     w = Window.partitionBy(F.lit(0))  # one row a fold
     n, s, q = (F.sum(c).over(w) - F.col(c) for c in ("n", "s", "q"))
     sigma = own.select(fold, F.when(n > 1, F.sqrt(F.greatest((q - s * s / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)))).alias("sigma"))
-    return df.join(sigma, fold).withColumn("crps", crps(e, F.col("sigma")))
+    return df.join(sigma, fold).withColumn("crps", crps_of(e, F.col("sigma")))
 
 
 def ridge_classifier(rows: DataFrame, vec: str, label: str, fold: str, alpha: float = 1.0, balanced: bool = False) -> DataFrame:

@@ -36,7 +36,7 @@ hz AS (SELECT * FROM cand WHERE rn = 1)
 """
 
 #: Scores used by the reporting queries: R2 of two predictors of the next value, by cube fold and model.
-SCORES = """, sc0 AS (SELECT cube % 5 AS fold, CASE WHEN gap_mode = 1 THEN 'short' ELSE 'long' END AS mode, va, vb, avg(vb) OVER () AS centre FROM (SELECT *, CASE WHEN day_idx_b - day_idx_a <= 200 THEN 1 ELSE 0 END AS gap_mode FROM pr WHERE va IS NOT NULL AND vb IS NOT NULL)),
+SCORES = """, sc0 AS (SELECT cube % 5 AS fold, CASE WHEN gap_mode = 1 THEN 'short' ELSE 'long' END AS mode, va, vb, (sum(vb) OVER () - sum(vb) OVER (PARTITION BY cube % 5)) / (count(*) OVER () - count(*) OVER (PARTITION BY cube % 5)) AS centre FROM (SELECT *, CASE WHEN day_idx_b - day_idx_a <= 200 THEN 1 ELSE 0 END AS gap_mode FROM pr WHERE va IS NOT NULL AND vb IS NOT NULL)),
 preds AS (SELECT fold, mode, 'persistence' AS model, vb AS y, va AS pred FROM sc0 UNION ALL SELECT fold, mode, 'half', vb, (va + centre) / 2 FROM sc0 UNION ALL SELECT fold, mode, 'mean', vb, centre FROM sc0),
 scores AS (SELECT mode, model, fold, 1 - sum((y - pred) * (y - pred)) / (sum(y * y) - sum(y) * sum(y) / count(y)) AS r2, model = 'mean' AS is_control FROM preds GROUP BY ALL)
 """
@@ -257,7 +257,9 @@ def temporal_folds(spark, d):
 
 
 def footprint_blocks(spark, d):
-    return folds.spatial_blocks(mc.footprints(spark, d), 1000).withColumnRenamed("id", "cube")
+    """All footprints as one tile, linked into ten blocks over 40 places at most."""
+    boxes = mc.footprints(spark, d).withColumn("tile", F.lit("T"))
+    return folds.spatial_clusters(boxes, 10, 40).withColumnRenamed("id", "cube")
 
 
 @query("SELECT 0 AS fold, 0::BIGINT AS n WHERE false", base="")
@@ -338,10 +340,14 @@ def climatology_anomaly(spark, d):
 
 
 def scores(spark, d):
+    """Predictions of the next value and their scores; the mean is that of the other folds."""
     x = axes.consecutive_pairs(mc.kept_frames(spark, d), "mean_ndvi").select("cube", "gap_days", F.col("mean_ndvi_a").alias("va"), F.col("mean_ndvi_b").alias("vb")).where("va is not null and vb is not null")
-    centre = x.agg(F.avg("vb")).first()[0]
-    preds = F.array(*(F.struct(F.lit(m).alias("model"), p.alias("pred")) for m, p in (("persistence", F.col("va")), ("half", (F.col("va") + centre) / 2), ("mean", F.lit(centre)))))
-    x = x.select((F.col("cube") % 5).alias("fold"), F.when(F.col("gap_days") <= 200, "short").otherwise("long").alias("mode"), F.col("vb").alias("y"), F.explode(preds).alias("p")).select("fold", "mode", "y", "p.*")
+    x = x.withColumn("fold", F.col("cube") % 5)
+    own = x.groupBy("fold").agg(F.sum("vb").alias("s"), F.count("*").alias("n"))
+    every = Window.partitionBy(F.lit(0))  # one row a fold
+    own = own.select("fold", ((F.sum("s").over(every) - F.col("s")) / (F.sum("n").over(every) - F.col("n"))).alias("centre"))
+    preds = F.array(*(F.struct(F.lit(m).alias("model"), p.alias("pred")) for m, p in (("persistence", F.col("va")), ("half", (F.col("va") + F.col("centre")) / 2), ("mean", F.col("centre")))))
+    x = x.join(own, "fold").select("fold", F.when(F.col("gap_days") <= 200, "short").otherwise("long").alias("mode"), F.col("vb").alias("y"), F.explode(preds).alias("p")).select("fold", "mode", "y", "p.*")
     return x, x.groupBy("mode", "model", "fold").agg(metrics.r2("y", "pred").alias("r2")).withColumn("is_control", F.col("model") == "mean")
 
 
@@ -417,14 +423,6 @@ def ensemble_crps(spark, d):
     return rounded(metrics.ensemble_crps(obs, s.where("day % 2 = 0").select("k", F.col("value").alias("x")), ["k"]).select("k", "id", "crps"), "crps", digits=5)
 
 
-@query(f"""SELECT cube, acq_idx, CASE WHEN a < e1 THEN 0 WHEN a < e2 THEN 1 WHEN a < e3 THEN 2 WHEN a < e4 THEN 3 ELSE 4 END AS severity FROM (SELECT cube, acq_idx, mean_ndvi AS a FROM kept WHERE mean_ndvi IS NOT NULL),
-  (SELECT quantile_cont(mean_ndvi, 0.1) AS e1, quantile_cont(mean_ndvi, 0.3) AS e2, quantile_cont(mean_ndvi, 0.7) AS e3, quantile_cont(mean_ndvi, 0.9) AS e4 FROM kept)""")
-def severity_bins(spark, d):
-    x = mc.kept_frames(spark, d).where("mean_ndvi is not null")
-    e = percentiles(x, "mean_ndvi", [0.1, 0.3, 0.7, 0.9])
-    return x.select("cube", "acq_idx", binned("mean_ndvi", e).alias("severity"))
-
-
 def binned(c: str, edges: list[float]):
     """Number of edges at or below the value; edges must increase strictly."""
     if any(a >= b for a, b in zip(edges, edges[1:])):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import axes, climatology, fit, folds, mask, metrics, quality, reports
+from ..operators import axes, climatology, fit, folds, mask, metrics, quality, readouts, reports
 from ..operators.ranks import percentiles
 from ..sources import minicube as mc
 from .catalogue import CLIM, SCORES, binned, climate, fold_rows, footprint_blocks, persistence, query, r, rounded, scores, settings
@@ -13,8 +13,18 @@ from .catalogue import CLIM, SCORES, binned, climate, fold_rows, footprint_block
 # --- SQL parts ----------------------------------------------------------------------------------
 
 #: Rows that fold tables split, with tile, year and block.
-FOLD_ROWS = """, fr AS (SELECT k.cube, acq_idx, ts, year(ts) AS year, c_nationkey AS tile, cube * 10000 + year(ts) AS season,
-  concat_ws('_', CAST(floor((r0 + r1) / 2000) AS BIGINT), CAST(floor((c0 + c1) / 2000) AS BIGINT)) AS block FROM kept k JOIN customer ON k.cube = c_custkey JOIN fp ON fp.id = k.cube)
+FOLD_ROWS = """, fr AS (SELECT k.cube, acq_idx, ts, year(ts) AS year, c_nationkey AS tile, cube * 10000 + year(ts) AS season FROM kept k JOIN customer ON k.cube = c_custkey)
+"""
+
+#: Box centres in the finest square cells of which 40 at most are occupied, linked completely into ten blocks.
+BLOCKS = """, bx AS (SELECT id, r0 + r1 AS y, c0 + c1 AS x FROM fp),
+lv AS (SELECT min(l) AS l FROM (SELECT l, count(DISTINCT (y // 2 ** l)::BIGINT * 1000000 + (x // 2 ** l)::BIGINT) AS n FROM bx, range(20) g(l) GROUP BY 1) WHERE n <= 40),
+bc AS (SELECT id, y, x, floor(y / 2 ** l) AS cy, floor(x / 2 ** l) AS cx FROM bx, lv),
+ce AS (SELECT cy, cx, row_number() OVER (ORDER BY first) AS lab, py, px FROM (SELECT cy, cx, min(id) AS first, arg_min(y, id) / 2 AS py, arg_min(x, id) / 2 AS px FROM bc GROUP BY 1, 2)),
+li AS (SELECT 0 AS step, cy, cx, py, px, lab FROM ce
+  UNION ALL SELECT step + 1, cy, cx, py, px, CASE WHEN lab = m.b THEN m.a ELSE lab END FROM li, (SELECT p.lab AS a, q.lab AS b FROM li p, li q WHERE p.lab < q.lab GROUP BY 1, 2 ORDER BY max((p.py - q.py) ** 2 + (p.px - q.px) ** 2), 1, 2 LIMIT 1) m
+  WHERE step < (SELECT count(*) FROM ce) - 10),
+bl AS (SELECT id AS cube, concat('T/block', dense_rank() OVER (ORDER BY lab) - 1) AS block FROM bc JOIN li USING (cy, cx) WHERE step = (SELECT max(step) FROM li))
 """
 
 
@@ -89,7 +99,12 @@ def year_folds(spark, d):
     return folds.fold_table(x.withColumn("cube", F.col("cube") * 10000 + F.col("year")), "year", k=5)
 
 
-@add(recursive(FOLD_ROWS + greedy_sql("a", "block", "5") + sides_sql("a", "block", "5")))
+@add(recursive(FOLD_ROWS + BLOCKS + "SELECT cube, block FROM bl"))
+def spatial_clusters(spark, d):
+    return footprint_blocks(spark, d)
+
+
+@add(recursive(FOLD_ROWS.replace("fr AS", "f0 AS") + BLOCKS + ", fr AS (SELECT * FROM f0 JOIN bl USING (cube))" + greedy_sql("a", "block", "5") + sides_sql("a", "block", "5")))
 def spatial_block_folds(spark, d):
     return folds.fold_table(fold_rows(spark, d).join(footprint_blocks(spark, d), "cube"), "block", k=5)
 
@@ -188,43 +203,85 @@ def horizon_control(spark, d):
 
 # --- the weather ceiling: anomalies against the curve, explained by weather, scored in folds ------
 
-#: Proxy: anomalies against the curve fitted in the fold; two weather features (own-day price and quantity); alpha = 2.
-CEILING = PREDICTED + """, wx AS (SELECT CAST(l_shipdate AS DATE) AS ts, avg(l_extendedprice) / 1000 AS w1, avg(l_discount) AS w2 FROM lineitem GROUP BY 1),
-wr AS (SELECT fold, hp.cube, hp.acq_idx, ts, y - pred AS a, w1, w2 FROM hp JOIN wx USING (ts)),
-st AS (SELECT f.fold, count(*) AS n, avg(w1) AS m1, avg(w2) AS m2, stddev_pop(w1) AS s1, stddev_pop(w2) AS s2, avg(a) AS ma FROM (SELECT DISTINCT fold FROM wr) f JOIN wr t ON t.fold <> f.fold GROUP BY 1),
-z AS (SELECT st.fold AS test, t.fold, t.cube, t.acq_idx, (w1 - m1) / s1 AS z1, (w2 - m2) / s2 AS z2, a, ma, n FROM st, wr t),
+WEATHER = """, wx AS (SELECT CAST(l_shipdate AS DATE) AS ts, avg(l_extendedprice) / 1000 AS w1, avg(l_discount) AS w2 FROM lineitem GROUP BY 1)
+"""
+
+
+def weather(spark, d):
+    return mc.table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("ts")).agg((F.avg("l_extendedprice") / 1000).alias("w1"), F.avg("l_discount").alias("w2")).select("ts", F.array("w1", "w2").alias("w"))
+
+
+#: Stage A: one curve and then one ridge on two weather features (alpha = 2) for each test fold, both from its training rows.
+CEILING_ROWS = WEATHER + f", hr AS (SELECT CAST(cube % 5 AS INTEGER) AS fold, cube, acq_idx, mean_ndvi AS y, w1, w2, {harmonics_sql('dayofyear(ts)', 4)} AS d FROM kept JOIN wx USING (ts) WHERE mean_ndvi IS NOT NULL)"
+CEILING = CEILING_ROWS + normal_sql("hc", "hr", "fold", 9) + """, wr AS (SELECT hc.fold AS test, hr.fold, cube, acq_idx, y - list_sum(list_transform(list_zip(d, coef), lambda z: z[1] * z[2])) AS a, w1, w2 FROM hr, hc),
+st AS (SELECT test, count(*) AS n, avg(w1) AS m1, avg(w2) AS m2, stddev_pop(w1) AS s1, stddev_pop(w2) AS s2, avg(a) AS ma FROM wr WHERE fold <> test GROUP BY 1),
+z AS (SELECT test, fold, cube, acq_idx, (w1 - m1) / s1 AS z1, (w2 - m2) / s2 AS z2, a, ma, n FROM st JOIN wr USING (test)),
 g AS (SELECT test, any_value(n) AS n_train, [[sum(z1 * z1) + 2, sum(z1 * z2), sum(z1 * (a - ma))], [sum(z1 * z2), sum(z2 * z2) + 2, sum(z2 * (a - ma))]] AS m FROM z WHERE fold <> test GROUP BY 1)
-""" + solve_sql("gc", "g", "test", 2) + """, pw AS (SELECT z.test AS fold, cube, acq_idx, a, ma + coef[1] * z1 + coef[2] * z2 AS p FROM z JOIN gc USING (test) WHERE z.fold = z.test)
+""" + solve_sql("gc", "g", "test", 2) + """, pz AS (SELECT z.test AS fold, z.fold AS own, cube, acq_idx, a, ma + coef[1] * z1 + coef[2] * z2 AS p FROM z JOIN gc USING (test)),
+sg AS (SELECT fold, stddev_samp(a - p) AS sigma FROM pz WHERE own <> fold GROUP BY 1),
+pw AS (SELECT pz.fold, cube, acq_idx, a, p, sigma FROM pz JOIN sg USING (fold) WHERE own = pz.fold)
+"""
+
+
+def full_sql(name: str, rows: str, n: int) -> str:
+    """CTEs that end in ``name`` (one, coef): least squares on all of ``rows`` (d: design list; y)."""
+    cells = ", ".join("[" + ", ".join([f"sum(d[{i}] * d[{j}])" for j in range(1, n + 1)] + [f"sum(d[{i}] * y)"]) + "]" for i in range(1, n + 1))
+    return f", {name}_m AS (SELECT 1 AS one, [{cells}] AS m FROM {rows})" + solve_sql(name, f"{name}_m", "one", n)
+
+
+#: Bins of the anomaly against a curve fitted on all rows, for reports: edges at four percentiles.
+SEVERITY = full_sql("fc", "hr", 9) + """, an AS (SELECT cube, acq_idx, y - list_sum(list_transform(list_zip(d, coef), lambda z: z[1] * z[2])) AS v FROM hr, fc),
+ed AS (SELECT quantile_cont(v, 0.1) AS e1, quantile_cont(v, 0.3) AS e2, quantile_cont(v, 0.7) AS e3, quantile_cont(v, 0.9) AS e4 FROM an),
+sv AS (SELECT cube, acq_idx, CASE WHEN v < e1 THEN 0 WHEN v < e2 THEN 1 WHEN v < e3 THEN 2 WHEN v < e4 THEN 3 ELSE 4 END AS severity FROM an, ed)
 """
 
 
 def ceiling_rows(spark, d):
-    wx = mc.table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("ts")).agg((F.avg("l_extendedprice") / 1000).alias("w1"), F.avg("l_discount").alias("w2"))
-    x = predicted(spark, d).withColumn("a", F.col("y") - F.col("pred")).join(wx, "ts")
-    return x.select("fold", "cube", "acq_idx", "ts", "a", F.array("w1", "w2").alias("w"))
+    x = mc.kept_frames(spark, d).where("mean_ndvi is not null").join(weather(spark, d), "ts")
+    return x.select("cube", "acq_idx", F.dayofyear("ts").alias("doy"), F.col("mean_ndvi").alias("y"), "w", (F.col("cube") % 5).cast("int").alias("fold"))
+
+
+def stage_a(x):
+    design = fit.harmonic_design("doy", 4)
+    return fit.residual_predictions(x, fit.residual_ridge(x, design, "w", "y", "doy", 2.0, 9), design, "w", "y")
+
+
+def severity(x):
+    """``x`` with its bin of the anomaly against a curve fitted on all rows: a label for reports, which no model sees."""
+    design = fit.harmonic_design("doy", 4)
+    x = x.join(F.broadcast(fit.fit_all(x, design, "y")))  # one row
+    x = x.withColumn("anomaly", F.col("y") - fit.dot(F.array(*design), "coef")).drop("coef")
+    return x.withColumn("severity", binned("anomaly", percentiles(x, "anomaly", [0.1, 0.3, 0.7, 0.9])))
 
 
 def ceiling_predictions(x, alpha):
     m = fit.ridge_path(x, "w", "a", "fold", [alpha]).select("fold", "n_train", "coef", "intercept")
-    p = F.aggregate(F.zip_with("w", "coef", lambda a, b: a * b), F.col("intercept"), lambda s, v: s + v)
-    return x.join(F.broadcast(m), "fold").withColumn("p", p)  # one model a fold
+    return x.join(m, "fold").withColumn("p", fit.dot("w", "coef") + F.col("intercept"))
 
 
-@add(recursive(CEILING + f"SELECT fold, count(*) AS n_test, {r('1 - sum((a - p) * (a - p)) / (sum(a * a) - sum(a) * sum(a) / count(*))', 'r2')}, {r('1 - sum((a - p) * (a - p)) / sum(a * a)', 'r2_vs_climatology')}, count(DISTINCT cube) AS effective_n FROM pw GROUP BY 1"))
+@add(recursive(CEILING + f""", gz AS (SELECT *, greatest(abs((a - p) / sigma), 1e-300) AS z FROM pw),
+gs AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) AS phi, list_sum(list_transform(range(200), lambda n: exp((2 * n + 1) * ln(z) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)))) AS s FROM gz)
+SELECT fold, count(*) AS n_test, {r('1 - sum((a - p) * (a - p)) / (sum(a * a) - sum(a) * sum(a) / count(*))', 'r2')}, {r('1 - sum((a - p) * (a - p)) / sum(a * a)', 'r2_vs_climatology')}, count(DISTINCT cube) AS effective_n,
+  {r('max(sigma)', 'sigma')}, {r('avg(sigma * (2 * z * phi * s + 2 * phi - 1 / sqrt(pi())))', 'crps')} FROM gs GROUP BY 1"""))
 def weather_ceiling_proxy(spark, d):
-    """Stage A: curve fitted in the fold, anomaly, standardised ridge with alpha = D, scores of each test fold."""
-    x = ceiling_predictions(ceiling_rows(spark, d), 2.0)
+    """Stage A: curve fitted on each fold's training side, standardised ridge of its residuals with alpha = D on the same side, scores of each test fold."""
+    x = stage_a(ceiling_rows(spark, d))
     e = F.col("a") - F.col("p")
-    x = x.groupBy("fold").agg(F.count("*").alias("n_test"), metrics.r2("a", "p").alias("r2"), reports.skill(F.sum(e * e), F.sum(F.col("a") * F.col("a"))).alias("r2_vs_climatology"), F.countDistinct("cube").alias("effective_n"))
-    return rounded(x, "r2", "r2_vs_climatology")
+    x = x.withColumn("crps", readouts.crps_of(e, F.col("sigma")))
+    x = x.groupBy("fold").agg(F.count("*").alias("n_test"), metrics.r2("a", "p").alias("r2"), reports.skill(F.sum(e * e), F.sum(F.col("a") * F.col("a"))).alias("r2_vs_climatology"), F.countDistinct("cube").alias("effective_n"), F.max("sigma").alias("sigma"), F.avg("crps").alias("crps"))
+    return rounded(x, "r2", "r2_vs_climatology", "sigma", "crps")
+
+
+@add(recursive(CEILING_ROWS + SEVERITY + "SELECT cube, acq_idx, severity FROM sv"))
+def severity_bins(spark, d):
+    return severity(ceiling_rows(spark, d)).select("cube", "acq_idx", "severity")
 
 
-@add(recursive(CEILING + """, ed AS (SELECT quantile_cont(a, 0.1) AS e1, quantile_cont(a, 0.3) AS e2, quantile_cont(a, 0.7) AS e3, quantile_cont(a, 0.9) AS e4 FROM pw)
-  SELECT severity, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(1 - sum((a - p) * (a - p)) / (sum(a * a) - sum(a) * sum(a) / count(*)), 5) END AS r2 FROM (SELECT a, p, CASE WHEN a < e1 THEN 0 WHEN a < e2 THEN 1 WHEN a < e3 THEN 2 WHEN a < e4 THEN 3 ELSE 4 END AS severity FROM pw, ed) GROUP BY 1"""))
+@add(recursive(CEILING + SEVERITY + """SELECT severity, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(1 - sum((a - p) * (a - p)) / (sum(a * a) - sum(a) * sum(a) / count(*)), 5) END AS r2 FROM pw JOIN sv USING (cube, acq_idx) GROUP BY 1"""))
 def r2_by_severity(spark, d):
-    """Pooled R2 inside bins of the anomaly, null under 20 rows."""
-    x = ceiling_predictions(ceiling_rows(spark, d), 2.0).select("a", "p")
-    x = x.withColumn("severity", binned("a", percentiles(x, "a", [0.1, 0.3, 0.7, 0.9])))
+    """Pooled R2 of stage A inside bins of the anomaly, null under 20 rows."""
+    x = ceiling_rows(spark, d)
+    x = stage_a(x).join(severity(x).select("cube", "acq_idx", "severity"), ["cube", "acq_idx"])
     return rounded(reports.r2_within(x, ["severity"], "a", "p"), "r2", digits=5)
 
 
@@ -253,14 +310,6 @@ def ridge2_sql(name: str, rows: str, alphas: list[float]) -> str:
 """
 
 
-WEATHER = """, wx AS (SELECT CAST(l_shipdate AS DATE) AS ts, avg(l_extendedprice) / 1000 AS w1, avg(l_discount) AS w2 FROM lineitem GROUP BY 1)
-"""
-
-
-def weather(spark, d):
-    return mc.table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("ts")).agg((F.avg("l_extendedprice") / 1000).alias("w1"), F.avg("l_discount").alias("w2")).select("ts", F.array("w1", "w2").alias("w"))
-
-
 @add(recursive(FOLD_ROWS + INNER + WEATHER + """, nr AS (SELECT cube, mean_ndvi AS y, w1, w2 FROM kept JOIN wx USING (ts) WHERE mean_ndvi IS NOT NULL),
 ni AS (SELECT s."outer" AS part, s.fold, y, w1, w2 FROM nr JOIN s ON s.cube = nr.cube AND s.rn > 0), no AS (SELECT 0 AS part, cube % 5 AS fold, y, w1, w2 FROM nr)""" + ridge2_sql("ri", "ni", ALPHAS) + ridge2_sql("ro", "no", ALPHAS) + """, best AS (SELECT part, alpha, avg(r2) AS m, row_number() OVER (PARTITION BY part ORDER BY avg(r2) DESC, alpha DESC) AS rn FROM ri GROUP BY 1, 2)
 SELECT CAST(b.part AS INTEGER) AS fold, b.alpha, n_train, round(m, 6) AS inner_r2, round(ro.r2, 6) AS r2 FROM best b JOIN ro ON ro.fold = b.part AND ro.alpha = b.alpha WHERE b.rn = 1"""))
