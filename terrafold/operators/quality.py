@@ -62,15 +62,28 @@ def cell_violations(df: DataFrame, features: list[str], cells: int = 16) -> Data
     return _counted(frame, [], problems | {f"{c}_varies": F.col(f"_{c}") > 0 for c in features})
 
 
-def vector_violations(df: DataFrame, vec: str, size: int) -> DataFrame:
-    """(problem, n): vectors of another length or with components that are not finite, negative spans, times that do not increase inside a cube."""
+def vector_violations(df: DataFrame, vec: str, size: int, apart: list[str] | None = None) -> DataFrame:
+    """(problem, n): vectors of another length or with components that are not finite, negative spans, times that do not increase inside a cube (and the columns ``apart``)."""
     from pyspark.sql import Window
 
-    before = F.lag("ts").over(Window.partitionBy("cube").orderBy("acq_idx"))
+    before = F.lag("ts").over(Window.partitionBy("cube", *apart or []).orderBy("acq_idx"))
     x = df.withColumn("_before", before)
     return _counted(x, [], {"length": F.size(vec) != size, "not_finite": F.exists(vec, lambda v: ~finite(v)), "negative_span": F.col("span") < 0, "not_increasing": F.col("ts") <= F.col("_before")})
 
 
+def embedding_violations(df: DataFrame, size: int, cells: int = 16) -> DataFrame:
+    """(problem, n): what rows of an embedding store must not have: see ``vector_violations``, spans by ``window_span_days``; clear fractions outside (0, 1]; where
+    there are cells: another number of them, fractions outside [0, 1], and a mean that is not the frame's."""
+    x = df.withColumn("span", F.col("window_span_days"))
+    clear = F.col("clear_frac")
+    problems = {"clear_frac_out_of_range": ~finite("clear_frac") | (clear <= 0) | (clear > 1), "span_not_finite": ~finite("span")}
+    if "grid_clear_frac" in df.columns:
+        grid = F.col("grid_clear_frac")
+        mean = F.aggregate(grid, F.lit(0.0), lambda a, b: a + b) / F.size(grid)
+        problems |= {"cells": F.size(grid) != cells, "cell_out_of_range": F.exists(grid, lambda v: ~finite(v) | (v < 0) | (v > 1)), "cell_mean": grid.isNotNull() & (F.abs(mean - clear) > 1e-6)}
+    return vector_violations(x, "vec", size, ["encoder"]).unionByName(_counted(x, [], problems))
+
+
 def lookback_violations(df: DataFrame, least: int = 3) -> DataFrame:
     """(encoder, problem, n): encoders of several images whose lookback hardly varies, and of one image with a lookback."""
     x = df.groupBy("encoder", "window_len").agg(F.countDistinct("span").alias("values"), F.max(F.abs("span")).alias("top"), F.count("*").alias("rows"))

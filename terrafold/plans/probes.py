@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import axes, climatology, fit, folds, mask, metrics, quality, readouts, reports
+from ..operators import axes, climatology, fit, folds, mask, metrics, quality, readouts, reports, vectors
 from ..operators.ranks import percentiles
 from ..sources import minicube as mc
+from ..sources import scan, store
 from .catalogue import CLIM, SCORES, binned, climate, fold_rows, footprint_blocks, persistence, query, r, rounded, scores, settings
 
 # --- SQL parts ----------------------------------------------------------------------------------
@@ -614,6 +617,77 @@ def shared_pixels(spark, d):
     return spatial.shared_pixels(mc.footprints(spark, d))
 
 
+# --- stores and scans -----------------------------------------------------------------------------
+
+
+def fresh(spark, name):
+    """A new folder under the shared one, for a store that a query writes and reads back."""
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def store_rows(spark, d):
+    v = mc.vectors(spark, d)
+    frac = (F.col("acq_idx") % 4 + 1) / 4.0
+    return v.select(
+        F.concat(F.lit("c"), F.col("cube")).alias("cube"), F.concat(F.lit("e"), F.col("label")).alias("encoder"), "acq_idx", F.date_add(F.lit("2020-01-01").cast("date"), F.col("acq_idx").cast("int")).alias("ts"), "vec", frac.alias("clear_frac"),
+        F.col("acq_idx").cast("double").alias("window_span_days"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: frac).alias("grid_clear_frac"))
+
+
+@add(f"SELECT concat('e', label) AS encoder, count(*) AS n, count(DISTINCT vec_id % 20) AS n_cubes, {r('sum(list_sum(embedding::DOUBLE[]))', 'total')}, 3 AS schema_version FROM embeddings GROUP BY label")
+def embedding_store(spark, d):
+    """Vectors written to a store and read back, beside its catalogue."""
+    path = fresh(spark, "embeddings")
+    store.write_embeddings(store_rows(spark, d), path, 64)
+    held = store.catalogue(spark, path).select("encoder", "schema_version")
+    x = store.read_embeddings(spark, path, 64).withColumn("s", F.aggregate("vec", F.lit(0.0), lambda a, b: a + b.cast("double")))
+    x = x.groupBy("encoder").agg(F.count("*").alias("n"), F.countDistinct("cube").alias("n_cubes"), F.sum("s").alias("total"))
+    return rounded(x.join(held, "encoder"), "total")
+
+
+@add("""SELECT status, count(*) AS n FROM (SELECT DISTINCT vec_id % 20 AS cube, label, CASE WHEN vec_id % 20 = 19 THEN 'foreign' WHEN (vec_id % 20 + label) % 7 = 0 THEN 'unstamped' WHEN vec_id % 20 % 5 = 1 THEN 'incomplete' ELSE 'current' END AS status FROM embeddings) GROUP BY 1""")
+def cache_audit_of_files(spark, d):
+    """The audit over a store's own files, into which cubes of an old version, without a field and of another catalogue were put."""
+    path, x = fresh(spark, "embeddings"), store_rows(spark, d)
+    cube, label = F.substring("cube", 2, 9).cast("int"), F.substring("encoder", 2, 9).cast("int")
+    old, lacking = (cube + label) % 7 == 0, cube % 5 == 1
+    store.append(x.where(old), path, 2)
+    store.append(x.where(~old & lacking).drop("window_span_days"), path, store.VERSION)
+    store.append(x.where(~old & ~lacking), path, store.VERSION)
+    known = x.where(cube != 19).select("cube")
+    return vectors.audit(store.audit_rows(spark, path, known), store.VERSION).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT cube, count(DISTINCT acq_idx) AS n_frames, count(*) AS n_pixels, {r('avg(CAST(valid AS INT))', 'clear_frac')} FROM cp GROUP BY 1")
+def mask_store(spark, d):
+    """Masks of all frames written in buckets, read back and joined with their frames without a shuffle."""
+    path = fresh(spark, "masks")
+    store.write_masks(mc.frames(spark, d), mc.pixels(spark, d), path, 8)
+    frames, masks = store.read_masks(spark, path)
+    x = masks.join(frames, "frame_key").groupBy("cube").agg(F.countDistinct("acq_idx").alias("n_frames"), F.count("*").alias("n_pixels"), F.avg(F.col("valid").cast("int")).alias("clear_frac"))
+    return rounded(x, "clear_frac")
+
+
+@query(f"SELECT CAST(c_nationkey AS VARCHAR) AS tile, count(*) AS n, {r('avg(nir)', 'nir')}, {r('avg(red)', 'red')}, CAST(count_if(valid) AS BIGINT) AS n_valid FROM cp JOIN customer ON cube = c_custkey GROUP BY 1")
+def mixed_file_scan(spark, d):
+    """Pixels in files of two schemas under one folder, scanned as one table; a tile's name stands in its files' paths."""
+    root = fresh(spark, "scan")
+    tiles = mc.table(spark, d, "customer").select(F.col("c_custkey").alias("cube"), F.col("c_nationkey").alias("tile"))
+    x = mc.cube_pixels(spark, d).join(tiles, "cube").select("tile", "nir", "red", "valid").repartition("tile")
+    x.where("tile % 2 = 0").write.partitionBy("tile").parquet(f"{root}/first")
+    x.where("tile % 2 = 1").select("tile", F.col("nir").alias("B8A"), F.col("red").alias("B04"), F.col("valid").alias("clear")).write.partitionBy("tile").parquet(f"{root}/second/deeper")
+    x = scan.cubes(spark, root, {"nir": ("nir", "B8A"), "red": ("red", "B04"), "valid": ("valid", "clear", "mask")}, r"/tile=(\d+)/")
+    return rounded(x.groupBy(F.col("id").alias("tile")).agg(F.count("*").alias("n"), F.avg("nir").alias("nir"), F.avg("red").alias("red"), F.count_if("valid").alias("n_valid")), "nir", "red")
+
+
+@query(f"SELECT cube, acq_idx, {r('w.price', 'weather')} FROM kept JOIN (SELECT CAST(l_shipdate AS DATE) AS ts, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1) w USING (ts)")
+def exact_day_join(spark, d):
+    """Weather of exactly each frame's day. Frames off the axis (``days_off_axis``) are taken out first, since the join refuses them."""
+    w = mc.table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("ts")).agg(F.avg("l_extendedprice").alias("weather"))
+    f = mc.kept_frames(spark, d).select("cube", "acq_idx", "ts")
+    on = f.join(axes.off_axis(f, w, ["ts"]), ["cube", "acq_idx"], "left_anti")
+    return rounded(axes.exact_days(on, w, ["ts"]).select("cube", "acq_idx", "weather"), "weather")
+
+
 # --- bookkeeping and verdicts over scores ---------------------------------------------------------
 
 
