@@ -14,7 +14,7 @@ nearly always enough, and only those are ranked; a label for which they are too
 Rejection is calibrated on sampled rows kept out of training: a temperature is fitted, and the
 threshold is the ``keep`` quantile of their scores, so nearly all clean texts pass.
 
-Edge cases: a null text or one without any letter is ``und`` with score 0 and rejected; an empty text
+Edge cases: a text of one letter has no subword and goes by the bias alone; a null text or one without any letter is ``und`` with score 0 and rejected; an empty text
 likewise; without any labelled row every document is ``und``; repeated rows and ties predict alike
 (ties between labels go to the first in order); extra columns are kept by ``keep_known``.
 """
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, per_label: int = 600, bits: int = 16) -> Model | None:
 
 
 def predict_batch(model: Model | None, column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Label index (-1: no subword), calibrated score and rejection of each text."""
+    """Label index (-1: no model), calibrated score and rejection of each text; a text without subwords has what the bias says."""
     n = len(column)
     best, score = np.full(n, -1, np.int32), np.zeros(n)
     if model is None or not n:
@@ -202,7 +202,7 @@ def predict_batch(model: Model | None, column: pa.Array, bits: int) -> tuple[np.
         z = z / np.maximum(count, 1)[:, None] + model.bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        best[lo:hi] = np.where(count > 0, p.argmax(1), -1)
+        best[lo:hi] = p.argmax(1)
         score[lo:hi] = p.max(1)
     return best, score, score < model.threshold
 

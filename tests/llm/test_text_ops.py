@@ -527,3 +527,35 @@ def test_pipeline_stages(spark, docs):
             assert sorted(r.doc_id for r in x.collect()) == sorted({k[4] for k in brute_near([(r.doc_id, r.text) for r in before.collect()])})
     assert rows["language_id"] > 0.97 * docs.count() and rows["packing"] > 0
     assert corpus_pipeline.run(spark, SF).columns == packing.pack_documents(docs, queries.TOKENIZER).columns
+
+def predicted_by_hand(model, text, bits=16):
+    """Label and score of a text, one byte gram after another."""
+    data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    total, count = [0.0] * len(model.labels), 0
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if 32 in gram[1:-1] or gram[0] == gram[-1] == 32:
+                continue
+            code = gram[0]
+            for k, b in enumerate(gram[1:], 2):
+                code = (code * 257 + b + k) & 0xFFFFFFFF
+            row = model.table[(code * 2654435761 & 0xFFFFFFFF) >> (32 - bits)]
+            total, count = [t + float(v) for t, v in zip(total, row)], count + 1
+    z = [t / max(1, count) + float(b) for t, b in zip(total, model.bias)]
+    p = [math.exp(v - max(z)) for v in z]
+    return model.labels[p.index(max(p))], max(p) / sum(p)
+
+
+def test_language_prediction_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs)
+    short = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "I", "É", "x1", "1", "", None, "ab", "a b", "漢", "the cat", " Z "], -20)], "doc_id long, text string")
+    x = langid.predict(docs.select("doc_id", "text").orderBy("doc_id").limit(60).unionByName(short), model).select("row.doc_id", "row.text", "lang_pred", "score").collect()
+    for r in x:
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        label, score = predicted_by_hand(model, r["text"])
+        assert r["lang_pred"] == label and abs(r["score"] - score) < 1e-5
+    assert {r["text"] for r in x if r["lang_pred"] == "und"} == {"1", "", None}
