@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Code points that are escaped or unescaped at once, so that long texts take little beside themselves.
+BLOCK = 1 << 18
+
 
 @dataclass(frozen=True)
 class Template:
@@ -42,10 +45,11 @@ class Template:
         return "".join(dict.fromkeys("\\" + "".join(x[0] for x in (*self.headers.values(), self.other, self.footer)) + "]"))
 
     def escape(self, text: str) -> str:
-        return re.sub(f"([{re.escape(self.special)}])", r"\\\1", text)
+        special = re.compile(f"([{re.escape(self.special)}])")
+        return "".join(special.sub(r"\\\1", text[i : i + BLOCK]) for i in range(0, len(text), BLOCK))
 
     def unescape(self, text: str) -> str:
-        return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+        return "".join(re.sub(r"\\(.)", r"\1", part, flags=re.S) for part in escaped_blocks(text))
 
     def header(self, role: str) -> str:
         return self.headers.get(role) or self.other.format(self.escape(role))
@@ -55,12 +59,25 @@ class Template:
 
     def reader(self) -> re.Pattern:
         """Reads one turn: header (with its role), escaped body, footer."""
-        body = rf"(?P<body>(?:[^{re.escape(self.special)}]|\\.)*)"
+        # possessive: a body ends at the first special character without a backslash, and nothing is kept for going back
+        body = rf"(?P<body>(?:[^{re.escape(self.special)}]++|\\.)*+)"
         known = "|".join(re.escape(h) for h in self.headers.values())
-        odd = re.escape(self.other).replace(r"\{\}", rf"(?P<odd>(?:[^{re.escape(self.special)}]|\\.)*)")
+        odd = re.escape(self.other).replace(r"\{\}", rf"(?P<odd>(?:[^{re.escape(self.special)}]++|\\.)*+)")
         return re.compile(rf"(?:(?P<head>{known})|{odd}){body}{re.escape(self.footer)}", re.S)
 
 
+def escaped_blocks(text: str):
+    """Parts of an escaped text; none ends between a backslash and what it escapes."""
+    at = 0
+    while at < len(text):
+        end, n = min(at + BLOCK, len(text)), 0
+        while end - n > at and text[end - 1 - n] == "\\":
+            n += 1
+        end += n % 2
+        yield text[at:end]
+        at = end
+
+
 SEGMENTS = "conv_id long, turn_no long, seg_no int, text string, loss boolean, state string"
 
 

@@ -2,8 +2,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -236,3 +239,29 @@ def test_nearest_at_any_magnitude(spark, size):
     for q, found in got.items():
         want = sorted((math.dist(x[q], v), i) for i, v in x.items() if i != q)[:7]
         assert np.allclose([s for _, s in found], [s for s, _ in want], rtol=1e-9, atol=0)
+
+
+LONG_TURN = """
+import resource, sys
+from terrafold.llm import chat
+t = chat.Template()
+text = ("plain words \\\\ ### </turn> [x] \\u00e9" * 700_000)[: 20_000_000]
+whole = t.header("user") + t.escape(text) + t.footer
+m = t.reader().fullmatch(whole)
+assert t.unescape(m["body"]) == text
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_a_turn_of_20_mb_is_read_in_little_memory():
+    found = subprocess.run([sys.executable, "-c", LONG_TURN], capture_output=True, text=True, check=True, timeout=120, cwd=Path(__file__).resolve().parents[2])
+    assert int(found.stdout) < 700
+
+
+def test_escapes_across_blocks(monkeypatch):
+    t = chat.Template()
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(chat, "BLOCK", size)
+        for text in ("\\" * 9, "a\\", "\\### </turn>\\\\n", "", "]]\\]"):
+            assert t.unescape(t.escape(text)) == text
+            assert "".join(chat.escaped_blocks(t.escape(text))) == t.escape(text)
