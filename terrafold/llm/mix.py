@@ -72,7 +72,7 @@ def targets(sizes: DataFrame, total: float = 1.5, most: float = 2.0, weights: tu
 def queue(slim: DataFrame, rows: int) -> DataFrame:
     """``slim`` (_source, _size, _k, ...) with _cum: the source's words up to this row, in order of the shuffle key ``_k``."""
     buckets = ranges_for(slim, rows, RANGE_ROWS)
-    x = slim.withColumn("_b", F.floor(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long") * F.lit(float(buckets)) / float(1 << 32)).cast("int")).withColumn("_sb", F.xxhash64("_source", "_b"))
+    x = slim.withColumn("_b", F.floor(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long") * F.lit(float(buckets)) / float(1 << 32)).cast("int")).withColumn("_sb", F.md5(F.concat(F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")), F.lit("|"), F.col("_b").cast("string"))))
     head = x.groupBy("_sb", "_source", "_b").agg(F.sum("_size").alias("_part"))
     w = Window.partitionBy("_source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     head = head.select("_sb", F.coalesce(F.sum("_part").over(w), F.lit(0)).alias("_before"))
