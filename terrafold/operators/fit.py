@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import written
+from .ranks import row_numbers, written
 
 PERIOD = 365.25
 
@@ -211,11 +211,26 @@ def best_alpha(path: DataFrame) -> DataFrame:
     return x.agg(F.max(F.struct("r2_mean", "alpha")).alias("x")).select("x.alpha", "x.r2_mean")
 
 
-def permuted(rows: DataFrame, keys: list[str], id_col: str, value: str, seed: str) -> DataFrame:
-    """Permutation null: inside each key, values dealt in order of md5(id || seed) to rows in order of id."""
-    from pyspark.sql import Window
+def permutation(rows: DataFrame, seed: str, keys: tuple[str, ...] = ("fold", "side")) -> DataFrame:
+    """Permutation null: inside each side of each fold, every frame (keys, cube, acq_idx) gets another frame's place: ``from_cube``, ``from_acq``.
 
-    w = Window.partitionBy(*keys)
-    a = rows.withColumn("_r", F.row_number().over(w.orderBy(id_col)))
-    b = rows.select(*keys, F.col(value).alias("permuted"), F.row_number().over(w.orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(seed))), id_col)).alias("_r"))
-    return a.join(b, [*keys, "_r"]).drop("_r")
+    Frames in order of their names meet frames in order of md5(name, seed, side), place by place; both orders are taken in ranges, so no side is sorted in one
+    task. Frames are permuted, not cells, so the cells of a frame keep one sky (``with_sky``).
+    """
+    keys = list(keys)
+    x = written(rows.select(*keys, "cube", "acq_idx"), "permutation-rows")
+    name = F.concat_ws("|", *(F.col(k).cast("string") for k in ("cube", "acq_idx", *keys)), F.lit(seed))
+    a = row_numbers(x, keys, [F.col("cube"), F.col("acq_idx")], "place")
+    b = row_numbers(x.withColumn("h", F.md5(name)), keys, [F.col("h"), F.col("cube"), F.col("acq_idx")], "place")
+    return a.join(b.select(*keys, "place", F.col("cube").alias("from_cube"), F.col("acq_idx").alias("from_acq")), [*keys, "place"]).drop("place")
+
+
+def same_cube_share(permuted: DataFrame, keys: tuple[str, ...] = ("fold", "side")) -> DataFrame:
+    """(keys, n, share): rows of each side that got a frame of their own cube; a side of one cube cannot do otherwise (1)."""
+    return permuted.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col("cube") == F.col("from_cube")).cast("double")).alias("share"))
+
+
+def with_sky(cells: DataFrame, permuted: DataFrame, sky: DataFrame) -> DataFrame:
+    """``cells`` (cube, acq_idx, ...) of each fold and side with the ``sky`` (cube, acq_idx, ...) of the frame that theirs was dealt."""
+    other = sky.withColumnsRenamed({"cube": "from_cube", "acq_idx": "from_acq"})
+    return cells.join(permuted.join(other, ["from_cube", "from_acq"]), ["cube", "acq_idx"])

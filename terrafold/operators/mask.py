@@ -94,3 +94,18 @@ def dominant(df: DataFrame, keys: list[str], code: str) -> DataFrame:
     n = df.groupBy(*keys, code).count()
     top = n.groupBy(*keys).agg(F.min(F.struct((-F.col("count")).alias("m"), F.col(code).alias("dominant"))).alias("x"), F.sum("count").alias("total"))
     return top.select(*keys, F.col("x.dominant").alias("dominant"), (-F.col("x.m") / F.col("total")).alias("purity"))
+
+
+def column_sets(columns: list[str], groups: dict[str, tuple[str, ...]]) -> dict[str, list[int]]:
+    """Places of the columns of each group of prefixes; a column in no group or in two, and an empty group, are errors."""
+    sets = {g: [i for i, c in enumerate(columns) if c.startswith(prefixes)] for g, prefixes in groups.items()}
+    if sorted(i for places in sets.values() for i in places) != list(range(len(columns))):
+        raise ValueError(f"{groups} do not hold each of {columns} once")
+    if not all(sets.values()):
+        raise ValueError(f"empty: {[g for g, places in sets.items() if not places]}")
+    return sets
+
+
+def sliced(vec: str, places: list[int]) -> Column:
+    """The components of a vector at ``places``."""
+    return F.transform(F.array(*map(F.lit, places)), lambda i: F.get(vec, i))

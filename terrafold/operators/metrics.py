@@ -115,12 +115,14 @@ def margins(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def paired_verdict(scores: DataFrame, keys: list[str], value: str, baseline: str) -> DataFrame:
-    """Mean paired difference to the baseline over shared folds, its t interval and a verdict."""
+    """Mean paired difference to the baseline over shared folds, its t interval and a verdict; the baseline itself has neither, and ``baseline`` for a verdict."""
     b = scores.where(F.col("model") == baseline).select(*keys, "fold", F.col(value).alias("_b"))
     x = scores.where(F.col("model") != baseline).join(b, [*keys, "fold"]).withColumn("diff", F.col(value) - F.col("_b"))
     x = t_interval(x, [*keys, "model"], "diff")
     separable = (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)
-    return x.withColumn("separable", separable).withColumn("verdict", F.when(F.col("mean") >= 0, "passed").otherwise("lossy"))
+    x = x.withColumn("separable", separable).withColumn("verdict", F.when(F.col("mean") >= 0, "passed").otherwise("lossy"))
+    itself = b.select(*keys).distinct().withColumns({"model": F.lit(baseline), "separable": F.lit(False), "verdict": F.lit("baseline")})
+    return x.unionByName(itself, allowMissingColumns=True)
 
 
 def missing_cells(actual: DataFrame, dimensions: dict[str, DataFrame]) -> DataFrame:

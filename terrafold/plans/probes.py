@@ -83,6 +83,16 @@ def cube_folds(spark, d):
     return folds.fold_table(fold_rows(spark, d), "cube", k=5)
 
 
+@query("SELECT 0 AS fold, count(DISTINCT cube) AS n FROM kept WHERE cube % 35 = 0 HAVING count(DISTINCT cube) > 0")
+def fold_leakage_check(spark, d):
+    """Cubes on both sides of a fold: none in a table by cube (its folds count from 10 here), those that were put there in the other."""
+    rows = fold_rows(spark, d)
+    safe = folds.group_folds(rows, "cube", 5).withColumn("fold", F.col("fold") + 10)
+    t = simple_folds(rows)
+    leak = t.where("fold = 0 and side = 'test' and cube % 7 = 0").withColumn("side", F.lit("train"))
+    return folds.leakage(safe.unionByName(t).unionByName(leak)).select("fold", "n")
+
+
 @add(recursive(FOLD_ROWS + greedy_sql("a", "tile", "5") + sides_sql("a", "tile", "5")))
 def tile_folds(spark, d):
     return folds.fold_table(fold_rows(spark, d), "tile", k=5)
@@ -297,6 +307,38 @@ def skill_vs_persistence(spark, d):
     return rounded(x, "skill", "skill_med")
 
 
+#: Sides of five folds, and the frame whose weather each frame gets inside its own side.
+PERMUTED = """, sd AS (SELECT CAST(f.i AS INTEGER) AS fold, CASE WHEN cube % 5 = f.i THEN 'test' ELSE 'train' END AS side, cube, acq_idx FROM kept, range(5) f(i)),
+pa AS (SELECT *, row_number() OVER (PARTITION BY fold, side ORDER BY cube, acq_idx) AS place FROM sd),
+pb AS (SELECT fold, side, cube AS from_cube, acq_idx AS from_acq, row_number() OVER (PARTITION BY fold, side ORDER BY md5(concat_ws('|', cube, acq_idx, fold, side, '1000')), cube, acq_idx) AS place FROM sd),
+pm AS (SELECT * EXCLUDE (place) FROM pa JOIN pb USING (fold, side, place))
+"""
+
+
+def permutation(spark, d):
+    return fit.permutation(simple_folds(mc.kept_frames(spark, d)), "1000")
+
+
+@query(PERMUTED + "SELECT fold, side, cube, acq_idx, from_cube, from_acq FROM pm")
+def permutation_null(spark, d):
+    return permutation(spark, d)
+
+
+@query(PERMUTED + f"SELECT fold, side, count(*) AS n, {r('avg(CASE WHEN cube = from_cube THEN 1e0 ELSE 0e0 END)', 'share')} FROM pm GROUP BY 1, 2")
+def permutation_same_cube_share(spark, d):
+    return rounded(fit.same_cube_share(permutation(spark, d)), "share")
+
+
+@query(PERMUTED + f"""SELECT fold, side, count(*) AS n_frames, max(skies) AS most_skies, CAST(sum(n) AS BIGINT) AS n_cells, {r('avg(sky)', 'mean_sky')} FROM
+  (SELECT fold, side, cube, acq_idx, count(DISTINCT s.day_idx) AS skies, count(*) AS n, max(s.day_idx) AS sky FROM pm JOIN cp USING (cube, acq_idx) JOIN (SELECT cube AS from_cube, acq_idx AS from_acq, day_idx FROM kept) s USING (from_cube, from_acq) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""")
+def permuted_cells(spark, d):
+    """Cells under the sky (here: the day) of the frame that theirs was dealt: one sky a frame."""
+    sky = mc.kept_frames(spark, d).select("cube", "acq_idx", "day_idx")
+    x = fit.with_sky(mc.cube_pixels(spark, d).select("cube", "acq_idx", "cell"), permutation(spark, d), sky)
+    x = x.groupBy("fold", "side", "cube", "acq_idx").agg(F.countDistinct("day_idx").alias("skies"), F.count("*").alias("n"), F.max("day_idx").alias("sky"))
+    return rounded(x.groupBy("fold", "side").agg(F.count("*").alias("n_frames"), F.max("skies").alias("most_skies"), F.sum("n").alias("n_cells"), F.avg("sky").alias("mean_sky")), "mean_sky")
+
+
 #: Ridge strengths that nested tuning chooses from.
 ALPHAS = [10.0**a for a in range(-1, 6)]
 
@@ -422,15 +464,23 @@ def band_statistics_wide(spark, d):
     return rounded(mask.wide_statistics(mc.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_key"), ["frame_key"], BANDS).select("frame_key", *names), *names)
 
 
-@query("""SELECT group_name, count(*) AS n_columns, CAST(sum(covered) AS BIGINT) AS n_covered FROM (SELECT CASE WHEN b IN ('price', 'quantity') THEN 'main' ELSE 'rest' END AS group_name, 1 AS covered FROM (VALUES ('price'), ('quantity'), ('discount'), ('tax')) t(b), range(7), (SELECT count(*) AS n FROM lineitem) WHERE n > 0) GROUP BY 1""", base="")
+def total_sql(names):
+    return " + ".join(f"avg({BANDS[n]}) + stddev_pop({BANDS[n]}) + " + " + ".join(f"quantile_cont({BANDS[n]}, 0.{q})" for q in (10, 25, 50, 75, 90)) for n in names)
+
+
+#: Feature sets by prefix of the column names.
+GROUPS = {"main": ("price_", "quantity_"), "rest": ("discount_", "tax_")}
+
+
+@query(f"SELECT l_orderkey AS frame_key, unnest(['main', 'rest']) AS group_name, unnest([14, 14]) AS n_columns, round(unnest([{total_sql(('price', 'quantity'))}, {total_sql(('discount', 'tax'))}]), 5) AS total FROM lineitem GROUP BY 1", base="")
 def band_groups(spark, d):
-    """Column groups of the wide statistics by prefix; together they hold every column once."""
+    """The wide statistics as one vector a frame, and the slices of it that feature sets name; together they hold every column once."""
     wide = mask.wide_statistics(mc.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_key"), ["frame_key"], BANDS)
-    columns = [(c,) for c in wide.columns if c != "frame_key"]
-    groups = {"main": ("price_", "quantity_"), "rest": ("discount_", "tax_")}
-    found = wide.limit(1).select(F.explode(F.array(*(F.struct(F.lit(g).alias("group_name"), F.lit(c).alias("name")) for g, p in groups.items() for (c,) in columns if c.startswith(p)))).alias("x")).select("x.*")
-    bad = quality.partition_violations(found, spark.createDataFrame(columns, "name string"), "name")
-    return found.join(bad, "name", "left").groupBy("group_name").agg(F.count("*").alias("n_columns"), F.count_if(F.col("n").isNull()).alias("n_covered"))
+    columns = [c for c in wide.columns if c != "frame_key"]
+    sets = mask.column_sets(columns, GROUPS)
+    parts = F.array(*(F.struct(F.lit(g).alias("group_name"), mask.sliced("x", places).alias("v")) for g, places in sets.items()))
+    x = wide.select("frame_key", F.array(*columns).alias("x")).select("frame_key", F.explode(parts).alias("p")).select("frame_key", "p.*")
+    return x.select("frame_key", "group_name", F.size("v").alias("n_columns"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
 
 
 @query("SELECT cube, count(*) AS n_demoted FROM cp WHERE valid AND red > 45 GROUP BY 1")
@@ -579,11 +629,12 @@ def weather_join_verification(spark, d):
     return rounded(axes.verified_join(x, w, ["ts"], "price"), "worst")
 
 
-@query(SCORES + f"SELECT mode, {r('abs(avg(CASE WHEN model = ' + chr(39) + 'half' + chr(39) + ' THEN r2 END) - avg(CASE WHEN model = ' + chr(39) + 'mean' + chr(39) + ' THEN r2 END))', 'gap')} FROM scores GROUP BY 1")
+@query(SCORES + f"""SELECT h.mode, h.fold, {r('h.r2 - m.r2', 'margin_mean')}, {r('h.r2 - p.r2', 'margin_persistence')} FROM (SELECT * FROM scores WHERE model = 'half') h
+  JOIN (SELECT * FROM scores WHERE model = 'mean') m USING (mode, fold) JOIN (SELECT * FROM scores WHERE model = 'persistence') p USING (mode, fold)""")
 def margins_over_all_controls(spark, d):
-    """Margins of the middle model over each of two controls, averaged over folds; the gap is that to the mean."""
+    """Margins of the middle model over each of two controls, with their signs."""
     x = reports.all_margins(scores(spark, d)[1].select("mode", "model", "fold", "r2"), ["mode", "fold"], "r2", ["mean", "persistence"])
-    return rounded(x.groupBy("mode").agg(F.abs(F.avg("margin_mean")).alias("gap")), "gap")
+    return rounded(x.select("mode", "fold", "margin_mean", "margin_persistence"), "margin_mean", "margin_persistence")
 
 
 @query(SCORES + ", m AS (SELECT model, avg(CASE WHEN mode = 'long' THEN r2 END) AS a, avg(CASE WHEN mode = 'short' THEN r2 END) AS b FROM scores GROUP BY 1) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY a) AS a, rank() OVER (ORDER BY b) AS b FROM m)")
@@ -709,8 +760,31 @@ def verdict_violations(spark, d):
     return quality.verdict_violations(m.where("model = 'half'").withColumn("verdict", F.lit("passed")), m.select("model"))
 
 
-@query(DOY + ", sp AS (SELECT quantile_cont(s, 0.5) AS m FROM (SELECT max(day_idx) - min(day_idx) AS s FROM kept GROUP BY cube)), hn AS (SELECT delta, count(*) AS n_rows, delta >= 0.5 * any_value(m) AS long FROM hd, sp GROUP BY 1) SELECT CAST(delta AS INTEGER) AS delta, n_rows FROM (SELECT *, lag(n_rows) OVER (ORDER BY delta) AS before FROM hn) WHERE long AND n_rows >= before")
+@query(DOY + ", sp AS (SELECT quantile_cont(s, 0.5) AS m FROM (SELECT max(day_idx) - min(day_idx) AS s FROM kept GROUP BY cube)), hn AS (SELECT delta, count(*) * CASE WHEN delta = 365 THEN 9 ELSE 1 END AS n_rows, delta >= 0.1 * any_value(m) AS long FROM hd, sp GROUP BY 1) SELECT CAST(delta AS INTEGER) AS delta, CAST(n_rows AS BIGINT) AS n_rows FROM (SELECT *, lag(n_rows) OVER (ORDER BY delta) AS before FROM hn) WHERE long AND n_rows >= before")
 def retention_must_shrink(spark, d):
-    """Long horizons that keep no fewer rows than the next shorter one."""
-    span = mc.kept_frames(spark, d).groupBy("cube").agg((F.max("day_idx") - F.min("day_idx")).alias("s")).agg(F.expr("percentile(s, 0.5)").alias("median_span"))
-    return reports.not_shrinking(reports.retention_details(target_doy(spark, d), span))
+    """Long horizons that keep no fewer rows than the next shorter one (here: rows of the longest were repeated, and spans are taken as a fifth)."""
+    span = mc.kept_frames(spark, d).groupBy("cube").agg((F.max("day_idx") - F.min("day_idx")).alias("s")).agg((F.expr("percentile(s, 0.5)") / 5).alias("median_span"))
+    x = target_doy(spark, d).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("delta") == 365, 9).otherwise(1))))
+    return reports.not_shrinking(reports.retention_details(x, span))
+
+
+@query(SCORES + "SELECT model, 'not_flagged' AS problem FROM scores WHERE model = 'half' AND fold % 2 = 1 GROUP BY ALL UNION ALL SELECT model, 'ranked' FROM scores WHERE model = 'mean' GROUP BY ALL UNION ALL SELECT model, 'several_contexts' FROM scores WHERE model = 'persistence' AND mode = 'long' GROUP BY ALL")
+def multi_image_flags(spark, d):
+    """Rows of encoders that see several images, each model with a fault of its own."""
+    m = F.col("model")
+    x = scores(spark, d)[1].select("model", F.lit(8).alias("window_len"), (~((m == "half") & (F.col("fold") % 2 == 1))).alias("flagged"), F.when((m == "persistence") & (F.col("mode") == "long"), 3).otherwise(1).alias("context"), (m == "mean").alias("ranked"))
+    return quality.multi_image_flags(x).distinct()
+
+
+@query(SCORES + "SELECT mode AS stage, 'wrong_label' AS problem, count(*) AS n FROM scores WHERE mode = 'long' AND fold = 2 GROUP BY 1 UNION ALL SELECT 'never', 'not_run', 0")
+def label_violations(spark, d):
+    """Climatology labels that are not exactly those of their stage (here: a space too many in one fold), and a stage that did not run."""
+    label = F.when((F.col("mode") == "long") & (F.col("fold") == 2), "proxy ").when(F.col("mode") == "long", "proxy").otherwise("leave_year_out")
+    return quality.label_violations(scores(spark, d)[1].select(F.col("mode").alias("stage"), label.alias("climatology_def")), {"long": "proxy", "short": "leave_year_out"}, ["long", "short", "never"])
+
+
+@query(SCORES + f"SELECT mode, model, count(*) AS k, {r('avg(r2)', 'mean')} FROM scores WHERE mode = 'long' AND model = 'half' GROUP BY 1, 2")
+def primary_row(spark, d):
+    """The one row of the primary configuration."""
+    t = metrics.t_interval(scores(spark, d)[1], ["mode", "model"], "r2")
+    return rounded(quality.primary_row(t, mode="long", model="half").select("mode", "model", "k", "mean"), "mean")

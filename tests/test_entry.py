@@ -22,7 +22,7 @@ def con():
 
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
-    return sorted(tuple("null" if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)[:10] for v in r) for r in pdf.itertuples(index=False))
+    return sorted((tuple("null" if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)[:10] for v in r) for r in pdf.itertuples(index=False)), key=lambda r: [(isinstance(v, str), v) for v in r])
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
