@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import RANGE_ROWS, counted, percentiles_by, running, written
+
 #: fixed values: two-sided 95 % t quantiles by degrees of freedom, from 1
 T95 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852)
 
@@ -30,18 +32,19 @@ def rmse(y: str, pred: str) -> Column:
     return F.sqrt(F.avg((F.col(y) - F.col(pred)) * (F.col(y) - F.col(pred))))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """Rank correlation with average ranks; null for a constant side or under ``least`` rows."""
-
-    def rank(c):
-        w = Window.partitionBy(*keys)
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
-
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_a", rank(x)).withColumn("_b", rank(y))
-    n, a, b = F.count("*"), F.sum("_a"), F.sum("_b")
-    va, vb = F.sum(F.col("_a") * F.col("_a")) - a * a / n, F.sum(F.col("_b") * F.col("_b")) - b * b / n
-    rho = (F.sum(F.col("_a") * F.col("_b")) - a * b / n) / F.nullif(F.sqrt(va * vb), F.lit(0.0))
-    return r.groupBy(*keys).agg(F.when((n >= least) & (va > 0) & (vb > 0), rho).alias("rho"), n.alias("n"))
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3, rows: int = RANGE_ROWS) -> DataFrame:
+    """Rank correlation with average ranks; null for a constant side or under ``least`` rows. Equal pairs are one row with a weight, and ranks are taken in ranges."""
+    pairs = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w")), "spearman-pairs")
+    spread = pairs
+    for side, rank in (("_x", "_a"), ("_y", "_b")):
+        once = pairs.groupBy(*keys, side).agg(F.sum("_w").alias("_m"))
+        upto = running(once, keys, [F.col(side)], {"_upto": F.col("_m")}, rows)
+        spread = spread.join(upto.select(*keys, side, (F.col("_upto") - (F.col("_m") - 1) / 2.0).alias(rank)), [*keys, side])
+    w, a, b = F.col("_w"), F.col("_a"), F.col("_b")
+    n, sa, sb = F.sum(w), F.sum(w * a), F.sum(w * b)
+    va, vb = F.sum(w * a * a) - sa * sa / n, F.sum(w * b * b) - sb * sb / n
+    rho = (F.sum(w * a * b) - sa * sb / n) / F.nullif(F.sqrt(va * vb), F.lit(0.0))
+    return spread.groupBy(*keys).agg(F.when((n >= least) & (va > 0) & (vb > 0), rho).alias("rho"), n.alias("n"))
 
 
 def class_scores(df: DataFrame, keys: list[str], y: str, pred: str) -> DataFrame:
@@ -78,32 +81,40 @@ def jackknife(sums: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("ci_lo", F.col("pooled") - t * se).withColumn("ci_hi", F.col("pooled") + t * se).drop("_m", "_q")
 
 
-def error_concentration(df: DataFrame, keys: list[str], y: str, pred: str, fractions: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
-    """Share of the squared error held by the worst rows (max(1, round-half-even(f * n)) of them), median error, RMSE."""
+def error_concentration(df: DataFrame, keys: list[str], y: str, pred: str, fractions: tuple[float, ...] = (0.01, 0.05), rows: int = RANGE_ROWS) -> DataFrame:
+    """Share of the squared error held by the worst rows (max(1, round-half-even(f * n)) of them), median error, RMSE. Rows of one error count together and errors
+    are ordered in ranges, so a key may hold all rows."""
     e = F.col(y) - F.col(pred)
-    w = Window.partitionBy(*keys)
-    x = df.withColumn("_e2", e * e).withColumn("_r", F.row_number().over(w.orderBy(F.col("_e2").desc()))).withColumn("_n", F.count("*").over(w))
-    share = [(F.sum(F.when(F.col("_r") <= F.greatest(F.bround(F.col("_n") * f), F.lit(1)), F.col("_e2"))) / F.nullif(F.sum("_e2"), F.lit(0.0))).alias(f"share_{round(100 * f)}") for f in fractions]
-    return x.groupBy(*keys).agg(*share, F.expr("percentile(sqrt(_e2), 0.5)").alias("med_ae"), F.sqrt(F.avg("_e2")).alias("rmse"), F.count("*").alias("n"))
-
-
-def ensemble_crps(obs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    x = df.withColumn("_e2", e * e).where("_e2 is not null")
+    x = written(counted(x, keys, "_e2", rows), "errors")
+    n = x.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    ranked = x.join(n, keys) if keys else x.join(F.broadcast(n))  # one row
+    worse = F.col("_all") - F.col("_upto")  # rows of larger errors
+    top = lambda f: F.greatest(F.bround(F.col("_all") * f), F.lit(1))
+    held = lambda f: F.col("_e2") * F.greatest(F.least(F.col("_n"), top(f) - worse), F.lit(0))
+    sse = F.sum(F.col("_e2") * F.col("_n"))
+    share = [(F.sum(held(f)) / F.nullif(sse, F.lit(0.0))).alias(f"share_{round(100 * f)}") for f in fractions]
+    out = ranked.groupBy(*keys).agg(*share, F.sqrt(sse / F.sum("_n")).alias("rmse"), F.sum("_n").alias("n"))
+    median = percentiles_by(df.withColumn("_ae", F.abs(e)), keys, "_ae", {"med_ae": 0.5}, rows)
+    return out.join(median, keys) if keys else out.join(F.broadcast(median))  # one row
+
+
+def ensemble_crps(obs: DataFrame, members: DataFrame, keys: list[str], rows: int = RANGE_ROWS) -> DataFrame:
     """Exact CRPS of each observation (keys, id, y) against its ensemble (keys, x): mean|x-y| - mean|x-x'|/2.
 
-    With members sorted, prefix sums give both terms: the spread by rank weights, the distance by the members
-    up to y, found by ordering members and observations together.
+    Prefix sums over the distinct values give both terms: the spread by rank weights, the distance by the members up to y. Values are ordered in ranges.
     """
-    w = Window.partitionBy(*keys)
-    m = members.withColumn("_r", F.row_number().over(w.orderBy("x")))
-    spread = m.groupBy(*keys).agg(F.count("*").alias("m"), F.sum("x").alias("sx"), F.sum(F.col("x") * (2 * F.col("_r"))).alias("rx"))
-    both = members.select(*keys, F.col("x").alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id")).unionByName(obs.select(*keys, F.col("y").alias("v"), F.lit(1).alias("kind"), F.col("id").cast("long").alias("id")))
-    run = w.orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_low", F.sum(F.when(F.col("kind") == 0, F.col("v"))).over(run)).withColumn("_below", F.count_if(F.col("kind") == 0).over(run)).where("kind = 1")
-    x = both.join(spread, keys)
-    y, low = F.col("v"), F.coalesce("_low", F.lit(0.0))
+    m = members.where("x is not null").groupBy(*keys, F.col("x").alias("v")).agg(F.count("*").alias("_n"))
+    both = m.unionByName(obs.where("y is not null").groupBy(*keys, F.col("y").alias("v")).agg(F.lit(0).cast("long").alias("_n"))).groupBy(*keys, "v").agg(F.sum("_n").alias("_n"))
+    both = written(running(both, keys, [F.col("v")], {"_below": F.col("_n"), "_low": F.col("v") * F.col("_n")}, rows), "ensemble")
+    # places of tied members are before + 1 to before + n
+    weight = F.col("v") * F.col("_n") * (2 * (F.col("_below") - F.col("_n")) + F.col("_n") + 1)
+    spread = both.groupBy(*keys).agg(F.sum("_n").alias("m"), F.sum(F.col("v") * F.col("_n")).alias("sx"), F.sum(weight).alias("rx")).where("m > 0")
+    x = obs.where("y is not null").withColumn("v", F.col("y")).join(both.select(*keys, "v", "_below", "_low"), [*keys, "v"]).join(spread, keys)
+    y, low = F.col("y"), F.col("_low")
     distance = (y * F.col("_below") - low + (F.col("sx") - low) - y * (F.col("m") - F.col("_below"))) / F.col("m")
     gini = (F.col("rx") - (F.col("m") + 1) * F.col("sx")) / (F.col("m") * F.col("m"))
-    return x.select(*keys, "id", y.alias("y"), (distance - gini).alias("crps"))
+    return x.select(*keys, F.col("id").cast("long").alias("id"), "y", (distance - gini).alias("crps"))
 
 
 def margins(scores: DataFrame, keys: list[str], value: str) -> DataFrame:

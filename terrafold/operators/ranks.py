@@ -60,3 +60,33 @@ def percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float |
     wanted = sorted({int(p) + 1 for p in places} | {min(int(p) + 2, n) for p in places})
     found = {r["_n"]: r["v"] for r in x.where(F.col("_n").isin(wanted)).collect()}  # two rows a percentile
     return [found[int(p) + 1] + (found[min(int(p) + 2, n)] - found[int(p) + 1]) * (p - int(p)) for p in places]
+
+
+def counted(df: DataFrame, keys: list[str], value: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """(keys, value, _n, _upto): the distinct values of each key, how many rows have each, and how many have it or a smaller one.
+
+    Rows that tie become one row before anything is sorted, so neither a hot key nor a hot value is held by one task.
+    """
+    x = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return running(x, keys, [F.col(value)], {"_upto": F.col("_n")}, rows)
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """(keys, value, name): the mean place, from 1, of the rows that tie at each value."""
+    return counted(df, keys, value, rows).select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+
+
+def percentiles_by(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], rows: int = RANGE_ROWS) -> DataFrame:
+    """(keys, names of ``shares``): exact percentiles of each key with linear interpolation, without a buffer of its values."""
+    x = written(counted(df.withColumn(value, F.col(value).cast("double")), keys, value, rows), "ranks-counted")
+    # columns under names of their own, so that keys may be null
+    n = x.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.sum("_n").alias("_all"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    x = x.join(n, same) if keys else x.join(F.broadcast(n))  # one row
+    at = {s: F.col("_all") * F.lit(share) - F.lit(share) for s, share in shares.items()}  # from 0
+    holds = lambda place: (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))
+    found = [F.max(F.when(holds(F.floor(a)), F.col(value))).alias(f"_lo_{s}") for s, a in at.items()] + [F.max(F.when(holds(F.least(F.floor(a) + 1, F.col("_all") - 1)), F.col(value))).alias(f"_hi_{s}") for s, a in at.items()]
+    y = x.groupBy(*keys).agg(F.max("_all").alias("_all"), *found)
+    return y.select(*keys, *((F.col(f"_lo_{s}") + (F.col(f"_hi_{s}") - F.col(f"_lo_{s}")) * (a - F.floor(a))).alias(s) for s, a in at.items()))

@@ -13,6 +13,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fit import grams, summed
+from .ranks import percentiles_by, written
+
 
 def crps_of(e: Column, sigma: Column) -> Column:
     """Closed-form CRPS of a Gaussian whose mean misses by ``e``; null without a positive sigma."""
@@ -48,47 +51,37 @@ def ridge_classifier(rows: DataFrame, vec: str, label: str, fold: str, alpha: fl
     """
     src = rows.select(F.col(fold).cast("int").alias("fold"), F.col(label).cast("string").alias("label"), F.col(vec).alias("v")).where("v is not null and label is not null")
 
-    def grams(batches):
-        acc: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for key, g in pdf.groupby(["fold", "label"]):
-                z = np.column_stack([np.ones(len(g)), np.stack(g["v"].to_list())])
-                acc[key] = acc.get(key, 0) + z.T @ z
-        yield pd.DataFrame([(int(f), c, a.ravel()) for (f, c), a in acc.items()], columns=["fold", "label", "gram"])
+    own = written(grams(src, ["fold", "label"], "fold int, label string", lambda g: np.column_stack([np.ones(len(g)), np.stack(g["v"].to_list())])), "classes")
+    # for each fold and class the total and the fold's own part; a task holds one fold's classes
+    total = summed(own, ["label"], "gram").withColumnRenamed("gram", "total").join(F.broadcast(own.select("fold").distinct()))  # a number a fold
+    parts = total.join(own, ["fold", "label"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = math.isqrt(len(pdf["gram"].iloc[0]))
-        per = {key: np.sum(g["gram"].to_list(), axis=0).reshape(size, size) for key, g in pdf.groupby(["fold", "label"])}
-        classes = sorted({c for _, c in per})
-        whole = {c: sum(a for (_, k), a in per.items() if k == c) for c in classes}
-        out = []
-        for f in sorted({f for f, _ in per}):
-            left = {c: whole[c] - per.get((f, c), 0) for c in classes}
-            left = {c: a for c, a in left.items() if a[0, 0] > 0.5}
-            if len(left) < 2:
-                out.append((f, None))
-                continue
-            plain = sum(left.values())
-            n, mean = plain[0, 0], plain[0, 1:] / plain[0, 0]
-            sd = np.sqrt(np.maximum(np.diag(plain)[1:] / n - mean**2, 0))
-            sd[sd < 1e-12] = 1
-            weight = {c: n / (len(left) * a[0, 0]) if balanced else 1.0 for c, a in left.items()}
-            gram = sum(weight[c] * a for c, a in left.items())
-            m, centre = gram[0, 0], gram[0, 1:] / gram[0, 0]
-            cov = (gram[1:, 1:] - m * np.outer(centre, centre)) / np.outer(sd, sd) + alpha * np.eye(size - 1)
-            models = []
-            for c in left:
-                sign = {k: 1.0 if k == c else -1.0 for k in left}
-                zy = sum(weight[k] * sign[k] * a[0] for k, a in left.items())
-                my = zy[0] / m
-                coef = np.linalg.solve(cov, (zy[1:] - m * centre * my) / sd) / sd
-                models.append((c, coef.tolist(), float(my - centre @ coef)))
-            out.append((f, models))
-        return pd.DataFrame(out, columns=["fold", "models"])
-
-    parts = src.mapInPandas(grams, "fold int, label string, gram array<double>")
+        f = int(pdf["fold"].iloc[0])
+        size = math.isqrt(len(pdf["total"].iloc[0]))
+        left = {c: np.reshape(t, (size, size)) - (0 if g is None else np.reshape(g, (size, size))) for c, t, g in sorted(zip(pdf["label"], pdf["total"], pdf["gram"]), key=lambda x: x[0])}
+        left = {c: a for c, a in left.items() if a[0, 0] > 0.5}
+        if len(left) < 2:
+            return pd.DataFrame([(f, None)], columns=["fold", "models"])
+        plain = sum(left.values())
+        n, mean = plain[0, 0], plain[0, 1:] / plain[0, 0]
+        sd = np.sqrt(np.maximum(np.diag(plain)[1:] / n - mean**2, 0))
+        sd[sd < 1e-12] = 1
+        weight = {c: n / (len(left) * a[0, 0]) if balanced else 1.0 for c, a in left.items()}
+        gram = sum(weight[c] * a for c, a in left.items())
+        m, centre = gram[0, 0], gram[0, 1:] / gram[0, 0]
+        cov = (gram[1:, 1:] - m * np.outer(centre, centre)) / np.outer(sd, sd) + alpha * np.eye(size - 1)
+        models = []
+        for c in left:
+            sign = {k: 1.0 if k == c else -1.0 for k in left}
+            zy = sum(weight[k] * sign[k] * a[0] for k, a in left.items())
+            my = zy[0] / m
+            coef = np.linalg.solve(cov, (zy[1:] - m * centre * my) / sd) / sd
+            models.append((c, coef.tolist(), float(my - centre @ coef)))
+        return pd.DataFrame([(f, models)], columns=["fold", "models"])
+
     kind = "array<struct<label:string,coef:array<double>,intercept:double>>"
-    return parts.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve, f"fold int, models {kind}")
+    return parts.groupBy("fold").applyInPandas(solve, f"fold int, models {kind}")
 
 
 def classified(rows: DataFrame, models: DataFrame, vec: str, fold: str) -> DataFrame:
@@ -139,6 +132,6 @@ def pca_scores(rows: DataFrame, vec: str, k: int = 2) -> DataFrame:
     model = PCA(k=k, inputCol="_z", outputCol="_s").fit(x)
     x = model.transform(x).withColumn("scores", F.transform(vector_to_array("_s"), lambda v: v / math.sqrt(model.pc.numRows)))
     length = F.sqrt(F.aggregate("scores", F.lit(0.0), lambda s, v: s + v * v))
-    radius = x.select(length.alias("r")).agg(F.expr("percentile(r, 0.99)").alias("radius"))
+    radius = percentiles_by(x.select(length.alias("r")), [], "r", {"radius": 0.99})
     explained = F.array(*(F.lit(float(v)) for v in model.explainedVariance))
     return x.drop("_x", "_z", "_s").withColumn("explained", explained).crossJoin(F.broadcast(radius))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import axes, climatology, fit, folds, mask, metrics, quality, readouts, reports, vectors
-from ..operators.ranks import percentiles
+from ..operators.ranks import percentiles, percentiles_by, written
 from ..sources import minicube as mc
 from ..sources import scan, store
 from .catalogue import CLIM, SCORES, binned, climate, fold_rows, footprint_blocks, persistence, query, r, rounded, scores, settings
@@ -302,9 +302,10 @@ def r2_by_severity(spark, d):
 def skill_vs_persistence(spark, d):
     x = predicted(spark, d).withColumn("before", F.lag("y").over(Window.partitionBy("cube").orderBy("acq_idx"))).where("before is not null")
     e, p = F.col("y") - F.col("pred"), F.col("y") - F.col("before")
-    med = lambda c: F.percentile(F.abs(c), F.lit(0.5))
-    x = x.groupBy("fold").agg(F.count("*").alias("n"), reports.skill(F.sum(e * e), F.sum(p * p)).alias("skill"), reports.skill(med(e), med(p)).alias("skill_med"))
-    return rounded(x, "skill", "skill_med")
+    x = written(x.select("fold", F.abs(e).alias("e"), F.abs(p).alias("p")), "skill")
+    sums = x.groupBy("fold").agg(F.count("*").alias("n"), reports.skill(F.sum(F.col("e") * F.col("e")), F.sum(F.col("p") * F.col("p"))).alias("skill"))
+    medians = percentiles_by(x, ["fold"], "e", {"me": 0.5}).join(percentiles_by(x, ["fold"], "p", {"mp": 0.5}), "fold")
+    return rounded(sums.join(medians, "fold").select("fold", "n", "skill", reports.skill(F.col("me"), F.col("mp")).alias("skill_med")), "skill", "skill_med")
 
 
 #: Sides of five folds, and the frame whose weather each frame gets inside its own side.

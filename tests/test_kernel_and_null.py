@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import fit, kernel, mask, metrics
+from terrafold.operators import fit, kernel, mask, metrics, ranks
 
 ALPHAS = [0.1, 10.0, 1000.0]
 
@@ -81,3 +81,42 @@ def test_baseline_has_its_own_verdict(spark):
     s = spark.createDataFrame([(0, m, f, v) for m, v in (("base", 0.1), ("good", 0.3), ("bad", 0.0)) for f in range(3)], "mode int, model string, fold int, r2 double")
     got = {r["model"]: (r["verdict"], r["mean"] is None) for r in metrics.paired_verdict(s, ["mode"], "r2", "base").collect()}
     assert got == {"base": ("baseline", True), "good": ("passed", False), "bad": ("lossy", False)}
+
+
+@pytest.mark.parametrize("rows", [3, 50, 65_536])
+def test_percentiles_and_ranks_in_ranges(spark, rows):
+    """A hot key and a hot value, over ranges of a few rows each."""
+    rnd = random.Random(5)
+    data = [("hot", float(rnd.choice([1, 1, 1, 2, 3.5, rnd.random()]))) for _ in range(400)] + [("one", 7.0)] + [(None, float(i % 3)) for i in range(10)] + [("none", None)]
+    x = spark.createDataFrame(data, "k string, v double")
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = {r["k"]: [r[s] for s in shares] for r in ranks.percentiles_by(x, ["k"], "v", shares, rows).collect()}
+    for k in ("hot", "one", None):
+        values = [v for q, v in data if q == k]
+        assert np.allclose(got[k], np.quantile(values, list(shares.values())))
+    assert "none" not in got
+    assert abs(ranks.percentiles_by(x, [], "v", {"m": 0.5}, rows).first()["m"] - np.median([v for _, v in data if v is not None])) < 1e-12
+    placed = {(r["k"], r["v"]): r["r"] for r in ranks.average_ranks(x, ["k"], "v", "r", rows).collect()}
+    hot = sorted(v for q, v in data if q == "hot")
+    for v in set(hot):
+        places = [i + 1 for i, w in enumerate(hot) if w == v]
+        assert placed["hot", v] == sum(places) / len(places)
+
+
+@pytest.mark.parametrize("rows", [4, 65_536])
+def test_scores_in_ranges(spark, rows):
+    rnd = random.Random(6)
+    data = [(k, i, float(rnd.randint(0, 6)), float(rnd.randint(0, 6))) for k in (1, 2) for i in range(90)]
+    x = spark.createDataFrame(data, "k int, id long, y double, pred double")
+    for r in metrics.error_concentration(x, ["k"], "y", "pred", rows=rows).collect():
+        e = sorted(((y - p) ** 2 for k, _, y, p in data if k == r["k"]), reverse=True)
+        assert abs(r["share_5"] - sum(e[:4]) / sum(e)) < 1e-12 and abs(r["share_1"] - e[0] / sum(e)) < 1e-12
+        assert abs(r["med_ae"] - np.median(np.sqrt(e))) < 1e-12 and r["n"] == 90
+    for r in metrics.spearman(x, ["k"], "y", "pred", rows=rows).collect():
+        rank = lambda v: np.array([(np.sum(v < u) + np.sum(v <= u) + 1) / 2 for u in v])
+        a, b = (rank(np.array([d[i] for d in data if d[0] == r["k"]])) for i in (2, 3))
+        assert abs(r["rho"] - np.corrcoef(a, b)[0, 1]) < 1e-12 and r["n"] == 90
+    members = x.select("k", F.col("pred").alias("x"))
+    for r in metrics.ensemble_crps(x.select("k", "id", "y"), members, ["k"], rows).collect():
+        m = np.array([d[3] for d in data if d[0] == r["k"]])
+        assert abs(r["crps"] - (np.abs(m - r["y"]).mean() - np.abs(m[:, None] - m[None, :]).mean() / 2)) < 1e-12
