@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, rounds, text_bytes, trimmed
+from .common import bounded_batches, give_back, rounds, text_bytes, trimmed
 
 
 @dataclass(frozen=True)
@@ -175,8 +175,14 @@ def fit(docs: DataFrame, per_label: int = 600, bits: int = 16) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32()))], names=["lang", "buckets", "counts"])
 
     def sampled(limits):
-        x = least(rows, limits, per_label).mapInArrow(trimmed(run), "lang string, buckets array<int>, counts array<int>").toArrow()
-        return list(zip(*(x.column(c).to_pylist() for c in ("lang", "buckets", "counts"))))
+        x = least(rows, limits, per_label).mapInArrow(trimmed(run), "lang string, buckets array<int>, counts array<int>").toArrow().combine_chunks()
+        lists = []
+        for c in ("buckets", "counts"):
+            for column in x.column(c).chunks:
+                # views of Arrow's numbers; Python objects would take ten times as much of the driver
+                numbers, at = column.values.to_numpy(), column.offsets.to_numpy()
+                lists.append([numbers[i:j] for i, j in zip(at[:-1], at[1:])])
+        return list(zip(x.column("lang").to_pylist(), *lists))
 
     # the share of the hash range that holds twice as many rows of the label as wanted
     found = sampled({lang: min(top, -(2**63) + 2**64 * 2 * per_label // m) for lang, m in n.items()})
@@ -184,8 +190,12 @@ def fit(docs: DataFrame, per_label: int = 600, bits: int = 16) -> Model | None:
     few = {lang for lang, m in n.items() if got[lang] < min(per_label, m)}
     if few:
         found = [x for x in found if x[0] not in few] + sampled(dict.fromkeys(few, top))
-    found.sort()
-    return train([(np.array(b, np.int32), np.array(c, np.int32)) for _, b, c in found], [lang for lang, _, _ in found], bits)
+    # by label, then numbers: their bytes, the highest first, are in the order of the numbers
+    found.sort(key=lambda x: (x[0], x[1].astype(">i4").tobytes(), x[2].astype(">i4").tobytes()))
+    model = train([(b, c) for _, b, c in found], [lang for lang, _, _ in found], bits)
+    del found
+    give_back()
+    return model
 
 
 def predict_batch(model: Model | None, column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
