@@ -21,7 +21,7 @@ FOLD_ROWS = """, fr AS (SELECT k.cube, acq_idx, ts, year(ts) AS year, c_nationke
 
 #: Box centres in the finest square cells of which 40 at most are occupied, linked completely into ten blocks.
 BLOCKS = """, bx AS (SELECT id, r0 + r1 AS y, c0 + c1 AS x FROM fp),
-lv AS (SELECT min(l) AS l FROM (SELECT l, count(DISTINCT (y // 2 ** l)::BIGINT * 1000000 + (x // 2 ** l)::BIGINT) AS n FROM bx, range(20) g(l) GROUP BY 1) WHERE n <= 40),
+lv AS (SELECT min(l) AS l FROM (SELECT l, count(DISTINCT floor(y / 2 ** l) * 1000000 + floor(x / 2 ** l)) AS n FROM bx, range(20) g(l) GROUP BY 1) WHERE n <= 40),
 bc AS (SELECT id, y, x, floor(y / 2 ** l) AS cy, floor(x / 2 ** l) AS cx FROM bx, lv),
 ce AS (SELECT cy, cx, row_number() OVER (ORDER BY first) AS lab, py, px FROM (SELECT cy, cx, min(id) AS first, arg_min(y, id) / 2 AS py, arg_min(x, id) / 2 AS px FROM bc GROUP BY 1, 2)),
 li AS (SELECT 0 AS step, cy, cx, py, px, lab FROM ce
