@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import axes, climatology, fit, folds, mask, metrics, quality, readouts, reports, vectors
+from ..operators import axes, climatology, fit, folds, mask, metrics, quality, readouts, reports, softmax, vectors
 from ..operators.ranks import percentiles, percentiles_by, written
 from ..sources import minicube as mc
 from ..sources import scan, store
@@ -379,6 +379,20 @@ def weather_ceiling_climatology(spark, d):
     return rounded(x, "r2", "r2_vs_climatology")
 
 
+#: Strengths that the tuned classifier chooses from: C, larger is weaker.
+STRENGTHS = [10.0**a for a in range(-4, 3)]
+
+
+@query()
+def logistic_grid(spark, d):
+    """Class of a vector from its map of 16 means: multinomial logistic, unweighted and balanced, C chosen on three inner folds of each outer fold's training cubes."""
+    v = mc.vectors(spark, d).select("cube", "acq_idx", reports.pooled_grid("vec", 8, 4).alias("x"), "label")
+    outer = simple_folds(v, 3)
+    x = softmax.tuned(v, outer, folds.inner_folds(outer), "x", "label", STRENGTHS)
+    x = x.withColumn("weights", F.when(F.col("balanced"), "balanced").otherwise("none")).drop("balanced").withColumnRenamed("outer", "fold")
+    return rounded(x, "inner_score", "balanced_accuracy", "macro_f1")
+
+
 # --- intervals over many folds ------------------------------------------------------------------
 
 MANY = """, many AS (SELECT cube % 40 AS fold, 1 - sum((vb - va) * (vb - va)) / (sum(vb * vb) - sum(vb) * sum(vb) / count(*)) AS r2 FROM pr WHERE va IS NOT NULL AND vb IS NOT NULL AND cube % 40 < 40 GROUP BY 1 HAVING count(*) >= 8)
