@@ -6,16 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def leave_year_out(obs: DataFrame, keys: list[str], before: int = 15, after: int = 14) -> DataFrame:
-    """``obs`` (keys, ts, value) -> (keys, excluded, doy, clim) for days 1..366.
-
-    For each excluded year: observations of all other years, averaged by day of year after linear filling of
-    nulls between neighbours in time (no extrapolation), then a centred mean of 30 days around the year's
-    wrap, nulls left out. Keys of a single year have no row.
-    """
-    years = obs.select(*keys, F.year("ts").alias("excluded")).distinct()
-    x = obs.withColumn("y", F.year("ts")).join(years, keys).where("y <> excluded")
-    order = Window.partitionBy(*keys, "excluded").orderBy("ts")
+def smoothed(x: DataFrame, keys: list[str], before: int, after: int) -> DataFrame:
+    """(keys, doy, clim) of ``x`` (keys, ts, value): nulls filled between neighbours in time, days averaged, then a centred mean around the wrap."""
+    order = Window.partitionBy(*keys).orderBy("ts")
     back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     t = F.unix_date("ts").cast("double")
     known = F.col("value").isNotNull()
@@ -23,13 +16,59 @@ def leave_year_out(obs: DataFrame, keys: list[str], before: int = 15, after: int
         {"v0": F.last("value", True).over(back), "v1": F.first("value", True).over(ahead), "t0": F.last(F.when(known, t), True).over(back), "t1": F.first(F.when(known, t), True).over(ahead)}
     )
     filled = F.when(known, F.col("value")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * F.try_divide(t - F.col("t0"), F.col("t1") - F.col("t0")))
-    by_day = x.groupBy(*keys, "excluded", F.dayofyear("ts").alias("doy")).agg(F.avg(filled).alias("v")).where("v is not null")
+    by_day = x.groupBy(*keys, F.dayofyear("ts").alias("doy")).agg(F.avg(filled).alias("v")).where("v is not null")
     # a day's value counts for each of the 30 days whose window holds it; sums over an explode need no 366-day spine
     spread = by_day.withColumn("o", F.explode(F.sequence(F.lit(-after), F.lit(before)))).withColumn("doy", F.pmod(F.col("doy") + F.col("o") - 1, F.lit(366)) + 1)
-    return spread.groupBy(*keys, "excluded", "doy").agg(F.avg("v").alias("clim"))
+    return spread.groupBy(*keys, "doy").agg(F.avg("v").alias("clim"))
+
+
+def leave_year_out(obs: DataFrame, keys: list[str], before: int = 15, after: int = 14) -> DataFrame:
+    """``obs`` (keys, ts, value) -> (keys, excluded, doy, clim) for days 1..366.
+
+    For each excluded year: observations of all other years, averaged by day of year after linear filling of
+    nulls between neighbours in time (no extrapolation), then a centred mean of 30 days around the year's
+    wrap, nulls left out. Keys of a single year have no row.
+    """
+    years = obs.select(*keys, F.year("ts").alias("excluded")).distinct()
+    x = obs.withColumn("y", F.year("ts")).join(years, keys).where("y <> excluded")
+    return smoothed(x, [*keys, "excluded"], before, after)
 
 
 def anomalies(obs: DataFrame, clim: DataFrame, keys: list[str]) -> DataFrame:
     """Value minus the climatology that leaves the value's own year out."""
     x = obs.withColumn("excluded", F.year("ts")).withColumn("doy", F.dayofyear("ts")).join(clim, [*keys, "excluded", "doy"])
     return x.withColumn("anomaly", F.col("value") - F.col("clim"))
+
+
+def held_out(obs: DataFrame, sides: DataFrame) -> DataFrame:
+    """``obs`` (cube, acq_idx, ts, ...) with fold, side, doy and ``excluded``: a training row's own year, and 0 on the test side, whose years go as a set."""
+    x = obs.join(sides, ["cube", "acq_idx"]).withColumn("doy", F.dayofyear("ts"))
+    return x.withColumn("excluded", F.when(F.col("side") == "train", F.year("ts")).otherwise(0))
+
+
+def strict_climatology(obs: DataFrame, keys: list[str], sides: DataFrame, before: int = 15, after: int = 14) -> DataFrame:
+    """(keys, fold, excluded, doy, clim): for each fold from the years of its training rows alone, for a training row less its own year.
+
+    ``obs``: keys (cube first), acq_idx, ts, value; ``sides``: cube, acq_idx, fold, side. A cube gets only the sets of years that its rows ask for. A year
+    that no training row of the fold has enters none of them, so what is held out changes nothing in training.
+    """
+    asked = held_out(obs.select("cube", "acq_idx", "ts").distinct(), sides)
+    wanted = asked.select("cube", "fold", "excluded").distinct()
+    years = asked.where("side = 'train'").select("fold", F.year("ts").alias("y")).distinct()
+    kept = asked.select("fold", "excluded").distinct().join(years, "fold").where("y <> excluded")  # folds * years * years
+    x = obs.withColumn("y", F.year("ts")).join(wanted, "cube").join(kept, ["fold", "excluded", "y"])
+    return smoothed(x, [*keys, "fold", "excluded"], before, after)
+
+
+def crossed_anomalies(obs: DataFrame, keys: list[str], sides: DataFrame, strict: bool) -> DataFrame:
+    """(keys, acq_idx, ts, fold, side, anomaly) of the rows of a fold table, null values left out.
+
+    Not strict: against the mean year of all years but the row's own, the held-out ones too, so a training target still feels them a little.
+    Strict: against ``strict_climatology``. A row without a day of year in its climatology has no anomaly and is left out.
+    """
+    x = held_out(obs.where("value is not null"), sides)
+    if strict:
+        x = x.join(strict_climatology(obs, keys, sides), [*keys, "fold", "excluded", "doy"])
+    else:
+        x = x.withColumn("excluded", F.year("ts")).join(leave_year_out(obs, keys), [*keys, "excluded", "doy"])
+    return x.select(*keys, "acq_idx", "ts", "fold", "side", (F.col("value") - F.col("clim")).alias("anomaly"))

@@ -98,9 +98,14 @@ def tile_folds(spark, d):
     return folds.fold_table(fold_rows(spark, d), "tile", k=5)
 
 
-@add(recursive(FOLD_ROWS + greedy_sql("c", "cube", "5") + greedy_sql("y", "year", "5") + """, x AS (SELECT cube, acq_idx, c.fold AS cf, y.fold AS yf FROM fr JOIN c ON fr.cube = c.grp JOIN y ON fr.year = y.grp),
-  s AS (SELECT cube, acq_idx, CAST(f.i AS INTEGER) AS fold, CASE WHEN cf = f.i AND yf = f.i THEN 'test' WHEN cf <> f.i AND yf <> f.i THEN 'train' END AS side FROM x, range(5) f(i))
-  SELECT * FROM s WHERE side IS NOT NULL AND fold IN (SELECT fold FROM s GROUP BY 1 HAVING count_if(side = 'test') > 0 AND count_if(side = 'train') > 0)"""))
+#: Folds crossed by cube and year: a row of one fold's cube and another's year is on neither side.
+CROSSED = FOLD_ROWS + greedy_sql("c", "cube", "5") + greedy_sql("y", "year", "5") + """, cy AS (SELECT cube, acq_idx, c.fold AS cf, y.fold AS yf FROM fr JOIN c ON fr.cube = c.grp JOIN y ON fr.year = y.grp),
+  s AS (SELECT cube, acq_idx, CAST(f.i AS INTEGER) AS fold, CASE WHEN cf = f.i AND yf = f.i THEN 'test' WHEN cf <> f.i AND yf <> f.i THEN 'train' END AS side FROM cy, range(5) f(i)),
+  cx AS (SELECT * FROM s WHERE side IS NOT NULL AND fold IN (SELECT fold FROM s GROUP BY 1 HAVING count_if(side = 'test') > 0 AND count_if(side = 'train') > 0))
+"""
+
+
+@add(recursive(CROSSED + "SELECT * FROM cx"))
 def crossed_folds(spark, d):
     return folds.fold_table(fold_rows(spark, d), "crossed", k=5)
 
@@ -379,6 +384,64 @@ def weather_ceiling_climatology(spark, d):
     return rounded(x, "r2", "r2_vs_climatology")
 
 
+#: Rows of crossed folds, and for each the anomaly against all other years (``pa``) and against those that the fold trains on (``sa``).
+CROSSED_ANOMALIES = """, so AS (SELECT o.*, fold, side, CASE WHEN side = 'train' THEN y ELSE 0 END AS excluded FROM (SELECT cube, cell, acq_idx, ts, year(ts) AS y, ndvi::DOUBLE AS value FROM cp) o JOIN cx USING (cube, acq_idx)),
+ty AS (SELECT DISTINCT fold, y FROM so WHERE side = 'train'),
+s2 AS (SELECT obs.*, w.fold, w.excluded, epoch(ts) / 86400 AS t FROM obs JOIN (SELECT DISTINCT cube, fold, excluded FROM so) w USING (cube) JOIN ty ON ty.fold = w.fold AND ty.y = obs.y AND ty.y <> w.excluded),
+s3 AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, first_value(value IGNORE NULLS) OVER a AS v1, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER a AS t1
+  FROM s2 WINDOW b AS (PARTITION BY cube, cell, fold, excluded ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY cube, cell, fold, excluded ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s4 AS (SELECT cube, cell, fold, excluded, dayofyear(ts) AS doy, avg(CASE WHEN value IS NOT NULL THEN value ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END) AS v FROM s3 GROUP BY 1, 2, 3, 4, 5),
+sc AS (SELECT cube, cell, fold, excluded, (doy + o + 365) % 366 + 1 AS doy, avg(v) AS clim FROM s4, range(-14, 16) g(o) WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+pa AS (SELECT so.fold, side, so.cube, acq_idx, ts, avg(value - clim) AS y FROM so JOIN clim c ON c.cube = so.cube AND c.cell = so.cell AND c.excluded = so.y AND c.doy = dayofyear(ts) WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+sa AS (SELECT so.fold, side, so.cube, acq_idx, ts, avg(value - clim) AS y FROM so JOIN sc c ON c.cube = so.cube AND c.cell = so.cell AND c.fold = so.fold AND c.excluded = so.excluded AND c.doy = dayofyear(ts) WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4, 5)
+"""
+
+
+def crossed_ceiling_sql(name: str, rows: str, mode: str) -> tuple[str, str]:
+    """CTEs of a ridge in crossed folds (two parts a fold: 0 trains, 1 is tested) and the SELECT that reads them."""
+    scored = f"{name}_r AS (SELECT fold AS part, CAST(side = 'test' AS INTEGER) AS fold, y, w1, w2, cube FROM {rows} JOIN wx USING (ts))"
+    return f", {scored}" + ridge2_sql(name, f"{name}_r", [2.0]), f"""SELECT '{mode}' AS mode, CAST(part AS INTEGER) AS fold, n_train, n_test, effective_n, CASE WHEN n_test >= 8 THEN round(r2, 6) END AS r2, round(skill, 6) AS r2_vs_climatology
+  FROM {name} JOIN (SELECT part, count(*) AS n_test, count(DISTINCT cube) AS effective_n FROM {name}_r WHERE fold = 1 GROUP BY 1) USING (part) WHERE fold = 1"""
+
+
+PLAIN_RIDGE, PLAIN_ROWS = crossed_ceiling_sql("rp", "pa", "leave_own_year_out")
+STRICT_RIDGE, STRICT_ROWS = crossed_ceiling_sql("rs", "sa", "strict")
+
+
+def crossed_sides(spark, d):
+    return written(folds.fold_table(fold_rows(spark, d), "crossed", k=5), "crossed-sides")
+
+
+def crossed_anomaly_rows(spark, d, sides, strict):
+    """(fold, side, cube, acq_idx, ts, a): the mean anomaly of each frame's cells."""
+    obs = mc.cube_pixels(spark, d).select("cube", "cell", "acq_idx", "ts", F.col("ndvi").cast("double").alias("value"))
+    x = climatology.crossed_anomalies(obs, ["cube", "cell"], sides, strict)
+    return x.groupBy("fold", "side", "cube", "acq_idx", "ts").agg(F.avg("anomaly").alias("a"))
+
+
+@add(recursive(CROSSED + CLIM + CROSSED_ANOMALIES + f"SELECT 'strict' AS mode, fold, side, cube, acq_idx, {r('y', 'a')} FROM sa UNION ALL SELECT 'leave_own_year_out', fold, side, cube, acq_idx, {r('y', 'a')} FROM pa"))
+def crossed_anomalies(spark, d):
+    """Frame anomalies in folds crossed by cube and year, in both modes."""
+    sides = crossed_sides(spark, d)
+    parts = [crossed_anomaly_rows(spark, d, sides, s).select(F.lit(n).alias("mode"), "fold", "side", "cube", "acq_idx", "a") for s, n in ((True, "strict"), (False, "leave_own_year_out"))]
+    return rounded(parts[0].unionByName(parts[1]), "a")
+
+
+@add(recursive(CROSSED + CLIM + WEATHER + CROSSED_ANOMALIES + PLAIN_RIDGE + STRICT_RIDGE + PLAIN_ROWS + " UNION ALL " + STRICT_ROWS))
+def weather_ceiling_crossed(spark, d):
+    """Stage B in folds crossed by cube and year, ridge with alpha = D: targets against all years but the row's own, and strictly against the years that the fold trains on."""
+    out, sides = [], crossed_sides(spark, d)
+    for strict, name in ((False, "leave_own_year_out"), (True, "strict")):
+        x = crossed_anomaly_rows(spark, d, sides, strict).join(weather(spark, d), "ts")
+        x = x.withColumns({"outer": F.col("fold"), "part": (F.col("side") == "test").cast("int")})
+        m = fit.ridge_path(x, "w", "a", "part", [2.0], by="outer").where("fold = 1").select("outer", "n_train", "coef", "intercept")
+        x = x.where("part = 1").join(m, "outer").withColumn("p", fit.dot("w", "coef") + F.col("intercept"))
+        e = F.col("a") - F.col("p")
+        x = x.groupBy("fold").agg(F.first("n_train").alias("n_train"), F.count("*").alias("n_test"), F.countDistinct("cube").alias("effective_n"), metrics.r2("a", "p").alias("r2"), reports.skill(F.sum(e * e), F.sum(F.col("a") * F.col("a"))).alias("r2_vs_climatology"))
+        out.append(x.withColumn("mode", F.lit(name)))
+    return rounded(out[0].unionByName(out[1]), "r2", "r2_vs_climatology")
+
+
 #: Strengths that the tuned classifier chooses from: C, larger is weaker.
 STRENGTHS = [10.0**a for a in range(-4, 3)]
 
