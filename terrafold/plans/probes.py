@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import axes, climatology, fit, folds, mask, metrics, quality, readouts, reports, softmax, vectors
+from ..operators import axes, climatology, fit, folds, jobs, mask, metrics, quality, readouts, reports, softmax, vectors
 from ..operators.ranks import percentiles, percentiles_by, written
 from ..sources import minicube as mc
 from ..sources import scan, store
@@ -135,10 +135,10 @@ s AS (SELECT i AS "outer", 0::BIGINT AS rn, 0::BIGINT AS cube, 0::BIGINT AS fold
 """
 
 
-def simple_folds(x, k=5):
-    """Fold table of cube % k: for queries whose subject is what is done with folds."""
+def simple_folds(x, k=5, by="cube"):
+    """Fold table of cube % k, or of another key of cubes: for queries whose subject is what is done with folds."""
     x = x.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return x.select("cube", "acq_idx", "fold", F.when(F.col("cube") % k == F.col("fold"), "test").otherwise("train").alias("side"))
+    return x.select("cube", "acq_idx", "fold", F.when(F.col(by) % k == F.col("fold"), "test").otherwise("train").alias("side"))
 
 
 @add(recursive(FOLD_ROWS + INNER + 'SELECT "outer", cube, CAST(fold AS INTEGER) AS "inner" FROM s WHERE rn > 0'))
@@ -442,6 +442,78 @@ def weather_ceiling_crossed(spark, d):
     return rounded(out[0].unionByName(out[1]), "r2", "r2_vs_climatology")
 
 
+#: Feature sets of the reconstruction table: positions in [price, discount, clear share, pixels].
+FEATURES = {"weather": [0, 1], "observation": [2, 3], "mixed": [0, 2], "rest": [1, 3]}
+COLUMNS = ["w1", "w2", "clear_frac", "n_pixels"]
+
+
+def inner_sql(name: str, own: str, k: int) -> str:
+    """CTEs that end in ``name`` (outer, cube, fold; rn > 0): three inner folds of each outer fold's training cubes, where ``own`` is a cube's outer fold among k."""
+    return f""", {name}_o AS (SELECT f.i AS "outer", cube, count(*) AS n FROM fr, range({k}) f(i) WHERE {own} <> f.i GROUP BY 1, 2),
+{name}_g AS (SELECT *, row_number() OVER (PARTITION BY "outer" ORDER BY n DESC, cube) AS rn FROM {name}_o),
+{name} AS (SELECT i AS "outer", 0::BIGINT AS rn, 0::BIGINT AS cube, 0::BIGINT AS fold, [0::BIGINT, 0, 0] AS load FROM range({k}) f(i)
+  UNION ALL SELECT g."outer", g.rn, g.cube, list_position(load, list_min(load)) - 1, list_transform(load, lambda v, i: v + CASE WHEN i = list_position(load, list_min(load)) THEN g.n ELSE 0 END) FROM {name} s JOIN {name}_g g ON g."outer" = s."outer" AND g.rn = s.rn + 1)
+"""
+
+
+def reconstruction_sql() -> str:
+    """CTEs that end in ``rt`` (mode, outer, target, feature_set, alpha, inner_r2, n_train, n_test, r2): each part of ridge2_sql is one configuration and outer fold."""
+    sql = FOLD_ROWS + WEATHER + inner_sql("ic", "cube % 5", 5) + inner_sql("it", "tile % 3", 3)
+    sql += """, rr AS (SELECT k.cube, k.mean_ndvi AS t_mean, k.p90_ndvi AS t_p90, w1, w2, k.clear_frac, CAST(k.n_pixels AS DOUBLE) AS n_pixels, c_nationkey AS tile FROM kept k JOIN wx USING (ts) JOIN customer ON k.cube = c_custkey WHERE mean_ndvi IS NOT NULL AND p90_ndvi IS NOT NULL),
+rm AS (SELECT 'cube' AS mode, "outer", fold, rr.* FROM rr JOIN ic s ON s.cube = rr.cube AND s.rn > 0 UNION ALL SELECT 'tile', "outer", fold, rr.* FROM rr JOIN it s ON s.cube = rr.cube AND s.rn > 0),
+rw AS (SELECT 'cube' AS mode, f.i AS "outer", CAST(cube % 5 = f.i AS INTEGER) AS fold, rr.* FROM rr, range(5) f(i) UNION ALL SELECT 'tile', f.i, CAST(tile % 3 = f.i AS INTEGER), rr.* FROM rr, range(3) f(i))
+"""
+    views = [(t, n, *(COLUMNS[i] for i in f)) for t in ("mean", "p90") for n, f in FEATURES.items()]
+    for name, rows in (("qi", "rm"), ("qo", "rw")):
+        each = " UNION ALL ".join(f"SELECT mode || '|{t}|{n}|' || \"outer\" AS part, fold, t_{t} AS y, {a} AS w1, {b} AS w2 FROM {rows}" for t, n, a, b in views)
+        sql += f", {name}_r AS ({each})" + ridge2_sql(name, f"{name}_r", ALPHAS)
+    return sql + """, qb AS (SELECT part, alpha, avg(r2) AS m FROM qi GROUP BY 1, 2),
+rt AS (SELECT split_part(b.part, '|', 1) AS mode, CAST(split_part(b.part, '|', 4) AS INTEGER) AS "outer", split_part(b.part, '|', 2) AS target, split_part(b.part, '|', 3) AS feature_set, b.alpha, m AS inner_r2, n_train, n_test, r2, n_cubes
+  FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY round(m, 12) DESC, alpha DESC) AS rn FROM qb) b JOIN qo ON qo.part = b.part AND qo.alpha = b.alpha AND qo.fold = 1
+  JOIN (SELECT part, count(*) AS n_test FROM qo_r WHERE fold = 1 GROUP BY 1) n ON n.part = b.part JOIN (SELECT mode, "outer" AS o, count(DISTINCT cube) AS n_cubes FROM rw WHERE fold = 1 GROUP BY 1, 2) c ON c.mode = split_part(b.part, '|', 1) AND c.o = CAST(split_part(b.part, '|', 4) AS INTEGER)
+  WHERE b.rn = 1)
+"""
+
+
+def reconstruction_rows(spark, d):
+    """All configurations of the reconstruction table: two fold modes, two targets, four feature sets, from one pass over the frames."""
+    x = mc.kept_frames(spark, d).join(weather(spark, d), "ts").select("cube", F.col("mean_ndvi").alias("mean"), F.col("p90_ndvi").alias("p90"), F.concat("w", F.array(F.col("clear_frac").cast("double"), F.col("n_pixels").cast("double"))).alias("vec"))
+    every = fold_rows(spark, d)
+    outer = {"cube": simple_folds(every), "tile": simple_folds(every, 3, "tile")}
+    deal = None
+    for mode, t in outer.items():
+        part = jobs.deal_of(t, folds.inner_folds(t)).withColumn("mode", F.lit(mode))
+        deal = part if deal is None else deal.unionByName(part)
+    x = x.withColumn("mode", F.explode(F.array(*map(F.lit, outer))))
+    return jobs.reconstruction(x, deal, ["mode"], "vec", ["mean", "p90"], FEATURES, ALPHAS)
+
+
+@add(recursive(reconstruction_sql() + f"""SELECT mode, "outer" AS fold, target, feature_set, alpha, alpha IN (0.1, 100000.0) AS at_edge, n_train, n_test, n_cubes, {r('inner_r2')}, {r('r2')} FROM rt"""))
+def reconstruction_probe(spark, d):
+    """Each fold's score of each configuration, with the strength that its inner folds choose."""
+    x = reconstruction_rows(spark, d).withColumnRenamed("outer", "fold")
+    return rounded(x.select("mode", "fold", "target", "feature_set", "alpha", "at_edge", "n_train", "n_test", "n_cubes", "inner_r2", "r2"), "inner_r2", "r2")
+
+
+@add(recursive(reconstruction_sql() + f""", rk AS (SELECT mode, target, feature_set, count(r2) AS k, avg(r2) AS mean, stddev_samp(r2) AS sd FROM rt GROUP BY ALL),
+rd AS (SELECT a.mode, a.target, a.feature_set, avg(a.r2 - b.r2) AS margin, stddev_samp(a.r2 - b.r2) AS sd, count(*) AS k FROM rt a JOIN rt b ON a.mode = b.mode AND a.target = b.target AND a."outer" = b."outer" AND b.feature_set = 'observation' WHERE a.feature_set <> 'observation' GROUP BY ALL),
+tq AS (SELECT * FROM (VALUES (3, 4.302652730), (5, 2.776445105)) t(k, q))
+SELECT rk.mode, rk.target, rk.feature_set, rk.feature_set = 'observation' AS is_control, rk.k, {r('mean')}, round(mean - q * rk.sd / sqrt(rk.k), 5) AS ci_lo, round(mean + q * rk.sd / sqrt(rk.k), 5) AS ci_hi, {r('margin')},
+  CASE WHEN rk.feature_set = 'observation' THEN 'baseline' WHEN margin >= 0 THEN 'passed' ELSE 'lossy' END AS verdict, abs(margin) > q * rd.sd / sqrt(rd.k) AND rk.feature_set <> 'observation' AS separable
+FROM rk JOIN tq USING (k) LEFT JOIN rd ON rd.mode = rk.mode AND rd.target = rk.target AND rd.feature_set = rk.feature_set"""))
+def reconstruction_table(spark, d):
+    """The result table: mean and interval over folds, margin over the control (the observation process alone), its verdict; a missing cell is an error."""
+    x = written(reconstruction_rows(spark, d), "reconstruction").withColumnsRenamed({"outer": "fold", "feature_set": "model"})
+    grid = {c: x.select(c).distinct() for c in ("mode", "target")} | {"model": spark.createDataFrame([(n,) for n in FEATURES], "model string")}
+    if lost := metrics.missing_cells(x, grid).count():
+        raise ValueError(f"{lost} configurations of the table have no fold")
+    keys = ["mode", "target"]
+    v = metrics.paired_verdict(x, keys, "r2", "observation").select(*keys, "model", F.col("mean").alias("margin"), "verdict", "separable")
+    out = metrics.t_interval(x, [*keys, "model"], "r2").join(v, [*keys, "model"])
+    out = out.select(*keys, F.col("model").alias("feature_set"), (F.col("model") == "observation").alias("is_control"), "k", "mean", "ci_lo", "ci_hi", "margin", "verdict", "separable")
+    return rounded(rounded(out, "mean", "margin"), "ci_lo", "ci_hi", digits=5)
+
+
 #: Strengths that the tuned classifier chooses from: C, larger is weaker.
 STRENGTHS = [10.0**a for a in range(-4, 3)]
 
