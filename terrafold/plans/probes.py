@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import axes, climatology, fit, folds, jobs, mask, metrics, quality, readouts, reports, softmax, vectors
+from ..operators import assembly, axes, climatology, fit, folds, jobs, mask, metrics, quality, readouts, reports, softmax, vectors
 from ..operators.ranks import percentiles, percentiles_by, written
 from ..sources import minicube as mc
 from ..sources import scan, store
@@ -514,6 +514,62 @@ def reconstruction_table(spark, d):
     return rounded(rounded(out, "mean", "margin"), "ci_lo", "ci_hi", digits=5)
 
 
+ENCODERS = ["full", "grid", "half"]
+
+
+def encoded(spark, d):
+    """(cube, acq_idx, vec_id, encoder, vec): three encoders of each frame, in one long table."""
+    v = mc.vectors(spark, d)
+    views = {"full": F.col("vec"), "grid": reports.pooled_grid("vec", 8, 4), "half": F.slice("vec", 1, 32)}
+    one = F.explode(F.array(*(F.struct(F.lit(n).alias("encoder"), c.alias("vec")) for n, c in views.items())))
+    return v.select("cube", "acq_idx", "vec_id", one.alias("e")).select("cube", "acq_idx", "vec_id", "e.*")
+
+
+@query("""SELECT cube, acq_idx, 112 AS dimensions, round(list_sum(vec), 4) AS full_sum, round(list_sum(list_transform(range(16), lambda c: list_sum(list_transform(range(4), lambda i: vec[(c // 4) * 16 + (i // 2) * 8 + (c % 4) * 2 + i % 2 + 1])) / 4)), 4) AS grid_sum,
+  round(list_sum(vec[1:32]), 4) AS half_sum FROM vec""")
+def encoder_assembly(spark, d):
+    """All encoders of each frame in one row, by one aggregation and one join."""
+    x = assembly.assembled(mc.vectors(spark, d).select("cube", "acq_idx"), encoded(spark, d), ENCODERS)
+    total = lambda e: F.round(F.aggregate(f"vec_{e}", F.lit(0.0), lambda a, b: a + b), 4).alias(f"{e}_sum")
+    return x.select("cube", "acq_idx", sum(F.size(f"vec_{e}") for e in ENCODERS).alias("dimensions"), *map(total, ENCODERS))
+
+
+@query("""SELECT cube, acq_idx, 'grid' AS encoder, 'missing' AS problem FROM vec WHERE vec_id % 90 = 0 AND vec_id % 110 <> 5 UNION ALL SELECT cube, acq_idx, 'half', 'doubled' FROM vec WHERE vec_id % 70 = 1 AND vec_id % 110 <> 5
+  UNION ALL SELECT cube, acq_idx, e, 'not_in_manifest' FROM vec, unnest(['full', 'grid', 'half']) t(e) WHERE vec_id % 110 = 5 AND NOT (e = 'grid' AND vec_id % 90 = 0)""")
+def assembly_violations(spark, d):
+    """Vectors of which some were taken out, some doubled, and some have no frame."""
+    x = encoded(spark, d).where("not (encoder = 'grid' and vec_id % 90 = 0)")
+    x = x.unionByName(x.where("encoder = 'half' and vec_id % 70 = 1"))
+    return assembly.assembly_violations(mc.vectors(spark, d).where("vec_id % 110 <> 5"), x, ENCODERS)
+
+
+#: Frames with the clear shares of the last three and the days that the last eight span.
+OBSERVED = """, ob AS (SELECT cube, acq_idx, clear_frac, list(clear_frac) OVER (PARTITION BY cube ORDER BY acq_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ctx,
+  day_idx - first_value(day_idx) OVER (PARTITION BY cube ORDER BY acq_idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS span FROM kept)
+"""
+
+
+@query(OBSERVED + f"""SELECT hz.cube, hz.acq_idx, delta, {r('ob.ctx[1]', 'clear_1')}, {r('ob.ctx[2]', 'clear_2')}, {r('ob.ctx[3]', 'clear_3')}, ob.span::DOUBLE AS span, {r('b.clear_frac', 'clear_target')}
+  FROM hz JOIN ob ON ob.cube = hz.cube AND ob.acq_idx = hz.acq_idx JOIN ob b ON b.cube = hz.cube AND b.acq_idx = hz.acq_target WHERE len(ob.ctx) = 3""")
+def observation_features(spark, d):
+    """The observation process around each forecast: clear shares of three frames and the target, days of the lookback."""
+    f = mc.kept_frames(spark, d)
+    x = assembly.observation_features(axes.horizon_rows(f, settings(spark)), f, 3)
+    names = ("clear_1", "clear_2", "clear_3", "span", "clear_target")
+    return rounded(x.select("cube", "acq_idx", "delta", *(F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names))), *names)
+
+
+@query(OBSERVED + f""", gc AS (SELECT cube, acq_idx, cell % 2 AS g, avg(CAST(valid AS INT)) AS c FROM cp GROUP BY 1, 2, 3)
+SELECT hz.cube, hz.acq_idx, delta, a.g AS cell, {r('a.c', 'clear')}, span::DOUBLE AS span, {r('b.c', 'clear_target')} FROM hz JOIN ob ON ob.cube = hz.cube AND ob.acq_idx = hz.acq_idx
+  JOIN gc a ON a.cube = hz.cube AND a.acq_idx = hz.acq_idx JOIN gc b ON b.cube = hz.cube AND b.acq_idx = hz.acq_target AND b.g = a.g""")
+def observation_cells(spark, d):
+    """The same for halves of a frame, as far as both frames hold them."""
+    f = mc.kept_frames(spark, d)
+    cells = mc.cube_pixels(spark, d).groupBy("cube", "acq_idx", (F.col("cell") % 2).alias("cell")).agg(F.avg(F.col("valid").cast("int")).alias("clear_frac"))
+    x = assembly.observation_cells(axes.horizon_rows(f, settings(spark)), f, cells)
+    return rounded(x.select("cube", "acq_idx", "delta", "cell", *(F.get("features", F.lit(i)).alias(n) for i, n in enumerate(("clear", "span", "clear_target")))), "clear", "span", "clear_target")
+
+
 #: Strengths that the tuned classifier chooses from: C, larger is weaker.
 STRENGTHS = [10.0**a for a in range(-4, 3)]
 
