@@ -17,6 +17,36 @@ def collinearity(df: DataFrame, doy: str, value: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_days"), (F.max(doy) - F.min(doy)).alias("span"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("n_shared"), ratio.alias("within_share"))
 
 
+def feature_collinearity(df: DataFrame, doy: str, vec: str, step: int = 5) -> DataFrame:
+    """One row: how much of many features (``vec``) the day of year alone tells. Distinct days, their span, whether all lie ``step`` days apart (one lattice), rows
+    that share a day, and least, median and largest of the features' spread inside days over their total spread (null for a constant feature).
+
+    Rows with a null day, vector or component take no part; without rows all but the counts are null.
+    """
+    x = df.where(F.col(doy).isNotNull() & F.col(vec).isNotNull()).where(F.forall(vec, lambda v: v.isNotNull()))
+    x = x.select(F.col(doy).alias("_d"), F.posexplode(vec).alias("_f", "_v")).groupBy("_f", "_d").agg(F.count("*").alias("n"), F.avg("_v").alias("m"), F.var_pop("_v").alias("v"))
+    # the spread of all rows is that inside days and that of the days' means
+    inside = F.sum(F.col("n") * F.col("v"))
+    centre = x.groupBy("_f").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_c"))
+    per = x.join(F.broadcast(centre), "_f")  # a row a feature
+    between = F.sum(F.col("n") * (F.col("m") - F.col("_c")) * (F.col("m") - F.col("_c")))
+    shares = per.groupBy("_f").agg(F.sqrt(inside / F.nullif(inside + between, F.lit(0.0))).alias("share")).agg(
+        F.min("share").alias("share_min"), F.percentile("share", 0.5).alias("share_median"), F.max("share").alias("share_max"))
+    days = x.where("_f = 0").agg(F.count("*").alias("n_days"), (F.max("_d") - F.min("_d")).alias("span"), (F.min(F.col("_d") % step) == F.max(F.col("_d") % step)).alias("one_lattice"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)), F.lit(0)).alias("n_shared"))
+    return days.join(F.broadcast(shares))  # one row each
+
+
+def chance(df: DataFrame, keys: list[str], label: str, known: int) -> DataFrame:
+    """(keys, n, n_classes, n_missing, majority_class, majority_share, balanced_accuracy, macro_f1): what naming the commonest class (ties: the least) scores.
+
+    Of ``known`` classes only those that occur count: balanced accuracy 1 / K, macro-F1 2p / (1 + p) / K for a majority share p. Rows without a label take no part.
+    """
+    per = df.where(F.col(label).isNotNull()).groupBy(*keys, F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    x = per.groupBy(*keys).agg(F.sum("_n").alias("n"), F.count("*").alias("n_classes"), F.min(F.struct((-F.col("_n")).alias("m"), F.col("_l").alias("l"))).alias("_top"))
+    p = -F.col("_top.m") / F.col("n")
+    return x.select(*keys, "n", "n_classes", (F.lit(known) - F.col("n_classes")).alias("n_missing"), F.col("_top.l").alias("majority_class"), p.alias("majority_share"), (1 / F.col("n_classes")).alias("balanced_accuracy"), (2 * p / (1 + p) / F.col("n_classes")).alias("macro_f1"))
+
+
 def identifiability(rows: DataFrame, keys: list[str], doy: str, order: int) -> DataFrame:
     """(keys, n_doy, identifiable): whether each key has days enough for a harmonic curve of that order."""
     x = rows.groupBy(*keys).agg(F.countDistinct(doy).alias("n_doy"))

@@ -648,6 +648,25 @@ def date_collinearity(spark, d):
     return rounded(reports.collinearity(doy_rows(spark, d), "doy", "y"), "within_share")
 
 
+@query(WEATHER + f""", fx AS (SELECT dayofyear(ts) AS doy, unnest([0, 1, 2]) AS f, unnest([w1, w2, clear_frac]) AS v FROM kept JOIN wx USING (ts)),
+fd AS (SELECT f, doy, count(*) AS n, avg(v) AS m FROM fx GROUP BY 1, 2),
+fs AS (SELECT f, stddev_pop(v - m) / stddev_pop(v) AS share FROM fx JOIN fd USING (f, doy) GROUP BY 1)
+SELECT n_days, span, one_lattice, n_shared, {r('share_min')}, {r('share_median')}, {r('share_max')} FROM (SELECT count(*) AS n_days, max(doy) - min(doy) AS span, min(doy % 5) = max(doy % 5) AS one_lattice, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS n_shared FROM fd WHERE f = 0),
+  (SELECT min(share) AS share_min, quantile_cont(share, 0.5) AS share_median, max(share) AS share_max FROM fs)""")
+def feature_collinearity(spark, d):
+    """How much of a frame's weather and clear share its day of year alone tells."""
+    x = mc.kept_frames(spark, d).join(weather(spark, d), "ts").select(F.dayofyear("ts").alias("doy"), F.concat("w", F.array(F.col("clear_frac").cast("double"))).alias("v"))
+    return rounded(reports.feature_collinearity(x, "doy", "v"), "share_min", "share_median", "share_max")
+
+
+@query(f"""SELECT fold, sum(n)::BIGINT AS n, count(*) AS n_classes, 12 - count(*) AS n_missing, arg_min(m, (-n, m)) AS majority_class, {r('max(n) / sum(n)', 'majority_share')}, {r('1 / count(*)', 'balanced_accuracy')},
+  {r('2 * (max(n) / sum(n)) / (1 + max(n) / sum(n)) / count(*)', 'macro_f1')} FROM (SELECT CAST(cube % 40 AS INTEGER) AS fold, month(ts) AS m, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1""")
+def class_chance(spark, d):
+    """Months of each fold's frames, those that do not occur, and what naming the commonest one scores."""
+    x = mc.kept_frames(spark, d).select((F.col("cube") % 40).cast("int").alias("fold"), F.month("ts").alias("month"))
+    return rounded(reports.chance(x, ["fold"], "month", 12), "majority_share", "balanced_accuracy", "macro_f1")
+
+
 @query("SELECT cube, count(DISTINCT year(ts)) AS n_years, count(DISTINCT year(ts)) > 1 AS multi_year FROM kept GROUP BY 1")
 def multi_year_cubes(spark, d):
     return reports.multi_year(mc.kept_frames(spark, d))
