@@ -91,6 +91,17 @@ def common_delta(pairs: DataFrame, px: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("n_common", F.coalesce("n_common", F.lit(0)))
 
 
+def common_cells(pairs: DataFrame, px: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """(cube, acq_idx_a, acq_idx_b, cell, n_common, level_a, level_b, delta_mean): levels and change of each cell on its pixels valid in both frames.
+
+    ``px``: cube, acq_idx, the pixel's ``keys`` and ndvi, and its ``cell``. A cell that shares no pixel has no row: nothing is filled.
+    """
+    a = px.where("ndvi is not null").select("cube", F.col("acq_idx").alias("acq_idx_a"), *keys, F.col(cell).alias("_cell"), F.col("ndvi").cast("double").alias("va"))
+    b = px.where("ndvi is not null").select("cube", F.col("acq_idx").alias("acq_idx_b"), *keys, F.col("ndvi").cast("double").alias("vb"))
+    both = pairs.select("cube", "acq_idx_a", "acq_idx_b").distinct().join(a, ["cube", "acq_idx_a"]).join(b, ["cube", "acq_idx_b", *keys])
+    return both.groupBy("cube", "acq_idx_a", "acq_idx_b", F.col("_cell").alias("cell")).agg(F.count("*").alias("n_common"), F.avg("va").alias("level_a"), F.avg("vb").alias("level_b"), F.avg(F.col("vb") - F.col("va")).alias("delta_mean"))
+
+
 def contexts(df: DataFrame, value: str, k: int) -> DataFrame:
     """The last k vectors, oldest first, as one; frames with fewer before them go."""
     w = Window.partitionBy("cube").orderBy("acq_idx").rowsBetween(-(k - 1), 0)

@@ -52,12 +52,15 @@ def beside_total(own: DataFrame, keys: list[str], *arrays: str) -> DataFrame:
     return own.join(total, keys) if keys else own.join(F.broadcast(total))  # one row
 
 
-def seen_outside(rows: DataFrame, x: str) -> DataFrame:
-    """(fold, seen): how many values of ``x`` the rows outside each fold have."""
-    per = rows.where(F.col(x).isNotNull()).groupBy(x).agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
-    alone = per.where("low = high").groupBy(F.col("low").alias("fold")).agg(F.count("*").alias("alone"))
-    every = rows.select("fold").distinct().join(alone, "fold", "left").join(F.broadcast(per.agg(F.count("*").alias("n"))))  # one row
-    return every.select("fold", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("seen"))
+def seen_outside(rows: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, fold, seen): how many values of ``x`` the rows outside each fold have; with ``keys``, inside each of them."""
+    keys = keys or []
+    per = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
+    alone = per.where("low = high").groupBy(*keys, F.col("low").alias("fold")).agg(F.count("*").alias("alone"))
+    total = per.groupBy(*keys).agg(F.count("*").alias("n"))
+    every = rows.select(*keys, "fold").distinct().join(alone, [*keys, "fold"], "left")
+    every = every.join(total, keys) if keys else every.join(F.broadcast(total))  # one row
+    return every.select(*keys, "fold", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("seen"))
 
 
 def fit_by_fold(rows: DataFrame, folds: DataFrame, design: list[Column], y: str, x: str, least_distinct: int, keys: list[str], ridge: float = 0.0) -> DataFrame:

@@ -71,7 +71,7 @@ def jackknife(sums: DataFrame, keys: list[str]) -> DataFrame:
     tot = {c: F.sum(c).over(w) for c in ("n", "sy", "syy", "sse")}
 
     def score(n, sy, syy, sse):
-        return 1 - sse / F.nullif(syy - sy * sy / n, F.lit(0.0))
+        return 1 - sse / F.nullif(syy - sy * sy / F.nullif(n, F.lit(0)), F.lit(0.0))
 
     x = sums.withColumn("pooled", score(*tot.values())).withColumn("left_out", score(*(tot[c] - F.col(c) for c in tot)))
     k = F.count("*")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import assembly, axes, climatology, fit, folds, jobs, mask, metrics, quality, readouts, reports, softmax, vectors
+from ..operators import assembly, axes, climatology, fit, folds, forecast, jobs, mask, metrics, quality, readouts, reports, softmax, vectors
 from ..operators.ranks import percentiles, percentiles_by, written
 from ..sources import minicube as mc
 from ..sources import scan, store
@@ -569,6 +569,151 @@ def observation_cells(spark, d):
     x = assembly.observation_cells(axes.horizon_rows(f, settings(spark)), f, cells)
     return rounded(x.select("cube", "acq_idx", "delta", "cell", *(F.get("features", F.lit(i)).alias(n) for i, n in enumerate(("clear", "span", "clear_target")))), "clear", "span", "clear_target")
 
+# --- the forecast table -------------------------------------------------------------------------
+
+#: Feature sets of the forecast table: positions in [mean and upper value of the context, weather until the target, observation process].
+SKIES = {"forecast": [0, 1, 2, 3], "band_matched": [0, 2, 3], "weather_only": [2, 3], "observation": [4, 5, 6]}
+FORECAST_KEYS = ["mode", "aggregation"]
+
+FORECAST_ROWS = OBSERVED + WEATHER + f""", wc AS (SELECT ts, sum(w1) OVER o AS c1, sum(w2) OVER o AS c2, count(*) OVER o AS cn FROM wx WINDOW o AS (ORDER BY ts)),
+fk AS (SELECT k.cube, k.acq_idx, k.clear_frac, k.mean_ndvi, k.p90_ndvi, span, c1, c2, cn, dayofyear(ts) AS doy FROM kept k JOIN ob ON ob.cube = k.cube AND ob.acq_idx = k.acq_idx JOIN wc USING (ts)),
+fh AS (SELECT h.cube, h.acq_idx, h.acq_target, h.delta, (b.c1 - a.c1) / (b.cn - a.cn) AS w1, (b.c2 - a.c2) / (b.cn - a.cn) AS w2, b.doy, a.mean_ndvi AS s1, a.p90_ndvi AS s2, a.clear_frac AS o1, a.span::DOUBLE AS o2, b.clear_frac AS o3
+  FROM hz h JOIN fk a ON a.cube = h.cube AND a.acq_idx = h.acq_idx JOIN fk b ON b.cube = h.cube AND b.acq_idx = h.acq_target),
+gv AS (SELECT cube, acq_idx, cell, cell % 2 AS g, ndvi::DOUBLE AS v FROM cp WHERE ndvi IS NOT NULL),
+gs AS (SELECT cube, acq_idx, cell % 2 AS g, avg(CAST(valid AS INT)) AS c, avg(ndvi::DOUBLE) AS s1, max(ndvi::DOUBLE) AS s2 FROM cp GROUP BY ALL),
+fp1 AS (SELECT fh.*, a.g, a.v AS va, b.v AS vb FROM fh JOIN gv a ON a.cube = fh.cube AND a.acq_idx = fh.acq_idx JOIN gv b ON b.cube = fh.cube AND b.acq_idx = fh.acq_target AND b.cell = a.cell),
+fm AS (SELECT cube, acq_idx, delta, doy, avg(vb) AS y, avg(va) AS held, [any_value(s1), any_value(s2), any_value(w1), any_value(w2), any_value(o1), any_value(o2), any_value(o3)] AS x FROM fp1 GROUP BY cube, acq_idx, delta, doy),
+fc AS (SELECT p.cube, p.acq_idx, p.delta, p.doy, avg(vb) AS y, avg(va) AS held, [any_value(a.s1), any_value(a.s2), any_value(w1), any_value(w2), any_value(a.c), any_value(o2), any_value(b.c)] AS x
+  FROM fp1 p JOIN gs a ON a.cube = p.cube AND a.acq_idx = p.acq_idx AND a.g = p.g JOIN gs b ON b.cube = p.cube AND b.acq_idx = p.acq_target AND b.g = p.g GROUP BY p.cube, p.acq_idx, p.delta, p.doy, p.g),
+fx AS (SELECT mode, aggregation, delta, fold::BIGINT AS fold, cube, acq_idx, y, held, x, {harmonics_sql('doy', 4)} AS d FROM (SELECT 'cube' AS mode, 'mean' AS aggregation, cube % 5 AS fold, * FROM fm
+  UNION ALL SELECT 'tile', 'mean', c_nationkey % 3, fm.* FROM fm JOIN customer ON cube = c_custkey UNION ALL SELECT 'loco', 'mean', cube, * FROM fm UNION ALL SELECT 'cube', 'cell', cube % 5, * FROM fc))
+"""
+
+
+def fitted_sql(name: str, rows: str, n: int, ridge: bool) -> str:
+    """CTEs that end in ``name`` (part, fold, n_train, coef): for each fold of each part of ``rows`` (part, fold, e: [1, ...n - 1 numbers], y) least squares on the part's other folds,
+    or a standardised ridge with a strength of n - 1, from the part's sums minus the fold's own."""
+    pairs = [(i, j) for i in range(1, n + 1) for j in range(i, n + 1)]
+    place = {p: k for k, p in enumerate(pairs, 1)}
+    s = lambda i, j: f"s[{place[min(i, j), max(i, j)]}]"
+    y = lambda i: f"s[{len(pairs) + i}]"
+    own = ", ".join([f"sum(e[{i}] * e[{j}])" for i, j in pairs] + [f"sum(e[{i}] * y)" for i in range(1, n + 1)])
+    if ridge:
+        m = [[f"({s(i, j)} - {s(1, i)} * {s(1, j)} / s[1])" + (f" * (1 + {n - 1} / s[1])" if i == j else "") for j in range(2, n + 1)] + [f"{y(i)} - {s(1, i)} * {y(1)} / s[1]"] for i in range(2, n + 1)]
+        coef = f"list_concat([({y(1)} - list_sum(list_transform(list_zip(c.coef, [{', '.join(s(1, i) for i in range(2, n + 1))}]), lambda z: z[1] * z[2]))) / s[1]], c.coef)"
+    else:
+        m, coef = [[s(i, j) for j in range(1, n + 1)] + [y(i)] for i in range(1, n + 1)], "c.coef"
+    cells = ", ".join("[" + ", ".join(w) + "]" for w in m)
+    total = ", ".join(f"sum(s[{k}])" for k in range(1, len(pairs) + n + 1))
+    return f""", {name}_o AS (SELECT part, fold, [{own}] AS s FROM {rows} GROUP BY 1, 2),
+{name}_d AS (SELECT part, fold, part || '|' || fold AS k, list_transform(list_zip(t.s, o.s), lambda z: z[1] - z[2]) AS s FROM {name}_o o JOIN (SELECT part, [{total}] AS s FROM {name}_o GROUP BY 1) t USING (part)),
+{name}_m AS (SELECT k, [{cells}] AS m FROM {name}_d WHERE s[1] > 1.5)""" + solve_sql(f"{name}_c", f"{name}_m", "k", n - ridge) + f""", {name} AS (SELECT part, fold, CAST(round(s[1]) AS BIGINT) AS n_train, {coef} AS coef FROM {name}_d JOIN {name}_c c USING (k))
+"""
+
+
+def forecast_sql() -> str:
+    """CTEs that end in ``fs`` (mode, aggregation, delta, fold, model, d, n_train, n_test, sy, syy, sse, sse_held, r2)."""
+    part = "mode || '|' || aggregation || '|' || delta"
+    sql, parts = FORECAST_ROWS, []
+
+    def model(name, rows, n, ridge, own="true"):
+        nonlocal sql
+        sql += fitted_sql(name, rows, n, ridge)
+        parts.append(f"SELECT r.key, r.test AS fold, r.model, {n - ridge} AS d, n_train, y, held, list_sum(list_transform(list_zip(e, coef), lambda z: z[1] * z[2])) AS p FROM {rows} r JOIN {name} USING (part, fold) WHERE {own}")
+
+    for name, at in SKIES.items():
+        e = ", ".join(f"x[{i + 1}]" for i in at)
+        sql += f", r_{name} AS (SELECT {part} AS key, {part} AS part, fold, fold AS test, '{name}' AS model, [1e0, {e}] AS e, y, held FROM fx)"
+        model(f"q_{name}", f"r_{name}", len(at) + 1, True)
+    sql += f", r_clim AS (SELECT {part} AS key, {part} AS part, fold, fold AS test, 'climatology_proxy' AS model, d AS e, y, held FROM fx)"
+    model("q_clim", "r_clim", 9, False)
+    sql += f", r_hor AS (SELECT {part} AS key, mode || '|' || aggregation AS part, fold, fold AS test, 'horizon_only' AS model, [1e0, delta / 365e0, power(delta / 365e0, 2)] AS e, y, held FROM fx)"
+    model("q_hor", "r_hor", 3, False)
+    sql += """, ds AS (SELECT DISTINCT f.mode, f.aggregation, f.delta, t.fold, CASE WHEN f.fold = t.fold THEN 'test' ELSE 'train' END AS side, cube, acq_idx FROM fx f JOIN (SELECT DISTINCT mode, aggregation, delta, fold FROM fx) t USING (mode, aggregation, delta) WHERE mode <> 'loco'),
+da AS (SELECT *, row_number() OVER (PARTITION BY mode, aggregation, delta, fold, side ORDER BY cube, acq_idx) AS place FROM ds),
+db AS (SELECT mode, aggregation, delta, fold, side, cube AS from_cube, acq_idx AS from_acq, row_number() OVER (PARTITION BY mode, aggregation, delta, fold, side ORDER BY md5(concat_ws('|', cube, acq_idx, mode, aggregation, delta, fold, side, '3000')), cube, acq_idx) AS place FROM ds),
+r_perm AS (SELECT f.mode || '|' || f.aggregation || '|' || f.delta AS key, f.mode || '|' || f.aggregation || '|' || f.delta || '|' || a.fold AS part, CASE WHEN side = 'test' THEN 1 ELSE 0 END AS fold, a.fold AS test, 'permutation' AS model, [1e0, s.w1, s.w2] AS e, y, held
+  FROM da a JOIN db b USING (mode, aggregation, delta, fold, side, place) JOIN fx f ON f.mode = a.mode AND f.aggregation = a.aggregation AND f.delta = a.delta AND f.cube = a.cube AND f.acq_idx = a.acq_idx
+  JOIN fh s ON s.cube = b.from_cube AND s.acq_idx = b.from_acq AND s.delta = a.delta)"""
+    model("q_perm", "r_perm", 3, True, "r.fold = 1")
+    parts.append(f"SELECT {part}, f.fold, 'persistence', 0, n_train, y, held, held FROM fx f JOIN q_weather_only q ON q.part = {part} AND q.fold = f.fold")
+    every = " UNION ALL ".join(parts)
+    return sql + f""", fe AS ({every}), fs AS (SELECT split_part(key, '|', 1) AS mode, split_part(key, '|', 2) AS aggregation, CAST(split_part(key, '|', 3) AS INTEGER) AS delta, fold, model, any_value(d) AS d, any_value(n_train) AS n_train,
+  count(*) AS n_test, sum(y) AS sy, sum(y * y) AS syy, sum((y - p) * (y - p)) AS sse, sum((y - held) * (y - held)) AS sse_held, CASE WHEN count(*) >= 8 THEN 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) END AS r2 FROM fe GROUP BY key, fold, model)
+"""
+
+
+def forecast_rows(spark, d):
+    """(mode, aggregation, delta, fold, cube, acq_idx, y, held, vec, sky, doy): forecasts by frame in three fold modes and by halves of a frame in one; levels on the pixels that both frames hold."""
+    f, px = mc.kept_frames(spark, d), mc.cube_pixels(spark, d).withColumn("half", F.col("cell") % 2)
+    rows = axes.horizon_rows(f, settings(spark))
+    days = f.select("cube", "acq_idx", "ts", "mean_ndvi", "p90_ndvi")
+    x = rows.join(days.withColumnRenamed("ts", "day_a"), ["cube", "acq_idx"]).join(days.select("cube", F.col("acq_idx").alias("acq_target"), F.col("ts").alias("day_b"), F.dayofyear("ts").alias("doy")), ["cube", "acq_target"])
+    series = weather(spark, d).select("ts", F.get("w", F.lit(0)).alias("w1"), F.get("w", F.lit(1)).alias("w2"))
+    x = written(forecast.window_means(x, series, "ts", ["w1", "w2"]), "forecast-rows")
+    pairs = x.select("cube", F.col("acq_idx").alias("acq_idx_a"), F.col("acq_target").alias("acq_idx_b"), (F.col("delta_days")).alias("gap_days"))
+    named = {"acq_idx_a": "acq_idx", "acq_idx_b": "acq_target", "level_a": "held", "level_b": "y"}
+    sky, keep = F.array("w1", "w2"), ["cube", "acq_idx", "delta", "doy", "y", "held", "sky", "vec"]
+    levels = axes.common_cells(pairs, px.withColumn("all", F.lit(0)), ["cell"], "all").withColumnsRenamed(named).drop("cell")
+    frame = assembly.observation_features(x, f).join(levels, ["cube", "acq_idx", "acq_target"])
+    frame = frame.select("*", sky.alias("sky"), F.concat(F.array("mean_ndvi", "p90_ndvi"), sky, "features").alias("vec")).select(*keep)
+    halves = px.groupBy("cube", "acq_idx", F.col("half").alias("cell")).agg(F.avg(F.col("valid").cast("int")).alias("clear_frac"), F.avg(F.col("ndvi").cast("double")).alias("s1"), F.max(F.col("ndvi").cast("double")).alias("s2"))
+    levels = axes.common_cells(pairs, px, ["cell"], "half").withColumnsRenamed(named)
+    cell = assembly.observation_cells(x, f, halves).join(levels, ["cube", "acq_idx", "acq_target", "cell"]).join(halves.drop("clear_frac"), ["cube", "acq_idx", "cell"])
+    cell = cell.select("*", sky.alias("sky"), F.concat(F.array("s1", "s2"), sky, "features").alias("vec")).select(*keep)
+    tiles = mc.table(spark, d, "customer").select(F.col("c_custkey").alias("cube"), (F.col("c_nationkey") % 3).alias("tile"))
+    mode = lambda name, fold: F.struct(F.lit(name).alias("mode"), fold.cast("long").alias("fold"))
+    own = F.col("cube") % 5
+    frame = frame.join(tiles, "cube").withColumn("m", F.explode(F.array(mode("cube", own), mode("tile", F.col("tile")), mode("loco", F.col("cube"))))).drop("tile")
+    both = frame.withColumn("aggregation", F.lit("mean")).unionByName(cell.withColumn("m", mode("cube", own)).withColumn("aggregation", F.lit("cell")))
+    return both.select("m.*", "aggregation", *keep)
+
+
+def forecast_scores(spark, d):
+    x = written(forecast_rows(spark, d), "forecast")
+    s = forecast.forecasts(x, FORECAST_KEYS, "vec", 7, fit.harmonic_design("doy", 4), "doy", "y", "held", SKIES).drop("coef")
+    return s.unionByName(forecast.permuted_forecasts(x.where("mode <> 'loco'"), FORECAST_KEYS, "sky", "y", "held", "3000"))
+
+
+@add(recursive(forecast_sql() + f"SELECT mode, aggregation, delta, fold, model, d, n_train, n_test, {r('sqrt(sse / n_test)', 'rmse')}, {r('sqrt(sse_held / n_test)', 'rmse_held')}, {r('r2')} FROM fs"))
+def forecast_probe(spark, d):
+    """Each fold's errors of each model at each horizon: ridges of four feature sets, persistence, climatology, the horizon alone, weather dealt anew."""
+    x = forecast_scores(spark, d).withColumn("rmse_held", F.sqrt(F.col("sse_held") / F.col("n_test")))
+    return rounded(x.select(*FORECAST_KEYS, "delta", "fold", "model", "d", "n_train", "n_test", "rmse", "rmse_held", "r2"), "rmse", "rmse_held", "r2")
+
+
+#: Two-sided 95 % t quantiles of k - 1 degrees of freedom: fixed values for the folds of two modes, the series from the normal one for a fold a cube.
+QUANTILE = """CASE k WHEN 3 THEN 4.302652730 WHEN 5 THEN 2.776445105 ELSE 1.959963984540054e0 + (power(1.959963984540054e0, 3) + 1.959963984540054e0) / 4 / (k - 1) + (5 * power(1.959963984540054e0, 5) + 16 * power(1.959963984540054e0, 3) + 3 * 1.959963984540054e0) / 96 / power(k - 1, 2)
+  + (3 * power(1.959963984540054e0, 7) + 19e0 * power(1.959963984540054e0, 5) + 17e0 * power(1.959963984540054e0, 3) - 15e0 * 1.959963984540054e0) / 384 / power(k - 1, 3)
+  + (79 * power(1.959963984540054e0, 9) + 776 * power(1.959963984540054e0, 7) + 1482 * power(1.959963984540054e0, 5) - 1920e0 * power(1.959963984540054e0, 3) - 945e0 * 1.959963984540054e0) / 92160 / power(k - 1, 4) END"""
+MARGINS = ", ".join(f"CASE WHEN t.model <> '{c}' THEN round(t.r2_pooled - max(CASE WHEN t.model = '{c}' THEN t.r2_pooled END) OVER (PARTITION BY mode, aggregation, delta), 5) END AS margin_{c}" for c in forecast.CONTROLS)
+
+
+@add(recursive(forecast_sql() + f""", fl AS (SELECT *, 1 - (sum(sse) OVER w - sse) / ((sum(syy) OVER w - syy) - power(sum(sy) OVER w - sy, 2) / (sum(n_test) OVER w - n_test)) AS l1, 1 - (sum(sse) OVER w - sse) / (sum(sse_held) OVER w - sse_held) AS l2 FROM fs WINDOW w AS (PARTITION BY mode, aggregation, delta, model)),
+ft AS (SELECT mode, aggregation, delta, model, count(*) AS k, CAST(sum(n_test) AS BIGINT) AS n, any_value(d) AS d, max(d / n_train) AS d_over_n, avg(r2) AS r2_mean, 1 - sum(sse) / (sum(syy) - sum(sy) * sum(sy) / sum(n_test)) AS r2_pooled, 1 - sum(sse) / sum(sse_held) AS skill, sqrt((count(*) - 1) * var_pop(l1)) AS e1, sqrt((count(*) - 1) * var_pop(l2)) AS e2 FROM fl GROUP BY ALL),
+fq AS (SELECT *, {QUANTILE} AS q FROM ft)
+SELECT mode, aggregation, delta, model, model IN ({', '.join(f"'{c}'" for c in forecast.CONTROLS)}) AS is_control, k, n, d, {r('d_over_n')}, {r('r2_mean')}, round(r2_pooled, 5) AS r2_pooled, round(r2_pooled - q * e1, 4) AS ci_lo, round(r2_pooled + q * e1, 4) AS ci_hi, round(skill, 5) AS skill, round(skill - q * e2, 4) AS skill_lo, round(skill + q * e2, 4) AS skill_hi, {MARGINS} FROM fq t"""))
+def forecast_table(spark, d):
+    """The result table: pooled scores with intervals that leave out a fold at a time, and every margin with its sign; a missing row is an error."""
+    x = written(forecast_scores(spark, d), "forecast-scores")
+    grid = {"aggregation": x.select("aggregation").distinct(), "delta": settings(spark).select("delta"), "model": spark.createDataFrame([(n,) for n in [*SKIES, "persistence", "climatology_proxy", "horizon_only", "permutation"]], "model string")}
+    if lost := metrics.missing_cells(x.where("mode = 'cube'"), grid).count():
+        raise ValueError(f"{lost} models of the table have no fold")
+    out = forecast.forecast_table(x, [*FORECAST_KEYS, "delta"])
+    out = rounded(out, "r2_pooled", "skill", *(f"margin_{c}" for c in forecast.CONTROLS), digits=5)
+    return rounded(rounded(out, "d_over_n", "r2_mean"), "ci_lo", "ci_hi", "skill_lo", "skill_hi", digits=4)
+
+
+@query(f"""SELECT a.cube, a.acq_idx AS acq_idx_a, b.acq_idx AS acq_idx_b, a.cell % 2 AS cell, count(*) AS n_common, {r('avg(a.ndvi::DOUBLE)', 'level_a')}, {r('avg(b.ndvi::DOUBLE)', 'level_b')}, {r('avg(b.ndvi::DOUBLE - a.ndvi::DOUBLE)', 'delta_mean')}
+  FROM pr JOIN cp a ON a.cube = pr.cube AND a.acq_idx = pr.acq_idx_a JOIN cp b ON b.cube = pr.cube AND b.acq_idx = pr.acq_idx_b AND b.cell = a.cell WHERE a.ndvi IS NOT NULL AND b.ndvi IS NOT NULL GROUP BY 1, 2, 3, 4""")
+def common_masked_cells(spark, d):
+    """Levels and change of the halves of consecutive frames on the pixels that both hold."""
+    px = mc.cube_pixels(spark, d).withColumn("half", F.col("cell") % 2)
+    x = axes.common_cells(axes.consecutive_pairs(mc.kept_frames(spark, d)), px, ["cell"], "half")
+    return rounded(x, "level_a", "level_b", "delta_mean")
+
+
+
 
 #: Strengths that the tuned classifier chooses from: C, larger is weaker.
 STRENGTHS = [10.0**a for a in range(-4, 3)]
