@@ -10,6 +10,9 @@ from .ranks import RANGE_ROWS, counted, percentiles_by, running, written
 #: fixed values: two-sided 95 % t quantiles by degrees of freedom, from 1
 T95 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852)
 
+#: fixed values: normal quantiles of 5 % (two-sided) and of 80 % power, together
+POWER = 1.959964 + 0.841621
+
 
 def t95(dof: Column) -> Column:
     """The quantile of any number of degrees of freedom: from the table, and beyond it by the series in 1 / dof from the normal one (within 5e-6)."""
@@ -153,6 +156,5 @@ def rank_stability(scores: DataFrame, modes: str, item: str, value: str) -> Data
 
 def detectable_effect(scores: DataFrame, keys: list[str], value: str, aim: float) -> DataFrame:
     """Least detectable effect at 5 % and 80 % power, and folds needed for ``aim``."""
-    z = 1.959964 + 0.841621
     x = scores.groupBy(*keys).agg(F.stddev_samp(value).alias("std"), F.count("*").alias("k"))
-    return x.withColumn("mde", z * F.col("std") / F.sqrt("k")).withColumn("folds_needed", F.ceil(F.pow(z * F.col("std") / aim, 2)))
+    return x.withColumn("mde", POWER * F.col("std") / F.sqrt("k")).withColumn("folds_needed", F.ceil(F.pow(POWER * F.col("std") / aim, 2)))

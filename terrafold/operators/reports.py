@@ -106,6 +106,23 @@ def interval_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return x.select(*keys, "mean_a", "mean_b", overlap.alias("overlap"), F.col("mean_b").between(F.col("lo_a"), F.col("hi_a")).alias("b_inside"))
 
 
+def validation(scores: DataFrame, value: str, control: str, proxy: str, real: str) -> DataFrame:
+    """(stage, model, k, mean, ci_lo, ci_hi, margin, mde, folds_needed, proxy_minus_real, overlap): a stand-in held against what it stands in for.
+
+    ``scores``: stage, model, fold, ``value``. ``margin`` is over the stage's ``control`` (null for itself); ``mde`` is the least effect that the stage's folds
+    show at 5 % and 80 % power, ``folds_needed`` how many would show the mean itself. ``overlap`` says whether the two stages' intervals meet: if they do, the
+    folds cannot tell them apart, which does not make them equal. A model that one stage lacks has neither difference nor overlap.
+    """
+    t = metrics.t_interval(scores, ["stage", "model"], value)
+    c = t.where(F.col("model") == control).select("stage", F.col("mean").alias("_c"))
+    both = interval_overlap(t.where(F.col("stage") == proxy), t.where(F.col("stage") == real), ["model"])
+    both = both.select("model", (F.col("mean_a") - F.col("mean_b")).alias("proxy_minus_real"), "overlap")
+    reach = metrics.POWER * F.col("std")
+    x = t.join(c, "stage", "left").join(both, "model", "left")
+    return x.select("stage", "model", "k", "mean", "ci_lo", "ci_hi", F.when(F.col("model") != control, F.col("mean") - F.col("_c")).alias("margin"), (reach / F.sqrt("k")).alias("mde"),
+                    F.ceil(F.pow(reach / F.nullif(F.abs("mean"), F.lit(0.0)), 2)).alias("folds_needed"), "proxy_minus_real", "overlap")
+
+
 def bookkeeping(fold_scores: DataFrame, keys: list[str], value: str, size: int) -> DataFrame:
     """(keys, n_folds, n_empty, n_null, d_over_n): folds, those without test rows, those without a score, and parameters over the least training rows."""
     return fold_scores.groupBy(*keys).agg(

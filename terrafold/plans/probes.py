@@ -714,6 +714,50 @@ def common_masked_cells(spark, d):
 
 
 
+# --- the proxy climatology held against the real one ---------------------------------------------
+
+#: Rows of both stages: 0 trains, 1 is tested, inside each stage, model and fold.
+VALIDATION = CROSSED + CLIM + WEATHER + CROSSED_ANOMALIES + OBSERVED + f""", hr AS (SELECT CAST(cube % 5 AS INTEGER) AS fold, cube, acq_idx, ts, mean_ndvi AS y, {harmonics_sql('dayofyear(ts)', 4)} AS d FROM kept JOIN (SELECT ts FROM wx) USING (ts) WHERE mean_ndvi IS NOT NULL)""" + normal_sql("hc", "hr", "fold", 9) + """,
+va AS (SELECT 'proxy' AS stage, hc.fold, CAST(hr.fold = hc.fold AS INTEGER) AS tested, cube, acq_idx, ts, y - list_sum(list_transform(list_zip(d, coef), lambda z: z[1] * z[2])) AS a FROM hr, hc
+  UNION ALL SELECT 'real', fold, CAST(side = 'test' AS INTEGER), cube, acq_idx, ts, y FROM pa),
+vr AS (SELECT stage || '|weather|' || fold AS part, tested AS fold, cube, a AS y, w1, w2 FROM va JOIN wx USING (ts) UNION ALL SELECT stage || '|observation|' || fold, tested, cube, a, clear_frac, span::DOUBLE FROM va JOIN (SELECT ts FROM wx) USING (ts) JOIN ob USING (cube, acq_idx))""" + ridge2_sql("vg", "vr", [2.0]) + """,
+vs AS (SELECT split_part(part, '|', 1) AS stage, split_part(part, '|', 2) AS model, CAST(split_part(part, '|', 3) AS INTEGER) AS fold, n_train, n_test, effective_n, skill AS r2_vs_climatology FROM vg JOIN (SELECT part, count(*) AS n_test, count(DISTINCT cube) AS effective_n FROM vr WHERE fold = 1 GROUP BY 1) USING (part) WHERE fold = 1)
+"""
+
+
+def validation_scores(spark, d):
+    """(stage, model, fold, n_train, n_test, effective_n, r2_vs_climatology) of weather and of the observation process, against the curve by day of year (proxy) and against all other years (real)."""
+    seen = assembly.observed(mc.kept_frames(spark, d)).select("cube", "acq_idx", F.array(F.get("clear_context", F.lit(0)), F.col("window_span_days").cast("double")).alias("o"))
+    a = written(ceiling_rows(spark, d).join(seen, ["cube", "acq_idx"]), "validation-proxy")
+    b = crossed_anomaly_rows(spark, d, crossed_sides(spark, d), False).join(weather(spark, d), "ts").join(seen, ["cube", "acq_idx"])
+    b = written(b.withColumns({"outer": F.col("fold").cast("int"), "part": (F.col("side") == "test").cast("int")}), "validation-real")
+    design, out = fit.harmonic_design("doy", 4), None
+    for model, w in (("weather", "w"), ("observation", "o")):
+        x = fit.residual_predictions(a, fit.residual_ridge(a, design, w, "y", "doy", 2.0, 9), design, w, "y").select(F.lit("proxy").alias("stage"), "fold", "n_train", "cube", "a", "p")
+        m = fit.ridge_path(b, w, "a", "part", [2.0], by="outer").where("fold = 1").select("outer", "n_train", "coef", "intercept")
+        y = b.where("part = 1").join(m, "outer").select(F.lit("real").alias("stage"), F.col("outer").alias("fold"), "n_train", "cube", "a", (fit.dot(w, "coef") + F.col("intercept")).alias("p"))
+        x = x.unionByName(y).withColumn("model", F.lit(model))
+        out = x if out is None else out.unionByName(x)
+    e = F.col("a") - F.col("p")
+    return out.groupBy("stage", "model", "fold").agg(F.first("n_train").alias("n_train"), F.count("*").alias("n_test"), F.countDistinct("cube").alias("effective_n"), reports.skill(F.sum(e * e), F.sum(F.col("a") * F.col("a"))).alias("r2_vs_climatology"))
+
+
+@add(recursive(VALIDATION + f"SELECT stage, model, fold, n_train, n_test, effective_n, {r('r2_vs_climatology')} FROM vs"))
+def proxy_validation_folds(spark, d):
+    """The folds behind ``proxy_validation``."""
+    return rounded(validation_scores(spark, d), "r2_vs_climatology")
+
+
+@add(recursive(VALIDATION + f""", vt AS (SELECT stage, model, count(*) AS k, avg(r2_vs_climatology) AS mean, stddev_samp(r2_vs_climatology) AS sd FROM vs GROUP BY ALL), vq AS (SELECT *, mean - {QUANTILE} * sd / sqrt(k) AS lo, mean + {QUANTILE} * sd / sqrt(k) AS hi FROM vt)
+SELECT a.stage, a.model, a.k, {r('a.mean', 'mean')}, round(a.lo, 5) AS ci_lo, round(a.hi, 5) AS ci_hi, {r('a.mean - c.mean', 'margin')}, {r('2.801585 * a.sd / sqrt(a.k)', 'mde')}, CAST(ceil(power(2.801585 * a.sd / abs(a.mean), 2)) AS BIGINT) AS folds_needed, {r('p.mean - q.mean', 'proxy_minus_real')}, p.lo <= q.hi AND q.lo <= p.hi AS overlap
+FROM vq a LEFT JOIN vq c ON c.stage = a.stage AND c.model = 'observation' AND a.model <> 'observation' JOIN vq p ON p.stage = 'proxy' AND p.model = a.model JOIN vq q ON q.stage = 'real' AND q.model = a.model"""))
+def proxy_validation(spark, d):
+    """Whether the proxy climatology tells what the real one does: skill of weather under both with intervals, margin over the observation process, the effect that so many folds can show, and whether the intervals meet."""
+    s = written(validation_scores(spark, d), "validation-scores")
+    return rounded(rounded(reports.validation(s, "r2_vs_climatology", "observation", "proxy", "real"), "mean", "margin", "mde", "proxy_minus_real"), "ci_lo", "ci_hi", digits=5)
+
+
+
 
 #: Strengths that the tuned classifier chooses from: C, larger is weaker.
 STRENGTHS = [10.0**a for a in range(-4, 3)]
