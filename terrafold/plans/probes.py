@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import assembly, axes, climatology, fit, folds, forecast, jobs, mask, metrics, quality, readouts, reports, softmax, vectors
+from ..operators import appearance, assembly, axes, climatology, fit, folds, forecast, jobs, mask, metrics, quality, readouts, reports, softmax, vectors
 from ..operators.ranks import percentiles, percentiles_by, written
 from ..sources import minicube as mc
 from ..sources import scan, store
@@ -758,6 +758,82 @@ def proxy_validation(spark, d):
 
 
 
+# --- the appearance table -----------------------------------------------------------------------
+
+#: Feature sets of the appearance table: positions in [price, discount, clear share, lookback days].
+LOOKS = {"weather": [0, 1], "observation": [2, 3], "mixed": [0, 2]}
+LOOK_COLUMNS = ["w1", "w2", "clear_frac", "span"]
+LOOK_ALPHAS = [0.1, 10.0, 1000.0]
+
+
+def appearance_sql() -> str:
+    """CTEs that end in ``ap`` (mode, target, outer, feature_set, weights, alpha, inner_score, n_train, n_test, balanced_accuracy, macro_f1, dummy)."""
+    sql = FOLD_ROWS + WEATHER + OBSERVED + inner_sql("ic", "cube % 5", 5) + inner_sql("it", "tile % 3", 3)
+    sql += """, lr AS (SELECT k.cube, w1, w2, k.clear_frac, span::DOUBLE AS span, c_nationkey AS tile, lpad(CAST(month(ts) AS VARCHAR), 2, '0') AS l_month, CAST((month(ts) - 1) // 3 AS VARCHAR) AS l_season FROM kept k JOIN wx USING (ts) JOIN customer ON k.cube = c_custkey JOIN ob ON ob.cube = k.cube AND ob.acq_idx = k.acq_idx),
+ld AS (SELECT 'cube' AS mode, "outer", fold AS inner_, lr.* FROM lr JOIN ic s ON s.cube = lr.cube AND s.rn > 0 UNION ALL SELECT 'cube', cube % 5, -1, lr.* FROM lr UNION ALL SELECT 'tile', "outer", fold, lr.* FROM lr JOIN it s ON s.cube = lr.cube AND s.rn > 0 UNION ALL SELECT 'tile', tile % 3, -1, lr.* FROM lr)"""
+    views = [(t, n, *(LOOK_COLUMNS[i] for i in f)) for t in ("month", "season") for n, f in LOOKS.items()]
+    each = " UNION ALL ".join(f"SELECT mode, '{t}' AS target, '{n}' AS feature_set, \"outer\", inner_, l_{t} AS label, {a} AS a, {b} AS b FROM ld" for t, n, a, b in views)
+    keys = 'mode, target, feature_set, "outer", scored'
+    return sql + f""", le AS ({each}),
+lo AS (SELECT mode, target, feature_set, "outer", inner_, label, count(*) AS n, sum(a) AS s1, sum(b) AS s2, sum(a * a) AS q11, sum(a * b) AS q12, sum(b * b) AS q22 FROM le GROUP BY ALL),
+lt AS (SELECT o.mode, o.target, o.feature_set, o."outer", f.scored, label, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(q11) AS q11, sum(q12) AS q12, sum(q22) AS q22 FROM lo o JOIN (SELECT DISTINCT mode, "outer", inner_ AS scored FROM ld) f ON f.mode = o.mode AND f."outer" = o."outer" WHERE inner_ <> -1 AND inner_ <> scored GROUP BY ALL),
+lp AS (SELECT {keys}, sum(n) AS nn, count(*) AS kk, sqrt(sum(q11) / sum(n) - power(sum(s1) / sum(n), 2)) AS d1, sqrt(sum(q22) / sum(n) - power(sum(s2) / sum(n), 2)) AS d2, arg_max(label, [lpad(CAST(n AS VARCHAR), 12, '0'), label]) AS majority FROM lt GROUP BY ALL),
+lw AS (SELECT lt.*, nn, d1, d2, majority, weights, CASE WHEN weights = 'balanced' THEN nn / (kk * n) ELSE 1e0 END AS w FROM lt JOIN lp USING ({keys}), (SELECT unnest(['none', 'balanced']) AS weights)),
+lg AS (SELECT {keys}, weights, sum(w * n) AS m, sum(w * s1) / sum(w * n) AS c1, sum(w * s2) / sum(w * n) AS c2, sum(w * q11) AS g11, sum(w * q12) AS g12, sum(w * q22) AS g22 FROM lw GROUP BY ALL),
+lc AS (SELECT {keys}, weights, label, majority, nn, alpha, (2 * w * n - m) / m AS my, c1, c2, d1, d2, (g11 - m * c1 * c1) / (d1 * d1) + alpha AS a11, (g12 - m * c1 * c2) / (d1 * d2) AS a12, (g22 - m * c2 * c2) / (d2 * d2) + alpha AS a22,
+  (2 * w * s1 - m * c1 - c1 * (2 * w * n - m)) / d1 AS b1, (2 * w * s2 - m * c2 - c2 * (2 * w * n - m)) / d2 AS b2 FROM lw JOIN lg USING ({keys}, weights), (SELECT unnest({LOOK_ALPHAS})::DOUBLE AS alpha)),
+lm AS (SELECT {keys}, weights, alpha, label AS l, majority, nn, c1, c2, my, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) / d1 AS k1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) / d2 AS k2 FROM lc),
+lq AS (SELECT *, row_number() OVER () AS id FROM le),
+lh AS (SELECT mode, target, feature_set, "outer", scored, weights, alpha, id, any_value(q.label) AS label, any_value(majority) AS majority, any_value(nn) AS nn, arg_max(l, my + k1 * (a - c1) + k2 * (b - c2)) AS guess FROM lq q JOIN lm USING (mode, target, feature_set, "outer") WHERE q.inner_ = lm.scored GROUP BY ALL),
+lx AS (SELECT {keys}, weights, alpha, label, majority, nn, count(*) AS n, count_if(label = guess) AS tp FROM lh GROUP BY ALL),
+lz AS (SELECT {keys}, weights, alpha, guess AS label, count(*) AS p FROM lh GROUP BY ALL),
+ls AS (SELECT {keys}, weights, alpha, avg(tp / n) AS ba, avg(2 * tp / (n + coalesce(p, 0))) AS f1, CAST(any_value(nn) AS BIGINT) AS n_train, CAST(sum(n) AS BIGINT) AS n_test, max(CAST(label = majority AS INTEGER)) / count(*) AS dummy FROM lx LEFT JOIN lz USING ({keys}, weights, alpha, label) GROUP BY ALL),
+lb AS (SELECT mode, target, feature_set, "outer", weights, alpha, round(avg(ba), 12) AS inner_score FROM ls WHERE scored <> -1 GROUP BY ALL),
+ap AS (SELECT mode, target, CAST("outer" AS INTEGER) AS fold, feature_set, weights, alpha, inner_score, n_train, n_test, ba AS balanced_accuracy, f1 AS macro_f1, dummy FROM (SELECT *, row_number() OVER (PARTITION BY mode, target, feature_set, "outer", weights ORDER BY inner_score DESC, alpha DESC) AS rn FROM lb) b JOIN (SELECT * FROM ls WHERE scored = -1) USING (mode, target, feature_set, "outer", weights, alpha) WHERE rn = 1)
+"""
+
+
+def appearance_scores(spark, d):
+    """All configurations of the appearance table: two fold modes, two targets, three feature sets, two weightings."""
+    every, deal = fold_rows(spark, d), None
+    for mode, t in {"cube": simple_folds(every), "tile": simple_folds(every, 3, "tile")}.items():
+        part = jobs.deal_of(t, folds.inner_folds(t)).withColumn("mode", F.lit(mode))
+        deal = part if deal is None else deal.unionByName(part)
+    f = mc.kept_frames(spark, d)
+    seen = assembly.observed(f).select("cube", "acq_idx", F.array(F.get("clear_context", F.lit(0)), F.col("window_span_days").cast("double")).alias("o"))
+    x = f.select("cube", "acq_idx", "ts").join(weather(spark, d), "ts").join(seen, ["cube", "acq_idx"])
+    month = F.month("ts")
+    label = F.explode(F.array(F.struct(F.lit("month").alias("target"), F.lpad(month.cast("string"), 2, "0").alias("label")), F.struct(F.lit("season").alias("target"), F.floor((month - 1) / 3).cast("string").alias("label"))))
+    x = x.select("cube", F.concat("w", "o").alias("vec"), label.alias("t")).withColumn("mode", F.explode(F.array(F.lit("cube"), F.lit("tile")))).select("cube", "vec", "mode", "t.*")
+    return appearance.appearance(x, deal, ["mode", "target"], "vec", 4, "label", LOOKS, LOOK_ALPHAS).withColumnRenamed("outer", "fold")
+
+
+@add(recursive(appearance_sql() + f"SELECT mode, target, fold, feature_set, weights, alpha, alpha IN (0.1, 1000.0) AS at_edge, {r('inner_score')}, n_train, n_test, {r('balanced_accuracy')}, {r('macro_f1')}, {r('dummy')} FROM ap"))
+def appearance_probe(spark, d):
+    """Month and season of a frame read from its features: each fold's scores of each configuration, with the strength that its inner folds choose."""
+    return rounded(appearance_scores(spark, d), "inner_score", "balanced_accuracy", "macro_f1", "dummy")
+
+
+@add(recursive(appearance_sql() + f""", av AS (SELECT mode, target, weights, feature_set, count(*) AS k, avg(balanced_accuracy) AS mean, stddev_samp(balanced_accuracy) AS sd, avg(macro_f1) AS macro_f1, avg(balanced_accuracy - dummy) AS margin_dummy, count_if(alpha IN (0.1, 1000.0)) AS n_at_edge FROM ap GROUP BY ALL),
+aq AS (SELECT *, {QUANTILE} * sd / sqrt(k) AS h FROM av)
+SELECT a.mode, a.target, a.weights, a.feature_set, a.feature_set = 'observation' AS is_control, a.k, {r('a.mean', 'mean')}, round(a.mean - a.h, 5) AS ci_lo, round(a.mean + a.h, 5) AS ci_hi, {r('a.macro_f1', 'macro_f1')}, {r('a.margin_dummy', 'margin_dummy')}, {r('a.mean - c.mean', 'margin_control')}, a.n_at_edge
+FROM aq a LEFT JOIN aq c ON c.mode = a.mode AND c.target = a.target AND c.weights = a.weights AND c.feature_set = 'observation' AND a.feature_set <> 'observation'"""))
+def appearance_table(spark, d):
+    """The result table: balanced accuracy with intervals over folds, margins over the dummy and over the observation process under the same weighting; a missing row is an error."""
+    x = written(appearance_scores(spark, d), "appearance")
+    grid = {c: x.select(c).distinct() for c in ("mode", "target", "weights")} | {"feature_set": spark.createDataFrame([(n,) for n in LOOKS], "feature_set string")}
+    if lost := metrics.missing_cells(x, grid).count():
+        raise ValueError(f"{lost} configurations of the table have no fold")
+    keys = ["mode", "target", "weights"]
+    t = metrics.t_interval(x, [*keys, "feature_set"], "balanced_accuracy")
+    more = x.groupBy(*keys, "feature_set").agg(F.avg("macro_f1").alias("macro_f1"), F.avg(F.col("balanced_accuracy") - F.col("dummy")).alias("margin_dummy"), F.count_if("at_edge").alias("n_at_edge"))
+    t = t.join(more, [*keys, "feature_set"]).withColumn("is_control", F.col("feature_set") == "observation")
+    m = metrics.margins(t, keys, "mean").select(*keys, "feature_set", F.col("margin").alias("margin_control"))
+    t = t.join(m, [*keys, "feature_set"], "left").select(*keys, "feature_set", "is_control", "k", "mean", "ci_lo", "ci_hi", "macro_f1", "margin_dummy", "margin_control", "n_at_edge")
+    return rounded(rounded(t, "mean", "macro_f1", "margin_dummy", "margin_control"), "ci_lo", "ci_hi", digits=5)
+
+
+
 
 #: Strengths that the tuned classifier chooses from: C, larger is weaker.
 STRENGTHS = [10.0**a for a in range(-4, 3)]
