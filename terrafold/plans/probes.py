@@ -814,7 +814,7 @@ def appearance_probe(spark, d):
     return rounded(appearance_scores(spark, d), "inner_score", "balanced_accuracy", "macro_f1", "dummy")
 
 
-@add(recursive(appearance_sql() + f""", av AS (SELECT mode, target, weights, feature_set, count(*) AS k, avg(balanced_accuracy) AS mean, stddev_samp(balanced_accuracy) AS sd, avg(macro_f1) AS macro_f1, avg(balanced_accuracy - dummy) AS margin_dummy, count_if(alpha IN (0.1, 1000.0)) AS n_at_edge FROM ap GROUP BY ALL),
+@add(recursive(appearance_sql() + f""", av AS (SELECT mode, target, weights, feature_set, count(*) AS k, avg(balanced_accuracy) AS mean, stddev_samp(balanced_accuracy) AS sd, avg(macro_f1) AS macro_f1, avg(balanced_accuracy - dummy) AS margin_dummy, CAST(count_if(alpha IN (0.1, 1000.0)) AS BIGINT) AS n_at_edge FROM ap GROUP BY ALL),
 aq AS (SELECT *, {QUANTILE} * sd / sqrt(k) AS h FROM av)
 SELECT a.mode, a.target, a.weights, a.feature_set, a.feature_set = 'observation' AS is_control, a.k, {r('a.mean', 'mean')}, round(a.mean - a.h, 5) AS ci_lo, round(a.mean + a.h, 5) AS ci_hi, {r('a.macro_f1', 'macro_f1')}, {r('a.margin_dummy', 'margin_dummy')}, {r('a.mean - c.mean', 'margin_control')}, a.n_at_edge
 FROM aq a LEFT JOIN aq c ON c.mode = a.mode AND c.target = a.target AND c.weights = a.weights AND c.feature_set = 'observation' AND a.feature_set <> 'observation'"""))
