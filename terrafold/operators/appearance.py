@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fit import grams
+from .fit import summed
 from .jobs import TEST
 from .ranks import written
 
 #: Numbers of models (their coefficients) that may be broadcast to the rows; beyond, both are shuffled by fold.
 BROADCAST = 4_000_000
+#: Rows that are scored at once by all models of a side.
+SCORED = 1_024
 
 
 def one_vs_rest(sides: dict[str, np.ndarray], features: list[int], alphas: list[float], balanced: bool) -> list[list[tuple[str, list[float], float]]]:
@@ -77,28 +82,112 @@ def models(cells: DataFrame, keys: list[str], sets: dict[str, list[int]], alphas
     return cells.groupBy(*keys, "outer").applyInPandas(solve, kind)
 
 
+def kind_of(keys: list[str]) -> list[tuple[str, pa.DataType]]:
+    return [*((k, pa.string()) for k in keys), ("outer", pa.int32()), ("inner", pa.int32()), ("label", pa.string())]
+
+
+def dealt(batches: Iterator[pa.RecordBatch], keys: list[str], size: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """((keys, outer, inner, label), vectors) of each batch: a row stands in every place that its cube was dealt, without a copy of it in Spark."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["outer"]).to_numpy())
+        v = pc.list_flatten(b["v"]).to_numpy(zero_copy_only=False).reshape(b.num_rows, size)
+        values, code = [], np.zeros(len(row), "int64")
+        for c in [*keys, "label"]:
+            d = pc.dictionary_encode(b[c])
+            values.append(d.dictionary.to_pylist())
+            code = code * len(values[-1]) + d.indices.to_numpy()[row]
+        for c in ("outer", "inner"):
+            u, i = np.unique(pc.list_flatten(b[c]).to_numpy(), return_inverse=True)
+            values.append(u.tolist())
+            code = code * len(u) + i
+        order = np.argsort(code, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)) if len(order) else []
+        for at in np.split(order, heads[1:]) if len(order) else []:
+            name, rest = [], code[at[0]]
+            for u in reversed(values):
+                name.append(u[rest % len(u)])
+                rest //= len(u)
+            inner, outer, label, *k = name
+            yield (*reversed(k), outer, inner, label), v[row[at]]
+
+
+def table(rows: list[tuple], kind: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kind)], [n for n, _ in kind])
+
+
+def class_grams(batches, keys: list[str], size: int, kind: list) -> Iterator[pa.RecordBatch]:
+    """(keys, outer, inner, label, gram): sums of products of [1, vec] of a partition's rows in each place."""
+    acc: dict[tuple, np.ndarray] = {}
+    for name, v in dealt(batches, keys, size):
+        z = np.column_stack([np.ones(len(v)), v])
+        acc[name] = acc.get(name, 0) + z.T @ z
+    yield from table([(*k, a.ravel()) for k, a in acc.items()], [*kind, ("gram", pa.list_(pa.float64()))])
+
+
+def sides_of(found: list, keys: list[str]) -> dict[tuple, tuple[list[tuple], list[str], np.ndarray, np.ndarray]]:
+    """(keys, outer, inner) -> (configurations, classes, coefficients, intercepts) of ``models``: all models of a side know the same classes."""
+    out: dict[tuple, list] = {}
+    for r in found:
+        out.setdefault((*(r[k] for k in keys), r["outer"], r["inner"]), []).append(r)
+    config = ["feature_set", "weights", "alpha", "n_train", "majority"]
+    return {
+        k: ([tuple(r[c] for c in config) for r in of], [c["label"] for c in of[0]["classes"]], np.array([[c["coef"] for c in r["classes"]] for r in of]), np.array([[c["intercept"] for c in r["classes"]] for r in of]))
+        for k, of in out.items()
+    }
+
+
+def guess_counts(batches, keys: list[str], size: int, known: dict, kind: list) -> Iterator[pa.RecordBatch]:
+    """(keys, outer, inner, label, configuration, guess, _n): the class of greatest score (ties: the greatest label) by every model that did not see a row's side, counted."""
+    acc: dict[tuple, np.ndarray] = {}
+    for name, v in dealt(batches, keys, size):
+        if name[:-1] not in known:
+            continue
+        configs, classes, coef, intercept = known[name[:-1]]
+        for i in range(0, len(v), SCORED):
+            s = np.broadcast_to(intercept, (len(v[i : i + SCORED]), *intercept.shape))
+            for j in range(size):
+                s = s + v[i : i + SCORED, j, None, None] * coef[None, :, :, j]
+            best = len(classes) - 1 - np.argmax(s[:, :, ::-1], axis=2)
+            n = np.bincount((best + np.arange(len(configs)) * len(classes)).ravel(), minlength=len(configs) * len(classes))
+            acc[name] = acc.get(name, 0) + n
+    out = []
+    for name, n in acc.items():
+        configs, classes, *_ = known[name[:-1]]
+        out += [(*name, *configs[i // len(classes)], classes[i % len(classes)], n[i]) for i in np.flatnonzero(n)]
+    yield from table(out, [*kind, ("feature_set", pa.string()), ("weights", pa.string()), ("alpha", pa.float64()), ("n_train", pa.int64()), ("majority", pa.string()), ("guess", pa.string()), ("_n", pa.int64())])
+
+
 def appearance(rows: DataFrame, deal: DataFrame, keys: list[str], vec: str, size: int, label: str, sets: dict[str, list[int]], alphas: list[float]) -> DataFrame:
     """(keys, outer, feature_set, weights, alpha, at_edge, inner_score, n_train, n_test, balanced_accuracy, macro_f1, dummy): tuned one-vs-rest ridges of all configurations.
 
     ``rows``: keys (text), cube, ``vec`` (``size`` numbers), ``label`` (text); ``deal``: keys without those of the target, cube, outer, inner. One matrix a class,
-    outer and inner fold holds all feature sets, strengths and both weightings; then each row is scored by the models that did not see its side, and only counts
-    of (class, guess) are shuffled. Among strengths of equal mean inner balanced accuracy the strongest is taken; outer test rows take no part in it. ``dummy``
+    outer and inner fold holds all feature sets, strengths and both weightings; then each row is scored by the models that did not see its side, all at once in an
+    Arrow batch, and only counts of (class, guess) are shuffled. Among strengths of equal mean inner balanced accuracy the strongest is taken; outer test rows take no part in it. ``dummy``
     is the balanced accuracy of guessing the training side's commonest class (ties: the greatest), 1 / classes where it occurs. A row with a null label or a null
     or non-finite number takes no part; a fold without rows on either side, or of one class, has no result.
     """
     names = [*keys, "outer", "inner"]
-    x = rows.select(*(F.col(k).cast("string").alias(k) for k in keys), "cube", F.col(label).cast("string").alias("label"), F.col(vec).alias("v"))
+    x = rows.select(*(F.col(k).cast("string").alias(k) for k in keys), "cube", F.col(label).cast("string").alias("label"), F.col(vec).alias("v")).dropna(subset=keys)
     x = x.where("label is not null and v is not null").where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
-    x = x.join(deal, [k for k in deal.columns if k in keys] + ["cube"])
-    schema = ", ".join([*(f"{k} string" for k in keys), "outer int, inner int, label string"])
-    cells = grams(x.select(*names, "label", "v"), [*names, "label"], schema, lambda g: np.column_stack([np.ones(len(g)), np.stack(g["v"].to_list())]))
+    by = [k for k in deal.columns if k in keys] + ["cube"]
+    places = deal.groupBy(*by).agg(F.collect_list(F.struct(F.col("outer").cast("int").alias("outer"), F.col("inner").cast("int").alias("inner"))).alias("places"))  # one an outer fold
+    x = x.join(places, by).select(*keys, "label", "v", F.col("places.outer").alias("outer"), F.col("places.inner").alias("inner"))
+    kind = ", ".join([*(f"{k} string" for k in keys), "outer int, inner int, label string"])
+    cells = summed(x.mapInArrow(lambda batches: class_grams(batches, keys, size, kind_of(keys)), kind + ", gram array<double>"), [*names, "label"], "gram")
     m = written(models(cells, keys, sets, alphas), "appearance-models")
     numbers = m.agg(F.sum(F.size("classes") * (size + 1))).first()[0] or 0
     config = ["feature_set", "weights", "alpha", "n_train", "majority"]
-    y = x.join(F.broadcast(m) if numbers <= BROADCAST else m, names)
-    s = lambda c: F.aggregate(F.zip_with("v", c["coef"], lambda a, b: a * b), c["intercept"], lambda t, e: t + e)
-    guess = F.array_max(F.transform("classes", lambda c: F.struct(s(c).alias("s"), c["label"].alias("l"))))["l"]
-    y = y.select(*names, *config, "label", guess.alias("guess")).groupBy(*names, *config, "label", "guess").agg(F.count("*").alias("_n"))
+    if numbers <= BROADCAST:
+        known = sides_of(m.collect(), keys)
+        y = x.mapInArrow(lambda batches: guess_counts(batches, keys, size, known, kind_of(keys)), kind + ", feature_set string, weights string, alpha double, n_train long, majority string, guess string, _n long")
+        y = y.groupBy(*names, *config, "label", "guess").agg(F.sum("_n").alias("_n"))
+    else:
+        y = x.select(*keys, "label", "v", F.explode(F.arrays_zip("outer", "inner")).alias("p")).select(*keys, "label", "v", "p.*").join(m, names)
+        s = lambda c: F.aggregate(F.zip_with("v", c["coef"], lambda a, b: a * b), c["intercept"], lambda t, e: t + e)
+        guess = F.array_max(F.transform("classes", lambda c: F.struct(s(c).alias("s"), c["label"].alias("l"))))["l"]
+        y = y.select(*names, *config, "label", guess.alias("guess")).groupBy(*names, *config, "label", "guess").agg(F.count("*").alias("_n"))
     y = written(y, "appearance-counts")
     every = [*names, *config]
     per = y.groupBy(*every, "label").agg(F.sum("_n").alias("n"), F.sum(F.when(F.col("label") == F.col("guess"), F.col("_n")).otherwise(0)).alias("tp"))
