@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one task orders.
 RANGE_ROWS = 65_536
+#: Rows that one task groups or joins.
+GROUP_ROWS = 262_144
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,6 +24,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, keys: list[str], n: int | None = None, rows: int = GROUP_ROWS) -> DataFrame:
+    """``df`` (``n`` rows; counted if not given) hashed by ``keys`` into partitions whose number grows with its rows, for groupings and joins by these keys or by more.
+
+    Left to itself a shuffle has a fixed number of partitions, merged up to a size in bytes, so the hash tables and sorts of one task would grow with the table.
+    """
+    parts = -(-(df.count() if n is None else n) // rows)
+    if parts <= 8:  # few rows at any number of partitions
+        return df.repartition(*keys)
+    # not below the default, or a join would shuffle once more
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with running sums inside each key, in ``order``, the row itself included; names are those of ``sums``.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import mask
+from ..operators.ranks import dealt
 
 CLEAR, SCENE = ("A", "N"), ("O", "F")
 
@@ -46,15 +47,15 @@ def with_axes(frames: DataFrame, cube: str = "cube", ts: str = "ts", key: str =
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cube, ts, frame_key, acq_idx, day_idx): every acquisition."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cube"), F.to_date("o_orderdate").alias("ts"), F.col("o_orderkey").alias("frame_key"))
-    return with_axes(o)
+    return with_axes(dealt(o, ["cube"]))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_key, cell, nir, red, valid, ndvi): one row per frame and cell."""
+    """(frame_key, cell, nir, red, valid, ndvi): one row per frame and cell; a frame lies in one partition, so what groups or joins by frames shuffles no more."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("frame_key"), (F.col("l_linenumber") - 1).alias("cell"), (F.col("l_extendedprice") / 1000).alias("nir"), F.col("l_quantity").alias("red"),
         mask.clear_sky("l_returnflag", CLEAR, "l_linestatus", SCENE).alias("valid"))
-    px = li.groupBy("frame_key", "cell").agg(F.avg("nir").alias("nir"), F.avg("red").alias("red"), F.min("valid").alias("valid"))
+    px = dealt(li, ["frame_key"]).groupBy("frame_key", "cell").agg(F.avg("nir").alias("nir"), F.avg("red").alias("red"), F.min("valid").alias("valid"))
     return px.withColumn("ndvi", mask.ndvi("nir", "red", "valid"))
 
 
