@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import row_numbers, written
+from .ranks import dealt, row_numbers, written
 
 
 class LeakageError(ValueError):
@@ -168,12 +168,17 @@ def spatial_clusters(boxes: DataFrame, n_blocks: int, limit: int = 512) -> DataF
     return x.select("id", F.concat(F.col("tile").cast("string"), F.lit("/block"), F.col("block")).alias("block"))
 
 
-def leakage(folds: DataFrame) -> DataFrame:
-    """(fold, n): cubes that a fold has on both sides; empty when the table is safe."""
-    x = folds.groupBy("fold", "cube").agg(F.countDistinct("side").alias("sides")).where("sides > 1")
+def _on_both(folds: DataFrame) -> DataFrame:
+    """(fold, n): cubes on both sides, from one aggregation by fold and cube."""
+    x = folds.groupBy("fold", "cube").agg(F.min("side").alias("least"), F.max("side").alias("most")).where("least < most")
     return x.groupBy("fold").agg(F.count("*").alias("n"))
 
 
+def leakage(folds: DataFrame, n: int | None = None) -> DataFrame:
+    """(fold, n): cubes that a fold has on both sides; empty when the table is safe. ``n``: how many rows ``folds`` has, counted if not given."""
+    return _on_both(dealt(folds.select("fold", "cube", "side"), ["cube"], n))
+
+
 #: Split modes by name: rows (cube, acq_idx, and year, tile, block or ts as the mode needs) and options to a fold table.
 MODES: dict[str, Callable[..., DataFrame]] = {
     "cube": lambda rows, k=5: group_folds(rows, "cube", k),
@@ -221,9 +226,13 @@ def members(units: DataFrame, frames: list[str], folds: DataFrame) -> DataFrame:
     return x.select("_u.*", "fold", side.alias("side"), ((F.col("_t") == 0) | (F.col("_r") == 0)).alias("whole")).where("side is not null or not whole")
 
 
-def gate(folds: DataFrame) -> DataFrame:
-    """(fold, problem, n): what a safe fold table does not have: cubes or rows on both sides, and sides without rows."""
-    cubes = folds.groupBy("fold", "cube").agg(F.countDistinct("side").alias("s")).where("s > 1").groupBy("fold").agg(F.count("*").alias("n")).select("fold", F.lit("cube_on_both_sides").alias("problem"), "n")
-    rows = folds.groupBy("fold", "cube", "acq_idx").agg(F.count("*").alias("s")).where("s > 1").groupBy("fold").agg(F.count("*").alias("n")).select("fold", F.lit("row_repeated").alias("problem"), "n")
+def gate(folds: DataFrame, n: int | None = None) -> DataFrame:
+    """(fold, problem, n): what a safe fold table does not have: cubes or rows on both sides, and sides without rows.
+
+    Rows are dealt by cube, so those of a cube, and of a frame, are counted where they lie; ``n``: how many ``folds`` has, counted if not given.
+    """
+    x = dealt(folds, ["cube"], n)
+    cubes = _on_both(x).select("fold", F.lit("cube_on_both_sides").alias("problem"), "n")
+    rows = x.groupBy("fold", "cube", "acq_idx").agg(F.count("*").alias("s")).where("s > 1").groupBy("fold").agg(F.count("*").alias("n")).select("fold", F.lit("row_repeated").alias("problem"), "n")
     empty = folds.groupBy("fold").agg(F.count_if(F.col("side") == "test").alias("t"), F.count_if(F.col("side") == "train").alias("r")).where("t = 0 or r = 0")
     return cubes.unionByName(rows).unionByName(empty.select("fold", F.lit("side_empty").alias("problem"), F.lit(0).cast("long").alias("n")))

@@ -2,10 +2,12 @@
 
 from functools import partial
 
+import pytest
 from pyspark.sql import functions as F
 
+from terrafold.operators import folds
 from terrafold.operators.ranks import dealt
-from terrafold.plans import catalogue
+from terrafold.plans import catalogue, probes  # noqa: F401  probes registers its queries
 from terrafold.sources import minicube as mc
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +34,18 @@ def test_pixels_and_frames_are_dealt_by_their_input(spark, monkeypatch):
     assert sorted(map(str, x.collect())) == want
     assert mc.frames(spark, SF).rdd.getNumPartitions() == -(-orders // 50)
     assert mc.kept_frames(spark, SF).rdd.getNumPartitions() == -(-lines // 50)
+
+
+def reads_lines(name, spark):
+    """Whether the query's last step still derives something from the order lines."""
+    return any("lineitem" in f for f in catalogue.QUERIES[name](spark, SF).inputFiles())
+
+
+@pytest.mark.parametrize("name", ["fold_leakage_check", "fold_gate"])
+def test_fold_checks_read_frames_once_and_deal_rows(spark, monkeypatch, name):
+    want = sorted(map(str, catalogue.QUERIES[name](spark, SF).collect()))
+    assert want and not reads_lines(name, spark)
+    parts = []
+    monkeypatch.setattr(folds, "dealt", lambda *a, **k: parts.append(dealt(*a, **k, rows=100)) or parts[-1])
+    assert sorted(map(str, catalogue.QUERIES[name](spark, SF).collect())) == want
+    assert parts[0].rdd.getNumPartitions() > 8
