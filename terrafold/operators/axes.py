@@ -52,22 +52,23 @@ def horizon_windows(anchors: DataFrame, series: DataFrame, days: int, wet: float
     return x.groupBy("cube", "day").agg(*window_aggregates("value", wet, base)).where(F.col("days_available") == days + 1)
 
 
-def horizon_rows(frames: DataFrame, settings: DataFrame, context: int = 1) -> DataFrame:
+def horizon_rows(frames: DataFrame, settings: DataFrame, context: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """As-of forward join: for each frame and setting (delta, tol) the later frame of the cube nearest to day + delta.
 
     Ties go to the earlier frame; none within the tolerance, or too few frames before, gives no row.
-    ``settings`` is a small table of constants.
+    ``settings`` is a small table of constants. Columns ``carry`` of ``frames`` come along, those of the later frame as ``<name>_target``.
     """
-    right = frames.select(F.col("cube").alias("_c"), F.col("acq_idx").alias("acq_target"), F.col("day_idx").alias("day_target"))
+    targets = [f"{c}_target" for c in carry]
+    right = frames.select(F.col("cube").alias("_c"), F.col("acq_idx").alias("acq_target"), F.col("day_idx").alias("day_target"), *(F.col(c).alias(t) for c, t in zip(carry, targets)))
     width = 128
-    x = frames.select("cube", "acq_idx", "day_idx").where(F.col("acq_idx") >= context - 1).join(F.broadcast(settings))
+    x = frames.select("cube", "acq_idx", "day_idx", *carry).where(F.col("acq_idx") >= context - 1).join(F.broadcast(settings))
     lo, hi = F.col("day_idx") + F.col("delta") - F.col("tol"), F.col("day_idx") + F.col("delta") + F.col("tol")
     x = x.withColumn("_b", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
     y = right.withColumn("_b2", F.floor(F.col("day_target") / width))
     x = x.join(y, (F.col("cube") == F.col("_c")) & (F.col("_b") == F.col("_b2")) & F.col("day_target").between(lo, hi) & (F.col("acq_target") > F.col("acq_idx")))
     off = F.abs(F.col("day_target") - F.col("day_idx") - F.col("delta"))
-    best = x.groupBy("cube", "acq_idx", "day_idx", "delta", "tol").agg(F.min(F.struct(off.alias("off"), "acq_target", "day_target")).alias("x"))
-    return best.select("cube", "acq_idx", "day_idx", "delta", "tol", F.col("x.acq_target").alias("acq_target"), (F.col("x.day_target") - F.col("day_idx")).alias("delta_days"))
+    best = x.groupBy("cube", "acq_idx", "day_idx", "delta", "tol").agg(F.min(F.struct(off.alias("off"), "acq_target", "day_target", *targets)).alias("x"), *(F.first(c).alias(c) for c in carry))  # one left row a group
+    return best.select("cube", "acq_idx", "day_idx", "delta", "tol", F.col("x.acq_target").alias("acq_target"), (F.col("x.day_target") - F.col("day_idx")).alias("delta_days"), *carry, *(F.col(f"x.{t}").alias(t) for t in targets))
 
 
 def retention(rows: DataFrame, frames: DataFrame) -> DataFrame:

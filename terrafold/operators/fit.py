@@ -70,14 +70,18 @@ def seen_outside(rows: DataFrame, x: str, keys: list[str] | None = None) -> Data
     return every.select(*keys, "fold", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("seen"))
 
 
-def fit_by_fold(rows: DataFrame, folds: DataFrame, design: list[Column], y: str, x: str, least_distinct: int, keys: list[str], ridge: float = 0.0) -> DataFrame:
+def with_fold(rows: DataFrame, folds: DataFrame | None, keys: list[str]) -> DataFrame:
+    return rows.where("fold is not null") if folds is None else rows.join(folds, keys)
+
+
+def fit_by_fold(rows: DataFrame, folds: DataFrame | None, design: list[Column], y: str, x: str, least_distinct: int, keys: list[str], ridge: float = 0.0) -> DataFrame:
     """(fold, n_train, coef) of least squares on each fold's complement; a fold with too few distinct x has no coefficients.
 
-    ``rows`` carry a key of ``folds`` (keys, fold), which names each row's test fold. Sums of products are
+    ``rows`` carry a key of ``folds`` (keys, fold), which names each row's test fold; without ``folds`` they carry ``fold`` itself, and nothing is joined. Sums of products are
     aggregated per fold once; a fold's training sums are the totals minus its own, and each fold is solved by itself.
     """
     p = len(design)
-    d = rows.join(folds, keys).select("fold", F.col(y).cast("double").alias("_y"), F.col(x).alias("_x"), F.array(*design).alias("_d")).where("_y is not null")
+    d = with_fold(rows, folds, keys).select("fold", F.col(y).cast("double").alias("_y"), F.col(x).alias("_x"), F.array(*design).alias("_d")).where("_y is not null")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     item = lambda i: F.get("_d", F.lit(i))
     sums = [F.sum(item(i) * item(j)) for i, j in pairs] + [F.sum(item(i) * F.col("_y")) for i in range(p)] + [F.count("*").cast("double")]
@@ -161,9 +165,9 @@ def residual_predictions(rows: DataFrame, models: DataFrame, design: list[Column
     return x.withColumn("a", F.col(y) - dot(F.array(*design), "curve")).withColumn("p", dot(w, "coef") + F.col("intercept")).drop("curve", "coef", "intercept")
 
 
-def predict(rows: DataFrame, folds: DataFrame, models: DataFrame, design: list[Column], keys: list[str]) -> DataFrame:
-    """``rows`` of each test fold with the prediction of the model fitted without it."""
-    return rows.join(folds, keys).join(models, "fold").withColumn("pred", F.when(F.col("coef").isNotNull(), dot(F.array(*design), "coef")))
+def predict(rows: DataFrame, folds: DataFrame | None, models: DataFrame, design: list[Column], keys: list[str]) -> DataFrame:
+    """``rows`` of each test fold with the prediction of the model fitted without it; ``folds`` as in ``fit_by_fold``."""
+    return with_fold(rows, folds, keys).join(models, "fold").withColumn("pred", F.when(F.col("coef").isNotNull(), dot(F.array(*design), "coef")))
 
 
 def ridge_path(rows: DataFrame, vec: str, y: str, fold: str, alphas: list[float], by: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import folds
+from terrafold.operators import axes, folds
 from terrafold.operators.ranks import dealt
 from terrafold.plans import catalogue, probes  # noqa: F401  probes registers its queries
 from terrafold.sources import minicube as mc
@@ -49,3 +49,16 @@ def test_fold_checks_read_frames_once_and_deal_rows(spark, monkeypatch, name):
     monkeypatch.setattr(folds, "dealt", lambda *a, **k: parts.append(dealt(*a, **k, rows=100)) or parts[-1])
     assert sorted(map(str, catalogue.QUERIES[name](spark, SF).collect())) == want
     assert parts[0].rdd.getNumPartitions() > 8
+
+
+@pytest.mark.parametrize("name", ["error_concentration", "horizon_control", "gap_polynomial_control", "proxy_climatology"])
+def test_scores_and_fits_read_frames_once(spark, name):
+    assert not reads_lines(name, spark)
+
+
+def test_targets_carry_the_values_of_their_frames(spark):
+    rows = [("a", i, day, v) for i, (day, v) in enumerate([(0, 1.0), (90, 2.0), (110, None), (300, 4.0)])]
+    f = spark.createDataFrame(rows, "cube string, acq_idx int, day_idx int, v double")
+    x = axes.horizon_rows(f, spark.createDataFrame([(100, 30), (200, 15)], "delta int, tol int"), carry=("v",))
+    got = sorted((r.acq_idx, r.delta, r.acq_target, r.delta_days, r.v, r.v_target) for r in x.collect())
+    assert got == [(0, 100, 1, 90, 1.0, 2.0), (1, 200, 3, 210, 2.0, 4.0), (2, 200, 3, 190, None, 4.0)]
