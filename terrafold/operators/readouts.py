@@ -112,8 +112,8 @@ def logistic_by_fold(rows: DataFrame, vec: str, label: str, folds: list[int], fo
 
 
 def boosted_by_fold(rows: DataFrame, features: list[str], y: str, folds: list[int], fold: str, rounds: int = 200, step: float = 0.1, least_leaf: int = 20, seed: int = 0) -> DataFrame:
-    """``rows`` of each fold with the boosted-tree prediction ``pred`` fitted on the other folds."""
-    x = rows.withColumn("_x", array_to_vector(F.array(*(F.col(c).cast("double") for c in features))))
+    """``rows`` of each fold with the boosted-tree prediction ``pred`` fitted on the other folds; ``rows`` become a table first, since each fit reads them several times."""
+    x = written(rows, "boosted").withColumn("_x", array_to_vector(F.array(*(F.col(c).cast("double") for c in features))))
     model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="pred", maxIter=rounds, stepSize=step, minInstancesPerNode=least_leaf, seed=seed)
     parts = [model.fit(x.where(F.col(fold) != f)).transform(x.where(F.col(fold) == f)).select(*rows.columns, "pred") for f in folds]
     out = parts[0]
