@@ -51,7 +51,7 @@ def test_fold_checks_read_frames_once_and_deal_rows(spark, monkeypatch, name):
     assert parts[0].rdd.getNumPartitions() > 8
 
 
-@pytest.mark.parametrize("name", ["error_concentration", "horizon_control", "gap_polynomial_control", "proxy_climatology", "boosted_trees"])
+@pytest.mark.parametrize("name", ["error_concentration", "horizon_control", "gap_polynomial_control", "proxy_climatology", "boosted_trees", "reconstruction_probe"])
 def test_scores_and_fits_read_frames_once(spark, name):
     assert not reads_lines(name, spark)
 
