@@ -234,8 +234,8 @@ def permutation(rows: DataFrame, seed: str, keys: tuple[str, ...] = ("fold", "si
     keys = list(keys)
     x = written(rows.select(*keys, "cube", "acq_idx"), "permutation-rows")
     name = F.concat_ws("|", *(F.col(k).cast("string") for k in ("cube", "acq_idx", *keys)), F.lit(seed))
-    a = row_numbers(x, keys, [F.col("cube"), F.col("acq_idx")], "place")
-    b = row_numbers(x.withColumn("h", F.md5(name)), keys, [F.col("h"), F.col("cube"), F.col("acq_idx")], "place")
+    a = row_numbers(x, keys, [F.col("cube"), F.col("acq_idx")], "place", table=True)
+    b = row_numbers(x.withColumn("h", F.md5(name)), keys, [F.col("h"), F.col("cube"), F.col("acq_idx")], "place", table=True)
     return a.join(b.select(*keys, "place", F.col("cube").alias("from_cube"), F.col("acq_idx").alias("from_acq")), [*keys, "place"]).drop("place")
 
 

@@ -36,14 +36,14 @@ def dealt(df: DataFrame, keys: list[str], n: int | None = None, rows: int = GROU
     return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], rows: int = RANGE_ROWS) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], rows: int = RANGE_ROWS, table: bool = False) -> DataFrame:
     """``df`` with running sums inside each key, in ``order``, the row itself included; names are those of ``sums``.
 
     Rows are dealt into ranges of (keys, order) and written, so that ranges stay as they are; a sum is that of the ranges before plus that inside
-    the row's own. Rows that tie in ``order`` lie in one range, in any order.
+    the row's own. Rows that tie in ``order`` lie in one range, in any order. ``table``: ``df`` only reads a table already, so it is not written before it is sorted.
     """
     x = df.withColumns({f"_v{i}": c for i, c in enumerate(sums.values())})
-    x = written(x, "ranks-rows")
+    x = x if table else written(x, "ranks-rows")
     parts = max(1, -(-x.count() // rows))
     x = written(x.repartitionByRange(parts, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranks")
     heads = x.groupBy(*keys, "_p").agg(*(F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(sums))))
@@ -58,9 +58,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     return x.select(*df.columns, *((F.col(f"_b{i}") + F.col(f"_i{i}")).alias(n) for i, n in enumerate(sums)))
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int = RANGE_ROWS) -> DataFrame:
-    """``df`` with ``name``: the row's place inside its key, from 1; ``order`` should leave no ties."""
-    return running(df, keys, order, {name: F.lit(1).cast("long")}, rows)
+def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int = RANGE_ROWS, table: bool = False) -> DataFrame:
+    """``df`` with ``name``: the row's place inside its key, from 1; ``order`` should leave no ties. ``table`` as in ``running``."""
+    return running(df, keys, order, {name: F.lit(1).cast("long")}, rows, table)
 
 
 def percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float | None]:

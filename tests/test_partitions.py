@@ -5,8 +5,8 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import axes, folds
-from terrafold.operators.ranks import dealt
+from terrafold.operators import axes, folds, ranks
+from terrafold.operators.ranks import dealt, written
 from terrafold.plans import catalogue, probes  # noqa: F401  probes registers its queries
 from terrafold.sources import minicube as mc
 
@@ -62,3 +62,11 @@ def test_targets_carry_the_values_of_their_frames(spark):
     x = axes.horizon_rows(f, spark.createDataFrame([(100, 30), (200, 15)], "delta int, tol int"), carry=("v",))
     got = sorted((r.acq_idx, r.delta, r.acq_target, r.delta_days, r.v, r.v_target) for r in x.collect())
     assert got == [(0, 100, 1, 90, 1.0, 2.0), (1, 200, 3, 210, 2.0, 4.0), (2, 200, 3, 190, None, 4.0)]
+
+
+def test_places_of_a_table_are_taken_without_writing_it_again(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(ranks, "written", lambda df, name: names.append(name) or written(df, name))
+    table = written(spark.range(300).withColumn("k", F.col("id") % 3), "table")
+    got = {(r.k, r.id): r.n for r in ranks.row_numbers(table, ["k"], [F.col("id")], "n", rows=20, table=True).collect()}
+    assert names == ["ranks"] and got == {(i % 3, i): i // 3 + 1 for i in range(300)}
