@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import row_numbers, written
+from .ranks import dealt, row_numbers, written
 
 PERIOD = 365.25
 #: Numbers of sums of products that a task holds before it passes them on.
@@ -244,7 +244,12 @@ def same_cube_share(permuted: DataFrame, keys: tuple[str, ...] = ("fold", "side"
     return permuted.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col("cube") == F.col("from_cube")).cast("double")).alias("share"))
 
 
-def with_sky(cells: DataFrame, permuted: DataFrame, sky: DataFrame) -> DataFrame:
-    """``cells`` (cube, acq_idx, ...) of each fold and side with the ``sky`` (cube, acq_idx, ...) of the frame that theirs was dealt."""
+def with_sky(cells: DataFrame, permuted: DataFrame, sky: DataFrame, n: int | None = None) -> DataFrame:
+    """``cells`` (cube, acq_idx, ...) of each fold and side with the ``sky`` (cube, acq_idx, ...) of the frame that theirs was dealt.
+
+    With ``n``, about how many rows that gives, cells are dealt by frame, so that tasks join and then group a bounded number by frame.
+    """
     other = sky.withColumnsRenamed({"cube": "from_cube", "acq_idx": "from_acq"})
+    if n is not None:
+        cells = dealt(cells, ["cube", "acq_idx"], n)
     return cells.join(permuted.join(other, ["from_cube", "from_acq"]), ["cube", "acq_idx"])

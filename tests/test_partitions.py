@@ -5,7 +5,7 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.operators import axes, folds, ranks
+from terrafold.operators import axes, fit, folds, ranks
 from terrafold.operators.ranks import dealt, written
 from terrafold.plans import catalogue, probes  # noqa: F401  probes registers its queries
 from terrafold.sources import minicube as mc
@@ -70,3 +70,11 @@ def test_places_of_a_table_are_taken_without_writing_it_again(spark, monkeypatch
     table = written(spark.range(300).withColumn("k", F.col("id") % 3), "table")
     got = {(r.k, r.id): r.n for r in ranks.row_numbers(table, ["k"], [F.col("id")], "n", rows=20, table=True).collect()}
     assert names == ["ranks"] and got == {(i % 3, i): i // 3 + 1 for i in range(300)}
+
+
+def test_cells_are_dealt_by_frame_under_their_sky(spark, monkeypatch):
+    want = sorted(map(str, catalogue.QUERIES["permuted_cells"](spark, SF).collect()))
+    parts = []
+    monkeypatch.setattr(fit, "dealt", lambda *a, **k: parts.append(dealt(*a, **k, rows=1000)) or parts[-1])
+    assert sorted(map(str, catalogue.QUERIES["permuted_cells"](spark, SF).collect())) == want
+    assert parts[0].rdd.getNumPartitions() > 8
