@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import written
+
 
 def consecutive_pairs(frames: DataFrame, *carry: str) -> DataFrame:
     """(cube, acq_a, acq_b, day_a, day_b, gap_days, gap_acq): each frame and its next one; the gap is in days."""
@@ -96,9 +98,11 @@ def common_cells(pairs: DataFrame, px: DataFrame, keys: list[str], cell: str) ->
     """(cube, acq_idx_a, acq_idx_b, cell, n_common, level_a, level_b, delta_mean): levels and change of each cell on its pixels valid in both frames.
 
     ``px``: cube, acq_idx, the pixel's ``keys`` and ndvi, and its ``cell``. A cell that shares no pixel has no row: nothing is filled.
+    Pixels become a table first, since each is read as an earlier and as a later one.
     """
-    a = px.where("ndvi is not null").select("cube", F.col("acq_idx").alias("acq_idx_a"), *keys, F.col(cell).alias("_cell"), F.col("ndvi").cast("double").alias("va"))
-    b = px.where("ndvi is not null").select("cube", F.col("acq_idx").alias("acq_idx_b"), *keys, F.col("ndvi").cast("double").alias("vb"))
+    px = written(px.where("ndvi is not null").select(*dict.fromkeys(["cube", "acq_idx", *keys, cell, "ndvi"])), "valid-pixels")
+    a = px.select("cube", F.col("acq_idx").alias("acq_idx_a"), *keys, F.col(cell).alias("_cell"), F.col("ndvi").cast("double").alias("va"))
+    b = px.select("cube", F.col("acq_idx").alias("acq_idx_b"), *keys, F.col("ndvi").cast("double").alias("vb"))
     both = pairs.select("cube", "acq_idx_a", "acq_idx_b").distinct().join(a, ["cube", "acq_idx_a"]).join(b, ["cube", "acq_idx_b", *keys])
     return both.groupBy("cube", "acq_idx_a", "acq_idx_b", F.col("_cell").alias("cell")).agg(F.count("*").alias("n_common"), F.avg("va").alias("level_a"), F.avg("vb").alias("level_b"), F.avg(F.col("vb") - F.col("va")).alias("delta_mean"))
 

@@ -78,3 +78,7 @@ def test_cells_are_dealt_by_frame_under_their_sky(spark, monkeypatch):
     monkeypatch.setattr(fit, "dealt", lambda *a, **k: parts.append(dealt(*a, **k, rows=1000)) or parts[-1])
     assert sorted(map(str, catalogue.QUERIES["permuted_cells"](spark, SF).collect())) == want
     assert parts[0].rdd.getNumPartitions() > 8
+
+
+def test_common_cells_read_pixels_once(spark):
+    assert sum("valid-pixels" in f for f in catalogue.QUERIES["common_masked_cells"](spark, SF).inputFiles()) > 0
