@@ -81,3 +81,13 @@ def test_levels_of_frames_that_carry_their_pixels(spark):
     rows = [([(0, 1.0), (1, 2.0), (2, 5.0), (None, 9.0)], [(0, 4.0), (1, None), (3, 7.0), (None, 1.0)]), ([(0, 1.0), (1, 3.0)], [(1, 5.0), (0, 2.0)]), ([(0, None)], [(0, 1.0)]), ([], [])]
     x = spark.createDataFrame(rows, f"a {pixel}, b {pixel}").select(axes.common_levels("a", "b").alias("l"))
     assert [tuple(r.l) for r in x.collect()] == [(1.0, 4.0), (2.0, 3.5), (None, None), (None, None)]
+
+
+def test_intervals_bring_no_folds_together(spark):
+    from terrafold.operators import metrics
+
+    sums = written(spark.range(300).selectExpr("cast(id % 3 as string) as m", "id as fold", "10L as n", "id * 1.0D as sy", "(50 + id * id)*1.0D as syy", "(5 + id % 7) * 1.0D as sse"), "sums")
+    a, b = ({r.m: r for r in metrics.jackknife(sums, ["m"], table=t).collect()} for t in (False, True))
+    assert a.keys() == b.keys() == {"0", "1", "2"} and all(tuple(a[m])[1:] == pytest.approx(tuple(b[m])[1:]) for m in a)
+    plan = metrics.jackknife(sums, ["m"], table=True)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
