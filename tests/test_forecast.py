@@ -148,3 +148,12 @@ def test_common_cells(spark):
     pairs = spark.createDataFrame([(1, 0, 1), (1, 0, 1), (1, 1, 2)], "cube int, acq_idx_a int, acq_idx_b int")
     assert [tuple(r) for r in axes.common_cells(pairs, px, ["px"], "cell").collect()] == [(1, 0, 1, 0, 1, 1.0, 4.0, 3.0)]
     assert axes.common_cells(pairs, px.limit(0), ["px"], "cell").count() == 0
+
+
+def test_every_fold_has_the_permutation(spark):
+    from terrafold.plans import catalogue, probes
+
+    x = probes.forecast_scores(spark, "/root/testdata/sf0.001")
+    got = {m: {tuple(r) for r in x.where(F.col("model") == m).select("mode", "aggregation", "delta", "fold").collect()} for m in ("weather_only", "permutation")}
+    assert got["weather_only"] == got["permutation"] and len({g for g in got["permutation"] if g[0] == "loco"}) > 100
+    assert "loco'" not in catalogue.ORACLE_SQL["forecast_probe"].replace("'loco', 'mean'", "")
