@@ -17,6 +17,10 @@ from .fit import grams, summed
 from .ranks import percentiles_by, written
 
 
+#: Cells of binned features that one task boosts.
+CELLS = 1_000_000
+
+
 def crps_of(e: Column, sigma: Column) -> Column:
     """Closed-form CRPS of a Gaussian whose mean misses by ``e``; null without a positive sigma."""
 
@@ -111,17 +115,118 @@ def logistic_by_fold(rows: DataFrame, vec: str, label: str, folds: list[int], fo
     return out
 
 
-def boosted_by_fold(rows: DataFrame, features: list[str], y: str, folds: list[int], fold: str, rounds: int = 200, step: float = 0.1, least_leaf: int = 20, seed: int = 0) -> DataFrame:
-    """``rows`` of each fold with the boosted-tree prediction ``pred`` fitted on the other folds; ``rows`` become a table first, since each fit reads them several times."""
-    x = written(rows, "boosted").withColumn("_x", array_to_vector(F.array(*(F.col(c).cast("double") for c in features))))
-    model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="pred", maxIter=rounds, stepSize=step, minInstancesPerNode=least_leaf, seed=seed)
-    parts = [model.fit(x.where(F.col(fold) != f)).transform(x.where(F.col(fold) == f)).select(*rows.columns, "pred") for f in folds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def grown(bins: np.ndarray, n: np.ndarray, s: np.ndarray, width: int, depth: int, least: int) -> np.ndarray:
+    """A regression tree as rows (feature or -1, last bin on the left, mean) of a heap, node i above 2i + 1 and 2i + 2; ``bins``: a row a cell, which holds ``n`` rows with the sum ``s`` of their targets.
+
+    Level by level, the split that lowers the squared error most among those that leave ``least`` rows on both sides.
+    """
+    tree = np.full((2 ** (depth + 1) - 1, 3), -1.0)
+    at = np.zeros(len(bins), int)
+    for level in range(depth + 1):
+        first, many = 2**level - 1, 2**level
+        here = np.flatnonzero(at >= first)
+        if not len(here):
+            break
+        node = at[here] - first
+        cn, cs = (np.bincount(node, v[here], many) for v in (n, s))
+        tree[first : first + many, 2] = cs / np.maximum(cn, 1)
+        if level == depth:
+            break
+        best, split = np.zeros(many), np.full((many, 2), -1.0)
+        for f in range(bins.shape[1]):
+            ln, ls = (np.bincount(node * width + bins[here, f], v[here], many * width).reshape(many, width).cumsum(axis=1) for v in (n, s))
+            rn, rs = cn[:, None] - ln, cs[:, None] - ls
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where((ln >= max(least, 1)) & (rn >= max(least, 1)), ls**2 / ln + rs**2 / rn - (cs**2 / np.maximum(cn, 1))[:, None], 0.0)
+            top = gain.argmax(axis=1)
+            better = gain[np.arange(many), top] > best
+            best[better], split[better] = gain[better, top[better]], np.column_stack([np.full(better.sum(), f), top[better]])
+        tree[first : first + many, :2] = split
+        f, last = split[node].T.astype(int)
+        at[here] = np.where(f < 0, -1, 2 * at[here] + 1 + (bins[here, f] > last))
+    return tree
+
+
+def tree_values(tree: np.ndarray, bins: np.ndarray, depth: int) -> np.ndarray:
+    at = np.zeros(len(bins), int)
+    for _ in range(depth):
+        f = tree[at, 0].astype(int)
+        at = np.where(f < 0, at, 2 * at + 1 + (bins[np.arange(len(bins)), f] > tree[at, 1]))
+    return tree[at, 2]
+
+
+def boosted(bins: np.ndarray, n: np.ndarray, s: np.ndarray, width: int, rounds: int, step: float, depth: int, least: int) -> np.ndarray:
+    """``rounds`` trees, weights in their means: the first of the target, each other of twice the residual (as MLlib has it) by ``step``. All rows of a cell have one prediction, so sums by cell are all that a round needs."""
+    pred, out = np.zeros(len(n)), []
+    for i in range(rounds):
+        tree = grown(bins, n, s if i == 0 else 2 * (s - n * pred), width, depth, least)
+        tree[:, 2] *= step if i else 1.0
+        pred += tree_values(tree, bins, depth)
+        out.append(tree)
+    return np.stack(out)
+
+
+def edges(train: DataFrame, features: list[str], bins: int) -> list[list[float]]:
+    """For each feature the upper ends of all bins but the last: between neighbours where it has few values, else quantiles of all rows."""
+    out, many = [], train.approxQuantile(features, [k / bins for k in range(1, bins)], 1e-4)
+    for f, q in zip(features, many):
+        few = sorted(r[0] for r in train.select(f).distinct().limit(bins + 1).collect())
+        out.append(sorted(set(q)) if len(few) > bins else [(a + b) / 2 for a, b in zip(few[:-1], few[1:])])
     return out
 
 
+def boosted_by_fold(rows: DataFrame, features: list[str], y: str, folds: list[int], fold: str, rounds: int = 200, step: float = 0.1, least_leaf: int = 20, seed: int = 0, depth: int = 5, bins: int = 32) -> DataFrame:
+    """``rows`` of each fold with the boosted-tree prediction ``pred`` fitted on the other folds; ``rows`` become a table first, since each fit reads them several times.
+
+    Trees split only between bins, so rows of the same bins are one cell, and a fold's rounds need no more than the sums of its cells: one aggregation a fold, then all rounds in one task.
+    Where features are so many that cells exceed ``CELLS``, MLlib reads the rows again in each round. Null or missing numbers are errors.
+    """
+    table = written(rows, "boosted")
+    there = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null {c}")).cast("double")).otherwise(F.col(c).cast("double")).alias(c)
+    x = table.select(F.col(fold).alias("_f"), there(y).alias("_y"), *map(there, features))
+    cut = {f: edges(x.where(F.col("_f") != f), features, bins) for f in folds}
+    codes = lambda f, of: [sum((F.when(of(c) > e, 1).otherwise(0) for e in ends), F.lit(0)).cast("int") for c, ends in zip(features, cut[f])]
+    names = [f"b{i}" for i in range(len(features))]
+    cells = None
+    for f in folds:
+        own = x.where(F.col("_f") != f).select(F.lit(f).alias("fold"), "_y", *(c.alias(b) for b, c in zip(names, codes(f, F.col))))
+        own = own.groupBy("fold", *names).agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("s"))
+        cells = own if cells is None else cells.unionByName(own)
+    cells = written(cells, "boosted-cells")
+    if (cells.groupBy("fold").count().agg(F.max("count")).first()[0] or 0) > CELLS:
+        x = table.withColumn("_x", array_to_vector(F.array(*(F.col(c).cast("double") for c in features))))
+        model = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="pred", maxIter=rounds, stepSize=step, minInstancesPerNode=least_leaf, maxDepth=depth, maxBins=bins, seed=seed)
+        parts = [model.fit(x.where(F.col(fold) != f)).transform(x.where(F.col(fold) == f)).select(*rows.columns, "pred") for f in folds]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(names)
+        trees = boosted(pdf[names].to_numpy(int), pdf["n"].to_numpy(), pdf["s"].to_numpy(), bins, rounds, step, depth, least_leaf)
+        return pd.DataFrame({"fold": pdf["fold"].iloc[:1], "trees": [trees.ravel()]})
+
+    models = cells.groupBy("fold").applyInPandas(fit, "fold int, trees array<double>").collect()  # 63 nodes a tree
+    models = {r["fold"]: np.reshape(r["trees"], (rounds, -1, 3)) for r in models}
+
+    @F.pandas_udf("double")
+    def predicted(f: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(f), np.nan)
+        for k, trees in models.items():
+            at = np.flatnonzero(f.to_numpy() == k)
+            if len(at):
+                cell, back = np.unique(np.stack(b.iloc[at].to_list()), axis=0, return_inverse=True)
+                out[at] = sum(tree_values(t, cell, depth) for t in trees)[back.ravel()]
+        return pd.Series(out)
+
+    out = table.where(F.col(fold).isin(folds))
+    code = F.lit(None).cast("array<int>")
+    for f in folds:
+        code = F.when(F.col(fold) == f, F.array(*codes(f, lambda c: F.col(c).cast("double")))).otherwise(code)
+    return out.withColumn("pred", F.nanvl(predicted(F.col(fold).cast("int"), code), F.lit(None).cast("double")))
+
+
 def pca_scores(rows: DataFrame, vec: str, k: int = 2) -> DataFrame:
     """``rows`` with ``scores`` (standardised, projected on k components, divided by sqrt(D)), ``explained`` and ``radius``.
 
